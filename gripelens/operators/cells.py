@@ -78,6 +78,10 @@ class CellIndex:
     def total(self) -> int:
         return int(self.size.sum())
 
+    @property
+    def used(self) -> np.ndarray:
+        return np.flatnonzero(self.size)
+
 
 def build_cells(points: DataFrame, total: int | None = None) -> CellIndex:
     """Index ``points`` (id, vec, any payload); ids must be distinct.
@@ -187,17 +191,21 @@ def search(
     reduce: Callable[[pa.Table, pa.Table], pa.Table],
     schema: str,
     points: DataFrame | None = None,
+    visits: np.ndarray | None = None,
 ) -> DataFrame:
     """Run ``reduce(queries, points)`` on every block of the visited cells.
 
     ``queries`` has hash and cells.  Blocks hold about ``BLOCK_ROWS`` rows of
-    each side.  The number of blocks per cell follows from counted visits.
+    each side.  The number of blocks per cell follows from the visits, which are
+    counted unless given.
     """
     spark = queries.sparkSession
     points = index.points if points is None else points
-    visits = np.zeros(len(index.size), dtype=np.int64)
-    for row in queries.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect():
-        visits[row["cell"]] = row["count"]
+    if visits is None:
+        visits = np.zeros(len(index.size), dtype=np.int64)
+        counts = queries.select(F.explode("cells").alias("cell")).groupBy("cell").count()
+        for row in counts.collect():
+            visits[row["cell"]] = row["count"]
     q_chunks = -(-visits // BLOCK_ROWS)
     p_chunks = -(-index.size // BLOCK_ROWS)
     base = np.concatenate([[0], np.cumsum(q_chunks * p_chunks)[:-1]])

@@ -22,7 +22,7 @@ from gripelens.operators.tree import (
     resolve,
     spanning_edges,
 )
-from gripelens.session import materialise
+from gripelens.session import materialise, materialise_counting
 
 MIN_CLUSTER_SIZE = 10
 # Merges are replayed in groups of 2 ** GROUP_BITS consecutive tree edges.
@@ -107,7 +107,7 @@ def _contract_lower(edges: DataFrame, bit: int, first_node: int) -> DataFrame:
             .withColumn(size, F.coalesce("_s", size))
             .drop("_n", "_s")
         )
-    return materialise(lower.select(*edges.columns).union(upper.select(*edges.columns)), "merging")
+    return lower.select(*edges.columns).union(upper.select(*edges.columns))
 
 
 def _replay(first_node: int):
@@ -145,12 +145,13 @@ def _replay(first_node: int):
 def merge_history(tree: DataFrame, vertices: DataFrame, group_bits: int = GROUP_BITS) -> DataFrame:
     """(node, weight, left, left_size, right, right_size) for every tree edge.
 
-    Vertices are numbered from 0; edge number r in ascending weight makes node
-    ``count of vertices + r``.  Ranks are halved bit by bit, the lower half
-    contracted for the upper one, until groups have 2 ** group_bits edges; all
-    groups are then replayed side by side.
+    Edge number r in ascending weight makes node r above the largest vertex id.
+    Ranks are halved bit by bit, the lower half contracted for the upper one,
+    until groups have 2 ** group_bits edges; all groups are then replayed side
+    by side.
     """
-    first_node = vertices.count()
+    facts = vertices.agg(F.count("*").alias("n"), F.max("id").alias("last")).first()
+    first_node = max(facts["last"], -1) + 1
     sizes = vertices.select("id", "copies")
     ranked = with_row_index(tree.select("lo", "hi", "weight"), ["weight", "lo", "hi"], "r")
     edges = (
@@ -158,9 +159,8 @@ def merge_history(tree: DataFrame, vertices: DataFrame, group_bits: int = GROUP_
         .join(sizes.select(F.col("id").alias("hi"), F.col("copies").alias("size_b")), "hi")
         .select("r", F.col("lo").alias("a"), "size_a", F.col("hi").alias("b"), "size_b", "weight")
     )
-    edges = materialise(edges, "merging")
-    for bit in range(max(first_node - 2, 0).bit_length() - 1, group_bits - 1, -1):
-        edges = _contract_lower(edges, bit, first_node)
+    for bit in range(max(facts["n"] - 2, 0).bit_length() - 1, group_bits - 1, -1):
+        edges = _contract_lower(materialise(edges, "merging"), bit, first_node)
     schema = "node long, weight double, left long, left_size long, right long, right_size long"
     replayed = edges.withColumn("_group", F.shiftright("r", group_bits)).groupBy("_group")
     return materialise(replayed.applyInArrow(_replay(first_node), schema), "history")
@@ -217,7 +217,12 @@ def condense(history: DataFrame, vertices: DataFrame, min_cluster_size: int) ->
     pointers = real.select(
         F.col("child").alias("id"), F.when(starts, F.col("child")).otherwise(F.col("parent")).alias("root")
     ).union(root.filter(F.col("size") >= m).select("id", F.col("id").alias("root")))
-    belongs = resolve(pointers).withColumnRenamed("root", "cluster")
+    small = children.filter(F.col("size") < m)
+    falling = F.when(total >= m, F.col("child")).otherwise(F.col("parent"))
+    pointers = pointers.union(small.select(F.col("child").alias("id"), falling.alias("root")))
+    # large nodes end at the head of their cluster, small ones at the part that falls out
+    ends = resolve(pointers)
+    belongs = ends.withColumnRenamed("root", "cluster")
     of_parent = belongs.withColumnRenamed("id", "parent")
 
     born = (
@@ -235,17 +240,10 @@ def condense(history: DataFrame, vertices: DataFrame, min_cluster_size: int) ->
     )
     clusters = materialise(born.union(root_row), "clusters")
 
-    small = children.filter(F.col("size") < m)
     falls = small.filter(total >= m).join(of_parent, "parent")
-    tops = resolve(
-        small.select(
-            F.col("child").alias("id"),
-            F.when(total >= m, F.col("child")).otherwise(F.col("parent")).alias("root"),
-        )
-    )
     copies = vertices.select("id", "copies")
     fallen = (
-        tops.join(falls.select(F.col("child").alias("root"), "cluster", "density"), "root")
+        ends.join(falls.select(F.col("child").alias("root"), "cluster", "density"), "root")
         .join(copies, "id")
         .select(F.col("id").alias("vertex"), F.col("copies").alias("size"), "cluster", "density")
     )
@@ -275,6 +273,50 @@ def cluster_stability(tree: CondensedTree) -> DataFrame:
     )
 
 
+def _settle(state: DataFrame) -> DataFrame:
+    """One round: settle clusters without open children, link and shorten chains."""
+    below = (
+        state.filter("parent IS NOT NULL")
+        .groupBy(F.col("parent").alias("cluster"))
+        .agg(
+            F.coalesce(F.sum("worth"), F.lit(0.0)).alias("_settled"),
+            F.count_if(F.col("worth").isNull()).alias("_open"),
+            F.max(F.when(F.col("worth").isNull(), F.col("cluster"))).alias("_child"),
+        )
+    )
+    one = F.col("down").isNull() & (F.col("_open") == 1)
+    done = F.col("worth").isNull() & (F.coalesce("_open", F.lit(0)) == 0)
+    settled = F.coalesce("_settled", F.lit(0.0))
+    linked = state.join(below, "cluster", "left").select(
+        "cluster",
+        "parent",
+        "stability",
+        F.when(done, F.greatest("stability", settled)).otherwise(F.col("worth")).alias("worth"),
+        F.when(one, F.col("_child")).otherwise(F.col("down")).alias("down"),
+        F.when(one, F.col("stability")).otherwise(F.col("p")).alias("p"),
+        F.when(one, F.col("_settled")).otherwise(F.col("q")).alias("q"),
+    )
+    end = linked.select(
+        F.col("cluster").alias("down"),
+        F.col("worth").alias("_worth"),
+        F.col("down").alias("_down"),
+        F.col("p").alias("_p"),
+        F.col("q").alias("_q"),
+    )
+    known = F.col("worth").isNull() & F.col("_worth").isNotNull()
+    jump = F.col("_worth").isNull() & F.col("_down").isNotNull()
+    reached = F.greatest("p", F.col("_worth") + F.col("q"))
+    return linked.join(end, "down", "left").select(
+        "cluster",
+        "parent",
+        "stability",
+        F.when(known, reached).otherwise(F.col("worth")).alias("worth"),
+        F.when(jump, F.col("_down")).otherwise(F.col("down")).alias("down"),
+        F.when(jump, F.greatest("p", F.col("_p") + F.col("q"))).otherwise(F.col("p")).alias("p"),
+        F.when(jump, F.col("q") + F.col("_q")).otherwise(F.col("q")).alias("q"),
+    )
+
+
 def select_clusters(stability: DataFrame) -> DataFrame:
     """(cluster, selected): the chosen cluster each one belongs to, or null.
 
@@ -284,61 +326,20 @@ def select_clusters(stability: DataFrame) -> DataFrame:
     pairwise, so deep trees take few rounds.  Top down, the highest cluster that
     is worth its own stability wins.
     """
-    state = materialise(
-        stability.select(
-            "cluster",
-            "parent",
-            "stability",
-            F.lit(None).cast("double").alias("worth"),
-            F.lit(None).cast("long").alias("down"),
-            F.lit(None).cast("double").alias("p"),
-            F.lit(None).cast("double").alias("q"),
-        ),
-        "worth",
+    state = stability.select(
+        "cluster",
+        "parent",
+        "stability",
+        F.lit(None).cast("double").alias("worth"),
+        F.lit(None).cast("long").alias("down"),
+        F.lit(None).cast("double").alias("p"),
+        F.lit(None).cast("double").alias("q"),
     )
-    while not state.filter("worth IS NULL").isEmpty():
-        below = (
-            state.filter("parent IS NOT NULL")
-            .groupBy(F.col("parent").alias("cluster"))
-            .agg(
-                F.coalesce(F.sum("worth"), F.lit(0.0)).alias("_settled"),
-                F.count_if(F.col("worth").isNull()).alias("_open"),
-                F.max(F.when(F.col("worth").isNull(), F.col("cluster"))).alias("_child"),
-            )
+    unsettled = 1
+    while unsettled:
+        state, unsettled = materialise_counting(
+            _settle(state), F.col("worth").isNull(), "worth"
         )
-        one = F.col("down").isNull() & (F.col("_open") == 1)
-        all_settled = F.col("worth").isNull() & (F.coalesce("_open", F.lit(0)) == 0)
-        linked = state.join(below, "cluster", "left").select(
-            "cluster",
-            "parent",
-            "stability",
-            F.when(
-                all_settled, F.greatest("stability", F.coalesce("_settled", F.lit(0.0)))
-            ).otherwise(F.col("worth")).alias("worth"),
-            F.when(one, F.col("_child")).otherwise(F.col("down")).alias("down"),
-            F.when(one, F.col("stability")).otherwise(F.col("p")).alias("p"),
-            F.when(one, F.col("_settled")).otherwise(F.col("q")).alias("q"),
-        )
-        linked = materialise(linked, "linked")
-        end = linked.select(
-            F.col("cluster").alias("down"),
-            F.col("worth").alias("_worth"),
-            F.col("down").alias("_down"),
-            F.col("p").alias("_p"),
-            F.col("q").alias("_q"),
-        )
-        known = F.col("worth").isNull() & F.col("_worth").isNotNull()
-        jump = F.col("_worth").isNull() & F.col("_down").isNotNull()
-        state = linked.join(end, "down", "left").select(
-            "cluster",
-            "parent",
-            "stability",
-            F.when(known, F.greatest("p", F.col("_worth") + F.col("q"))).otherwise(F.col("worth")).alias("worth"),
-            F.when(jump, F.col("_down")).otherwise(F.col("down")).alias("down"),
-            F.when(jump, F.greatest("p", F.col("_p") + F.col("q"))).otherwise(F.col("p")).alias("p"),
-            F.when(jump, F.col("q") + F.col("_q")).otherwise(F.col("q")).alias("q"),
-        )
-        state = materialise(state, "worth")
     children = (
         state.filter("parent IS NOT NULL")
         .groupBy(F.col("parent").alias("cluster"))
@@ -347,26 +348,22 @@ def select_clusters(stability: DataFrame) -> DataFrame:
     chosen = F.col("parent").isNotNull() & (
         F.col("stability") >= F.coalesce("_children", F.lit(0.0))
     )
-    climb = materialise(
-        state.join(children, "cluster", "left").select(
-            "cluster",
-            F.col("parent").alias("up"),
-            F.when(chosen, F.col("cluster")).alias("selected"),
-        ),
-        "climb",
+    climb = state.join(children, "cluster", "left").select(
+        "cluster",
+        F.col("parent").alias("up"),
+        F.when(chosen, F.col("cluster")).alias("selected"),
     )
-    while not climb.filter("up IS NOT NULL").isEmpty():
+    climbing = 1
+    while climbing:
         above = climb.select(
             F.col("cluster").alias("up"), F.col("up").alias("_up"), F.col("selected").alias("_selected")
         )
-        climb = materialise(
-            climb.join(above, "up", "left").select(
-                "cluster",
-                F.col("_up").alias("up"),
-                F.coalesce("_selected", "selected").alias("selected"),
-            ),
-            "climb",
+        climb = climb.join(above, "up", "left").select(
+            "cluster",
+            F.col("_up").alias("up"),
+            F.coalesce("_selected", "selected").alias("selected"),
         )
+        climb, climbing = materialise_counting(climb, F.col("up").isNotNull(), "climb")
     return climb.select("cluster", "selected")
 
 

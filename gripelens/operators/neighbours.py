@@ -7,6 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from gripelens.functions.vectors import as_doubles, on_sphere
 from gripelens.operators.cells import (
@@ -24,6 +25,9 @@ from gripelens.operators.cells import (
 )
 from gripelens.session import materialise
 
+# Up to this many points pruning costs more than it saves.
+VISIT_ALL = 8192
+
 
 def prepared(points: DataFrame, key: str, vector: str, metric: str) -> DataFrame:
     """(id, vec) with distances that order like ``metric``."""
@@ -85,18 +89,26 @@ def nearest_in_cells(index: CellIndex, k: int) -> DataFrame:
     """Exact (src, dst, dist, rank) for the distinct vectors of an index.
 
     First each point searches its own cell.  The k-th distance found there is
-    its radius for the other cells.
+    its radius for the other cells.  Few points skip this and visit all cells.
     """
     kind = index.points.schema["id"].dataType.simpleString()
     schema = f"src {kind}, dst {kind}, dist double"
-    own = index.points.select("id", "vec", "hash", "cell", F.array("cell").alias("cells"))
-    near = materialise(search(own, index, _nearest(k), schema), "own_cell")
+    points = index.points.select("id", "vec", "hash", "cell")
+    if index.total <= VISIT_ALL:
+        everywhere = F.array(*[F.lit(int(c)) for c in index.used])
+        visits = np.where(index.size > 0, index.total, 0)
+        found = search(
+            points.withColumn("cells", everywhere), index, _nearest(k), schema, visits=visits
+        )
+        return _top(found, k)
+    own = points.withColumn("cells", F.array("cell"))
+    near = search(own, index, _nearest(k), schema, visits=index.size)
+    near = materialise(near, "own_cell")
     radius = near.groupBy("src").agg(
         F.when(F.count("*") >= k, F.max("dist")).alias("_found")
     )
     queries = (
-        index.points.select("id", "vec", "hash", "cell")
-        .join(radius.withColumnRenamed("src", "id"), "id", "left")
+        points.join(radius.withColumnRenamed("src", "id"), "id", "left")
         .withColumn("radius", F.coalesce("_found", F.lit(float("inf"))))
         .drop("_found")
     )
@@ -119,12 +131,12 @@ def knn_graph(
     the first k + 1 points of its own vector and the first k of each
     neighbouring vector, which is enough for an exact answer.
     """
-    pts = materialise(prepared(points, key, vector, metric), "vectors")
+    pts = prepared(points, key, vector, metric)
     distinct = materialise(distinct_vectors(pts), "distinct")
-    total, folded = pts.count(), distinct.count()
-    index = build_cells(distinct, folded)
+    count = distinct.agg(F.count("*").alias("folded"), F.sum("copies").alias("total")).first()
+    index = build_cells(distinct.select("id", "vec"), count["folded"])
     edges = nearest_in_cells(index, k)
-    if folded < total:
+    if count["folded"] < count["total"]:
         edges = _expand(pts, distinct, edges, k)
     if metric == "cosine":
         edges = edges.withColumn("dist", F.col("dist") * F.col("dist") / 2.0)
@@ -168,7 +180,7 @@ def mutual_reachability(knn: DataFrame, core: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _bandwidth(excess: pd.Series) -> pd.Series:
     """Solve sum(exp(-excess / sigma)) = log2(k) for each row by bisection."""
     if not len(excess):

@@ -16,9 +16,8 @@ def _ranged(df: DataFrame, order: list[str | Column]) -> DataFrame:
     The table is written once: range limits come from sampling, and a second
     evaluation might cut the data elsewhere.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return materialise(
-        df.repartitionByRange(parts, *order)
+        df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_range", F.spark_partition_id())
         .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))),
@@ -29,7 +28,7 @@ def _ranged(df: DataFrame, order: list[str | Column]) -> DataFrame:
 def with_row_index(df: DataFrame, order: list[str | Column], name: str = "row_index") -> DataFrame:
     """Running index from 0 in ``order``.
 
-    Each range is counted, the counts (one row per shuffle partition) are summed
+    Each range is counted, the counts (one row per range) are summed
     up to range offsets, and the offsets are joined back.
     """
     ranged = _ranged(df, order)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 from gripelens.operators.cells import (
     CellIndex,
@@ -30,7 +30,7 @@ from gripelens.operators.neighbours import (
     prepared,
 )
 from gripelens.operators.ranking import with_row_index
-from gripelens.session import materialise
+from gripelens.session import materialise, materialise_counting
 
 MIN_SAMPLES = 10
 # A round searches the cells only when the neighbour lists settle fewer than
@@ -40,7 +40,7 @@ SEARCH_BELOW = 0.25
 
 @dataclass
 class Reachability:
-    """Distinct vectors as numbered vertices.
+    """Distinct vectors as vertices with integer ids, in the order of their keys.
 
     ``vertices``: (id, rep, copies, core, reach), where every point that is not
     in the vertex's neighbour list is at least ``reach`` away.
@@ -62,12 +62,19 @@ def reachability(
     The core distance counts copies as points.  It is 0 where a vector has more
     than ``min_samples`` copies.
     """
-    pts = materialise(prepared(points, key, vector, metric), "vectors")
+    pts = prepared(points, key, vector, metric)
     distinct = distinct_vectors(pts).withColumnRenamed("id", "rep")
-    distinct = materialise(with_row_index(distinct, ["rep"], "id"), "distinct")
-    members = members_of(pts, distinct.drop("id").withColumnRenamed("rep", "id"))
-    members = materialise(members.withColumnRenamed("id", "point"), "members")
-    total, folded = pts.count(), distinct.count()
+    if isinstance(pts.schema["id"].dataType, IntegralType):
+        distinct = distinct.withColumn("id", F.col("rep").cast("long"))
+    else:
+        distinct = with_row_index(distinct, ["rep"], "id")
+    distinct = materialise(distinct, "distinct")
+    count = distinct.agg(F.count("*").alias("folded"), F.sum("copies").alias("total")).first()
+    total, folded = count["total"], count["folded"]
+    members = pts.select(F.col("id").alias("point"), F.col("id").alias("rep"))
+    if folded < total:
+        members = members_of(pts, distinct.select(F.col("rep").alias("id"), "vec"))
+        members = materialise(members.withColumnRenamed("id", "point"), "members")
     index = build_cells(distinct.select("id", "vec"), folded)
     k = 2 * min_samples
     knn = materialise(nearest_in_cells(index, k), "neighbours")
@@ -131,15 +138,13 @@ def resolve(pointers: DataFrame) -> DataFrame:
         step = pointers.select(F.col("id").alias("root"), F.col("root").alias("_next"))
         doubled = pointers.join(step, "root").select("id", F.col("_next").alias("root"))
         again = doubled.select(F.col("id").alias("root"), F.col("root").alias("_next"))
-        doubled = materialise(
-            doubled.join(again, "root").select(
-                "id", F.col("_next").alias("root"), (F.col("_next") != F.col("root")).alias("moved")
-            ),
-            "pointers",
+        moved = F.col("_next") != F.col("root")
+        doubled = doubled.join(again, "root").withColumn("moved", moved)
+        doubled, moves = materialise_counting(
+            doubled.select("id", F.col("_next").alias("root"), "moved"), F.col("moved"), "pointers"
         )
-        moved = not doubled.filter("moved").isEmpty()
         pointers = doubled.select("id", "root")
-        if not moved:
+        if not moves:
             return pointers
 
 
@@ -262,6 +267,7 @@ def spanning_edges(graph: Reachability) -> DataFrame:
     spark = graph.vertices.sparkSession
     core = graph.vertices.select("id", "core")
     labels = graph.vertices.select("id", "core", "reach", F.col("id").alias("component"))
+    known = labels.select("component", "reach", F.lit(1).cast("long").alias("size"))
     edges = (
         graph.edges.join(core.select(F.col("id").alias("lo"), F.col("core").alias("_a")), "lo")
         .join(core.select(F.col("id").alias("hi"), F.col("core").alias("_b")), "hi")
@@ -284,13 +290,9 @@ def spanning_edges(graph: Reachability) -> DataFrame:
                 )
             ),
         )
-        known = labels.groupBy("component").agg(
-            F.min("reach").alias("reach"), F.count("*").alias("size")
-        )
         final = F.coalesce(F.col("e.weight") < F.col("reach"), F.lit(False))
-        state = materialise(
-            known.join(_cheapest(sides), "component", "left").withColumn("final", final), "state"
-        )
+        state = known.join(_cheapest(sides), "component", "left").withColumn("final", final)
+        state = materialise(state, "state")
         facts = state.agg(
             F.count("*").alias("n"),
             F.count_if("final").alias("final"),
@@ -298,21 +300,28 @@ def spanning_edges(graph: Reachability) -> DataFrame:
         ).first()
         if facts["n"] <= 1:
             break
-        picks = state.filter("final").select("component", "e")
+        picks = state.filter("final").select("component", "e.*")
         if facts["final"] < SEARCH_BELOW * facts["n"]:
             undecided = state.filter(
                 ~F.col("final") & (F.col("component") != facts["largest"]["component"])
             )
-            listed = undecided.filter(F.col("e").isNotNull()).select("component", "e.*")
+            labels = materialise(labels, "labels")
             found = _searched(
                 graph, labels, undecided.select("component", F.col("e.weight").alias("weight"))
             )
-            picks = picks.union(_cheapest(found.union(listed.select(*found.columns))))
-        picks = materialise(picks.select("component", "e.*"), "picks")
+            listed = undecided.filter(F.col("e").isNotNull()).select("component", "e.*")
+            found = _cheapest(found.union(listed.select(*found.columns)))
+            picks = picks.union(found.select("component", "e.*"))
+            picks = materialise(picks, "picks")
         chosen = picks.select("lo", "hi", "weight").distinct()
         tree = chosen if tree is None else tree.union(chosen)
         roots = contract(picks.select(F.col("component").alias("id"), F.col("other").alias("parent")))
-        labels = materialise(relabel(labels, "component", roots), "labels")
+        labels = relabel(labels, "component", roots)
+        known = (
+            relabel(state.select("component", "reach", "size"), "component", roots)
+            .groupBy("component")
+            .agg(F.min("reach").alias("reach"), F.sum("size").alias("size"))
+        )
         edges = relabel(relabel(edges, "c_lo", roots), "c_hi", roots)
         edges = materialise(edges.filter(F.col("c_lo") != F.col("c_hi")), "edges")
     if tree is None:

@@ -10,12 +10,24 @@ from pyspark.sql import functions as F
 from gripelens.functions import entities as E
 from gripelens.functions import labels as L
 from gripelens.functions import text as T
-from gripelens.operators import cleaning, extraction, keywords, labeling, quality, reports
-from gripelens.operators.ranking import with_row_index
-from gripelens.plans import views
+from gripelens.operators import (
+    cleaning,
+    density,
+    embedding,
+    extraction,
+    keywords,
+    labeling,
+    neighbours,
+    quality,
+    refine,
+    reports,
+    tree,
+)
+from gripelens.plans import run, views
 from gripelens.schemas import TABLES
 from gripelens.session import scratch_path
 from gripelens.sources import csv, files, generator, tables
+from gripelens.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,7 +37,7 @@ STOP_WORDS = ("the", "and", "of", "to", "in", "is", "it", "that", "for", "with",
 TOP_TERMS = 20
 SEARCH_TEXT = "THE"
 MERGE_THRESHOLD = 0.15
-PERSON_FACETS = {"language": ["en", "fr"], "domain": ["click", "view"], "country": []}
+FACETS = {"language": ["en", "fr"], "domain": ["click", "view"], "country": []}
 
 
 def query(function: Query) -> Query:
@@ -135,8 +147,8 @@ def csv_roundtrip(spark, sf):
 @query
 def export_report(spark, sf):
     path = scratch_path(spark, "report")
-    labels = reports.label_table(views.labels(spark, sf).withColumn("cluster_id", F.col("cluster_id")))
-    csv.export_report(views.labels(spark, sf).drop("representative_complaint"), path)
+    labels = views.labels(spark, sf)
+    csv.export_report(labels, path)
     return csv.read_csv(spark, path, labels.schema)
 
 
@@ -308,13 +320,13 @@ def summary_table(spark, sf):
 
 @query
 def facet_search(spark, sf):
-    found = reports.facet_search(views.feedback(spark, sf), PERSON_FACETS)
+    found = reports.facet_search(views.feedback(spark, sf), FACETS)
     return found.select("feedback_id", "vehicle_model", "language", "domain", "country")
 
 
 @query
 def facet_search_page(spark, sf):
-    found = reports.facet_search(views.feedback(spark, sf), PERSON_FACETS)
+    found = reports.facet_search(views.feedback(spark, sf), FACETS)
     return reports.head(found, 20).select("feedback_id", "language", "domain", "customer_feedback")
 
 
@@ -592,9 +604,143 @@ def silhouette(spark, sf):
 # Vectors ----------------------------------------------------------------
 
 
+def _vectors(spark, sf) -> DataFrame:
+    return views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("feedback_id"), "embedding")
+
+
 @query
 def embedding_metadata(spark, sf):
-    ids = views.table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("feedback_id"), F.size("embedding").alias("dimension")
+    return embedding.embedding_metadata(_vectors(spark, sf))
+
+
+@query
+def text_vectors(spark, sf):
+    texts = extraction.format_entities(views.entities(spark, sf))
+    return embedding.embed_texts(texts).select(
+        "feedback_id",
+        F.size("embedding").alias("dimension"),
+        F.size(F.filter("embedding", lambda x: x != 0)).alias("filled"),
+    )
+
+
+@query
+def reduce_pca(spark, sf):
+    return embedding.reduce_dimensions(_vectors(spark, sf))
+
+
+@query
+def centroids(spark, sf):
+    cl = views.clustered(spark, sf)
+    found = refine.cluster_centroids(cl, cl, "embedding")
+    return found.select("cluster_id", F.posexplode("centroid").alias("pos", "value")).select(
+        "cluster_id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value")
+    )
+
+
+def _pairs(spark, sf) -> DataFrame:
+    cl = views.clustered(spark, sf)
+    return refine.similar_pairs(refine.cluster_centroids(cl, cl, "embedding"), MERGE_THRESHOLD)
+
+
+@query
+def centroid_pairs(spark, sf):
+    return _pairs(spark, sf).withColumn("similarity", F.round("similarity", 6))
+
+
+@query
+def merge_map(spark, sf):
+    return refine.merge_map(_pairs(spark, sf))
+
+
+@query
+def apply_merges(spark, sf):
+    merges = views.table(spark, sf, "region").select(
+        (F.col("r_regionkey") + 5).alias("old_id"), F.col("r_regionkey").alias("new_id")
+    )
+    return refine.apply_merges(views.clustered(spark, sf).drop("embedding"), merges)
+
+
+@query
+def refine_clusters(spark, sf):
+    cl = views.clustered(spark, sf)
+    refined = refine.refine_clusters(cl, cl, MERGE_THRESHOLD, "embedding")
+    return refined.select("feedback_id", "cluster_id")
+
+
+def _rounded(edges: DataFrame, *columns: str) -> DataFrame:
+    return edges.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@query
+def knn_cosine(spark, sf):
+    return _rounded(neighbours.knn_graph(_vectors(spark, sf), 15, "cosine"), "dist")
+
+
+@query
+def knn_euclidean(spark, sf):
+    return _rounded(neighbours.knn_graph(_vectors(spark, sf), 10, "euclidean"), "dist")
+
+
+@query
+def core_distance(spark, sf):
+    knn = neighbours.knn_graph(_vectors(spark, sf), 10, "euclidean")
+    return _rounded(neighbours.core_distances(knn, 10), "core")
+
+
+@query
+def mutual_reachability(spark, sf):
+    knn = tables.stage(
+        spark,
+        scratch_path(spark, "knn"),
+        lambda: neighbours.knn_graph(_vectors(spark, sf), 10, "euclidean"),
+    )
+    edges = neighbours.mutual_reachability(knn, neighbours.core_distances(knn, 10))
+    return _rounded(edges, "dist", "weight")
+
+
+@query
+def fuzzy_graph(spark, sf):
+    knn = neighbours.knn_graph(_vectors(spark, sf), 15, "cosine")
+    return _rounded(neighbours.fuzzy_graph(knn), "weight")
+
+
+@query
+def mst_total_weight(spark, sf):
+    found = tree.minimum_spanning_tree(_vectors(spark, sf))
+    return found.agg(
+        F.count("*").alias("edges"), F.round(F.sum("weight"), 6).alias("total_weight")
+    )
+
+
+@query
+def density_clusters(spark, sf):
+    reduced = tables.stage(
+        spark,
+        scratch_path(spark, "reduced"),
+        lambda: embedding.reduce_dimensions(_vectors(spark, sf)),
+    )
+    return density.density_clusters(reduced).assignment
+
+
+@query
+def stream_ingest(spark, sf):
+    landed, path = scratch_path(spark, "drops"), scratch_path(spark, "raw_feedback")
+    iso = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    fb = views.feedback(spark, sf).withColumn("timestamp", iso)
+    checkpoint = scratch_path(spark, "stream")
+    for part in (fb.filter("language = 'en'"), fb):
+        csv.write_csv(part, landed, mode="append")
+        rows = ingest.read_drops(spark, landed, csv.text_schema(*fb.columns))
+        ingest.ingest(rows, path, checkpoint).awaitTermination()
+    return spark.read.parquet(path)
+
+
+@query
+def feedback_end_to_end(spark, sf):
+    fb = views.feedback(spark, sf).withColumn("timestamp", F.col("timestamp").cast("string"))
+    stages = run.analyse(
+        tables.coerce_records(fb),
+        lexicon=query_lexicon(spark, sf),
+        settings=run.Settings(dimension=256, stop_words=STOP_WORDS),
     )
-    return with_row_index(ids, ["feedback_id"], "embedding_index")
+    return stages["cluster_labels"]

@@ -147,6 +147,38 @@ SELECT 'FB' || printf('%06d', n + 1) AS feedback_id,
 FROM (SELECT n, digest, {_pick(generator.LANGUAGES, 0)} AS language, {_pick(generator.VEHICLES, 1)} AS vehicle_model
       FROM (SELECT doc_id AS n, sha256('42:' || doc_id) AS digest FROM documents))"""
 
+PAIRS = f"""WITH centroid AS (
+  SELECT cluster_id, list(value ORDER BY pos) AS c FROM (
+    SELECT cluster_id, pos, avg(CAST(x AS DOUBLE)) AS value FROM (
+      SELECT cluster_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM cl
+      WHERE cluster_id <> -1) GROUP BY cluster_id, pos) GROUP BY cluster_id),
+pairs AS (
+  SELECT a.cluster_id AS i, b.cluster_id AS j, list_cosine_similarity(a.c, b.c) AS s
+  FROM centroid a JOIN centroid b ON a.cluster_id < b.cluster_id
+  WHERE list_cosine_similarity(a.c, b.c) >= {MERGE_THRESHOLD})"""
+# Cluster by cluster in id order: kept ids so far decide whether the next one is mapped.
+MERGES = (
+    PAIRS.replace("WITH centroid", "WITH RECURSIVE centroid", 1)
+    + """,
+ordered AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) AS n FROM centroid),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST([] AS INTEGER[]) AS kept
+  UNION ALL
+  SELECT o.n, CASE WHEN EXISTS (SELECT 1 FROM pairs p WHERE p.j = o.cluster_id AND list_contains(w.kept, p.i))
+                   THEN w.kept ELSE list_append(w.kept, o.cluster_id) END
+  FROM walk w JOIN ordered o ON o.n = w.n + 1),
+final AS (SELECT kept FROM walk ORDER BY n DESC LIMIT 1),
+merges AS (
+  SELECT j AS old_id, min(i) AS new_id FROM pairs, final
+  WHERE list_contains(kept, i) AND NOT list_contains(kept, j) GROUP BY j)"""
+)
+EUCLIDEAN_DISTANCE = "list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+COSINE_DISTANCE = "1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+KNN = """SELECT src, dst, CAST(rank AS INTEGER) AS rank, round(dist, 6) AS dist FROM (
+  SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM (
+    SELECT a.vec_id AS src, b.vec_id AS dst, {dist} AS dist
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)) WHERE rank <= {k}"""
+
 SQL = {
     "synthetic_feedback": GENERATED,
     "clean_text": f"SELECT doc_id AS feedback_id, {clean('text')} AS customer_feedback FROM documents",
@@ -176,7 +208,7 @@ SQL = {
     "latest_file": "SELECT doc_id, lang, n_chars FROM documents",
     "csv_roundtrip": "SELECT * FROM documents",
     "export_report": with_views(
-        "SELECT label, failure_frequency, root_component, recurring_symptom, confidence FROM lab", "lab"
+        "SELECT * FROM lab", "lab"
     ),
     "vector_roundtrip": """SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dimension,
         round(CAST(embedding[1] AS DOUBLE), 6) AS first_value,
@@ -458,4 +490,31 @@ SQL = {
     ),
     "embedding_metadata": """SELECT vec_id AS feedback_id, CAST(len(embedding) AS INTEGER) AS dimension,
         row_number() OVER (ORDER BY vec_id) - 1 AS embedding_index FROM embeddings""",
+    "centroids": with_views(
+        """SELECT cluster_id, CAST(pos AS BIGINT) AS pos, round(avg(CAST(x AS DOUBLE)), 6) AS value FROM (
+          SELECT cluster_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM cl
+          WHERE cluster_id <> -1) GROUP BY cluster_id, pos""",
+        "cl",
+    ),
+    "centroid_pairs": with_views(f"{PAIRS} SELECT i, j, round(s, 6) AS similarity FROM pairs", "cl"),
+    "merge_map": with_views(f"{MERGES} SELECT old_id, new_id FROM merges", "cl"),
+    "apply_merges": with_views(
+        """SELECT feedback_id, coalesce(r_regionkey, cluster_id) AS cluster_id, cluster_confidence
+        FROM cl LEFT JOIN region ON r_regionkey + 5 = cluster_id""",
+        "cl",
+    ),
+    "refine_clusters": with_views(
+        f"""{MERGES} SELECT feedback_id, coalesce(new_id, cluster_id) AS cluster_id
+        FROM cl LEFT JOIN merges ON old_id = cluster_id""",
+        "cl",
+    ),
+    "knn_cosine": KNN.format(k=15, dist=COSINE_DISTANCE),
+    "knn_euclidean": KNN.format(k=10, dist=EUCLIDEAN_DISTANCE),
+    "core_distance": f"""SELECT src AS id, dist AS core FROM ({KNN.format(k=10, dist=EUCLIDEAN_DISTANCE)})
+        WHERE rank = 10""",
+    "mutual_reachability": f"""WITH knn AS ({KNN.format(k=10, dist=EUCLIDEAN_DISTANCE)}),
+        core AS (SELECT src AS id, dist AS core FROM knn WHERE rank = 10)
+        SELECT src, dst, dist, greatest(a.core, b.core, dist) AS weight
+        FROM knn JOIN core a ON a.id = src JOIN core b ON b.id = dst""",
+    "stream_ingest": with_views(STORED, "fb"),
 }

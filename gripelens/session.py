@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(
@@ -68,6 +69,15 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_counting(
+    df: DataFrame, condition: Column, name: str = "step"
+) -> tuple[DataFrame, int]:
+    """``materialise`` that also counts the rows meeting a condition as it writes."""
+    seen = Observation()
+    done = materialise(df.observe(seen, F.count_if(condition).alias("n")), name)
+    return done, seen.get["n"]
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` exists on whichever Hadoop file system it names."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -27,8 +27,8 @@ def reach_matrix(x: np.ndarray, min_samples: int) -> np.ndarray:
     return np.maximum(np.maximum(core[:, None], core[None, :]), d)
 
 
-def spanning_tree(w: np.ndarray) -> list[tuple[float, int, int]]:
-    """Kruskal over the full matrix."""
+def spanning_tree(w: np.ndarray, d: np.ndarray) -> list[tuple[float, int, int]]:
+    """Kruskal over the full matrix, equal weights by distance, then by ids."""
     n = len(w)
     i, j = np.triu_indices(n, 1)
     group = list(range(n))
@@ -40,18 +40,18 @@ def spanning_tree(w: np.ndarray) -> list[tuple[float, int, int]]:
         return a
 
     out = []
-    for e in np.lexsort((j, i, w[i, j])):
+    for e in np.lexsort((j, i, d[i, j], w[i, j])):
         a, b = top(i[e]), top(j[e])
         if a != b:
             group[a] = b
             out.append((w[i[e], j[e]], int(i[e]), int(j[e])))
-    return out
+    return sorted(out)
 
 
 def density_labels(x: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, dict[int, float]]:
     """Labels, confidences and normalised stability by recursive cutting."""
     n = len(x)
-    edges = spanning_tree(reach_matrix(x, m))
+    edges = spanning_tree(reach_matrix(x, m), distances(x))
     parts = {i: [i] for i in range(n)}
     where = list(range(n))
     kids: dict[int, tuple[int, int, float]] = {}
