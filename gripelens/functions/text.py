@@ -8,15 +8,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What counts as personal data in a complaint.  (?U) gives \b and
-# \s their Unicode meaning; \x1c-\x1f are blanks too, though not to Java.
-VIN_PATTERN = r"(?iU)\b[A-HJ-NPR-Z0-9]{17}\b"
+# \s their Unicode meaning; \x1c-\x1f are blanks too, though not to Java.  VIN
+# letters are listed in both cases, with the two signs that fold to s and k.
+VIN_PATTERN = r"(?U)\b[A-HJ-NPR-Za-hj-npr-z0-9\u017f\u212a]{17}\b"
 EMAIL_PATTERN = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 PHONE_PATTERN = (
     r"(?U)\b[\+]?[(]?[0-9]{3}[)]?[-\s\x1c-\x1f\.]?[0-9]{3}[-\s\x1c-\x1f\.]?[0-9]{4,6}\b"
 )
 LONG_NUMBER_PATTERN = r"(?U)[\+]?[0-9]{1,3}[-\s\x1c-\x1f\.]?[0-9]{6,14}"
 BLANK_PATTERN = r"(?U)[\s\x1c-\x1f]+"
-TOKEN_PATTERN = r"(?U)\b\w\w+\b"
+# Cheap tests that a text without a match fails: a VIN is a long run without
+# blanks, and both number patterns need three digits in a row.
+LONG_RUN = r"\S{17}"
+THREE_DIGITS = "[0-9]{3}"
+TOKEN_PATTERN = r"(?U)\w{2,}"
 WORD_PATTERN = r"(?U)\w+"
 
 
@@ -47,16 +52,26 @@ def drop_invalid_utf8(c: Column) -> Column:
     )
 
 
+def scrub(c: Column) -> Column:
+    """The four removals in order.
+
+    Most texts fail the cheap tests and skip the costly patterns.  The tests
+    look at the text as it came: no removal can bring two digits together or add
+    an at sign, because the patterns before end at a non-digit on the left.
+    """
+    text = F.when(c.rlike(LONG_RUN), drop_vin(c)).otherwise(c)
+    text = F.when(c.contains("@"), drop_email(text)).otherwise(text)
+    numbers = drop_long_number(drop_phone(text))
+    return F.when(c.rlike(THREE_DIGITS), numbers).otherwise(text)
+
+
 def clean_text(c: Column) -> Column:
     """VIN, e-mail, phone and long-number scrub, then blank collapse and trim.
 
     The order matters: a later removal may join the pieces of an earlier
     pattern.  A null becomes the empty string.
     """
-    text = drop_invalid_utf8(c)
-    for scrub in (drop_vin, drop_email, drop_phone, drop_long_number, collapse_blanks):
-        text = scrub(text)
-    return F.coalesce(F.trim(text), F.lit(""))
+    return F.coalesce(F.trim(collapse_blanks(scrub(drop_invalid_utf8(c)))), F.lit(""))
 
 
 def tokens(c: Column, stop_words: Sequence[str] = ()) -> Column:
@@ -68,16 +83,12 @@ def tokens(c: Column, stop_words: Sequence[str] = ()) -> Column:
     return F.filter(found, lambda t: ~t.isin(stop))
 
 
-def ngrams(words: Column, n: int) -> Column:
-    """Every run of ``n`` words with its start: array of (position, term)."""
-    starts = F.sequence(F.lit(0), F.size(words) - n)
-    grams = F.transform(
-        starts,
-        lambda i: F.struct(
-            i.alias("position"), F.array_join(F.slice(words, i + 1, n), " ").alias("term")
-        ),
+def with_next_words(words: Column, count: int) -> Column:
+    """Array of structs (w1, w2, ...): each word with those that follow it, then null."""
+    rest = F.size(words)
+    return F.arrays_zip(
+        *[F.slice(words, n, rest).alias(f"w{n}") for n in range(1, count + 1)]
     )
-    return F.when(F.size(words) >= n, grams)
 
 
 def contains_like(c: Column, needle: str) -> Column:

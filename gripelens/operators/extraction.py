@@ -15,7 +15,7 @@ from gripelens.functions.entities import (
     valid_entity,
 )
 from gripelens.functions.labels import extraction_prompt
-from gripelens.functions.text import WORD_PATTERN, ngrams
+from gripelens.functions.text import WORD_PATTERN, with_next_words
 from gripelens.operators.hooks import complete
 from gripelens.sources.generator import CONDITIONS, FAILURES
 
@@ -57,19 +57,26 @@ def lexicon_matches(
 ) -> DataFrame:
     """Every occurrence of a lexicon term: (key, field, value, priority, position).
 
-    Runs of 1 to ``max_words`` words are made in the row and joined to the
-    lexicon on the term.  The lexicon carries no hint: Spark broadcasts it when
-    its size allows and shuffles otherwise.  Null language means any language.
+    Words whose text starts no lexicon term are dropped first; the others are
+    joined on the runs of 1 to ``max_words`` words they start.  The lexicon
+    carries no hint: Spark broadcasts it when its size allows and shuffles
+    otherwise.  Null language means any language.
     """
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD_PATTERN), F.lit(0))
-    grams = [
-        F.coalesce(ngrams(F.col("_words"), n), F.array().cast("array<struct<position:int,term:string>>"))
-        for n in range(1, max_words + 1)
-    ]
-    terms = (
+    at_word = (
         df.select(key, F.col("language").alias("_language"), words.alias("_words"))
-        .select(key, "_language", F.inline(F.concat(*grams)))
+        .select(
+            key, "_language", F.posexplode(with_next_words(F.col("_words"), max_words)).alias("position", "_w")
+        )
+        .select(key, "_language", "position", "_w.*")
     )
+    starts = lexicon.select(F.split_part("term", F.lit(" "), F.lit(1)).alias("w1")).distinct()
+    at_word = at_word.join(starts, "w1", "left_semi")
+    grams = [F.col("w1")] + [
+        F.when(F.col(f"w{n}").isNotNull(), F.concat_ws(" ", *[f"w{i}" for i in range(1, n + 1)]))
+        for n in range(2, max_words + 1)
+    ]
+    terms = at_word.select(key, "_language", "position", F.explode(F.array(*grams)).alias("term"))
     lex = lexicon.withColumnRenamed("language", "_term_language")
     return (
         terms.join(lex, "term")
