@@ -25,6 +25,8 @@ CELL_TARGET = 2048
 MIN_CELLS, MAX_CELLS = 16, 2048
 BLOCK_ROWS = 2048
 PAIR_SLICE = 1 << 17
+# Rows of a batch that are held against all pivots at once.
+PIVOT_SLICE = 1024
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -61,6 +63,13 @@ def slack(a: np.ndarray, b: np.ndarray) -> float:
     return 1e-12 * (1.0 + largest) * max(a.shape[1], 1)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of bounded length, so that rows times pivots stay small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, PIVOT_SLICE):
+            yield batch.slice(start, PIVOT_SLICE)
+
+
 @dataclass
 class CellIndex:
     """Points with their cell, and the few facts about cells that fit a driver.
@@ -103,9 +112,7 @@ def build_cells(points: DataFrame, total: int | None = None) -> CellIndex:
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches):
             v = matrix(batch.column("vec"))
             cell = np.argmin(squared_distances(v, centres), axis=1)
             away = pair_distances(v, centres, np.arange(len(v)), cell)
@@ -152,9 +159,7 @@ def with_cells(
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, low, high, size, single = facts.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches):
             v = matrix(batch.column("vec"))
             own = batch.column("cell").to_numpy()
             radius = batch.column("radius").to_numpy()

@@ -22,7 +22,7 @@ from gripelens.operators.tree import (
     resolve,
     spanning_edges,
 )
-from gripelens.session import materialise, materialise_counting
+from gripelens.session import materialise, materialise_with
 
 MIN_CLUSTER_SIZE = 10
 # Merges are replayed in groups of 2 ** GROUP_BITS consecutive tree edges.
@@ -206,11 +206,11 @@ def condense(history: DataFrame, vertices: DataFrame, min_cluster_size: int) ->
             )
         ),
     )
-    children = materialise(children, "children")
     total = F.col("size") + F.col("sibling")
-    top = children.agg(F.max(F.struct("parent", total.alias("size")))).first()[0]
-    spark = history.sparkSession
-    root = spark.createDataFrame([(top["parent"], top["size"])], "id long, size long")
+    children, top = materialise_with(
+        children, "children", id=F.max("parent"), size=F.max_by(total, F.col("parent"))
+    )
+    root = history.sparkSession.createDataFrame([(top["id"], top["size"])], "id long, size long")
 
     real = children.filter(F.col("size") >= m)
     starts = F.col("sibling") >= m
@@ -317,6 +317,16 @@ def _settle(state: DataFrame) -> DataFrame:
     )
 
 
+def _climb(climb: DataFrame) -> DataFrame:
+    """Replace each ``up`` by the up of that cluster; a choice further up wins."""
+    above = climb.select(
+        F.col("cluster").alias("up"), F.col("up").alias("_up"), F.col("selected").alias("_selected")
+    )
+    return climb.join(above, "up", "left").select(
+        "cluster", F.col("_up").alias("up"), F.coalesce("_selected", "selected").alias("selected")
+    )
+
+
 def select_clusters(stability: DataFrame) -> DataFrame:
     """(cluster, selected): the chosen cluster each one belongs to, or null.
 
@@ -335,11 +345,12 @@ def select_clusters(stability: DataFrame) -> DataFrame:
         F.lit(None).cast("double").alias("p"),
         F.lit(None).cast("double").alias("q"),
     )
-    unsettled = 1
-    while unsettled:
-        state, unsettled = materialise_counting(
-            _settle(state), F.col("worth").isNull(), "worth"
+    while True:
+        state, facts = materialise_with(
+            _settle(state), "worth", unsettled=F.count_if(F.col("worth").isNull())
         )
+        if not facts["unsettled"]:
+            break
     children = (
         state.filter("parent IS NOT NULL")
         .groupBy(F.col("parent").alias("cluster"))
@@ -353,17 +364,12 @@ def select_clusters(stability: DataFrame) -> DataFrame:
         F.col("parent").alias("up"),
         F.when(chosen, F.col("cluster")).alias("selected"),
     )
-    climbing = 1
-    while climbing:
-        above = climb.select(
-            F.col("cluster").alias("up"), F.col("up").alias("_up"), F.col("selected").alias("_selected")
-        )
-        climb = climb.join(above, "up", "left").select(
-            "cluster",
-            F.col("_up").alias("up"),
-            F.coalesce("_selected", "selected").alias("selected"),
+    while True:
+        climb, facts = materialise_with(
+            _climb(_climb(climb)), "climb", climbing=F.count_if(F.col("up").isNotNull())
         )
-        climb, climbing = materialise_counting(climb, F.col("up").isNotNull(), "climb")
+        if not facts["climbing"]:
+            break
     return climb.select("cluster", "selected")
 
 

@@ -78,7 +78,7 @@ def label_clusters(
             .withColumn("recurring_symptom", F.coalesce("symptom", F.lit("")))
         )
     else:
-        samples = first_texts(texts)
+        samples = first_texts(clustered, feedback)
         prompts = base.join(samples, "cluster_id", "left").select(
             *base.columns,
             label_prompt(

@@ -23,7 +23,7 @@ from gripelens.operators.cells import (
     squared_distances,
     with_cells,
 )
-from gripelens.session import materialise
+from gripelens.session import materialise, materialise_with
 
 # Up to this many points pruning costs more than it saves.
 VISIT_ALL = 8192
@@ -132,8 +132,9 @@ def knn_graph(
     neighbouring vector, which is enough for an exact answer.
     """
     pts = prepared(points, key, vector, metric)
-    distinct = materialise(distinct_vectors(pts), "distinct")
-    count = distinct.agg(F.count("*").alias("folded"), F.sum("copies").alias("total")).first()
+    distinct, count = materialise_with(
+        distinct_vectors(pts), "distinct", folded=F.count("*"), total=F.sum("copies")
+    )
     index = build_cells(distinct.select("id", "vec"), count["folded"])
     edges = nearest_in_cells(index, k)
     if count["folded"] < count["total"]:

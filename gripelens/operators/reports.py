@@ -176,11 +176,14 @@ def cluster_lookup(labels: DataFrame, label: str) -> DataFrame:
 def cluster_members(
     feedback: DataFrame, clustered: DataFrame, cluster_id: int, limit: int = 5
 ) -> DataFrame:
-    """Preview of a cluster's complaints, lowest ids first."""
-    ids = clustered.filter(F.col("cluster_id") == cluster_id).select("feedback_id")
-    return head(feedback.join(ids, "feedback_id", "left_semi"), limit).withColumn(
-        "language", F.upper("language")
-    )
+    """Preview of a cluster's complaints, lowest ids first.
+
+    The ids are found without the texts; then only their rows are fetched.
+    """
+    members = clustered.filter(F.col("cluster_id") == cluster_id).select("feedback_id")
+    ids = head(feedback.select("feedback_id").join(members, "feedback_id", "left_semi"), limit)
+    found = feedback.join(F.broadcast(ids), "feedback_id", "left_semi")
+    return head(found, limit).withColumn("language", F.upper("language"))
 
 
 def cluster_texts(feedback: DataFrame, clustered: DataFrame) -> DataFrame:
@@ -214,13 +217,22 @@ def representatives(clustered: DataFrame, samples: int = 3) -> DataFrame:
 
 
 def first_texts(
-    texts: DataFrame, count: int = 3, text: str = "customer_feedback"
+    clustered: DataFrame, feedback: DataFrame, count: int = 3, text: str = "customer_feedback"
 ) -> DataFrame:
-    """(cluster_id, sample_texts): the first texts of each cluster by id."""
+    """(cluster_id, sample_texts): the first texts of each cluster by id.
+
+    Ids are ranked first, so no other text is moved.
+    """
     rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy("feedback_id"))
-    return (
-        texts.withColumn("_rank", rank)
+    firsts = (
+        without_noise(clustered)
+        .select("cluster_id", "feedback_id")
+        .join(feedback.select("feedback_id"), "feedback_id", "left_semi")
+        .withColumn("_rank", rank)
         .filter(F.col("_rank") <= count)
+    )
+    return (
+        firsts.join(feedback.select("feedback_id", text), "feedback_id")
         .groupBy("cluster_id")
         .agg(F.array_sort(F.collect_list(F.struct("_rank", text))).alias("_rows"))
         .select("cluster_id", F.col(f"_rows.{text}").alias("sample_texts"))

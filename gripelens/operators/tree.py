@@ -19,6 +19,7 @@ from gripelens.operators.cells import (
     pair_distances,
     search,
     slack,
+    sliced,
     smallest_per_row,
     squared_distances,
     with_cells,
@@ -30,7 +31,7 @@ from gripelens.operators.neighbours import (
     prepared,
 )
 from gripelens.operators.ranking import with_row_index
-from gripelens.session import materialise, materialise_counting
+from gripelens.session import materialise, materialise_with
 
 MIN_SAMPLES = 10
 # A round searches the cells only when the neighbour lists settle fewer than
@@ -68,8 +69,9 @@ def reachability(
         distinct = distinct.withColumn("id", F.col("rep").cast("long"))
     else:
         distinct = with_row_index(distinct, ["rep"], "id")
-    distinct = materialise(distinct, "distinct")
-    count = distinct.agg(F.count("*").alias("folded"), F.sum("copies").alias("total")).first()
+    distinct, count = materialise_with(
+        distinct, "distinct", folded=F.count("*"), total=F.sum("copies")
+    )
     total, folded = count["total"], count["folded"]
     members = pts.select(F.col("id").alias("point"), F.col("id").alias("rep"))
     if folded < total:
@@ -133,18 +135,16 @@ def resolve(pointers: DataFrame) -> DataFrame:
     Each round follows four pointers at once, so the rounds grow with the
     logarithm of the longest chain.
     """
-    pointers = materialise(pointers.select("id", "root"), "pointers")
+    pointers = pointers.select("id", "root")
     while True:
         step = pointers.select(F.col("id").alias("root"), F.col("root").alias("_next"))
         doubled = pointers.join(step, "root").select("id", F.col("_next").alias("root"))
         again = doubled.select(F.col("id").alias("root"), F.col("root").alias("_next"))
-        moved = F.col("_next") != F.col("root")
-        doubled = doubled.join(again, "root").withColumn("moved", moved)
-        doubled, moves = materialise_counting(
-            doubled.select("id", F.col("_next").alias("root"), "moved"), F.col("moved"), "pointers"
-        )
+        doubled = doubled.join(again, "root").withColumn("_moved", F.col("_next") != F.col("root"))
+        doubled = doubled.select("id", F.col("_next").alias("root"), "_moved")
+        doubled, facts = materialise_with(doubled, "pointers", moves=F.count_if("_moved"))
         pointers = doubled.select("id", "root")
-        if not moves:
+        if not facts["moves"]:
             return pointers
 
 
@@ -197,9 +197,7 @@ def _pivot_bound(points: DataFrame, pivots: list, centres: np.ndarray) -> DataFr
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, core, component = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches):
             v, mine = matrix(batch.column("vec")), batch.column("component").to_numpy()
             cost = np.sqrt(squared_distances(v, centres)) + np.sqrt(slack(v, centres))
             cost = np.maximum(np.maximum(cost, core[None, :]), batch.column("core").to_numpy()[:, None])
@@ -292,18 +290,19 @@ def spanning_edges(graph: Reachability) -> DataFrame:
         )
         final = F.coalesce(F.col("e.weight") < F.col("reach"), F.lit(False))
         state = known.join(_cheapest(sides), "component", "left").withColumn("final", final)
-        state = materialise(state, "state")
-        facts = state.agg(
-            F.count("*").alias("n"),
-            F.count_if("final").alias("final"),
-            F.max(F.struct("size", "component")).alias("largest"),
-        ).first()
+        state, facts = materialise_with(
+            state,
+            "state",
+            n=F.count("*"),
+            final=F.count_if("final"),
+            largest=F.max_by("component", F.struct("size", "component")),
+        )
         if facts["n"] <= 1:
             break
         picks = state.filter("final").select("component", "e.*")
         if facts["final"] < SEARCH_BELOW * facts["n"]:
             undecided = state.filter(
-                ~F.col("final") & (F.col("component") != facts["largest"]["component"])
+                ~F.col("final") & (F.col("component") != facts["largest"])
             )
             labels = materialise(labels, "labels")
             found = _searched(

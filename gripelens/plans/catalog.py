@@ -482,7 +482,9 @@ def _cluster_texts(spark, sf) -> DataFrame:
 
 @query
 def prompt_snippets(spark, sf):
-    texts = reports.first_texts(_cluster_texts(spark, sf))
+    texts = reports.first_texts(
+        views.clustered(spark, sf), views.documents_as_feedback(spark, sf)
+    )
     return texts.select("cluster_id", L.snippet_list(F.col("sample_texts")).alias("snippets"))
 
 

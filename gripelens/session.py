@@ -69,13 +69,11 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def materialise_counting(
-    df: DataFrame, condition: Column, name: str = "step"
-) -> tuple[DataFrame, int]:
-    """``materialise`` that also counts the rows meeting a condition as it writes."""
+def materialise_with(df: DataFrame, name: str, **facts: Column) -> tuple[DataFrame, dict]:
+    """``materialise`` that also takes aggregates of the rows as it writes them."""
     seen = Observation()
-    done = materialise(df.observe(seen, F.count_if(condition).alias("n")), name)
-    return done, seen.get["n"]
+    done = materialise(df.observe(seen, *[c.alias(k) for k, c in facts.items()]), name)
+    return done, seen.get
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

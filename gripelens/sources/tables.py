@@ -54,7 +54,8 @@ def new_rows(
 
     Rows with a null in a required column are skipped, the first row of a
     repeated key wins (by ``order``, else in reading order), and keys already
-    stored are left out.
+    stored are left out.  The stored keys are first cut to those of the batch, so
+    a small batch is broadcast and a large table not shuffled.
     """
     valid = batch.dropna(subset=[c for c in required if c in batch.columns])
     if order is None:
@@ -64,7 +65,8 @@ def new_rows(
         firsts = first_per_key(valid, [key], [order])
     if stored is None:
         return firsts
-    return firsts.join(stored.select(key), key, "left_anti").select(*batch.columns)
+    known = stored.select(key).join(firsts.select(key), key, "left_semi")
+    return firsts.join(known, key, "left_anti").select(*batch.columns)
 
 
 def insert_or_ignore(
