@@ -25,6 +25,8 @@ CELL_TARGET = 2048
 MIN_CELLS, MAX_CELLS = 16, 2048
 BLOCK_ROWS = 2048
 PAIR_SLICE = 1 << 17
+# Up to this many points pruning costs more than it saves.
+VISIT_ALL = 8192
 # Rows of a batch that are held against all pivots at once.
 PIVOT_SLICE = 1024
 
@@ -87,6 +89,10 @@ class CellIndex:
     def total(self) -> int:
         return int(self.size.sum())
 
+    @property
+    def small(self) -> bool:
+        return self.total <= VISIT_ALL
+
     @property
     def used(self) -> np.ndarray:
         return np.flatnonzero(self.size)
@@ -190,6 +196,12 @@ def with_cells(
     return queries.mapInArrow(find, schema)
 
 
+def with_all_cells(queries: DataFrame, index: CellIndex) -> tuple[DataFrame, np.ndarray]:
+    """Queries that visit every cell, and the most visits a cell can then get."""
+    everywhere = F.array(*[F.lit(int(c)) for c in index.used])
+    return queries.withColumn("cells", everywhere), np.where(index.size > 0, index.total, 0)
+
+
 def search(
     queries: DataFrame,
     index: CellIndex,

@@ -21,13 +21,11 @@ from gripelens.operators.cells import (
     slack,
     smallest_per_row,
     squared_distances,
+    with_all_cells,
     with_cells,
 )
 from gripelens.session import materialise, materialise_with
 
-# Up to this many points pruning costs more than it saves.
-VISIT_ALL = 8192
-
 
 def prepared(points: DataFrame, key: str, vector: str, metric: str) -> DataFrame:
     """(id, vec) with distances that order like ``metric``."""
@@ -94,13 +92,9 @@ def nearest_in_cells(index: CellIndex, k: int) -> DataFrame:
     kind = index.points.schema["id"].dataType.simpleString()
     schema = f"src {kind}, dst {kind}, dist double"
     points = index.points.select("id", "vec", "hash", "cell")
-    if index.total <= VISIT_ALL:
-        everywhere = F.array(*[F.lit(int(c)) for c in index.used])
-        visits = np.where(index.size > 0, index.total, 0)
-        found = search(
-            points.withColumn("cells", everywhere), index, _nearest(k), schema, visits=visits
-        )
-        return _top(found, k)
+    if index.small:
+        queries, visits = with_all_cells(points, index)
+        return _top(search(queries, index, _nearest(k), schema, visits=visits), k)
     own = points.withColumn("cells", F.array("cell"))
     near = search(own, index, _nearest(k), schema, visits=index.size)
     near = materialise(near, "own_cell")

@@ -20,6 +20,7 @@ from gripelens.operators.cells import (
     search,
     slack,
     squared_distances,
+    with_all_cells,
     with_cells,
 )
 from gripelens.operators.reports import without_noise
@@ -78,8 +79,12 @@ def similar_pairs(centroids: DataFrame, threshold: float = MERGE_THRESHOLD) -> D
     points = materialise(points, "centroids")
     index = build_cells(points)
     queries = index.points.select("id", "vec", "hash", "cell", F.lit(radius + 1e-9).alias("radius"))
-    visiting = materialise(with_cells(queries, index), "visits").drop("radius")
-    found = search(visiting, index, _within(radius), f"j {kind}, i {kind}, similarity double")
+    if index.small:
+        visiting, visits = with_all_cells(queries.drop("radius"), index)
+    else:
+        visiting, visits = materialise(with_cells(queries, index), "visits").drop("radius"), None
+    schema = f"j {kind}, i {kind}, similarity double"
+    found = search(visiting, index, _within(radius), schema, visits=visits)
     return found.filter(F.col("similarity") >= threshold - 1e-12).select("i", "j", "similarity")
 
 

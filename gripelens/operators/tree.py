@@ -22,6 +22,7 @@ from gripelens.operators.cells import (
     sliced,
     smallest_per_row,
     squared_distances,
+    with_all_cells,
     with_cells,
 )
 from gripelens.operators.neighbours import (
@@ -211,38 +212,37 @@ def _pivot_bound(points: DataFrame, pivots: list, centres: np.ndarray) -> DataFr
     return bounds.groupBy("component").agg(F.min("bound").alias("bound"))
 
 
-def _searched(graph: Reachability, labels: DataFrame, open_components: DataFrame) -> DataFrame:
+def _searched(graph: Reachability, placed: DataFrame, open_components: DataFrame) -> DataFrame:
     """Cheapest outgoing edge of each open component among all points.
 
+    ``placed``: the indexed points with component, core and reach.
     ``open_components``: (component, weight of the best listed edge or null).
     """
     index = graph.index
-    placed = materialise(
-        index.points.join(labels.select("id", "component", "core", "reach"), "id"), "placed"
-    )
+    points = placed.select("id", "vec", "hash", "cell", "component", "core")
+    schema = "component long, weight double, dist double, lo long, hi long, other long"
+    asking = placed.join(open_components, "component")
+    asking = asking.withColumn("radius", F.coalesce("weight", F.lit(float("inf"))))
+    useful = (F.col("reach") <= F.col("radius")) & (F.col("core") <= F.col("radius"))
+    if index.small:
+        queries, visits = with_all_cells(asking.filter(useful).select(points.columns), index)
+        return search(queries, index, _nearest_foreign, schema, points, visits)
     single = np.full(len(index.size), -1, dtype=np.int64)
     span = placed.groupBy("cell").agg(F.min("component").alias("a"), F.max("component").alias("b"))
     for row in span.collect():
         if row["a"] == row["b"]:
             single[row["cell"]] = row["a"]
     pivots = placed.filter("is_pivot").orderBy("hash", "id").select("core", "component").collect()
-    asking = placed.join(open_components, "component")
     bounds = _pivot_bound(asking, pivots, index.pivots)
     queries = (
         asking.join(bounds, "component")
-        .withColumn("radius", F.least(F.coalesce("weight", F.lit(float("inf"))), F.col("bound")))
-        .filter((F.col("reach") <= F.col("radius")) & (F.col("core") <= F.col("radius")))
-        .select("id", "vec", "hash", "cell", "component", "core", "radius")
+        .withColumn("radius", F.least("radius", "bound"))
+        .filter(useful)
+        .select(*points.columns, "radius")
     )
     visiting = with_cells(queries, index, settled=single).filter(F.size("cells") > 0)
     visiting = materialise(visiting, "visits").drop("radius")
-    return search(
-        visiting,
-        index,
-        _nearest_foreign,
-        "component long, weight double, dist double, lo long, hi long, other long",
-        placed.select("id", "vec", "hash", "cell", "component", "core"),
-    )
+    return search(visiting, index, _nearest_foreign, schema, points)
 
 
 # Borůvka rounds -------------------------------------------------------------
@@ -304,9 +304,10 @@ def spanning_edges(graph: Reachability) -> DataFrame:
             undecided = state.filter(
                 ~F.col("final") & (F.col("component") != facts["largest"])
             )
-            labels = materialise(labels, "labels")
+            placed = materialise(graph.index.points.join(labels, "id"), "placed")
+            labels = placed.select(*labels.columns)
             found = _searched(
-                graph, labels, undecided.select("component", F.col("e.weight").alias("weight"))
+                graph, placed, undecided.select("component", F.col("e.weight").alias("weight"))
             )
             listed = undecided.filter(F.col("e").isNotNull()).select("component", "e.*")
             found = _cheapest(found.union(listed.select(*found.columns)))

@@ -65,7 +65,7 @@ def new_rows(
         firsts = first_per_key(valid, [key], [order])
     if stored is None:
         return firsts
-    known = stored.select(key).join(firsts.select(key), key, "left_semi")
+    known = stored.select(key).join(batch.select(key), key, "left_semi")
     return firsts.join(known, key, "left_anti").select(*batch.columns)
 
 

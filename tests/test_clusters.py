@@ -39,7 +39,7 @@ def test_knn_with_copies(spark, metric):
 
 
 def test_knn_prunes_and_stays_exact(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "VISIT_ALL", 0)
+    monkeypatch.setattr(cells, "VISIT_ALL", 0)
     monkeypatch.setattr(cells, "BLOCK_ROWS", 16)
     x = blobs(2)
     got, order = check_knn(spark, x, 7, "euclidean")
@@ -97,7 +97,7 @@ def test_fuzzy_weights(spark):
 @pytest.mark.parametrize("seed, block, all_cells", [(5, 2048, 8192), (6, 16, 0)])
 def test_spanning_tree(spark, monkeypatch, seed, block, all_cells):
     monkeypatch.setattr(cells, "BLOCK_ROWS", block)
-    monkeypatch.setattr(neighbours, "VISIT_ALL", all_cells)
+    monkeypatch.setattr(cells, "VISIT_ALL", all_cells)
     x = blobs(seed)
     got = tree.minimum_spanning_tree(frame(spark, x), 6).toPandas()
     expected = bf.spanning_tree(bf.reach_matrix(x, 6), bf.distances(x))
