@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from gripelens.session import materialise
 
-CELL_TARGET = 2048
+CELL_TARGET = 1024
 MIN_CELLS, MAX_CELLS = 16, 2048
 BLOCK_ROWS = 2048
 PAIR_SLICE = 1 << 17

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gripelens.functions.text import tokens
+from gripelens.session import materialise
 
 MAX_TERMS = 100
 KEYWORDS = 5
@@ -51,8 +52,11 @@ def tfidf_weights(texts: DataFrame, token_rows: DataFrame, vocabulary: DataFrame
     """(cluster_id, feedback_id, term, weight), rows of length one per document.
 
     Smoothed idf over the cluster's own documents.  The vocabulary cuts the
-    tokens before anything else is grouped.
+    tokens before anything else is grouped.  It is written first, at most
+    ``MAX_TERMS`` rows per cluster, so that Spark knows its size and broadcasts
+    it when that fits, instead of shuffling every token.
     """
+    vocabulary = materialise(vocabulary, "vocabulary")
     counts = (
         token_rows.join(vocabulary.select("cluster_id", "term"), ["cluster_id", "term"], "left_semi")
         .groupBy("cluster_id", "feedback_id", "term")
@@ -61,7 +65,8 @@ def tfidf_weights(texts: DataFrame, token_rows: DataFrame, vocabulary: DataFrame
     documents = texts.groupBy("cluster_id").agg(F.count("*").alias("n"))
     idf = (
         counts.groupBy("cluster_id", "term")
-        .agg(F.count("*").alias("df"))
+        # uses tf, so that both uses of the counts share one shuffle
+        .agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))
         .join(documents, "cluster_id")
         .select(
             "cluster_id",

@@ -192,7 +192,7 @@ def skip_existing(spark, sf):
 @query
 def synthetic_feedback(spark, sf):
     ids = views.table(spark, sf, "documents").select("doc_id")
-    as_of = F.timestamp_seconds(F.lit(1_711_929_600))
+    as_of = F.to_timestamp(F.lit("2024-04-01 00:00:00"))
     return generator.generate_feedback(ids, "doc_id", as_of=as_of)
 
 

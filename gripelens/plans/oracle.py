@@ -138,7 +138,7 @@ def _pick_by_language(table, slot: int) -> str:
 
 GENERATED = f"""
 SELECT 'FB' || printf('%06d', n + 1) AS feedback_id,
-       strftime(to_timestamp(1711929600 - {_draw(8, 90 * 86400 + 1)}), '%Y-%m-%dT%H:%M:%S') AS timestamp,
+       strftime(TIMESTAMP '2024-04-01 00:00:00' - to_seconds({_draw(8, 90 * 86400 + 1)}), '%Y-%m-%dT%H:%M:%S') AS timestamp,
        language, vehicle_model, {_pick(generator.DOMAINS, 2)} AS domain,
        replace(replace(replace({_pick_by_language(generator.TEMPLATES, 6)},
          '{{failure}}', {_pick(generator.FAILURES, 3)}), '{{vehicle}}', vehicle_model),
