@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from gripelens.operators.ranking import with_row_index
 from gripelens.operators.reports import NOISE
 from gripelens.operators.tree import (
-    Reachability,
     contract,
     reachability,
     relabel,
@@ -376,9 +375,9 @@ def select_clusters(stability: DataFrame) -> DataFrame:
 # Labels --------------------------------------------------------------------------
 
 
-def _all_noise(graph: Reachability, key: str) -> DensityClusters:
-    assignment = graph.members.select(
-        F.col("point").alias(key),
+def _all_noise(points: DataFrame, key: str) -> DensityClusters:
+    assignment = points.select(
+        key,
         F.lit(NOISE).alias("cluster_id"),
         F.lit(0.0).alias("cluster_confidence"),
     )
@@ -402,15 +401,17 @@ def density_clusters(
     its cluster's peak; ``stability`` is the excess of mass as a share of the
     largest possible.
     """
+    if points.isEmpty():
+        return _all_noise(points, key)
     graph = reachability(points, min_samples or min_cluster_size, key, vector, metric)
     tree = spanning_edges(graph)
     if tree.isEmpty():
-        return _all_noise(graph, key)
+        return _all_noise(points, key)
     history = merge_history(tree, graph.vertices, group_bits)
     condensed = condense(history, graph.vertices, min_cluster_size)
     stability = materialise(cluster_stability(condensed), "stability")
     if stability.isEmpty():
-        return _all_noise(graph, key)
+        return _all_noise(points, key)
     selected = select_clusters(stability)
 
     density, peak = F.col("density"), F.col("peak")

@@ -129,6 +129,10 @@ def knn_graph(
     distinct, count = materialise_with(
         distinct_vectors(pts), "distinct", folded=F.count("*"), total=F.sum("copies")
     )
+    if not count["folded"]:
+        kind = distinct.schema["id"].dataType.simpleString()
+        schema = f"src {kind}, dst {kind}, rank int, dist double"
+        return distinct.sparkSession.createDataFrame([], schema)
     index = build_cells(distinct.select("id", "vec"), count["folded"])
     edges = nearest_in_cells(index, k)
     if count["folded"] < count["total"]:

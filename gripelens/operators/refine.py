@@ -24,7 +24,7 @@ from gripelens.operators.cells import (
     with_cells,
 )
 from gripelens.operators.reports import without_noise
-from gripelens.session import materialise
+from gripelens.session import materialise, materialise_with
 
 MERGE_THRESHOLD = 0.90
 
@@ -76,14 +76,16 @@ def similar_pairs(centroids: DataFrame, threshold: float = MERGE_THRESHOLD) -> D
     kind = centroids.schema["cluster_id"].dataType.simpleString()
     radius = math.sqrt(max(2.0 - 2.0 * threshold, 0.0))
     points = centroids.select(F.col("cluster_id").alias("id"), on_sphere(F.col("centroid")).alias("vec"))
-    points = materialise(points, "centroids")
-    index = build_cells(points)
+    points, facts = materialise_with(points, "centroids", n=F.count("*"))
+    schema = f"j {kind}, i {kind}, similarity double"
+    if not facts["n"]:
+        return points.sparkSession.createDataFrame([], schema).select("i", "j", "similarity")
+    index = build_cells(points, facts["n"])
     queries = index.points.select("id", "vec", "hash", "cell", F.lit(radius + 1e-9).alias("radius"))
     if index.small:
         visiting, visits = with_all_cells(queries.drop("radius"), index)
     else:
         visiting, visits = materialise(with_cells(queries, index), "visits").drop("radius"), None
-    schema = f"j {kind}, i {kind}, similarity double"
     found = search(visiting, index, _within(radius), schema, visits=visits)
     return found.filter(F.col("similarity") >= threshold - 1e-12).select("i", "j", "similarity")
 

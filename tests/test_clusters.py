@@ -231,6 +231,15 @@ def test_refine_merges_parallel_centroids(spark):
     assert tuple(refine.refinement_counts(cl, out).first()) == (4, 2)
 
 
+def test_nothing_to_cluster(spark):
+    none = frame(spark, np.ones((2, 2)), "reduced").limit(0)
+    noise = spark.createDataFrame([(0, -1), (1, -1)], "feedback_id long, cluster_id int")
+    assert neighbours.knn_graph(none, 3, key="feedback_id", vector="reduced").count() == 0
+    assert density.density_clusters(none).assignment.count() == 0
+    out = refine.refine_clusters(noise, frame(spark, np.ones((2, 2)), "reduced"))
+    assert [r["cluster_id"] for r in out.collect()] == [-1, -1]
+
+
 def test_similar_pairs_by_brute_force(spark):
     rng = np.random.default_rng(13)
     x = rng.normal(size=(60, 4))
