@@ -14,7 +14,7 @@ and so on: about k ln k darts for a text of any length.
 
 Signatures are joined on bands of rows.  Candidates are checked by their exact
 weighted similarity.  In a band bucket the first round compares members with one
-pivot, later rounds double the pivots and drop whatever already is one group, until
+pivot, later rounds take more pivots and drop whatever already is one group, until
 no bucket has two groups with uncompared members: no pair within a group is listed
 that its pivots have already joined, and no link between groups is left out.
 """
@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gripelens.llm.components import connected_components
+from gripelens.llm.scratch import free_finished_shuffles
 from gripelens.llm.words import hashes, mix, plain_words, sliced, text_array
 from gripelens.session import materialise, materialise_with
 
@@ -38,6 +39,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
+MAIN_TURNS = 2
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -223,8 +225,8 @@ def _similar(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
     right = units.select(F.col("node").alias("b"), F.col("units").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
     return (
-        pairs.join(left, "a")
-        .join(right, "b")
+        pairs.hint("merge").join(left, "a")
+        .join(right.hint("merge"), "b")
         .withColumn("both", both)
         .filter(F.col("both") >= threshold * (F.size("left") + F.size("right") - F.col("both")) - 1e-9)
         .select("a", "b")
@@ -245,26 +247,30 @@ def _open_buckets(buckets: DataFrame, label: DataFrame) -> DataFrame:
         .agg(
             F.max_by("label", F.struct("n", "label")).alias("main"),
             F.count(F.lit(1)).alias("groups"),
-            F.sum("n").alias("members"),
-            F.max("n").alias("largest"),
         )
         .filter("groups > 1")
-        .select("band", "main", (F.col("members") - F.col("largest")).alias("outside"))
+        .select("band", "main")
     )
     return member.join(main, "band")
 
 
-def links(nodes: DataFrame, units: DataFrame, threshold: float, pivots: int = 16) -> DataFrame:
-    """(node, label) of all nodes that are linked to another one.
-
-    ``nodes`` has (node, weight, bands), ``units`` the sets of all nodes that share
-    a band.  Stated in the module's description.
-    """
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """(band, node, weight, pivot) of all bands that two nodes or more have."""
     buckets = nodes.select("node", "weight", F.explode(F.array_distinct("bands")).alias("band"))
     shared = buckets.groupBy("band").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "weight")).alias("pivot")
     )
-    buckets = materialise(buckets.join(shared.filter("n > 1").drop("n"), "band"), "buckets")
+    return buckets.join(shared.filter("n > 1").drop("n"), "band")
+
+
+def links(buckets: DataFrame, units: DataFrame, threshold: float, pivots: int = 4) -> DataFrame:
+    """(node, label) of all nodes that are linked to another one.
+
+    ``buckets`` are the ``shared_buckets``, ``units`` the sets of their nodes.  After
+    the first comparisons two rounds give the members outside a bucket's main group
+    further pivots of the main group; from then on pivots are taken outside.  Nodes
+    are drawn alike in all buckets, so few nodes are the pivots of many buckets.
+    """
     first = (
         buckets.filter(F.col("node") != F.col("pivot.node"))
         .filter(_close(F.col("weight"), F.col("pivot.weight"), threshold))
@@ -274,7 +280,7 @@ def links(nodes: DataFrame, units: DataFrame, threshold: float, pivots: int = 16
     compared = materialise(first, "pairs")
     found = materialise(_similar(compared, units, threshold), "links")
     buckets = buckets.drop("pivot")
-    width = pivots
+    width, turn = pivots, 0
     while True:
         label = connected_components(found)
         member, seen = materialise_with(
@@ -282,13 +288,16 @@ def links(nodes: DataFrame, units: DataFrame, threshold: float, pivots: int = 16
         )
         if not seen["n"]:
             return label
-        # each bucket: about ``width`` of the members outside its main group, one at least
-        draw = F.xxhash64("band", "node", F.lit(width)).bitwiseAND(F.lit((1 << 30) - 1))
-        outside = member.filter("label <> main").withColumn("draw", draw)
-        chosen = outside.groupBy("band").agg(F.min(F.struct("draw", "node")).alias("at_least"))
-        chance = F.lit(float(width << 30)) / F.col("outside")
+        # in each bucket about ``width`` members of the chosen side, one at least
+        draw = F.xxhash64("node", F.lit(turn)).bitwiseAND(F.lit((1 << 30) - 1))
+        side = "label = main" if turn < MAIN_TURNS else "label <> main"
+        able = member.filter(side).withColumn("draw", draw)
+        facts = able.groupBy("band").agg(
+            F.min(F.struct("draw", "node")).alias("at_least"), F.count(F.lit(1)).alias("able")
+        )
+        chance = F.lit(float(width << 30)) / F.col("able")
         pivot = (
-            outside.join(chosen, "band")
+            able.join(facts, "band")
             .filter((F.col("draw") < chance) | (F.col("node") == F.col("at_least.node")))
             .select("band", F.col("node").alias("b"), F.col("label").alias("b_label"), F.col("weight").alias("b_weight"))
         )
@@ -307,7 +316,8 @@ def links(nodes: DataFrame, units: DataFrame, threshold: float, pivots: int = 16
         # a pivot has met all members of its bucket
         done = pivot.select("band", F.col("b").alias("node"))
         buckets = member.select("node", "weight", "band").join(done, ["band", "node"], "left_anti")
-        buckets, width = materialise(buckets, "buckets"), width * 2
+        buckets, turn = materialise(buckets, "buckets"), turn + 1
+        width = width if turn <= MAIN_TURNS else width * 2
 
 
 def classes(
@@ -325,6 +335,7 @@ def classes(
     same words are one class; a text without words is a class of its own row.  A null
     doc_id counts as larger than all others.  Other columns are not read.
     """
+    free_finished_shuffles(docs.sparkSession)
     rows_ = materialise(signed(docs, bands, rows, text), "signed")
     texts = (
         rows_.filter("words_key IS NOT NULL")
@@ -337,19 +348,18 @@ def classes(
         .withColumn("node", F.monotonically_increasing_id())
     )
     nodes = materialise(texts, "texts")
-    band = nodes.select("node", F.explode(F.array_distinct("bands")).alias("band"))
-    shared = band.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    wanted = band.join(shared, "band", "left_semi").select("node").distinct()
+    buckets = materialise(shared_buckets(nodes), "buckets")
     wanted = materialise(
-        nodes.join(wanted, "node", "left_semi")
+        nodes.join(buckets.select("node").distinct(), "node", "left_semi")
         .select("node", "words_key", F.col("first.text_key").alias("text_key")),
         "wanted",
     )
-    source = _keyed(docs, text).join(wanted.select("text_key"), "text_key", "left_semi")
+    # merge joins at every size: texts and sets are moved once each, whatever the input
+    source = _keyed(docs, text).join(wanted.select("text_key").hint("merge"), "text_key", "left_semi")
     # rows of one text come in any number: one of them is enough
     units = shingled(source.select("text_key", "_text").groupBy("text_key").agg(F.first("_text").alias("_text")))
     units = materialise(units.join(wanted.select("words_key", "node"), "words_key").select("node", "units"), "units")
-    label = links(nodes.select("node", "weight", "bands"), units, threshold)
+    label = links(buckets, units, threshold)
     labelled = nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     best = labelled.groupBy("label").agg(F.min("first").alias("kept"))
     of_words = labelled.join(best, "label").select("words_key", "kept")
