@@ -12,7 +12,8 @@ that equal strings always meet:
 3. The surroundings of every repeated anchor (as far as a string over it can reach)
    are grouped by their bytes.  Equal surroundings are repeated as a whole, so only
    their first occurrence, the representative, is looked at further.
-4. Representatives are dealt out by their anchor's gram.  A shard takes a bounded
+4. Representatives whose gram, lengthened to one side by half of the rest of a string,
+   occurs again are dealt out by their anchor's gram.  A shard takes a bounded
    number of bytes; a gram with more is cut into several shards.  Each shard sorts
    its suffixes by Larsson-Sadakane refinement, takes common prefixes by Kasai's rule
    and learns which of its strings start earlier in it.
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -219,23 +221,40 @@ def _find_anchors(length: int, gram: int):
     return run
 
 
-def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each wanted surrounding, with its bytes."""
-    for batch in sliced(batches):
-        texts = batch.column("text").to_pylist()
-        wanted = batch.column("wanted").to_pylist()
-        out = []
-        for text, number, places in zip(texts, batch.column("number").to_pylist(), wanted):
-            raw = text.encode()
-            out += [
-                (p["gram"], p["salt"], number, p["low"], raw[p["low"] : p["high"]]) for p in places
-            ]
-        columns = list(zip(*out)) if out else [()] * 5
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)],
-            names=["gram", "salt", "number", "low", "bytes"],
-        )
+def _cut_contexts(length: int, gram: int):
+    """One row for each wanted surrounding, with its bytes and two hashes.
+
+    A string of ``length`` bytes over the gram has half of its other bytes on one side:
+    ``before`` and ``after`` are hashes of the gram with that many bytes of each side.
+    """
+    half = (length - gram + 1) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+        names = ["gram", "number", "low", "bytes", "before", "after"]
+        for batch in sliced(batches):
+            out = []
+            columns = (batch.column(c).to_pylist() for c in ("text", "number", "wanted"))
+            for text, number, places in zip(*columns):
+                raw = text.encode()
+                for p in places:
+                    low, at, high = p["low"], p["at"], p["high"]
+                    left = raw[at - half : at + gram] if at - half >= low else b""
+                    right = raw[at : at + gram + half] if at + gram + half <= high else b""
+                    sides = (_signed(left), _signed(right))
+                    out.append((p["gram"], number, low, raw[low:high], *sides))
+            columns = list(zip(*out)) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=names
+            )
+
+    return run
+
+
+def _signed(part: bytes) -> int | None:
+    """64-bit hash, or null for what does not exist."""
+    found = xxhash.xxh3_64_intdigest(part)
+    return (found - (1 << 64) if found >> 63 else found) if part else None
 
 
 def _joined_spans(number: np.ndarray, start: np.ndarray, length: int):
@@ -368,7 +387,7 @@ def repeated_spans(unique: DataFrame, length: int, gram: int, shard_bytes: int)
     often = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
     found = materialise(found.join(often, "gram"), "repeated-anchors")
     firsts = found.groupBy("gram", "digest").agg(
-        F.min(F.struct("number", "low", "high")).alias("first"), F.count(F.lit(1)).alias("n")
+        F.min(F.struct("number", "low", "at", "high")).alias("first"), F.count(F.lit(1)).alias("n")
     )
     firsts = materialise(firsts, "surroundings")
     again = firsts.filter("n > 1").select("gram", "digest", "first")
@@ -378,29 +397,38 @@ def repeated_spans(unique: DataFrame, length: int, gram: int, shard_bytes: int)
         .filter(F.col("high") - F.col("low") >= length)
         .select("number", "low", "high")
     )
-    # representatives that share their gram with another one
-    size = F.col("first.high") - F.col("first.low")
-    load = firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("others"), F.sum(size).alias("load"))
-    load = load.filter("others > 1").withColumn("salts", F.ceil(F.col("load") / shard_bytes).cast("int"))
-    salted = firsts.join(load, "gram").select(
-        F.col("first.number").alias("number"),
-        F.struct(
-            "gram",
-            F.pmod("digest", "salts").cast("int").alias("salt"),
-            F.col("first.low").alias("low"),
-            F.col("first.high").alias("high"),
-            "salts",
-        ).alias("place"),
+    # representatives that share their gram, and half a string with it, with another one
+    grams = firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    place = F.struct("gram", *[F.col(f"first.{c}").alias(c) for c in ("low", "at", "high")])
+    places = (
+        firsts.join(grams, "gram")
+        .select(F.col("first.number").alias("number"), place.alias("place"))
+        .groupBy("number")
+        .agg(F.collect_list("place").alias("wanted"))
     )
-    places = salted.groupBy("number").agg(F.collect_list("place").alias("wanted"))
     contexts = unique.join(places, "number").select("number", "text", "wanted")
-    kind = "gram long, salt int, number long, low int, bytes binary"
-    contexts = materialise(contexts.mapInArrow(_cut_contexts, kind), "contexts")
-    shards = contexts.repartition("gram", "salt").sortWithinPartitions("gram", "salt")
+    kind = "gram long, number long, low int, bytes binary, before long, after long"
+    contexts = materialise(contexts.mapInArrow(_cut_contexts(length, gram), kind), "contexts")
+    size = F.octet_length("bytes").cast("long").alias("size")
+    parts = []
+    for side in ("before", "after"):
+        own = contexts.select("gram", "number", "low", size, side).filter(F.col(side).isNotNull())
+        more = own.groupBy("gram", side).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        parts.append(own.join(more, ["gram", side]).select("gram", "number", "low", "size"))
+    wanted = materialise(parts[0].union(parts[1]).distinct(), "wanted")
+    load = wanted.groupBy("gram").agg(F.sum("size").alias("load"))
+    load = load.select("gram", F.ceil(F.col("load") / shard_bytes).cast("int").alias("salts"))
+    salted = wanted.join(load, "gram").select(
+        "gram", "number", "low", F.pmod(F.xxhash64("number", "low"), "salts").cast("int").alias("salt"), "salts"
+    )
+    contexts = materialise(
+        contexts.drop("before", "after").join(salted, ["gram", "number", "low"]), "shared-contexts"
+    )
+    columns = ["gram", "salt", "number", "low", "bytes"]
+    shards = contexts.select(columns).repartition("gram", "salt").sortWithinPartitions("gram", "salt")
     inside = shards.mapInArrow(_search_shards(length, shard_bytes), "number long, low int, high int")
     # grams in several shards: their strings are looked up across the shards
-    cut = load.filter("salts > 1").select("gram")
-    strings = contexts.join(cut, "gram", "left_semi").mapInArrow(
+    strings = contexts.filter("salts > 1").select(columns).mapInArrow(
         _list_strings(length), "digest binary, number long, start int"
     )
     strings = materialise(strings.distinct(), "strings")
