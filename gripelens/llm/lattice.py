@@ -33,9 +33,9 @@ from gripelens.llm.words import LOWER, KeyTable, mapped, sliced, space_words, te
 from gripelens.session import materialise
 
 FREQUENT = 1 << 17
-ROUNDS = 3
+ROUNDS = 2
 DISCOUNT = 0.75
-BLOCK_WORDS = 4096
+BLOCK_WORDS = 2048
 MARK = "▁"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -123,23 +123,56 @@ class Lattice:
                 power = power * _BASE
         return sizes, points, pieces
 
-    def _forward(self, points: np.ndarray, pieces: list[np.ndarray]):
-        """Log weights by (word, length, end), and the forward sums."""
+    def _arcs(self, sizes: np.ndarray, points: np.ndarray, pieces: list[np.ndarray], by_start: bool):
+        """All pieces over the words as (word, start, end, piece, log weight).
+
+        Sorted by end and word, or by start and word.  A character that is no piece
+        itself is spelt in byte pieces; its arc has the piece number ``none``.
+        """
         n, width = points.shape
-        most = len(pieces)
-        edge = np.full((n, most, width + 1), _NOTHING)
-        for length in range(1, most + 1):
-            edge[:, length - 1, length:] = self.log_p[pieces[length - 1]]
-        spelt = self._byte_log_p(points)
-        forward = np.full((n, width + 1), _NOTHING)
+        alone = pieces[0]
+        spelt = (alone == self.none) & (np.arange(width) < sizes[:, None])
+        cells = np.full((width + 1, n, len(pieces)), -1, np.int64)
+        for length, found in enumerate(pieces, 1):
+            own = np.where(found == self.none, -1, found)
+            if length == 1:
+                own = np.where(spelt, self.none, own)
+            at = slice(0, width + 1 - length) if by_start else slice(length, width + 1)
+            cells[at, :, length - 1] = own.T
+        place, word, length = np.nonzero(cells >= 0)
+        piece, length = cells[place, word, length], length + 1
+        start, end = (place, place + length) if by_start else (place - length, place)
+        weight = self.log_p[piece]
+        letters = np.flatnonzero(piece == self.none)
+        if letters.size:
+            weight[letters] = self._byte_log_p(points[word[letters], start[letters]])
+        return word, start, end, piece, weight
+
+    @staticmethod
+    def _summed(arcs, values: np.ndarray, by_start: bool) -> None:
+        """Fill ``values`` (word, position) with log sums, position after position."""
+        word, start, end, _, weight = arcs
+        here, there = (start, end) if by_start else (end, start)
+        bounds = np.searchsorted(here, np.arange(values.shape[1] + 1))
+        positions = range(values.shape[1] - 2, -1, -1) if by_start else range(1, values.shape[1])
+        for j in positions:
+            own = slice(bounds[j], bounds[j + 1])
+            if bounds[j] == bounds[j + 1]:
+                continue
+            words = word[own]
+            terms = weight[own] + values[words, there[own]]
+            first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+            top = np.maximum.reduceat(terms, first)
+            spread = np.exp(terms - np.repeat(top, np.diff(np.append(first, words.size))))
+            values[words[first], j] = top + np.log(np.add.reduceat(spread, first))
+
+    def _forward(self, sizes: np.ndarray, points: np.ndarray, pieces: list[np.ndarray]):
+        """The arcs by end, and the log sums over all ways to each position."""
+        arcs = self._arcs(sizes, points, pieces, False)
+        forward = np.full((points.shape[0], points.shape[1] + 1), _NOTHING)
         forward[:, 0] = 0.0
-        for j in range(1, width + 1):
-            use = min(most, j)
-            terms = edge[:, :use, j] + forward[:, j - use : j][:, ::-1]
-            terms = np.concatenate([terms, (spelt[:, j - 1] + forward[:, j - 1])[:, None]], axis=1)
-            top = terms.max(1)
-            forward[:, j] = top + np.log(np.exp(terms - top[:, None]).sum(1))
-        return edge, spelt, forward
+        self._summed(arcs, forward, False)
+        return arcs, forward
 
     def _blocks(self, words: list[str]) -> Iterator[np.ndarray]:
         order = np.argsort([len(w) for w in words], kind="stable")
@@ -157,8 +190,7 @@ class Lattice:
         out = np.zeros(len(words))
         for block in self._blocks(words):
             sizes, points, pieces = self._edges([words[i] for i in block])
-            forward = self._forward(points, pieces)[2]
-            out[block] = forward[np.arange(len(block)), sizes]
+            out[block] = self._forward(sizes, points, pieces)[1][np.arange(len(block)), sizes]
         return out
 
     def expected(self, words: list[str]) -> np.ndarray:
@@ -166,26 +198,19 @@ class Lattice:
         counts = np.zeros(self.none + 1)
         for block in self._blocks(words):
             sizes, points, pieces = self._edges([words[i] for i in block])
-            edge, spelt, forward = self._forward(points, pieces)
-            n, width = points.shape
-            rows = np.arange(n)
-            total = forward[rows, sizes]
-            backward = np.full((n, width + 1), _NOTHING)
+            arcs, forward = self._forward(sizes, points, pieces)
+            rows = np.arange(len(block))
+            backward = np.full(forward.shape, _NOTHING)
             backward[rows, sizes] = 0.0
-            for i in range(width - 1, -1, -1):
-                use = min(len(pieces), width - i)
-                terms = np.stack([edge[:, k, i + k + 1] + backward[:, i + k + 1] for k in range(use)], 1)
-                terms = np.concatenate([terms, (spelt[:, i] + backward[:, i + 1])[:, None]], axis=1)
-                top = terms.max(1)
-                summed = top + np.log(np.exp(terms - top[:, None]).sum(1))
-                backward[:, i] = np.where(i < sizes, summed, backward[:, i])
-            for length, found in enumerate(pieces, 1):
-                weight = forward[:, :-length] + backward[:, length:] - total[:, None]
-                weight = np.exp(np.minimum(weight + self.log_p[found], 0.0))
-                counts += np.bincount(found.reshape(-1), weight.reshape(-1), self.none + 1)
-            by_bytes = np.exp(np.minimum(forward[:, :-1] + spelt + backward[:, 1:] - total[:, None], 0.0))
-            for p, weight in zip(points[by_bytes > 1e-6].tolist(), by_bytes[by_bytes > 1e-6].tolist()):
-                np.add.at(counts, self.byte_piece[list(chr(p).encode("utf-8", "replace"))], weight)
+            self._summed(self._arcs(sizes, points, pieces, True), backward, True)
+            word, start, end, piece, weight = arcs
+            share = forward[word, start] + weight + backward[word, end] - forward[rows, sizes][word]
+            share = np.exp(np.minimum(share, 0.0))
+            counts += np.bincount(piece, share, self.none + 1)
+            letters = piece == self.none
+            spelt, at = np.unique(points[word[letters], start[letters]], return_inverse=True)
+            for p, uses in zip(spelt.tolist(), np.bincount(at, share[letters], spelt.size)):
+                np.add.at(counts, self.byte_piece[list(chr(p).encode("utf-8", "replace"))], uses)
         return counts[:-1]
 
 
