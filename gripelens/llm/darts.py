@@ -40,6 +40,7 @@ SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
 MAIN_TURNS = 2
+TRIES = 4
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -267,9 +268,9 @@ def links(buckets: DataFrame, units: DataFrame, threshold: float, pivots: int =
     """(node, label) of all nodes that are linked to another one.
 
     ``buckets`` are the ``shared_buckets``, ``units`` the sets of their nodes.  After
-    the first comparisons two rounds give the members outside a bucket's main group
-    further pivots of the main group; from then on pivots are taken outside.  Nodes
-    are drawn alike in all buckets, so few nodes are the pivots of many buckets.
+    the first comparisons, rounds give each node outside a main group further pivots of
+    the main groups it meets; from then on pivots are taken outside, more each round,
+    and meet their whole bucket, until nothing is left to compare.
     """
     first = (
         buckets.filter(F.col("node") != F.col("pivot.node"))
@@ -280,7 +281,7 @@ def links(buckets: DataFrame, units: DataFrame, threshold: float, pivots: int =
     compared = materialise(first, "pairs")
     found = materialise(_similar(compared, units, threshold), "links")
     buckets = buckets.drop("pivot")
-    width, turn = pivots, 0
+    turn = 0
     while True:
         label = connected_components(found)
         member, seen = materialise_with(
@@ -288,36 +289,72 @@ def links(buckets: DataFrame, units: DataFrame, threshold: float, pivots: int =
         )
         if not seen["n"]:
             return label
-        # in each bucket about ``width`` members of the chosen side, one at least
-        draw = F.xxhash64("node", F.lit(turn)).bitwiseAND(F.lit((1 << 30) - 1))
-        side = "label = main" if turn < MAIN_TURNS else "label <> main"
-        able = member.filter(side).withColumn("draw", draw)
-        facts = able.groupBy("band").agg(
-            F.min(F.struct("draw", "node")).alias("at_least"), F.count(F.lit(1)).alias("able")
-        )
-        chance = F.lit(float(width << 30)) / F.col("able")
-        pivot = (
-            able.join(facts, "band")
-            .filter((F.col("draw") < chance) | (F.col("node") == F.col("at_least.node")))
-            .select("band", F.col("node").alias("b"), F.col("label").alias("b_label"), F.col("weight").alias("b_weight"))
-        )
-        pivot = materialise(pivot, "pivots")
-        pairs = (
-            member.join(pivot, "band")
-            .filter(F.col("label") != F.col("b_label"))
-            .filter(_close(F.col("weight"), F.col("b_weight"), threshold))
-            .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-            .distinct()
-        )
         known = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        if turn < MAIN_TURNS:
+            pairs, done = _main_tries(member, threshold, turn), None
+        else:
+            width = pivots << (turn - MAIN_TURNS)
+            pivot = materialise(_outside_pivots(member, width, turn), "pivots")
+            pairs = (
+                member.join(pivot, "band")
+                .filter(F.col("label") != F.col("b_label"))
+                .filter(_close(F.col("weight"), F.col("b_weight"), threshold))
+                .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+                .distinct()
+            )
+            done = pivot.select("band", F.col("b").alias("node"))
         pairs = materialise(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
         new = materialise(_similar(pairs, units, threshold), "links")
-        compared, found = known.union(pairs), found.union(new)
-        # a pivot has met all members of its bucket
-        done = pivot.select("band", F.col("b").alias("node"))
-        buckets = member.select("node", "weight", "band").join(done, ["band", "node"], "left_anti")
+        compared = known.union(pairs)
+        found = label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(new)
+        buckets = member.select("node", "weight", "band")
+        if done is not None:  # these have met all members of their bucket
+            buckets = buckets.join(done, ["band", "node"], "left_anti")
         buckets, turn = materialise(buckets, "buckets"), turn + 1
-        width = width if turn <= MAIN_TURNS else width * 2
+
+
+def _main_tries(member: DataFrame, threshold: float, turn: int) -> DataFrame:
+    """For each node outside a main group a few members of the main groups it meets.
+
+    They are the smallest under ``TRIES`` hashes: a fixed number of pairs per node.
+    """
+    names = [f"p{i}" for i in range(TRIES)]
+    mains = member.filter("label = main").groupBy("band").agg(
+        *[
+            F.min(F.struct(F.xxhash64("node", F.lit(turn * TRIES + i)).alias("draw"), "node", "weight")).alias(p)
+            for i, p in enumerate(names)
+        ]
+    )
+    near = [F.when(_close(F.col("weight"), F.col(f"{p}.weight"), threshold), F.col(p)) for p in names]
+    tries = (
+        member.filter("label <> main")
+        .join(mains, "band")
+        .groupBy(F.col("node").alias("own"))
+        .agg(*[F.min(c).alias(p) for c, p in zip(near, names)])
+        .select("own", F.explode(F.array(*[F.col(f"{p}.node") for p in names])).alias("b"))
+        .filter("b IS NOT NULL")
+    )
+    return tries.select(F.least("own", "b").alias("a"), F.greatest("own", "b").alias("b")).distinct()
+
+
+def _outside_pivots(member: DataFrame, width: int, turn: int) -> DataFrame:
+    """In each bucket about ``width`` members outside its main group, one at least."""
+    draw = F.xxhash64("node", F.lit(-turn)).bitwiseAND(F.lit((1 << 30) - 1))
+    able = member.filter("label <> main").withColumn("draw", draw)
+    facts = able.groupBy("band").agg(
+        F.min(F.struct("draw", "node")).alias("at_least"), F.count(F.lit(1)).alias("able")
+    )
+    chance = F.lit(float(width << 30)) / F.col("able")
+    return (
+        able.join(facts, "band")
+        .filter((F.col("draw") < chance) | (F.col("node") == F.col("at_least.node")))
+        .select(
+            "band",
+            F.col("node").alias("b"),
+            F.col("label").alias("b_label"),
+            F.col("weight").alias("b_weight"),
+        )
+    )
 
 
 def classes(
