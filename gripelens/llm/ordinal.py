@@ -18,10 +18,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gripelens.llm.words import sliced, text_array
+from gripelens.session import materialise
 
 BUCKETS = 1 << 18
 SAMPLE = 6000
@@ -97,24 +98,25 @@ def fit(
     return Ordinal(buckets.astype(np.int64), p[:d], cuts)
 
 
-def telling(text: np.ndarray, bucket: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Buckets whose share of texts differs between ``high`` and other texts.
+def telling(rows: DataFrame, high: Column) -> DataFrame:
+    """(bucket): those whose share of rows differs between ``high`` and other rows.
 
     The difference must be ``MIN_Z`` standard errors and a factor of ``MIN_LIFT``.
     """
-    if not high.any() or high.all() or not bucket.size:
-        return np.zeros(0, np.int64)
-    n1, n0 = int(high.sum()), int((~high).sum())
-    a = np.bincount(bucket, high[text], BUCKETS)
-    b = np.bincount(bucket, ~high[text], BUCKETS)
-    pooled = (a + b) / (n1 + n0)
-    error = np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0)) + 1e-12
-    p1, p0 = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
-    strong = np.abs(a / n1 - b / n0) >= MIN_Z * error
-    return np.flatnonzero(strong & (np.maximum(p1 / p0, p0 / p1) >= MIN_LIFT))
-
-
-def sampled_features(docs: DataFrame, sample: DataFrame, extract: Extract) -> pd.DataFrame:
+    counts = rows.agg(F.count_if(high).alias("high"), F.count_if(~high).alias("low")).first()
+    n1, n0 = counts["high"], counts["low"]
+    if not (n1 and n0):
+        return rows.select(F.lit(0).alias("bucket")).limit(0)
+    own = rows.select(high.cast("int").alias("high"), F.explode("buckets").alias("bucket"))
+    found = own.groupBy("bucket").agg(F.sum("high").alias("a"), F.sum(1 - F.col("high")).alias("b"))
+    pooled = (F.col("a") + F.col("b")) / (n1 + n0)
+    error = F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0)) + 1e-12
+    p1, p0 = (F.col("a") + 0.5) / (n1 + 1), (F.col("b") + 0.5) / (n0 + 1)
+    strong = F.abs(F.col("a") / n1 - F.col("b") / n0) >= MIN_Z * error
+    return found.filter(strong & (F.greatest(p1 / p0, p0 / p1) >= MIN_LIFT)).select("bucket")
+
+
+def sampled_features(docs: DataFrame, sample: DataFrame, extract: Extract) -> DataFrame:
     """One row per sampled document with its grade columns, buckets and values.
 
     ``docs`` has (doc_id, _text).  ``sample`` has a bounded number of ids and is sent to
@@ -144,17 +146,28 @@ def sampled_features(docs: DataFrame, sample: DataFrame, extract: Extract) -> pd
     own = ", ".join(f"{c} int" for c in columns)
     found = source.mapInArrow(run, f"doc_id {kind}, {own}, buckets array<int>, values array<double>")
     one = F.min(F.struct(*columns, "buckets", "values")).alias("row")
-    return found.groupBy("doc_id").agg(one).select("row.*").toPandas()
+    return materialise(found.groupBy("doc_id").agg(one).select("doc_id", "row.*"), "sample")
 
 
-def flattened(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, bucket, value) of sampled rows."""
-    sizes = rows["buckets"].map(len).to_numpy(np.int64)
-    text = np.repeat(np.arange(len(rows)), sizes)
-    if not text.size:
-        return text, np.zeros(0, np.int64), np.zeros(0)
-    bucket = np.concatenate([np.asarray(x, np.int64) for x in rows["buckets"]])
-    return text, bucket, np.concatenate([np.asarray(x, np.float64) for x in rows["values"]])
+def training_rows(
+    rows: DataFrame, highs: list[Column]
+) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """The sample's grades, and (row, bucket, value) of its telling features.
+
+    Features are chosen in Spark; the driver gets the chosen ones of a bounded sample.
+    """
+    grades = rows.drop("buckets", "values").toPandas()
+    chosen = None
+    for high in highs:
+        own = telling(rows, high)
+        chosen = own if chosen is None else chosen.union(own).distinct()
+    if chosen is None:
+        return grades, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    each = rows.select("doc_id", F.explode(F.arrays_zip("buckets", "values")).alias("f"))
+    each = each.select("doc_id", F.col("f.buckets").alias("bucket"), F.col("f.values").alias("value"))
+    found = each.join(chosen, "bucket").toPandas().sort_values(["doc_id", "bucket"])
+    text = pd.Index(grades["doc_id"]).get_indexer(found["doc_id"])
+    return grades, text, found["bucket"].to_numpy(np.int64), found["value"].to_numpy(np.float64)
 
 
 def graded(docs: DataFrame, model: Ordinal, extract: Extract, least: float, text: str) -> DataFrame:

@@ -53,11 +53,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = ordinal.SAMPLE, text
         labels = labels.dropna(subset=["quality", "toxic"]).select("doc_id", rating.alias("rating"))
     own = labelled_sample(labels.select("doc_id", F.col("rating").cast("int").alias("rating")), ["rating"], sample)
     rows = ordinal.sampled_features(source, own, style_features)
-    at, bucket, value = ordinal.flattened(rows)
-    rating = rows["rating"].to_numpy(np.int64)
-    chosen = [ordinal.telling(at, bucket, rating >= k) for k in range(1, int(rating.max(initial=0)) + 1)]
-    keep = np.isin(bucket, np.concatenate([np.zeros(0, np.int64), *chosen]))
-    return ordinal.fit(at[keep], bucket[keep], value[keep], rating)
+    top = rows.agg(F.max("rating")).first()[0] or 0
+    grades, at, bucket, value = ordinal.training_rows(rows, [F.col("rating") >= k for k in range(1, top + 1)])
+    return ordinal.fit(at, bucket, value, grades["rating"].to_numpy(np.int64))
 
 
 def quality(docs: DataFrame, labels: DataFrame, least: float = LEAST, text: str = "text") -> DataFrame:

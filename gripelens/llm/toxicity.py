@@ -41,10 +41,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = ordinal.SAMPLE, text
     own = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     parts = [labelled_sample(own.filter(c), ["toxic"], sample) for c in ("toxic > 0", "toxic <= 0")]
     rows = ordinal.sampled_features(source, parts[0].union(parts[1]).groupBy("doc_id").agg(F.min("toxic").alias("toxic")), word_features)
-    at, bucket, value = ordinal.flattened(rows)
-    toxic = rows["toxic"].to_numpy(np.int64)
-    keep = np.isin(bucket, ordinal.telling(at, bucket, toxic > 0))
-    at, bucket, value = at[keep], bucket[keep], value[keep]
+    grades, at, bucket, value = ordinal.training_rows(rows, [F.col("toxic") > 0])
+    toxic = grades["toxic"].to_numpy(np.int64)
     grade = toxic
     if toxic.size and toxic.max() == 1:
         uses = np.bincount(at, np.exp(value - 1), toxic.size)
