@@ -131,12 +131,17 @@ def check_constraints(df: DataFrame, rules: TableRules) -> DataFrame:
 
 
 def silhouette(clustered: DataFrame, vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """Mean silhouette (squared Euclidean) of the points that are not noise."""
+    """Mean silhouette (squared Euclidean) of the points that are not noise.
+
+    Null if they are in fewer than two clusters.
+    """
     points = (
         without_noise(clustered)
         .select("feedback_id", "cluster_id")
         .join(vectors.select("feedback_id", array_to_vector(column).alias("features")), "feedback_id")
         .select(F.col("cluster_id").cast("double").alias("prediction"), "features")
     )
+    if points.select("prediction").distinct().limit(2).count() < 2:
+        return points.sparkSession.createDataFrame([(None,)], "silhouette double")
     score = ClusteringEvaluator(featuresCol="features", predictionCol="prediction").evaluate(points)
     return points.sparkSession.createDataFrame([(float(score),)], "silhouette double")

@@ -140,20 +140,20 @@ def search_feedback(
     clustered: DataFrame,
     query: str | None = None,
     cluster_id: int | None = None,
-    limit: int = 50,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Feedback of the first ``limit`` ids of the assignment, then text search.
+    """Clustered feedback whose text contains ``query``; all of it without a ``limit``.
 
-    The limit comes before the text filter, so a match further on is not found.
+    A limit keeps the lowest ids among the matches.
     """
     members = clustered
     if cluster_id is not None:
         members = members.filter(F.col("cluster_id") == cluster_id)
-    ids = head(members.select("feedback_id"), limit)
-    found = feedback.join(F.broadcast(ids), "feedback_id", "left_semi")
+    found = feedback
     if query:
         found = found.filter(contains_like(F.col("customer_feedback"), query))
-    return found
+    found = found.join(members.select("feedback_id"), "feedback_id", "left_semi")
+    return found if limit is None else head(found, limit)
 
 
 def cluster_lookup(labels: DataFrame, label: str) -> DataFrame:

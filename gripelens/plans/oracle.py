@@ -296,7 +296,7 @@ SQL = {
     ),
     "search_feedback": with_views(
         f"""SELECT feedback_id, language, customer_feedback FROM fb
-        WHERE feedback_id IN (SELECT feedback_id FROM cl WHERE cluster_id = 3 ORDER BY feedback_id LIMIT 50)
+        WHERE feedback_id IN (SELECT feedback_id FROM cl WHERE cluster_id = 3)
           AND translate(customer_feedback, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
               LIKE '%{SEARCH_TEXT.lower()}%'""",
         "fb",

@@ -36,15 +36,15 @@ def test_row_index_over_strings(spark):
     assert [r["row_index"] for r in got] == list(range(500))
 
 
-def test_search_limit_comes_first(spark):
+def test_search_looks_at_all_rows(spark):
     fb = spark.range(60).select(
         F.col("id").alias("feedback_id"),
         F.when(F.col("id") == 55, "needle").otherwise("hay").alias("customer_feedback"),
     )
     cl = clusters(spark, [0] * 60)
-    assert reports.search_feedback(fb, cl, "needle").count() == 0
+    assert reports.search_feedback(fb, cl, "needle").count() == 1
     assert reports.search_feedback(fb, cl.filter("feedback_id > 20"), "NEEDLE", 0).count() == 1
-    assert reports.search_feedback(fb, cl).count() == 50
+    assert reports.search_feedback(fb, cl, limit=50).count() == 50
 
 
 def test_empty_labels(spark):
