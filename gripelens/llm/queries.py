@@ -118,17 +118,17 @@ WITH d AS (
   SELECT item_id, regexp_extract_all({_LOWER}, '{_PLAIN}') AS w FROM benchmark
 ), windows AS (
   SELECT DISTINCT item_id, least(13, len(w)) AS k,
-         array_to_string(w[at:at + least(13, len(w)) - 1], ' ') AS win
-  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS at FROM i WHERE len(w) > 0)
+         array_to_string(list_slice(w, spot, spot + least(13, len(w)) - 1), ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS spot FROM i WHERE len(w) > 0)
 ), places AS (
-  SELECT doc_id, k, at, array_to_string(w[at:at + k - 1], ' ') AS win
-  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS at
+  SELECT doc_id, k, spot, array_to_string(list_slice(w, spot, spot + k - 1), ' ') AS win
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS spot
         FROM d, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)
 ), hits AS (
-  SELECT doc_id, item_id, k, at FROM places JOIN windows USING (k, win)
+  SELECT doc_id, item_id, k, spot FROM places JOIN windows USING (k, win)
 ), covered AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit
-  FROM (SELECT doc_id, unnest(range(at, at + k)) AS p FROM (SELECT DISTINCT doc_id, k, at FROM hits))
+  FROM (SELECT doc_id, unnest(range(spot, spot + k)) AS p FROM (SELECT DISTINCT doc_id, k, spot FROM hits))
   GROUP BY doc_id
 ), named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
