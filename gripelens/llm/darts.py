@@ -16,7 +16,9 @@ Signatures are joined on bands of rows.  Candidates are checked by their exact
 weighted similarity.  In a band bucket the first round compares members with one
 pivot, later rounds take more pivots and drop whatever already is one group, until
 no bucket has two groups with uncompared members: no pair within a group is listed
-that its pivots have already joined, and no link between groups is left out.
+that its pivots have already joined, and no link between groups is left out.  Each
+round first drops the members whose shingles are too rare outside their own group
+for any link to another one.
 """
 
 from __future__ import annotations
@@ -289,6 +291,7 @@ def links(buckets: DataFrame, units: DataFrame, threshold: float, pivots: int =
         )
         if not seen["n"]:
             return label
+        member = materialise(_able(member, units, threshold), "able")
         known = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         if turn < MAIN_TURNS:
             pairs, done = _main_tries(member, threshold, turn), None
@@ -298,7 +301,7 @@ def links(buckets: DataFrame, units: DataFrame, threshold: float, pivots: int =
             pairs = (
                 member.join(pivot, "band")
                 .filter(F.col("label") != F.col("b_label"))
-                .filter(_close(F.col("weight"), F.col("b_weight"), threshold))
+                .filter(_reachable(F.struct("weight", "shared"), F.col("b_size"), threshold))
                 .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
                 .distinct()
             )
@@ -313,6 +316,28 @@ def links(buckets: DataFrame, units: DataFrame, threshold: float, pivots: int =
         buckets, turn = materialise(buckets, "buckets"), turn + 1
 
 
+def _able(member: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
+    """The open members that can still have a link to another group, with ``shared``.
+
+    ``shared`` counts the units of a node that occur in some other open group as well.
+    A link to another group has no other units in common, so a node with fewer than
+    ``threshold`` of its units shared has no such link, whatever its bucket holds.
+    """
+    own = member.select("node", "label").distinct()
+    each = units.join(own, "node").select("node", "label", F.explode("units").alias("unit"))
+    across = each.groupBy("unit").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    across = across.filter("low <> high").select("unit")
+    shared = each.join(across, "unit", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+    found = member.join(shared, "node")
+    return found.filter(F.col("shared") >= threshold * F.col("weight") - 1e-9)
+
+
+def _reachable(a: Column, b: Column, threshold: float) -> Column:
+    """Whether nodes of these (weight, shared) can reach the threshold at all."""
+    both = F.least(a["shared"], b["shared"])
+    return both >= threshold * (a["weight"] + b["weight"] - both) - 1e-9
+
+
 def _main_tries(member: DataFrame, threshold: float, turn: int) -> DataFrame:
     """For each node outside a main group a few members of the main groups it meets.
 
@@ -321,11 +346,12 @@ def _main_tries(member: DataFrame, threshold: float, turn: int) -> DataFrame:
     names = [f"p{i}" for i in range(TRIES)]
     mains = member.filter("label = main").groupBy("band").agg(
         *[
-            F.min(F.struct(F.xxhash64("node", F.lit(turn * TRIES + i)).alias("draw"), "node", "weight")).alias(p)
+            F.min(F.struct(F.xxhash64("node", F.lit(turn * TRIES + i)).alias("draw"), "node", "weight", "shared")).alias(p)
             for i, p in enumerate(names)
         ]
     )
-    near = [F.when(_close(F.col("weight"), F.col(f"{p}.weight"), threshold), F.col(p)) for p in names]
+    size = F.struct("weight", "shared")
+    near = [F.when(_reachable(size, F.col(p), threshold), F.col(p)) for p in names]
     tries = (
         member.filter("label <> main")
         .join(mains, "band")
@@ -352,7 +378,7 @@ def _outside_pivots(member: DataFrame, width: int, turn: int) -> DataFrame:
             "band",
             F.col("node").alias("b"),
             F.col("label").alias("b_label"),
-            F.col("weight").alias("b_weight"),
+            F.struct("weight", "shared").alias("b_size"),
         )
     )
 
