@@ -23,7 +23,6 @@ HEADLINE = (
     "cleaning_stats",
     "csv_roundtrip",
     "insert_or_ignore",
-    "synthetic_feedback",
     "entity_validate",
     "lexicon_entities",
     "text_vectors",

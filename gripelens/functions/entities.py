@@ -16,7 +16,6 @@ ENTITY_FIELDS = (
 )
 SEVERITIES = ("critical", "high", "medium", "low")
 SENTIMENTS = ("negative", "neutral", "positive")
-FIELD_LENGTH = 200
 ENTITY_CONFIDENCE = 0.95
 
 _CORRUPT = "_corrupt_record"
@@ -29,7 +28,7 @@ def _parse(c: Column, ddl: str) -> Column:
     return F.from_json(
         c,
         f"{ddl}, {_CORRUPT} string",
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT},
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "allowSingleQuotes": "false"},
     )
 
 
@@ -43,6 +42,16 @@ def json_object_in(c: Column) -> Column:
     return F.regexp_extract(bare, r"(?s)\{.*\}", 0)
 
 
+def one_json_value(c: Column) -> Column:
+    """Whether the text is exactly one JSON value.
+
+    The parser stops after the first value; inside brackets it has to read to the end.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    first, second = (F.try_variant_get(listed, f"$[{i}]", "variant") for i in range(2))
+    return listed.isNotNull() & first.isNotNull() & second.isNull()
+
+
 def parse_answers(df: DataFrame, content: str, ddl: str = ENTITY_DDL) -> DataFrame:
     """Add ``entity`` (struct or null) and ``parse_status`` to answer rows.
 
@@ -57,13 +66,10 @@ def parse_answers(df: DataFrame, content: str, ddl: str = ENTITY_DDL) -> DataFra
         .withColumn("_repaired", _parse(json_object_in(F.col("_text")), ddl))
     )
     text = F.col("_text")
-    is_object = text.startswith("{") & F.col(f"_direct.{_CORRUPT}").isNull()
-    not_object = text.isNull() | (
-        text.substr(1, 1).isin("[", '"') & F.try_parse_json(text).isNotNull()
-    )
+    valid = one_json_value(text)
     status = (
-        F.when(not_object, "failed")
-        .when(is_object & text.endswith("}"), "success")
+        F.when(text.isNull() | (valid & ~text.startswith("{")), "failed")
+        .when(valid & F.col(f"_direct.{_CORRUPT}").isNull(), "success")
         .otherwise("malformed")
     )
 
@@ -73,7 +79,7 @@ def parse_answers(df: DataFrame, content: str, ddl: str = ENTITY_DDL) -> DataFra
     repaired_ok = (
         F.col("_repaired").isNotNull()
         & F.col(f"_repaired.{_CORRUPT}").isNull()
-        & (F.length(json_object_in(text)) > 0)
+        & one_json_value(json_object_in(text))
     )
     entity = F.when(F.col("parse_status") == "success", picked("_direct")).when(
         (F.col("parse_status") == "malformed") & repaired_ok, picked("_repaired")
@@ -86,9 +92,9 @@ def parse_answers(df: DataFrame, content: str, ddl: str = ENTITY_DDL) -> DataFra
 
 
 def valid_entity(entity: Column) -> Column:
-    """Fill missing fields, default the closed vocabularies, cut long values.
+    """Fill missing fields and default the closed vocabularies.
 
-    A valid severity or sentiment keeps the case it came in.
+    A valid severity or sentiment keeps the case it came in; values keep their length.
     """
 
     def field(name: str) -> Column:
@@ -97,7 +103,7 @@ def valid_entity(entity: Column) -> Column:
             value = F.when(F.lower(value).isin(*SEVERITIES), value).otherwise("medium")
         elif name == "sentiment":
             value = F.when(F.lower(value).isin(*SENTIMENTS), value).otherwise("negative")
-        return F.substring(F.coalesce(value, F.lit("")), 1, FIELD_LENGTH)
+        return F.coalesce(value, F.lit(""))
 
     checked = F.struct(*[field(f).alias(f) for f in ENTITY_FIELDS])
     return F.when(entity.isNotNull(), checked)

@@ -23,13 +23,13 @@ def first_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[s
 
 
 def drop_duplicate_texts(
-    df: DataFrame, text: str = "customer_feedback", order: str = "feedback_id"
+    df: DataFrame, text: str = "customer_feedback", order: str | Column = "feedback_id"
 ) -> DataFrame:
     """Keep the first row per exact text; nulls equal each other.
 
     The hash leads the key so that sorting and hashing seldom touch long texts.
     """
-    return first_per_key(df, [F.xxhash64(text), F.col(text)], [F.col(order)])
+    return first_per_key(df, [F.xxhash64(text), F.col(text)], [order])
 
 
 def drop_null_rows(df: DataFrame, columns: Sequence[str] = CRITICAL_COLUMNS) -> DataFrame:
@@ -37,7 +37,7 @@ def drop_null_rows(df: DataFrame, columns: Sequence[str] = CRITICAL_COLUMNS) ->
 
 
 def clean_feedback(
-    df: DataFrame, text: str = "customer_feedback", order: str = "feedback_id"
+    df: DataFrame, text: str = "customer_feedback", order: str | Column = "feedback_id"
 ) -> DataFrame:
     """Dedupe on raw text, then drop null rows, then clean the text.
 

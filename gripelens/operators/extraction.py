@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from types import MappingProxyType
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gripelens.functions.entities import (
@@ -17,23 +18,39 @@ from gripelens.functions.entities import (
 from gripelens.functions.labels import extraction_prompt
 from gripelens.functions.text import WORD_PATTERN, with_next_words
 from gripelens.operators.hooks import complete
-from gripelens.sources.generator import CONDITIONS, FAILURES
 
 LEXICON_DDL = "term string, language string, field string, value string, priority int"
+GRADES = {
+    "severity": {
+        "critical": ("dangerous", "unsafe", "accident", "smoke", "brake failure"),
+        "high": ("stranded", "urgent", "broke down", "warning light"),
+        "low": ("minor", "slight", "cosmetic"),
+    },
+    "sentiment": {
+        "positive": ("satisfied", "happy with", "works well", "excellent"),
+        "neutral": ("question about", "enquiry"),
+        "negative": ("disappointed", "frustrating", "unacceptable"),
+    },
+}
 
 
 def default_lexicon(
     spark: SparkSession,
-    failures: Sequence[str] = FAILURES,
-    conditions: Mapping[str, Sequence[str]] = CONDITIONS,
+    failures: Sequence[str] = (),
+    conditions: Mapping[str, Mapping[str, str]] = MappingProxyType({}),
 ) -> DataFrame:
-    """Seed lexicon: failure phrases in any language, conditions by language.
+    """English severity and sentiment terms, and the caller's failures and conditions.
 
     The last word of a failure phrase is the failure mode, the words before it
-    the component, the phrase itself the symptom.  A condition is stored under
-    its English wording.
+    the component, the phrase itself the symptom; it holds in any language.
+    ``conditions`` gives for each language its terms and the value they stand for.
     """
-    rows = []
+    rows = [
+        (term, "en", field, value, 10)
+        for field, values in GRADES.items()
+        for value, terms in values.items()
+        for term in terms
+    ]
     for phrase in failures:
         component, _, mode = phrase.rpartition(" ")
         term = phrase.lower()
@@ -42,9 +59,9 @@ def default_lexicon(
             (term, None, "failure_mode", mode, 10),
             (term, None, "symptom", phrase, 10),
         ]
-    for language, names in conditions.items():
-        for i, name in enumerate(names):
-            rows.append((name.lower(), language, "driving_condition", conditions["en"][i], 10))
+    for language, terms in conditions.items():
+        for term, value in terms.items():
+            rows.append((term.lower(), language, "driving_condition", value, 10))
     return spark.createDataFrame(rows, LEXICON_DDL)
 
 
@@ -53,16 +70,26 @@ def lexicon_matches(
     lexicon: DataFrame,
     text: str = "customer_feedback",
     key: str = "feedback_id",
-    max_words: int = 3,
+    max_words: int | None = None,
 ) -> DataFrame:
     """Every occurrence of a lexicon term: (key, field, value, priority, position).
 
+    Terms are cut into words like the text, so case and punctuation do not matter.
     Words whose text starts no lexicon term are dropped first; the others are
-    joined on the runs of 1 to ``max_words`` words they start.  The lexicon
+    joined on the runs of 1 to ``max_words`` words they start, by default as many
+    as the longest term has.  The lexicon
     carries no hint: Spark broadcasts it when its size allows and shuffles
     otherwise.  Null language means any language.
     """
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD_PATTERN), F.lit(0))
+
+    def words_of(c: Column) -> Column:
+        return F.regexp_extract_all(F.lower(c), F.lit(WORD_PATTERN), F.lit(0))
+
+    if max_words is None:
+        longest = lexicon.agg(F.max(F.size(words_of(F.col("term")))).alias("n")).first()["n"]
+        max_words = max(longest or 1, 1)
+    lexicon = lexicon.withColumn("term", F.array_join(words_of(F.col("term")), " ")).filter("term <> ''")
+    words = words_of(F.col(text))
     at_word = (
         df.select(key, F.col("language").alias("_language"), words.alias("_words"))
         .select(
@@ -90,11 +117,12 @@ def extract_with_lexicon(
     lexicon: DataFrame | None = None,
     text: str = "customer_feedback",
     key: str = "feedback_id",
-    max_words: int = 3,
+    max_words: int | None = None,
 ) -> DataFrame:
     """Best match per field by priority, then position, then value.
 
-    The result has ``entity`` (struct) per key with at least one match.
+    The result has ``entity`` (struct) per row; its fields are null where no term
+    was found.
     """
     lexicon = default_lexicon(df.sparkSession) if lexicon is None else lexicon
     matches = lexicon_matches(df, lexicon, text, key, max_words)
@@ -102,7 +130,8 @@ def extract_with_lexicon(
     fields = [
         F.min(F.when(F.col("field") == f, best)).getField("value").alias(f) for f in ENTITY_FIELDS
     ]
-    return matches.groupBy(key).agg(*fields).select(key, F.struct(*ENTITY_FIELDS).alias("entity"))
+    found = matches.groupBy(key).agg(*fields)
+    return df.select(key).join(found, key, "left").select(key, F.struct(*ENTITY_FIELDS).alias("entity"))
 
 
 def entity_rows(

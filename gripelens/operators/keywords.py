@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from gripelens.functions.text import tokens
 from gripelens.session import materialise
 
-MAX_TERMS = 100
 KEYWORDS = 5
 
 
@@ -35,38 +34,39 @@ def cluster_tokens(
     )
 
 
-def cluster_vocabulary(token_rows: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
-    """The most frequent terms of each cluster: (cluster_id, term, total).
+def cluster_vocabulary(token_rows: DataFrame, max_terms: int | None = None) -> DataFrame:
+    """The terms of each cluster: (cluster_id, term, total).
 
-    Counts are combined on the map side; the rank filter then keeps at most
-    ``max_terms`` rows per cluster and task before the second shuffle.
+    With ``max_terms`` only the most frequent ones; the rank filter then keeps at most
+    that many rows per cluster and task before the second shuffle.
     """
     totals = token_rows.groupBy("cluster_id", "term").agg(F.count("*").alias("total"))
+    if max_terms is None:
+        return totals
     rank = F.row_number().over(
         Window.partitionBy("cluster_id").orderBy(F.desc("total"), F.asc("term"))
     )
     return totals.withColumn("_rank", rank).filter(F.col("_rank") <= max_terms).drop("_rank")
 
 
-def tfidf_weights(texts: DataFrame, token_rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def tfidf_weights(
+    texts: DataFrame, token_rows: DataFrame, vocabulary: DataFrame | None = None
+) -> DataFrame:
     """(cluster_id, feedback_id, term, weight), rows of length one per document.
 
-    Smoothed idf over the cluster's own documents.  The vocabulary cuts the
-    tokens before anything else is grouped.  It is written first, at most
-    ``MAX_TERMS`` rows per cluster, so that Spark knows its size and broadcasts
-    it when that fits, instead of shuffling every token.
+    Smoothed idf over the cluster's own documents.  A vocabulary, if given, cuts the
+    tokens before anything else is grouped.  The term counts are written once, so the
+    texts are cut into tokens once.
     """
-    vocabulary = materialise(vocabulary, "vocabulary")
-    counts = (
-        token_rows.join(vocabulary.select("cluster_id", "term"), ["cluster_id", "term"], "left_semi")
-        .groupBy("cluster_id", "feedback_id", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    if vocabulary is not None:
+        known = vocabulary.select("cluster_id", "term")
+        token_rows = token_rows.join(known, ["cluster_id", "term"], "left_semi")
+    counts = token_rows.groupBy("cluster_id", "feedback_id", "term").agg(F.count("*").alias("tf"))
+    counts = materialise(counts, "terms")
     documents = texts.groupBy("cluster_id").agg(F.count("*").alias("n"))
     idf = (
         counts.groupBy("cluster_id", "term")
-        # uses tf, so that both uses of the counts share one shuffle
-        .agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))
+        .agg(F.count("*").alias("df"))
         .join(documents, "cluster_id")
         .select(
             "cluster_id",
@@ -105,12 +105,12 @@ def cluster_keywords(
     texts: DataFrame,
     stop_words: Sequence[str] | None = None,
     count: int = KEYWORDS,
-    max_terms: int = MAX_TERMS,
+    max_terms: int | None = None,
     text: str = "customer_feedback",
 ) -> DataFrame:
     """(cluster_id, keywords): best terms first, an empty list without a vocabulary."""
     token_rows = cluster_tokens(texts, stop_words, text)
-    vocabulary = cluster_vocabulary(token_rows, max_terms)
+    vocabulary = None if max_terms is None else cluster_vocabulary(token_rows, max_terms)
     weights = tfidf_weights(texts, token_rows, vocabulary)
     best = (
         rank_keywords(mean_scores(weights, texts), count)

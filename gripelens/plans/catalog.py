@@ -26,7 +26,7 @@ from gripelens.operators import (
 from gripelens.plans import run, views
 from gripelens.schemas import TABLES
 from gripelens.session import scratch_path
-from gripelens.sources import csv, files, generator, tables
+from gripelens.sources import csv, files, tables
 from gripelens.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,6 +130,19 @@ def upload_feedback(spark, sf):
     return spark.read.parquet(path)
 
 
+@query
+def load_latest(spark, sf):
+    """A drop of several part files with two column orders and repeated keys."""
+    folder, path = scratch_path(spark, "landing"), scratch_path(spark, "raw_feedback")
+    iso = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    rows = _foreign(spark, sf).withColumn("timestamp", iso)
+    csv.write_csv(rows, f"{folder}/drop/a")
+    turned = rows.select(*reversed(rows.columns)).filter("language = 'en'")
+    csv.write_csv(turned, f"{folder}/drop/b")
+    tables.load_latest(spark, folder, path)
+    return spark.read.parquet(path)
+
+
 @query
 def latest_file(spark, sf):
     path = files.latest_path(spark, sf, "documents*.parquet")
@@ -184,16 +197,17 @@ def table_count(spark, sf):
 @query
 def skip_existing(spark, sf):
     path = scratch_path(spark, "stage")
+    """A stage is skipped for the same input and built again for another one."""
     cl = views.clustered(spark, sf)
-    tables.stage(spark, path, lambda: reports.cluster_sizes(cl))
-    return tables.stage(spark, path, lambda: reports.cluster_sizes(cl.filter("cluster_id = 0")))
+    part = cl.filter("cluster_id = 0")
 
+    def sizes(made: DataFrame, source: DataFrame) -> DataFrame:
+        key = tables.fingerprint(source)
+        return tables.stage(spark, path, lambda: reports.cluster_sizes(made), key=key)
 
-@query
-def synthetic_feedback(spark, sf):
-    ids = views.table(spark, sf, "documents").select("doc_id")
-    as_of = F.to_timestamp(F.lit("2024-04-01 00:00:00"))
-    return generator.generate_feedback(ids, "doc_id", as_of=as_of)
+    sizes(cl, cl)
+    same = sizes(part, cl).withColumn("input", F.lit("same"))
+    return same.union(sizes(part, part).withColumn("input", F.lit("new")))
 
 
 # Entities ---------------------------------------------------------------
@@ -530,7 +544,7 @@ def tfidf_vocab(spark, sf):
 def _weights(spark, sf) -> tuple[DataFrame, DataFrame]:
     texts = _cluster_texts(spark, sf)
     rows = keywords.cluster_tokens(texts, STOP_WORDS)
-    return texts, keywords.tfidf_weights(texts, rows, keywords.cluster_vocabulary(rows))
+    return texts, keywords.tfidf_weights(texts, rows)
 
 
 @query

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from gripelens.plans.catalog import MERGE_THRESHOLD, SEARCH_TEXT, STOP_WORDS
 from gripelens.plans.views import with_views
-from gripelens.sources import generator
 
 VIN = r"\b[A-HJ-NPR-Z0-9]{17}\b"
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
@@ -54,11 +53,11 @@ _SENTIMENT = f"""CASE WHEN lower({_json("sentiment")}) IN ('negative', 'neutral'
 
 def _valid(always: bool) -> str:
     fields = {
-        "component": f"substr(coalesce({_json('component')}, ''), 1, 200)",
-        "failure_mode": f"substr(coalesce({_json('failure_mode')}, ''), 1, 200)",
-        "symptom": f"substr(coalesce({_json('symptom')}, ''), 1, 200)",
+        "component": f"coalesce({_json('component')}, '')",
+        "failure_mode": f"coalesce({_json('failure_mode')}, '')",
+        "symptom": f"coalesce({_json('symptom')}, '')",
         "severity": _SEVERITY,
-        "driving_condition": f"substr(coalesce({_json('driving_condition')}, ''), 1, 200)",
+        "driving_condition": f"coalesce({_json('driving_condition')}, '')",
         "sentiment": _SENTIMENT,
     }
     if always:
@@ -79,7 +78,7 @@ WHERE term NOT IN ({STOP})"""
 VOCAB = """
 SELECT cluster_id, term, total FROM (
   SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY total DESC, term) AS r FROM (
-    SELECT cluster_id, term, count(*) AS total FROM tokens GROUP BY ALL)) WHERE r <= 100"""
+    SELECT cluster_id, term, count(*) AS total FROM tokens GROUP BY ALL))"""
 WEIGHTS = """
 SELECT cluster_id, feedback_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY cluster_id, feedback_id)) AS weight
 FROM (
@@ -119,34 +118,6 @@ def _best(field: str) -> str:
     return f"max(CASE WHEN r = 1 AND field = '{field}' THEN term END)"
 
 
-def _list(values) -> str:
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
-
-
-def _draw(slot: int, size: int) -> str:
-    return f"(CAST('0x' || substr(digest, {1 + 7 * slot}, 7) AS BIGINT) % {size})"
-
-
-def _pick(values, slot: int) -> str:
-    return f"({_list(values)})[{_draw(slot, len(values))} + 1]"
-
-
-def _pick_by_language(table, slot: int) -> str:
-    cases = " ".join(f"WHEN '{lang}' THEN {_pick(table[lang], slot)}" for lang in generator.LANGUAGES)
-    return f"CASE language {cases} END"
-
-
-GENERATED = f"""
-SELECT 'FB' || printf('%06d', n + 1) AS feedback_id,
-       strftime(TIMESTAMP '2024-04-01 00:00:00' - to_seconds({_draw(8, 90 * 86400 + 1)}), '%Y-%m-%dT%H:%M:%S') AS timestamp,
-       language, vehicle_model, {_pick(generator.DOMAINS, 2)} AS domain,
-       replace(replace(replace({_pick_by_language(generator.TEMPLATES, 6)},
-         '{{failure}}', {_pick(generator.FAILURES, 3)}), '{{vehicle}}', vehicle_model),
-         '{{condition}}', {_pick_by_language(generator.CONDITIONS, 7)}) AS customer_feedback,
-       {_pick(generator.COUNTRIES, 4)} AS country, {_draw(5, 49901)} + 100 AS mileage
-FROM (SELECT n, digest, {_pick(generator.LANGUAGES, 0)} AS language, {_pick(generator.VEHICLES, 1)} AS vehicle_model
-      FROM (SELECT doc_id AS n, sha256('42:' || doc_id) AS digest FROM documents))"""
-
 PAIRS = f"""WITH centroid AS (
   SELECT cluster_id, list(value ORDER BY pos) AS c FROM (
     SELECT cluster_id, pos, avg(CAST(x AS DOUBLE)) AS value FROM (
@@ -180,7 +151,6 @@ KNN = """SELECT src, dst, CAST(rank AS INTEGER) AS rank, round(dist, 6) AS dist
     FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)) WHERE rank <= {k}"""
 
 SQL = {
-    "synthetic_feedback": GENERATED,
     "clean_text": f"SELECT doc_id AS feedback_id, {clean('text')} AS customer_feedback FROM documents",
     "scrub_counts": f"""SELECT count(*) AS rows_seen,
         count(*) FILTER (regexp_matches(text, '{VIN}', 'i')) AS vin_rows,
@@ -205,6 +175,7 @@ SQL = {
     "coerce_records": with_views(COERCED, "fb"),
     "insert_or_ignore": with_views(f"SELECT feedback_id, language, mileage FROM ({STORED})", "fb"),
     "upload_feedback": with_views(STORED, "fb"),
+    "load_latest": with_views(STORED, "fb"),
     "latest_file": "SELECT doc_id, lang, n_chars FROM documents",
     "csv_roundtrip": "SELECT * FROM documents",
     "export_report": with_views(
@@ -217,7 +188,11 @@ SQL = {
         "SELECT feedback_id, language, mileage FROM fb WHERE language = 'en' AND mileage >= 1000", "fb"
     ),
     "table_count": with_views("SELECT count(*) AS count FROM fb", "fb"),
-    "skip_existing": with_views("SELECT cluster_id, count(*) AS size FROM cl GROUP BY cluster_id", "cl"),
+    "skip_existing": with_views(
+        """SELECT cluster_id, count(*) AS size, 'same' AS input FROM cl GROUP BY cluster_id
+        UNION ALL SELECT cluster_id, count(*), 'new' FROM cl WHERE cluster_id = 0 GROUP BY cluster_id""",
+        "cl",
+    ),
     "entity_parse": with_views(
         f"""SELECT feedback_id, {", ".join(f"{_json(f)} AS {f}" for f in
         ("component", "failure_mode", "symptom", "severity", "driving_condition", "sentiment"))}
@@ -257,7 +232,8 @@ SQL = {
         coalesce({_best("driving_condition")}, '') AS driving_condition, 'negative' AS sentiment,
         CAST(0.95 AS DOUBLE) AS confidence
         FROM (SELECT *, row_number() OVER (PARTITION BY feedback_id, field ORDER BY priority DESC, pos, term) AS r
-              FROM matches) GROUP BY feedback_id""",
+              FROM (SELECT doc_id AS feedback_id, field, term, priority, pos FROM documents
+                    LEFT JOIN matches ON matches.feedback_id = doc_id)) GROUP BY feedback_id""",
     "noise_flag_coords": with_views(
         """SELECT feedback_id, cluster_id, round(cluster_confidence, 6) AS cluster_confidence,
         round(CAST(embedding[1] AS DOUBLE), 6) AS umap_x, round(CAST(embedding[2] AS DOUBLE), 6) AS umap_y,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,9 +18,14 @@ from gripelens.operators.refine import refine_clusters
 from gripelens.operators.reports import assignment, cluster_info, summary_table
 from gripelens.session import scratch_path
 from gripelens.sources.csv import read_csv
-from gripelens.sources.files import latest_path
-from gripelens.sources.generator import synthetic_feedback
-from gripelens.sources.tables import coerce_records, insert_or_ignore, stage
+from gripelens.sources.files import latest_drop
+from gripelens.sources.tables import (
+    FOREIGN_NAMES,
+    coerce_records,
+    fingerprint,
+    insert_or_ignore,
+    stage,
+)
 
 
 @dataclass(frozen=True)
@@ -46,12 +51,16 @@ class Hooks:
 
 
 def raw_from_folder(
-    spark: SparkSession, directory: str | None, pattern: str = "*.csv", generate: int = 5000
+    spark: SparkSession,
+    directory: str,
+    pattern: str = "*.csv",
+    names: Mapping[str, str] = FOREIGN_NAMES,
 ) -> DataFrame:
-    """Newest CSV of the landing folder, or generated feedback when there is none."""
-    path = latest_path(spark, directory, pattern) if directory else None
-    raw = read_csv(spark, path) if path else synthetic_feedback(spark, generate)
-    return coerce_records(raw)
+    """All files of the newest drop of the landing folder; an error if there is none."""
+    paths = latest_drop(spark, directory, pattern)
+    if not paths:
+        raise FileNotFoundError(f"no {pattern} in {directory}")
+    return coerce_records(read_csv(spark, paths), names)
 
 
 def analyse(
@@ -65,19 +74,26 @@ def analyse(
     """Run all stages over raw feedback and return the stage tables by name.
 
     Tables are written under ``root``.  With ``resume`` the stages up to the
-    reduced vectors are skipped when their table is complete; clustering,
-    merging and labelling always run.
+    reduced vectors are skipped when their table is complete and was made from the
+    same rows, lexicon and settings; clustering, merging and labelling always run.
+    Hooks are told apart by their names alone.  Ids that are numbers are ordered as
+    numbers.
     """
     spark = raw.sparkSession
     root = root or scratch_path(spark, "run")
 
+    names = [getattr(h, "__qualname__", str(h)) for h in (hooks.entity, hooks.encoder)]
+    words = fingerprint(lexicon)
+    key = fingerprint(raw, words, settings.dimension, settings.components, names)
+
     def keep(name: str, build: Callable[[], DataFrame], again: bool = False) -> DataFrame:
-        return stage(spark, f"{root}/{name}", build, resume and not again)
+        return stage(spark, f"{root}/{name}", build, resume and not again, key)
 
     raw_path = f"{root}/raw_feedback"
+    number = F.col("feedback_id").try_cast("long")
     insert_or_ignore(raw, raw_path)
     stored = spark.read.parquet(raw_path)
-    cleaned = keep("cleaned_feedback", lambda: clean_feedback(raw))
+    cleaned = keep("cleaned_feedback", lambda: clean_feedback(raw, order=F.struct(number, "feedback_id")))
     entities = keep(
         "structured_entities", lambda: extract_entities(cleaned, lexicon, call=hooks.entity)
     )

@@ -1 +1 @@
-"""Readers, writers, stage tables and the feedback generator."""
+"""Readers, writers and stage tables."""

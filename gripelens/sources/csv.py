@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,21 @@ def null_tokens_to_null(df: DataFrame) -> DataFrame:
     )
 
 
+def files_by_header(spark: SparkSession, path: str | list[str]) -> list[list[str]]:
+    """The paths of the files, grouped by equal first line."""
+    place = F.monotonically_increasing_id()
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        "value",
+        place.alias("place"),
+    )
+    heads = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "place").alias("head"))
+    plain = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
+    groups = heads.groupBy("head").agg(F.sort_array(F.collect_list(plain)).alias("files"))
+    return [r["files"] for r in groups.orderBy("head").collect()]
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -38,13 +54,16 @@ def read_csv(
 ) -> DataFrame:
     """Read CSV with a header; values may hold quotes and line breaks.
 
-    With a schema, columns are matched to it by name after the file's own header
-    is read, so a file may hold them in any order, hold more or hold fewer.
-    ``multi_line=False`` lets Spark split large files whose values have no line
-    breaks.
+    Columns are matched by name to each file's own header, so a file may hold them
+    in any order, hold more or hold fewer; headers are found in a pass over the first
+    lines.  ``multi_line=False`` lets Spark split large files whose values have no
+    line breaks.
     """
-    options = {**_FORMAT, "multiLine": str(multi_line).lower()}
-    df = spark.read.options(**options).csv(path)
+    reader = spark.read.options(**_FORMAT, multiLine=str(multi_line).lower())
+    groups = files_by_header(spark, path)
+    df = reader.csv(path) if len(groups) < 2 else reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True), [reader.csv(g) for g in groups]
+    )
     if null_tokens:
         df = null_tokens_to_null(df)
     if schema is None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from gripelens.operators.cleaning import first_per_key
 from gripelens.schemas import RAW_FEEDBACK, TABLES
 from gripelens.session import path_exists
 from gripelens.sources.csv import read_csv, rename_present
-from gripelens.sources.files import latest_path
+from gripelens.sources.files import latest_drop
 
 # Foreign column names and the names used here.
 FOREIGN_NAMES = {
@@ -53,16 +54,12 @@ def new_rows(
     """Rows of ``batch`` that an insert-or-ignore would add.
 
     Rows with a null in a required column are skipped, the first row of a
-    repeated key wins (by ``order``, else in reading order), and keys already
-    stored are left out.  The stored keys are first cut to those of the batch, so
+    repeated key wins (by ``order``, else by its columns from left to right, since
+    files have no order in Spark), and keys already stored are left out.  The stored keys are first cut to those of the batch, so
     a small batch is broadcast and a large table not shuffled.
     """
     valid = batch.dropna(subset=[c for c in required if c in batch.columns])
-    if order is None:
-        valid = valid.withColumn("_order", F.monotonically_increasing_id())
-        firsts = first_per_key(valid, [key], ["_order"]).drop("_order")
-    else:
-        firsts = first_per_key(valid, [key], [order])
+    firsts = first_per_key(valid, [key], valid.columns if order is None else [order])
     if stored is None:
         return firsts
     known = stored.select(key).join(batch.select(key), key, "left_semi")
@@ -93,11 +90,11 @@ def insert_or_ignore(
 
 def upload(
     spark: SparkSession,
-    csv_path: str,
+    csv_path: str | list[str],
     table_path: str,
     names: Mapping[str, str] = FOREIGN_NAMES,
 ) -> int:
-    """Read a landed CSV file and insert it into the raw table."""
+    """Read landed CSV files and insert them into the raw table."""
     return insert_or_ignore(coerce_records(read_csv(spark, csv_path), names), table_path)
 
 
@@ -108,9 +105,9 @@ def load_latest(
     pattern: str = "*.csv",
     names: Mapping[str, str] = FOREIGN_NAMES,
 ) -> int | None:
-    """Insert the newest matching CSV file; None when there is no file."""
-    path = latest_path(spark, directory, pattern)
-    return None if path is None else upload(spark, path, table_path, names)
+    """Insert all files of the newest matching drop; None when there is no file."""
+    paths = latest_drop(spark, directory, pattern)
+    return upload(spark, paths, table_path, names) if paths else None
 
 
 def table_count(table: DataFrame) -> DataFrame:
@@ -123,18 +120,38 @@ def run_query(spark: SparkSession, sql: str, args: Mapping | list, **tables: Dat
 
 
 def stage(
-    spark: SparkSession, path: str, build: Callable[[], DataFrame], resume: bool = True
+    spark: SparkSession,
+    path: str,
+    build: Callable[[], DataFrame],
+    resume: bool = True,
+    key: str = "",
 ) -> DataFrame:
     """Write a stage table unless a finished one exists, then read it back.
 
     The success marker decides, so a half-written table of a broken run is
-    written again.
+    written again.  ``key`` (see ``fingerprint``) names the input the table is made
+    from: another input is another table.
     """
+    path = f"{path}/{key}" if key else path
     if not (resume and path_exists(spark, f"{path}/_SUCCESS")):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def fingerprint(df: DataFrame | None, *settings) -> str:
+    """A short digest of all rows of ``df``, in any order, and of some settings."""
+    facts = None
+    if df is not None:
+        row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+        facts = tuple(
+            df.select(row.alias("h"))
+            .agg(F.count("*"), F.bit_xor("h"), F.sum(F.col("h").cast("decimal(20,0)")))
+            .first()
+        )
+    names = df.columns if df is not None else None
+    return hashlib.sha256(repr((facts, names, settings)).encode()).hexdigest()[:20]
+
+
 def write_vectors(vectors: DataFrame, path: str) -> None:
     """Store vectors next to their key."""
     vectors.write.mode("overwrite").parquet(path)

@@ -13,10 +13,10 @@ from gripelens.sources.tables import FOREIGN_NAMES, coerce_records, insert_or_ig
 
 
 def read_drops(spark: SparkSession, directory: str, schema: StructType) -> DataFrame:
-    """Stream of CSV rows; ``schema`` lists the columns in file order."""
+    """Stream of CSV rows; ``schema`` lists the columns in file order, another header fails."""
     return (
         spark.readStream.schema(schema)
-        .options(header="true", quote='"', escape='"', multiLine="true", encoding="UTF-8")
+        .options(header="true", quote='"', escape='"', multiLine="true", encoding="UTF-8", enforceSchema="false")
         .csv(directory)
     )
 

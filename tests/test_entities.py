@@ -24,6 +24,11 @@ def parse(spark, contents):
         (f"Result: {J}", "malformed", "z"),
         (f"{J} x", "malformed", "z"),
         (f"[{J}]", "failed", None),
+        (f"{J} {J}", "malformed", None),
+        ("{'component':'z'}", "malformed", None),
+        ("12", "failed", None),
+        ("null", "failed", None),
+        ("true", "failed", None),
         ("none", "malformed", None),
         ('{"component":', "malformed", None),
         ("", "malformed", None),
@@ -58,9 +63,9 @@ def test_severity(spark, severity, expected):
     assert row["severity"] == expected and row["sentiment"] == "negative"
 
 
-def test_long_field_is_cut(spark):
+def test_long_field_is_kept(spark):
     row = extraction.entity_rows(parse(spark, ['{"symptom":"' + "x" * 250 + '"}'])).first()
-    assert len(row["symptom"]) == 200
+    assert len(row["symptom"]) == 250
 
 
 def test_formatted_text_with_missing_column_and_null(spark):
@@ -78,8 +83,13 @@ def test_default_lexicon(spark):
         ],
         "feedback_id long, language string, customer_feedback string",
     )
-    got = {r["feedback_id"]: r.asDict() for r in extraction.extract_entities(fb).collect()}
-    assert set(got) == {1, 2}
+    lexicon = extraction.default_lexicon(
+        spark,
+        ["engine overheating", "clutch slipping", "coolant leak"],
+        {"de": {"Autobahnfahrt": "highway driving"}},
+    )
+    got = {r["feedback_id"]: r.asDict() for r in extraction.extract_entities(fb, lexicon).collect()}
+    assert set(got) == {1, 2, 3} and got[3]["component"] == ""
     assert (got[1]["component"], got[1]["failure_mode"]) == ("engine", "overheating")
     assert got[1]["driving_condition"] == "highway driving"
     assert got[2]["symptom"] == "coolant leak" and got[2]["driving_condition"] == ""
@@ -91,7 +101,8 @@ def test_three_word_terms(spark):
         [(1, "en", "bad fuel sensor issue today"), (2, "en", "fuel sensor"), (3, "en", "")],
         "feedback_id long, language string, customer_feedback string",
     )
-    matches = extraction.lexicon_matches(fb, extraction.default_lexicon(spark))
+    lexicon = extraction.default_lexicon(spark, ["fuel sensor issue"])
+    matches = extraction.lexicon_matches(fb, lexicon)
     assert {(r["feedback_id"], r["value"], r["position"]) for r in matches.collect()} == {
         (1, "fuel sensor", 1),
         (1, "issue", 1),
@@ -99,6 +110,19 @@ def test_three_word_terms(spark):
     }
 
 
+def test_terms_are_cut_into_words_like_texts(spark):
+    fb = spark.createDataFrame(
+        [(1, "en", "The START-UP was unsafe"), (2, "en", "front left brake pad, worn"), (3, "en", None)],
+        "feedback_id long, language string, customer_feedback string",
+    )
+    rows = [("Start-up", None, "symptom", "start", 1), ("front left brake pad", None, "component", "pad", 1)]
+    lexicon = spark.createDataFrame(rows, extraction.LEXICON_DDL)
+    both = lexicon.union(extraction.default_lexicon(spark))
+    got = {r["feedback_id"]: r.asDict() for r in extraction.extract_entities(fb, both).collect()}
+    assert (got[1]["symptom"], got[1]["severity"]) == ("start", "critical")
+    assert got[2]["component"] == "pad" and got[3]["severity"] == "medium"
+
+
 def test_completion_hook_retries_and_gives_up(spark):
     def call(prompt: str) -> str:
         import threading

@@ -1,12 +1,11 @@
 from __future__ import annotations
 
-import datetime
 import os
 
 from pyspark.sql import functions as F
 
 from gripelens.schemas import RAW_FEEDBACK
-from gripelens.sources import csv, files, generator, tables
+from gripelens.sources import csv, files, tables
 from gripelens.streaming import ingest
 
 NAMES = [f.name for f in RAW_FEEDBACK.fields]
@@ -104,23 +103,29 @@ def test_query_parameters(spark):
     assert tables.table_count(df).first()["count"] == 2
 
 
-def test_generator_draws(spark):
-    df = generator.synthetic_feedback(spark, 4000).cache()
-    assert df.count() == 4000 and df.columns == NAMES
-    again = generator.generate_feedback(spark.range(4000).repartition(7))
-    assert df.drop("timestamp").exceptAll(again.drop("timestamp")).count() == 0
-    first = df.orderBy("feedback_id").first()
-    assert first["feedback_id"] == "FB000001"
-    for column, size in (("language", 8), ("vehicle_model", 6), ("domain", 3), ("country", 7)):
-        counts = [r["count"] for r in df.groupBy(column).count().collect()]
-        assert len(counts) == size and min(counts) > 0.7 * 4000 / size
-    low, high = df.agg(F.min("mileage"), F.max("mileage")).first()
-    assert 100 <= low < 400 and 49_700 < high <= 50_000
-    assert df.filter(F.col("customer_feedback").rlike(r"[{}]")).count() == 0
-    age = df.select(F.min(F.to_timestamp("timestamp")).alias("t")).first()["t"]
-    assert datetime.datetime.now() - age < datetime.timedelta(days=92)
-    wide = generator.generate_feedback(spark.createDataFrame([(12_345_678,)], "id long"))
-    assert wide.first()["feedback_id"] == "FB12345679"
+def test_stages_are_keyed_by_their_input(spark, tmp_path):
+    path, one, two = str(tmp_path / "s"), spark.range(3), spark.range(4)
+    for df in (one, two, one.repartition(2)):
+        assert tables.stage(spark, path, lambda: df, key=tables.fingerprint(df)).count() == df.count()
+    assert tables.fingerprint(one) == tables.fingerprint(one.repartition(2)) != tables.fingerprint(one, 1)
+    assert len(os.listdir(path)) == 2
+
+
+def test_newest_drop_is_read_whole_and_by_each_header(spark, tmp_path):
+    old, new = tmp_path / "old.csv", tmp_path / "two words"
+    old.write_text("feedback_id,language\n9,en\n")
+    os.utime(old, (100, 100))
+    new.mkdir()
+    (new / "a.csv").write_text("feedback_id,language\n1,de\n")
+    (new / "b.csv").write_text("language,feedback_id,more\nfr,2,x\n")
+    paths = files.latest_drop(spark, str(tmp_path), "*.csv")
+    assert len(paths) == 2
+    got = csv.read_csv(spark, str(new), csv.text_schema("feedback_id", "language")).collect()
+    assert sorted(got) == [("1", "de"), ("2", "fr")]
+    parts = str(tmp_path / "landing" / "x")
+    csv.write_csv(spark.range(40).repartition(4), parts)
+    assert len(files.latest_drop(spark, parts, "*.csv")) == 4
+    assert files.latest_drop(spark, str(tmp_path), "*.none") == []
 
 
 def test_stream_inserts_each_file_once(spark, tmp_path):
