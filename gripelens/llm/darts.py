@@ -296,7 +296,7 @@ def links(buckets: DataFrame, units: DataFrame, threshold: float, pivots: int =
         if turn < MAIN_TURNS:
             pairs, done = _main_tries(member, threshold, turn), None
         else:
-            width = pivots << (turn - MAIN_TURNS)
+            width = pivots << (2 * (turn - MAIN_TURNS))
             pivot = materialise(_outside_pivots(member, width, turn), "pivots")
             pairs = (
                 member.join(pivot, "band")
