@@ -29,12 +29,22 @@ ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: What may be a value; the kinds are told apart by the same parts.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-SECRET = r"(?i:password|passwd|pwd|secret|token|api_?key)[=:][^\s\"',;]+"
+#: A name, perhaps in quotes, a sign with blanks around it, and the quote that opens the
+#: value, if any.  After a colon and a blank a bare value needs a digit, else it is prose.
+SECRET_NAME = (
+    r"(?i:password|passwd|pwd|secret|token|api_?key)(?:[\"']\]?)?"
+    r"(?:[ \t]*+(?::?=++>?|:)[ \t]*+(?:\"\"\"|'{3}|[\"'])|[ \t]*+:?=++>?[ \t]*+(?![\"'])"
+    r"|:(?![\"' \t])|[ \t]*+:[ \t]*+(?=[^\s\"',;0-9]*+[0-9]))"
+)
+#: A quoted value ends with its quote, which a backslash can escape.
+SECRET = rf"{SECRET_NAME}(?:(?=\S)(?:" + "|".join(
+    rf"(?<={q})(?:[^{q}\\\r\n]|\\.)++(?={q})" for q in ('"', "'")
+) + r")|[^\s\"',;]+)"
 CLOUD_KEY = r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
-HEX_KEY = r"[0-9a-f]{32,}(?![0-9A-Za-z])"
+HEX_KEY = r"[0-9A-Fa-f]{32,}(?![0-9A-Za-z])"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
 ADDRESS = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])"
-ISO_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])"
+ISO_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-SU-Ya-su-z-]|[Tt](?![0-9])|Z[0-9A-Za-z])"
 DATE = r"[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![0-9A-Za-z])"
 SOCIAL = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 PHONE = (
@@ -45,10 +55,20 @@ PHONE = (
 CARD = (
     r"(?:(?:[0-9]{4}[ -]){3}[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z])"
 )
-#: ``DATE`` comes first: its separator is group 1.
-VALUE = "(?<![A-Za-z0-9])(?:" + "|".join(
-    (DATE, EMAIL, SECRET, CLOUD_KEY, HEX_KEY, IBAN, ADDRESS, ISO_DATE, SOCIAL, PHONE, CARD)
-) + ")"
+#: ``DATE`` comes first: its separator is group 1.  IBANs go between the two parts: a
+#: text's own ones, since only their check tells where they end.
+BEFORE_IBAN = "(?<![A-Za-z0-9])(?:" + "|".join((DATE, EMAIL, SECRET, CLOUD_KEY, HEX_KEY))
+AFTER_IBAN = "|" + "|".join((ADDRESS, ISO_DATE, SOCIAL, PHONE, CARD)) + ")"
+
+#: Lengths of the countries' IBANs.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU",
+}
+_COUNTRIES = {c: n for n, names in IBAN_LENGTHS.items() for c in names.split()}
 
 
 def _digits(value: Column) -> Column:
@@ -180,6 +200,32 @@ def _iban(value: Column, key: str) -> Column:
     return let(F.regexp_replace(value, " ", ""), replaced)
 
 
+def _ibans(text: Column) -> Column:
+    """The distinct IBANs of a text, longest first.
+
+    What follows a number may look like more of it, so of each place's longest match
+    all prefixes that end with a group are tried: the one of the country's length
+    first, then from the longest on.  Places overlap, so none hides another.
+    """
+    lengths = F.create_map(*[F.lit(x) for item in _COUNTRIES.items() for x in item])
+
+    def valid(longest: Column) -> Column:
+        def prefixes(groups: Column) -> Column:
+            ends = F.sequence(F.size(groups), F.lit(1), F.lit(-1))
+            cut = F.transform(ends, lambda n: F.array_join(F.slice(groups, 1, n), " "))
+            good = F.filter(cut, lambda p: p.rlike(f"^{IBAN}$") & (_mod97(F.replace(p, F.lit(" "))) == 1))
+            usual = lengths[F.substring(longest, 1, 2)]
+            own = F.filter(good, lambda p: F.length(F.replace(p, F.lit(" "))) == usual)
+            return F.coalesce(F.get(own, F.lit(0)), F.get(good, F.lit(0)))
+
+        return let(F.split(longest, " "), prefixes)
+
+    places = F.regexp_extract_all(text, F.lit(f"(?=({IBAN}))(?<![A-Za-z0-9])"), F.lit(1))
+    found = F.filter(F.transform(F.array_distinct(places), valid), lambda p: p.isNotNull())
+    order = F.transform(F.array_distinct(found), lambda p: F.struct(-F.length(p), p.alias("iban")))
+    return F.array_sort(order)["iban"]
+
+
 def _address(value: Column, key: str) -> Column:
     def replaced(o: Column) -> Column:
         number = [o[i].cast("long") for i in range(4)]
@@ -247,14 +293,33 @@ def _phone(value: Column, key: str) -> Column:
 
 
 def pseudonym(value: Column, key: str) -> Column:
-    """The pseudonym of one found value; values that fail their check stay."""
+    """The pseudonym of one found value; values that fail their check stay.
+
+    A secret that is a value of another kind gets the pseudonym of that kind.
+    """
+
+    def named(name: Column) -> Column:
+        def replaced(own: Column) -> Column:
+            secret = permuted(own, key, "secret")
+            return let(
+                _of_kind(own, key),
+                lambda made: F.concat(name, F.when((name != "") & (made == own), secret).otherwise(made)),
+            )
+
+        return let(F.substr(value, F.length(name) + 1), replaced)
+
+    return let(F.regexp_extract(value, f"^{SECRET_NAME}", 0), named)
+
+
+def _of_kind(value: Column, key: str) -> Column:
+    """The pseudonym of a value that is no secret by its name; others stay."""
     whole = lambda pattern: value.rlike(f"^(?:{pattern})$")
-    local, name = F.substring_index(value, "@", 1), F.regexp_extract(value, "^[^=:]*[=:]", 0)
+    local = F.substring_index(value, "@", 1)
+    hexed = permuted(F.when(value == F.upper(value), F.lower(value)).otherwise(value), key, "hex", 6)
     return (
         F.when(whole(EMAIL), F.concat(permuted(local, key, "mail"), F.lit("@"), F.substring_index(value, "@", -1)))
-        .when(whole(SECRET), F.concat(name, permuted(F.substr(value, F.length(name) + 1), key, "secret")))
         .when(whole(CLOUD_KEY), F.concat(F.lit("AKIA"), permuted(F.substr(value, F.lit(5)), key, "cloud")))
-        .when(whole(HEX_KEY), permuted(value, key, "hex", 6))
+        .when(whole(HEX_KEY), F.when(value == F.upper(value), F.upper(hexed)).otherwise(hexed))
         .when(whole(IBAN), _iban(value, key))
         .when(whole(ADDRESS), _address(value, key))
         .when(whole(ISO_DATE), _dated(value, ("yyyy-MM-dd",), key))
@@ -267,13 +332,26 @@ def pseudonym(value: Column, key: str) -> Column:
     )
 
 
+def _pattern(text: Column) -> Column:
+    """The pattern of all values of a text: the fixed ones and the text's own IBANs."""
+
+    def whole(ibans: Column) -> Column:
+        own = F.concat(F.lit("|(?:"), F.array_join(ibans, "|"), F.lit(")(?![0-9A-Za-z])"))
+        return F.concat(F.lit(BEFORE_IBAN), F.when(F.size(ibans) > 0, own).otherwise(""), F.lit(AFTER_IBAN))
+
+    return let(_ibans(text), whole)
+
+
 def pseudonymised(text: Column, key: str) -> Column:
     """Struct of the text with its values replaced and the number of changed values.
 
     A null text stays null with no values.
     """
 
-    def joined(found: Column) -> Column:
+    def with_pattern(pattern: Column) -> Column:
+        return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: joined(found, pattern))
+
+    def joined(found: Column, pattern: Column) -> Column:
         def with_rest(rest: Column) -> Column:
             def with_names(names: Column) -> Column:
                 pieces = F.transform(
@@ -284,11 +362,11 @@ def pseudonymised(text: Column, key: str) -> Column:
 
             return let(F.transform(found, lambda v: pseudonym(v, key)), with_names)
 
-        return let(F.split(text, VALUE, -1), with_rest)
+        return let(F.split(text, pattern, -1), with_rest)
 
     plain = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
-    may = text.rlike("[0-9@=:]")
-    return F.when(may, let(F.regexp_extract_all(text, F.lit(VALUE), F.lit(0)), joined)).otherwise(plain)
+    may = text.rlike("[0-9@=:]|AKIA")
+    return F.when(may, let(_pattern(text), with_pattern)).otherwise(plain)
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
