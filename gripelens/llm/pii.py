@@ -19,6 +19,8 @@ check are ordinary numbers and stay.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +81,16 @@ def _digest(key: str, label: str, turn: Column, other: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(label), turn.cast("string"), other.cast("string")), 512)
 
 
+def _by_class(c: Column, inside: Callable[[int, int], Column], letters: int) -> Column:
+    """A character moved by ``inside(first, size)`` of its class; others stay."""
+    return (
+        F.when(c.rlike("^[0-9]$"), inside(48, 10))
+        .when(c.rlike("^[a-z]$"), inside(97, letters))
+        .when(c.rlike("^[A-Z]$"), inside(65, letters))
+        .otherwise(c)
+    )
+
+
 def _shifted(half: Column, digest: Column, letters: int) -> Column:
     """Each character moved inside its class by two hexadecimal digits of the digest."""
 
@@ -88,17 +100,23 @@ def _shifted(half: Column, digest: Column, letters: int) -> Column:
         def inside(first: int, size: int) -> Column:
             return F.char(F.pmod(F.ascii(c) - first + by, F.lit(size)) + first)
 
-        return (
-            F.when(c.rlike("^[0-9]$"), inside(48, 10))
-            .when(c.rlike("^[a-z]$"), inside(97, letters))
-            .when(c.rlike("^[A-Z]$"), inside(65, letters))
-            .otherwise(c)
-        )
+        return _by_class(c, inside, letters)
 
     chars = F.filter(F.split(half, ""), lambda c: c != "")
     return F.array_join(F.transform(chars, moved), "")
 
 
+def _turned(c: Column, key: str, label: str, letters: int) -> Column:
+    """One character moved inside its class by an amount drawn for key, label and class."""
+
+    def inside(first: int, size: int) -> Column:
+        drawn = F.conv(F.substring(_digest(key, label, F.lit("one"), F.lit(first)), 1, 12), 16, 10).cast("long")
+        by = F.pmod(drawn, F.lit(size - 1)) + 1
+        return F.char(F.pmod(F.ascii(c) - first + by, F.lit(size)) + first)
+
+    return _by_class(c, inside, letters)
+
+
 def permuted(value: Column, key: str, label: str, letters: int = 26) -> Column:
     """Feistel permutation of the digits and letters of a string, class by class.
 
@@ -115,7 +133,7 @@ def permuted(value: Column, key: str, label: str, letters: int = 26) -> Column:
 
     turns = F.sequence(F.lit(0), F.lit(ROUNDS - 1))
     long = F.aggregate(turns, start, turn, lambda s: F.concat(s["l"], s["r"]))
-    return F.when(F.length(value) > 1, long).otherwise(_shifted(value, F.lit("01" * 64), letters))
+    return F.when(F.length(value) > 1, long).otherwise(_turned(value, key, label, letters))
 
 
 def permuted_pair(a: Column, b: Column, sizes: tuple[int, int], key: str, label: str) -> Column:

@@ -316,6 +316,18 @@ def test_permutations(spark):
     assert days.select(pair.alias("p")).distinct().count() == 189 * 773
 
 
+def test_single_characters_are_shifted_by_the_key(spark):
+    chars = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = [f"key {i}" for i in range(12)]
+    table = spark.createDataFrame([(c,) for c in chars], "c string")
+    rows = table.select("c", *[pii.permuted(F.col("c"), k, "t").alias(k) for k in keys]).collect()
+    for k in keys:
+        made = {r.c: r[k] for r in rows}
+        assert sorted(made.values()) == sorted(chars) and all(c != m for c, m in made.items())
+        assert all(c.isdigit() == m.isdigit() and c.islower() == m.islower() for c, m in made.items())
+    assert all(len({r[k] for k in keys}) > 3 for r in rows)
+
+
 def test_pseudonyms_of_odd_rows(odd):
     out = pii.pseudonymise(odd, "k")
     assert out.columns == odd.columns
