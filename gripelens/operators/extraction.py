@@ -145,23 +145,43 @@ def entity_rows(
     )
 
 
+def all_entity_rows(
+    parsed: DataFrame, key: str = "feedback_id", confidence: float = ENTITY_CONFIDENCE
+) -> DataFrame:
+    """``entity_rows`` of parsed answers with their ``parse_status``, no row left out.
+
+    A row without a result has the default entity, with confidence 0.
+    """
+    found = F.col("entity").isNotNull()
+    nothing = F.struct(*[F.lit(None).cast("string").alias(f) for f in ENTITY_FIELDS])
+    return parsed.select(
+        key, "parse_status", found.alias("_found"), valid_entity(F.coalesce("entity", nothing)).alias("_e")
+    ).select(
+        key, "_e.*", F.when(F.col("_found"), float(confidence)).otherwise(0.0).alias("confidence"), "parse_status"
+    )
+
+
 def extract_entities(
     df: DataFrame,
     lexicon: DataFrame | None = None,
     text: str = "customer_feedback",
     key: str = "feedback_id",
     call: Callable[[str], str] | None = None,
+    every_row: bool = False,
 ) -> DataFrame:
     """Structured entities of each feedback row.
 
     With ``call`` the rows are put to a completion hook and its answers parsed;
-    otherwise the lexicon decides.
+    otherwise the lexicon decides.  The lexicon gives every row an entity; rows whose
+    calls fail or whose answer holds no entity are left out, unless ``every_row``
+    keeps them all, as ``all_entity_rows`` does.
     """
     if call is None:
         return entity_rows(extract_with_lexicon(df, lexicon, text, key), key)
     prompts = df.select(key, extraction_prompt(F.col(text), F.col("language")).alias("_prompt"))
     answers = complete(prompts, "_prompt", call).drop("_prompt")
-    return entity_rows(parse_answers(answers, "content"), key)
+    rows = all_entity_rows if every_row else entity_rows
+    return rows(parse_answers(answers, "content"), key)
 
 
 def extraction_statistics(parsed: DataFrame) -> DataFrame:

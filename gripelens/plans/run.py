@@ -76,6 +76,8 @@ def analyse(
     Tables are written under ``root``.  With ``resume`` the stages up to the
     reduced vectors are skipped when their table is complete and was made from the
     same rows, lexicon and settings; clustering, merging and labelling always run.
+    Rows whose completion fails keep a default entity and their ``parse_status`` and go
+    through all stages; filter ``structured_entities`` to find them.
     Hooks are told apart by their names alone.  Ids that are numbers are ordered as
     numbers.
     """
@@ -84,7 +86,7 @@ def analyse(
 
     names = [getattr(h, "__qualname__", str(h)) for h in (hooks.entity, hooks.encoder)]
     words = fingerprint(lexicon)
-    key = fingerprint(raw, words, settings.dimension, settings.components, names)
+    key = fingerprint(raw, words, settings.dimension, settings.components, names, "every row")
 
     def keep(name: str, build: Callable[[], DataFrame], again: bool = False) -> DataFrame:
         return stage(spark, f"{root}/{name}", build, resume and not again, key)
@@ -95,7 +97,8 @@ def analyse(
     stored = spark.read.parquet(raw_path)
     cleaned = keep("cleaned_feedback", lambda: clean_feedback(raw, order=F.struct(number, "feedback_id")))
     entities = keep(
-        "structured_entities", lambda: extract_entities(cleaned, lexicon, call=hooks.entity)
+        "structured_entities",
+        lambda: extract_entities(cleaned, lexicon, call=hooks.entity, every_row=True),
     )
     formatted = keep("formatted_entities", lambda: format_entities(entities))
     vectors = keep(

@@ -143,6 +143,35 @@ def test_completion_hook_retries_and_gives_up(spark):
     assert none.filter("content IS NOT NULL").count() == 0
 
 
+def test_no_row_is_lost_by_failed_answers(spark, tmp_path, monkeypatch):
+    from gripelens.plans import run
+    from gripelens.sources.tables import coerce_records
+
+    def call(prompt: str) -> str:
+        if "bad" in prompt:
+            raise RuntimeError("down")
+        return "no idea" if "odd" in prompt else '{"component":"c"}'
+
+    texts = ["a good complaint here", "a bad complaint here", "an odd complaint here"]
+    rows = [(str(i), "en", t, "x", "x", "x", "x") for i, t in enumerate(texts)]
+    names = ["feedback_id", "language", "customer_feedback", "timestamp", "vehicle_model", "domain", "country"]
+    raw = coerce_records(spark.createDataFrame(rows, names))
+    want = {"0": ("c", "medium", 0.95, "success"), "1": ("", "medium", 0.0, "failed"), "2": ("", "medium", 0.0, "malformed")}
+    shown = lambda df: {r[0]: (r.component, r.severity, r.confidence, r.parse_status) for r in df.collect()}
+    assert shown(extraction.extract_entities(raw, call=call, every_row=True)) == want
+
+    class Reached(Exception):
+        pass
+
+    def embedded(formatted, **_):
+        raise Reached(shown(formatted))
+
+    monkeypatch.setattr(run, "embed_texts", embedded)
+    with pytest.raises(Reached) as reached:
+        run.analyse(raw, str(tmp_path / "run"), hooks=run.Hooks(entity=call))
+    assert reached.value.args[0] == want
+
+
 def test_embedding_hook(spark):
     from gripelens.operators.embedding import embed_texts
 
