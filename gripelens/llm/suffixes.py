@@ -17,8 +17,9 @@ that equal strings always meet:
    number of bytes; a gram with more is cut into several shards.  Each shard sorts
    its suffixes by Larsson-Sadakane refinement, takes common prefixes by Kasai's rule
    and learns which of its strings start earlier in it.
-5. Shards of one gram are merged by binary search: the sorted distinct strings of
-   one are looked up in the sorted strings of the others.
+5. For grams with several shards, the MD5 digest and place of every string are listed
+   and the smallest place of each digest is joined to the others.  This alone decides
+   the matches of such a gram, within its shards too; there is no binary search.
 
 Results come back as spans per document; the text is joined to them once more to be
 cut.  A document id must name one text: repeated rows of the same id and text count
