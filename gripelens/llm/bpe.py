@@ -4,12 +4,14 @@ A merge list decides how far to the right of a token boundary the text can still
 change it: a merge (u, v) can only be prevented from the right when a symbol on
 the right edge of v is taken by an earlier merge with what follows, which in turn
 depends on thefts further right by still earlier merges.  ``lookahead`` sums the
-longest such chain.  A piece of text is therefore encoded through a buffer:
-tokens whose end lies at least that many characters before the buffer's end are
-final and are sent out, the rest stays.  Memory is constant for any text length.
+longest such chain.  A pre-token of more than 48 bytes is therefore encoded through
+a buffer: tokens whose end lies at least that many characters before the buffer's
+end are final and are sent out, the rest stays.  Shorter ones are merged whole, many
+at once, and cached.  The text and its waiting chunks are held besides.
 
 Text is read in blocks cut at blanks, where no token can cross.  The decoder
-takes one token at a time and keeps at most the bytes of an unfinished character.
+takes one token at a time and keeps at most the bytes of an unfinished character;
+``decode_tokens`` uses it, ``encode_digests`` joins the token strings by blanks.
 
 The vocabulary is a tokenizer file in the public JSON layout; it is read on the
 driver and handed to the tasks (a few MB, independent of the data).
