@@ -96,11 +96,11 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def export_report(labels: DataFrame, path: str) -> None:
-    """Write the label report as a single CSV file, in cluster order.
+    """Write the label report as CSV part files, each a sorted range of cluster ids.
 
-    Only for the label table: it has one row per cluster with one cut-off text.
+    The part files, in order of their names, are in cluster order.
     """
-    write_csv(labels.orderBy("cluster_id").coalesce(1), path)
+    write_csv(labels.orderBy("cluster_id"), path)
 
 
 def rename_present(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:

@@ -128,3 +128,26 @@ def test_silhouette_matches_the_definition(spark):
     )
     got = quality.silhouette(df, vec).first()["silhouette"]
     assert got == pytest.approx(np.mean(scores), abs=1e-6)
+
+
+def test_silhouette_of_many_clusters_stays_in_spark(spark, monkeypatch):
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    monkeypatch.setattr(ClusteringEvaluator, "_evaluate", None)
+    rng = np.random.default_rng(6)
+    ids = np.array([*rng.integers(0, 9, 80), 50, -1, -1])
+    ids[:3] = 8
+    x = rng.normal(size=(len(ids), 4)) + ids[:, None] % 5
+    x[0] = x[1] = x[2]
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    scores = []
+    for i in np.flatnonzero(ids != -1):
+        n = (ids == ids[i]).sum()
+        own = d[i, ids == ids[i]].sum() / max(n - 1, 1)
+        other = min(d[i, ids == c].mean() for c in set(ids.tolist()) - {ids[i], -1})
+        scores.append(0 if n == 1 else (other - own) / max(own, other))
+    vec = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "feedback_id long, embedding array<float>")
+    got = quality.silhouette(clusters(spark, ids.tolist()), vec).first()["silhouette"]
+    assert got == pytest.approx(np.mean(scores), abs=1e-5)
+    alone = clusters(spark, [3, -1])
+    assert quality.silhouette(alone, vec).first()["silhouette"] is None

@@ -51,6 +51,20 @@ def test_coerce_records(spark):
     assert mapped.first()["customer_feedback"] == "only text"
 
 
+def test_report_is_written_in_sorted_parts(spark, tmp_path):
+    path, name = str(tmp_path / "report"), "spark.sql.adaptive.coalescePartitions.enabled"
+    ids = [(i * 37) % 500 for i in range(500)]
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        csv.export_report(spark.createDataFrame([(i, f"l{i}") for i in ids], "cluster_id int, label string"), path)
+    finally:
+        spark.conf.set(name, before)
+    parts = sorted(p for p in (tmp_path / "report").iterdir() if p.name.startswith("part-"))
+    rows = [[int(line.split(",")[0]) for line in p.read_text().splitlines()[1:]] for p in parts]
+    assert len([r for r in rows if r]) > 1 and sum(rows, []) == list(range(500))
+
+
 def test_csv_keeps_text_and_reads_null_tokens(spark, tmp_path):
     values = ['say "hi", ok', "two\nlines", "  padded  ", "NA", "None", None, "back\\slash", "é, ü"]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, t string")
