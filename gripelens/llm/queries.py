@@ -17,6 +17,7 @@ from gripelens.llm import (
     sharding,
     suffixes,
     toxicity,
+    trie,
     winnowing,
 )
 
@@ -91,6 +92,21 @@ def op10_dart_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return darts.classes(_table(spark, sf, "documents")).select("doc_id", "class_id")
 
 
+def op11_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
+    turns, lengths = trie.grafted(trie.ordered_turns(_table(spark, sf, "conversations")))
+    nodes, ends = trie.prefix_trie(turns, lengths)
+    return nodes.join(trie.member_digests(ends), "key", "left").select(
+        "conv_id",
+        "depth",
+        "parent_conv_id",
+        "n_convs",
+        "n_children",
+        "n_leaves",
+        "saved_tokens",
+        F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -104,6 +120,7 @@ QUERIES: dict[str, Query] = {
         op8_suffix_arrays,
         op9_extendible_shards,
         op10_dart_minhash,
+        op11_conversation_trie,
     )
 }
 
@@ -155,5 +172,58 @@ WITH a AS (
   FROM a JOIN fits ON substr(address, 1, d) = bucket GROUP BY doc_id, n_bytes
 )
 SELECT doc_id, n_bytes, shard, depth, shard_bytes, shard_bytes > {sharding.SHARD_BYTES} AS oversized FROM chosen
+""",
+    "op11_conversation_trie": """
+WITH t AS (
+  SELECT conv_id::BIGINT AS conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id
+                            ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), sizes AS (
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS giver,
+         xor(list_reduce(
+           flatten([[ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[] FOR c IN string_split(conv_id::VARCHAR, '')]),
+           lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) ELSE xor(acc >> 1, 3988292384 * (acc & 1)) END,
+           4294967295::BIGINT), 4294967295) % 9 AS h
+  FROM t GROUP BY conv_id
+), grafts AS (
+  SELECT s.conv_id, s.giver, s.h, least(s.h, coalesce(g.n, 0)) AS taken
+  FROM sizes s LEFT JOIN sizes g ON g.conv_id = s.giver
+), rebuilt AS (
+  SELECT f.conv_id, place + 1 AS depth, role, text
+  FROM grafts f JOIN t ON t.conv_id = f.giver AND place < taken
+  UNION ALL
+  SELECT f.conv_id, place - h + taken + 1, role, text FROM grafts f JOIN t USING (conv_id) WHERE place >= h
+), members AS (
+  SELECT conv_id, depth, strlen(text) AS n_bytes,
+         md5(string_agg(md5(strlen(role) || ':' || role || text), '')
+             OVER (PARTITION BY conv_id ORDER BY depth)) AS key
+  FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, 'root' FROM sizes
+), linked AS (
+  SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY depth) AS parent,
+         depth = max(depth) OVER (PARTITION BY conv_id) AS last
+  FROM members
+), nodes AS (
+  SELECT key, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(parent) AS parent,
+         count(*) AS n_convs, any_value(n_bytes) AS n_bytes,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+  FROM linked GROUP BY key
+), children AS (
+  SELECT parent AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent
+), known AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (key)
+), below AS (
+  SELECT DISTINCT a.key, b.key AS node
+  FROM members a JOIN members b ON a.conv_id = b.conv_id AND a.depth <= b.depth
+), totals AS (
+  SELECT below.key, count(*) FILTER (WHERE n_children = 0) AS n_leaves,
+         sum((n_convs - 1) * n_bytes) AS saved_tokens
+  FROM below JOIN known ON known.key = node GROUP BY below.key
+)
+SELECT k.conv_id, k.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, k.n_convs::BIGINT AS n_convs,
+       k.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens,
+       k.ends_sha256
+FROM known k JOIN totals USING (key) LEFT JOIN nodes p ON p.key = k.parent
 """,
 }
