@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gripelens.llm import (
+    align,
     bpe,
     darts,
     lattice,
+    licenses,
     pii,
     quality,
     quality_rules,
@@ -107,6 +109,28 @@ def op11_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return align.alignment_counts(
+        _table(spark, sf, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model")
+    )
+
+
+def op13_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = licenses.scanned(_table(spark, sf, "documents"))
+    base, met = F.col("places.label"), F.col("blocks.label")
+    joined = {n: F.array_join(F.array_sort(F.array_distinct(c)), ",") for n, c in (("base", base), ("all", F.concat(base, met)))}
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.at").cast("long").alias("first_word"),
+        F.array_max("places.at").cast("long").alias("last_word"),
+        joined["base"].alias("base_labels"),
+        joined["all"].alias("labels"),
+        "score",
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -121,12 +145,18 @@ QUERIES: dict[str, Query] = {
         op9_extendible_shards,
         op10_dart_minhash,
         op11_conversation_trie,
+        op12_token_alignment,
+        op13_license_scan,
     )
 }
 
 _PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_PHRASES = ", ".join(f"('{label}', '{phrase}')" for label, phrase in licenses.PHRASES.items())
+_TEMPLATES = ", ".join(f"('{label}', '{text}')" for label, text in licenses.TEMPLATES)
+_BLOCK, _STRIDE = licenses.BLOCK, licenses.STRIDE
+
 SQL: dict[str, str] = {
     "op7_winnowing": rf"""
 WITH d AS (
@@ -225,5 +255,34 @@ SELECT k.conv_id, k.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, k.n_con
        k.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens,
        k.ends_sha256
 FROM known k JOIN totals USING (key) LEFT JOIN nodes p ON p.key = k.parent
+""",
+    "op13_license_scan": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({_LOWER}, '{_PLAIN}'), []) AS w FROM documents
+), phrases AS (
+  SELECT label, string_split(phrase, ' ') AS p FROM (VALUES {_PHRASES}) v(label, phrase)
+), places AS (
+  SELECT r, label, spot FROM (SELECT r, w, unnest(range(len(w))) AS spot FROM d), phrases
+  WHERE w[spot + 1] = p[1] AND list_slice(w, spot + 1, spot + len(p)) = p
+), base AS (
+  SELECT r, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, list(DISTINCT label) AS found
+  FROM places GROUP BY r
+), templates AS (
+  SELECT label, list_distinct(regexp_extract_all({_LOWER}, '{_PLAIN}')) AS t FROM (VALUES {_TEMPLATES}) v(label, text)
+), blocks AS (
+  SELECT r, list_distinct(list_slice(w, spot + 1, spot + {_BLOCK})) AS b
+  FROM (SELECT r, w, unnest(range(0, greatest(len(w) - {_BLOCK}, 0) + {_STRIDE}, {_STRIDE})) AS spot FROM d)
+), shares AS (
+  SELECT r, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks, templates
+), met AS (
+  SELECT r, max(share) AS best, list(DISTINCT label) AS found FROM shares
+  WHERE share >= {licenses.CONTAINED} - 1e-9 GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word,
+       coalesce(array_to_string(list_sort(base.found), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(base.found, met.found))), ','), '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN met USING (r)
 """,
 }
