@@ -1,41 +1,56 @@
-"""Distance searches over vectors cut into cells around pivot points.
-
-Every point belongs to the cell of its nearest pivot.  The triangle inequality
-tells which cells can hold anything within a query's radius, so a query is sent
-to those cells only; nothing within the radius is missed.  Inside a cell,
-queries and points are cut into chunks of bounded size and each pair of chunks
-is one task-sized block of numpy distances, so a cell that holds a third of all
-points is just more blocks.
+"""Exact distance searches over vectors in a tree of cells that Spark tables hold.
+
+A cell with more points than a task should hold is split around at most ``FAN`` of its
+own points, drawn by hash: each point goes to the nearest of these pivots.  Cells are
+split round by round until all are small, so their number grows with the points and
+their size does not.  Points of a leaf cell are packed into one row; the pivot, the
+size and the distances from pivot to points are a table of cells.  Nothing of either
+is on the driver.
+
+A search starts with the pair (root, root) and replaces a pair of cells by the pairs of
+their children, level by level.  The triangle inequality gives the least distance that
+points of two cells can have; pairs beyond the needed radius are dropped, as are pairs
+of cells whose points all carry the same mark.  Only the packed rows of the leaf pairs
+that are left are joined and compared.  Few points are one leaf, the root itself.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from gripelens.session import materialise
-
-CELL_TARGET = 1024
-MIN_CELLS, MAX_CELLS = 16, 2048
-BLOCK_ROWS = 2048
+from gripelens.session import materialise, materialise_with
+
+FAN = 64
+# Rows and bytes of vectors that a leaf cell holds at most.
+CELL_ROWS = 2048
+CELL_BYTES = 2 << 20
+# Points of a cell that one task splits.
+PART_ROWS = 8192
+# Leaf cells that meet a cell in one task.
+PARTNERS = 16
+# Distances that are held at once.
+SLICE = 1 << 20
 PAIR_SLICE = 1 << 17
-# Up to this many points pruning costs more than it saves.
-VISIT_ALL = 8192
-# Rows of a batch that are held against all pivots at once.
-PIVOT_SLICE = 1024
+ROOT = "0"
+
+_CELL = "cell string, parent string, n long, low double, high double, pivot_id {kind}, pivot array<double>"
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """A list column as an (n, d) array."""
+    """A column of lists of one length as an (n, d) array."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    sizes = np.unique(np.diff(column.offsets.to_numpy()))
+    if len(sizes) > 1 or column.null_count or np.isnan(flat).any():
+        raise ValueError("vectors must have one length and no nulls")
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
@@ -65,232 +80,370 @@ def slack(a: np.ndarray, b: np.ndarray) -> float:
     return 1e-12 * (1.0 + largest) * max(a.shape[1], 1)
 
 
-def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of bounded length, so that rows times pivots stay small."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, PIVOT_SLICE):
-            yield batch.slice(start, PIVOT_SLICE)
+def slices(rows: int, width: int) -> Iterator[slice]:
+    """Pieces of ``rows`` whose product with ``width`` stays small."""
+    step = max(1, SLICE // max(width, 1))
+    for start in range(0, rows, step):
+        yield slice(start, start + step)
 
 
-@dataclass
-class CellIndex:
-    """Points with their cell, and the few facts about cells that fit a driver.
+def smallest_per_row(rows: np.ndarray, keys: list[np.ndarray], count: int) -> np.ndarray:
+    """Positions of the ``count`` smallest entries of each row, by ``keys``."""
+    order = np.lexsort([*reversed(keys), rows])
+    ordered = rows[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    lengths = np.diff(np.concatenate([starts, [len(ordered)]]))
+    place = np.arange(len(ordered)) - np.repeat(starts, lengths)
+    return order[place < count]
 
-    There are at most ``MAX_CELLS`` pivots whatever the number of points.
-    """
 
-    points: DataFrame
-    pivots: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-    size: np.ndarray
+# The tree -------------------------------------------------------------------
+
+
+@dataclass
+class CellTree:
+    """Points by leaf cell, and the facts of all cells, as tables.
+
+    ``packed``: (cell, ids, vecs, away, bound), one row for each leaf cell, its points by
+    id and their vectors in a row.  ``away`` is a point's distance to the pivot of its
+    cell, ``bound`` one within which it has ``near`` others (infinite if unknown).
+    ``cells``: (cell, parent, n, low, high, pivot_id, pivot) of all cells but the root;
+    all points of a cell are between ``low`` and ``high`` from its pivot.
+    """
 
-    @property
-    def total(self) -> int:
-        return int(self.size.sum())
+    packed: DataFrame
+    cells: DataFrame
+    kind: str
+    split: bool
 
-    @property
-    def small(self) -> bool:
-        return self.total <= VISIT_ALL
 
-    @property
-    def used(self) -> np.ndarray:
-        return np.flatnonzero(self.size)
+def cell_rows(dim: int) -> int:
+    """Points that a leaf cell of vectors of this length may hold."""
+    return max(min(CELL_ROWS, CELL_BYTES // (8 * max(dim, 1))), 4)
 
 
-def build_cells(points: DataFrame, total: int | None = None) -> CellIndex:
-    """Index ``points`` (id, vec, any payload); ids must be distinct.
+def build_cells(points: DataFrame, near: int = 0) -> CellTree:
+    """A tree over ``points`` (id, vec); ids and vectors must be distinct.
 
-    Pivots are the points with the smallest id hashes.  Which points they are
-    affects only how much is pruned.
+    Which points become pivots affects only how much is pruned.
     """
     spark = points.sparkSession
-    total = points.count() if total is None else total
-    wanted = int(np.clip(-(-total // CELL_TARGET), MIN_CELLS, MAX_CELLS))
-    hashed = points.withColumn("hash", F.xxhash64("id"))
-    chosen = hashed.orderBy("hash", "id").limit(wanted).select("hash", "id", "vec").collect()
-    if not chosen:
-        raise ValueError("no points to index")
-    pivots = np.array([r["vec"] for r in chosen], dtype=np.float64)
-    last_hash, last_id = chosen[-1]["hash"], chosen[-1]["id"]
-    is_pivot = (F.col("hash") < last_hash) | ((F.col("hash") == last_hash) & (F.col("id") <= last_id))
-    shared = spark.sparkContext.broadcast(pivots)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = shared.value
-        for batch in sliced(batches):
-            v = matrix(batch.column("vec"))
-            cell = np.argmin(squared_distances(v, centres), axis=1)
-            away = pair_distances(v, centres, np.arange(len(v)), cell)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(away)],
-                names=[*batch.schema.names, "cell", "away"],
-            )
-
-    hashed = hashed.withColumn("is_pivot", is_pivot)
-    placed = materialise(
-        hashed.mapInArrow(assign, _extend(hashed.schema, "cell int, away double")), "cells"
+    kind = points.schema["id"].dataType.simpleString()
+    facts = points.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    rows = cell_rows(facts["dim"] or 1)
+    open_ = points.select(
+        "id", "vec", F.lit(ROOT).alias("cell"), F.lit(0.0).alias("away"), F.lit(float("inf")).alias("bound")
     )
-    stats = placed.groupBy("cell").agg(
-        F.count("*").alias("n"), F.min("away").alias("low"), F.max("away").alias("high")
+    sizes = spark.createDataFrame([(ROOT, facts["n"])], "cell string, n long")
+    state, leaves, levels = (facts["n"], 1), [], []
+    turn = still = 0
+    while state[0] > rows and still < 8:  # points that rounding cannot tell apart stay together
+        turn += 1
+        pivots = materialise(_drawn(open_, sizes, rows, turn), "pivots")
+        split = materialise(_split(open_, pivots, state, near), "split")
+        counts = split.groupBy("cell").agg(
+            F.count("*").alias("n"), F.min("away").alias("low"), F.max("away").alias("high")
+        )
+        found, seen = materialise_with(
+            counts, "sizes", largest=F.max("n"), many=F.count_if(F.col("n") > rows)
+        )
+        born = pivots.select(
+            F.concat_ws(".", "cell", "at").alias("cell"), F.col("cell").alias("parent"),
+            F.col("id").alias("pivot_id"), F.col("vec").alias("pivot"),
+        )
+        levels.append(born.join(found, "cell"))
+        sizes = found.filter(F.col("n") > rows).select("cell", "n")
+        leaves.append(split.join(sizes, "cell", "left_anti"))
+        open_ = split.join(sizes, "cell", "left_semi")
+        still = still + 1 if state == (seen["largest"], seen["many"]) else 0
+        state = (seen["largest"], seen["many"])
+    if state[0] > rows or not leaves:
+        leaves.append(open_)
+    every = leaves[0]
+    for leaf in leaves[1:]:
+        every = every.unionByName(leaf)
+    packed = materialise(
+        every.groupBy("cell").applyInArrow(
+            _pack, f"cell string, ids array<{kind}>, vecs array<double>, away array<double>, bound array<double>"
+        ),
+        "packed",
     )
-    size = np.zeros(len(pivots), dtype=np.int64)
-    low, high = np.zeros(len(pivots)), np.zeros(len(pivots))
-    for row in stats.collect():
-        size[row["cell"]], low[row["cell"]], high[row["cell"]] = row["n"], row["low"], row["high"]
-    return CellIndex(placed, pivots, low, high, size)
+    cells = spark.createDataFrame([], _CELL.format(kind=kind))
+    for level in levels:
+        cells = cells.unionByName(level.select(cells.columns))
+    cells = materialise(cells, "cells") if levels else cells
+    return CellTree(packed, cells, kind, bool(levels))
 
 
-def _extend(schema: StructType, ddl: str) -> StructType:
-    return StructType(schema.fields + StructType.fromDDL(ddl).fields)
+def _drawn(points: DataFrame, sizes: DataFrame, rows: int, turn: int) -> DataFrame:
+    """(cell, at, id, vec): the pivots of each cell, those of its points that hash lowest.
 
+    A hash threshold leaves about four times as many as are wanted, so that no cell is
+    ranked as a whole.  A cell that draws fewer than two waits for the next round.
+    """
+    target = max(rows // 2, 1)
+    unit = F.shiftrightunsigned(F.xxhash64("id", F.lit(turn)), 11).cast("double") * 2.0**-53
+    wanted = F.least(F.lit(FAN), F.ceil(F.col("n") / target))
+    most = 4 * (1 / target + 1 / rows)  # a threshold above those of all cells
+    near = (
+        points.select("cell", "id", "vec", unit.alias("unit"))
+        .filter(F.col("unit") < most)
+        .join(sizes, "cell")
+        .filter(F.col("unit") < 4 * wanted / F.col("n"))
+    )
+    own = Window.partitionBy("cell")
+    place = F.row_number().over(own.orderBy("unit", "id")) - 1
+    ranked = near.withColumn("at", place).withColumn("drawn", F.count("*").over(own))
+    return ranked.filter((F.col("at") < wanted) & (F.col("drawn") > 1)).select("cell", "at", "id", "vec")
 
-def with_cells(
-    queries: DataFrame,
-    index: CellIndex,
-    skip_own: bool = False,
-    nearest: int | None = None,
-    settled: np.ndarray | None = None,
-) -> DataFrame:
-    """Add ``cells``: the cells that may hold a point within ``radius``.
 
-    ``queries`` has vec, cell and radius.  With ``nearest`` the radius is first
-    cut to the distance of that many pivots, which are points themselves.
-    ``settled`` names, per cell, the one component all its points are in, or -1;
-    a query whose ``component`` equals it skips the cell.
+def _split(points: DataFrame, pivots: DataFrame, state: tuple[int, int], near: int) -> DataFrame:
+    """Points in the child cells of their nearest pivots.
+
+    Cells of the first levels are few and large: they are dealt to several tasks, each
+    with all pivots of the cell.
     """
-    facts = queries.sparkSession.sparkContext.broadcast(
-        (index.pivots, index.low, index.high, index.size, settled)
+    largest, many = state
+    parts = max(1, min(-(-largest // PART_ROWS), (1 << 16) // max(many, 1)))
+    left = points.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    right = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
+
+    def split(rows: pa.Table, around: pa.Table) -> pa.Table:
+        rows = rows.drop(["part"])
+        if not rows.num_rows or around.num_rows < 2:
+            return rows
+        around = around.sort_by("at")
+        v, p = matrix(rows.column("vec")), matrix(around.column("vec"))
+        kid, bound = np.empty(len(v), np.int64), rows.column("bound").to_numpy().copy()
+        for s in slices(len(v), p.size):
+            diff = v[s][:, None, :] - p[None, :, :]
+            away = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+            kid[s] = np.argmin(away, axis=1)
+            if near and len(p) > near:
+                bound[s] = np.minimum(bound[s], np.partition(away, near, axis=1)[:, near])
+        cell = rows.column("cell")[0].as_py()
+        names = pa.array([f"{cell}.{at}" for at in around.column("at").to_pylist()])
+        return pa.table(
+            {
+                "id": rows.column("id"),
+                "vec": rows.column("vec"),
+                "cell": names.take(pa.array(kid)),
+                "away": pa.array(pair_distances(v, p, np.arange(len(v)), kid)),
+                "bound": pa.array(bound),
+            }
+        )
+
+    schema = points.select("id", "vec", "cell", "away", "bound").schema
+    return left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInArrow(split, schema)
+
+
+def _pack(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("id").combine_chunks()
+
+    def one(values: pa.Array | pa.ChunkedArray) -> pa.Array:
+        if isinstance(values, pa.ChunkedArray):
+            values = values.combine_chunks()
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+    matrix(rows.column("vec"))
+    return pa.table(
+        {
+            "cell": rows.column("cell").slice(0, 1),
+            "ids": one(rows.column("id")),
+            "vecs": one(rows.column("vec").combine_chunks().flatten()),
+            "away": one(rows.column("away")),
+            "bound": one(rows.column("bound")),
+        }
     )
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, low, high, size, single = facts.value
-        for batch in sliced(batches):
-            v = matrix(batch.column("vec"))
-            own = batch.column("cell").to_numpy()
-            radius = batch.column("radius").to_numpy()
-            margin = 1e-6 * (1.0 + float(np.sqrt(np.einsum("ij,ij->i", v, v).max())))
-            away = np.sqrt(squared_distances(v, centres))
-            if nearest is not None and len(centres) > nearest:
-                bound = np.partition(away, nearest, axis=1)[:, nearest]
-                radius = np.minimum(radius, bound)
-            least = np.maximum(away - high, low - away)
-            least = np.maximum(least, (away - away.min(axis=1, keepdims=True)) / 2.0)
-            may = (least <= (radius + margin)[:, None]) & (size > 0)
-            if skip_own:
-                may[np.arange(len(v)), own] = False
-            if single is not None:
-                may &= single[None, :] != batch.column("component").to_numpy()[:, None]
-            rows, cells = np.nonzero(may)
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(v)))])
-            found = pa.ListArray.from_arrays(
-                pa.array(offsets.astype(np.int32)), pa.array(cells.astype(np.int32))
-            )
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, found], names=[*batch.schema.names, "cells"]
-            )
-
-    schema = StructType(
-        queries.schema.fields + [StructField("cells", ArrayType(IntegerType()), True)]
+
+# Pairs of cells ---------------------------------------------------------------
+
+
+def constant_facts(tree: CellTree, need: float) -> DataFrame:
+    """Facts of the leaf cells with one radius for all, and no marks."""
+    return tree.packed.select("cell", F.lit(need).alias("need"), *_no_marks())
+
+
+def _no_marks() -> list[Column]:
+    return [F.lit(0).cast("long").alias("low_mark"), F.lit(1).cast("long").alias("high_mark")]
+
+
+def radius_facts(radii: DataFrame, radius: str = "radius") -> DataFrame:
+    """Facts of leaf cells (cell, radius of each point as a list)."""
+    return radii.select("cell", F.array_max(radius).alias("need"), *_no_marks())
+
+
+def _families(tree: CellTree, facts: DataFrame) -> DataFrame:
+    """(cell, kids): the children of each cell with their facts; a leaf is its own child.
+
+    ``facts`` (cell, need, low_mark, high_mark) of the leaves are carried to all cells
+    above: the largest need, the smallest and largest mark.
+    """
+    steps = F.split("cell", "[.]")
+    above = F.transform(
+        F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), ".")
     )
-    return queries.mapInArrow(find, schema)
+    every = facts.select(F.explode(above).alias("cell"), "need", "low_mark", "high_mark").groupBy("cell")
+    every = every.agg(F.max("need").alias("need"), F.min("low_mark").alias("low_mark"), F.max("high_mark").alias("high_mark"))
+    inner = tree.cells.select("parent").distinct().select(F.col("parent").alias("cell"), F.lit(True).alias("inner"))
+    known = tree.cells.join(every, "cell").join(inner, "cell", "left")
+    kid = F.struct(
+        "cell", F.col("inner").isNull().alias("leaf"), "pivot", "low", "high",
+        F.coalesce("need", F.lit(float("-inf"))).alias("need"), "low_mark", "high_mark",
+    )
+    kids = known.select("parent", kid.alias("kid"))
+    families = kids.groupBy(F.col("parent").alias("cell")).agg(F.sort_array(F.collect_list("kid")).alias("kids"))
+    leaves = kids.filter("kid.leaf").select("kid.cell", F.array("kid").alias("kids"))
+    return families.union(leaves)
+
+
+def _kids(column: pa.Array) -> list[tuple]:
+    """The children in each row of a batch: names, leaf, pivots, low, high, need, marks."""
+    ends = column.offsets.to_numpy() - column.offsets[0].as_py()
+    name, leaf, pivot, *numbers = column.flatten().flatten()
+    name = np.array(name.to_pylist(), object)
+    leaf, pivot = leaf.to_numpy(zero_copy_only=False), matrix(pivot)
+    numbers = [x.to_numpy(zero_copy_only=False) for x in numbers]
+    return [tuple(x[a:b] for x in (name, leaf, pivot, *numbers)) for a, b in zip(ends[:-1], ends[1:])]
+
+
+def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of children that may hold points close enough."""
+    for batch in batches:
+        found: list[list[np.ndarray]] = [[], [], [], []]
+        for a, b in zip(_kids(batch.column("a_kids")), _kids(batch.column("b_kids"))):
+            a_name, a_leaf, a_pivot, a_low, a_high, need, a_first, a_last = a
+            b_name, b_leaf, b_pivot, b_low, b_high, _, b_first, b_last = b
+            squares = squared_distances(a_pivot, b_pivot)
+            away = np.sqrt(squares)
+            least = away - a_high[:, None] - b_high[None, :]
+            least = np.maximum(least, b_low[None, :] - away - a_high[:, None])
+            least = np.maximum(least, a_low[:, None] - away - b_high[None, :])
+            margin = 1e-6 * (1.0 + math.sqrt(max(float((p * p).sum(1).max()) for p in (a_pivot, b_pivot))))
+            keep = (least <= (need + margin)[:, None]) & (need > -np.inf)[:, None]
+            one = (a_first == a_last)[:, None] & (b_first == b_last)[None, :]
+            keep &= ~(one & (a_first[:, None] == b_first[None, :]))
+            i, j = np.nonzero(keep)
+            for part, own in zip(found, (a_name[i], a_leaf[i], b_name[j], b_leaf[j])):
+                part.append(own)
+        columns = [np.concatenate(part) if part else np.zeros(0, object) for part in found]
+        kinds = (pa.string(), pa.bool_(), pa.string(), pa.bool_())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c.tolist(), kind) for c, kind in zip(columns, kinds)], names=["a", "a_leaf", "b", "b_leaf"]
+        )
+
+
+def cell_pairs(tree: CellTree, facts: DataFrame) -> DataFrame:
+    """(q_cell, p_cell): leaf pairs in which a point of q_cell may be within the need of
+    q_cell of a point of p_cell; a cell is paired with itself as well.
+
+    ``facts``: (cell, need, low_mark, high_mark) of the leaf cells.  A cell without a need
+    asks nothing.  Two cells whose marks are all one and the same are no pair.
+    """
+    spark = tree.packed.sparkSession
+    if not tree.split:
+        return facts.filter("need IS NOT NULL AND low_mark <> high_mark").select(
+            F.col("cell").alias("q_cell"), F.col("cell").alias("p_cell")
+        )
+    families = materialise(_families(tree, facts), "families")
+    schema = "a string, a_leaf boolean, b string, b_leaf boolean"
+    open_ = spark.createDataFrame([(ROOT, False, ROOT, False)], schema)
+    first = families.select(F.col("cell").alias("a"), F.col("kids").alias("a_kids"))
+    second = families.select(F.col("cell").alias("b"), F.col("kids").alias("b_kids"))
+    done, left = None, 1
+    while left:
+        met = open_.select("a", "b").join(first, "a").join(second, "b").select("a_kids", "b_kids")
+        pairs, seen = materialise_with(
+            met.mapInArrow(_expanded, schema), "cell_pairs", left=F.count_if(~(F.col("a_leaf") & F.col("b_leaf")))
+        )
+        leaf = pairs.filter("a_leaf AND b_leaf").select(F.col("a").alias("q_cell"), F.col("b").alias("p_cell"))
+        done = leaf if done is None else done.union(leaf)
+        open_, left = pairs.filter("NOT (a_leaf AND b_leaf)"), seen["left"]
+    return done
+
+
+# Blocks -------------------------------------------------------------------------
+
+
+@dataclass
+class Block:
+    """Points side by side: ids, vectors, and whatever else was joined to their cells."""
+
+    ids: np.ndarray
+    vec: np.ndarray
+    more: dict[str, np.ndarray]
+
+    def __len__(self) -> int:
+        return len(self.ids)
 
+    def take(self, at: np.ndarray | slice) -> Block:
+        return Block(self.ids[at], self.vec[at], {k: v[at] for k, v in self.more.items()})
 
-def with_all_cells(queries: DataFrame, index: CellIndex) -> tuple[DataFrame, np.ndarray]:
-    """Queries that visit every cell, and the most visits a cell can then get."""
-    everywhere = F.array(*[F.lit(int(c)) for c in index.used])
-    return queries.withColumn("cells", everywhere), np.where(index.size > 0, index.total, 0)
+    def by_id(self) -> Block:
+        """Points in ascending id order, so that row numbers break ties as ids do."""
+        return self.take(np.argsort(self.ids, kind="stable"))
+
+
+def blocks(table: pa.Table | pa.RecordBatch) -> list[Block]:
+    """One block for each packed row."""
+    out = []
+    names = [n for n in table.schema.names if pa.types.is_list(table.schema.field(n).type) and n not in ("ids", "vecs")]
+    for i in range(table.num_rows):
+        ids = table.column("ids")[i].values.to_numpy(zero_copy_only=False)
+        vec = table.column("vecs")[i].values.to_numpy().reshape(len(ids), -1)
+        out.append(Block(ids, vec, {n: table.column(n)[i].values.to_numpy(zero_copy_only=False) for n in names}))
+    return out
+
+
+def joined(parts: list[Block]) -> Block:
+    return Block(
+        np.concatenate([b.ids for b in parts]),
+        np.concatenate([b.vec for b in parts]),
+        {k: np.concatenate([b.more[k] for b in parts]) for k in parts[0].more},
+    )
 
 
 def search(
-    queries: DataFrame,
-    index: CellIndex,
-    reduce: Callable[[pa.Table, pa.Table], pa.Table],
+    tree: CellTree,
+    pairs: DataFrame,
+    reduce: Callable[[Block, Block], dict[str, np.ndarray]],
     schema: str,
-    points: DataFrame | None = None,
-    visits: np.ndarray | None = None,
+    sides: DataFrame | None = None,
 ) -> DataFrame:
-    """Run ``reduce(queries, points)`` on every block of the visited cells.
+    """Run ``reduce(queries, points)`` for each q_cell against its p_cells, points by id.
 
-    ``queries`` has hash and cells.  Blocks hold about ``BLOCK_ROWS`` rows of
-    each side.  The number of blocks per cell follows from the visits, which are
-    counted unless given.
+    ``sides``: (cell, lists with a value for each point of the cell).  The partners of a
+    cell are dealt to tasks by about ``PARTNERS``, so that a cell close to all others is
+    more tasks and not a longer one.
     """
-    spark = queries.sparkSession
-    points = index.points if points is None else points
-    if visits is None:
-        visits = np.zeros(len(index.size), dtype=np.int64)
-        counts = queries.select(F.explode("cells").alias("cell")).groupBy("cell").count()
-        for row in counts.collect():
-            visits[row["cell"]] = row["count"]
-    q_chunks = -(-visits // BLOCK_ROWS)
-    p_chunks = -(-index.size // BLOCK_ROWS)
-    base = np.concatenate([[0], np.cumsum(q_chunks * p_chunks)[:-1]])
-    used = np.flatnonzero((q_chunks > 0) & (p_chunks > 0))
-    layout = spark.createDataFrame(
-        [(int(c), int(q_chunks[c]), int(p_chunks[c]), int(base[c])) for c in used],
-        "cell int, q_chunks long, p_chunks long, base long",
-    )
-    layout = F.broadcast(layout)  # at most MAX_CELLS rows
-    q_chunk = F.pmod(F.col("hash"), F.col("q_chunks"))
-    p_chunk = F.pmod(F.col("hash"), F.col("p_chunks"))
-    block = F.col("base") + F.col("_q") * F.col("p_chunks") + F.col("_p")
-    helpers = ("q_chunks", "p_chunks", "base", "_q", "_p")
-    left = (
-        queries.drop("cell")
-        .withColumn("cell", F.explode("cells"))
-        .drop("cells")
-        .join(layout, "cell")
-        .withColumn("_q", q_chunk)
-        .withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("p_chunks") - 1)))
-        .withColumn("block", block)
-        .drop(*helpers)
+    rows = tree.packed.drop("away", "bound")
+    if sides is not None:
+        rows = rows.join(sides, "cell")
+    chunks = F.ceil(F.col("n") / PARTNERS)
+    layout = pairs.groupBy("q_cell").agg(F.count("*").alias("n")).select("q_cell", chunks.alias("chunks"))
+    left = layout.select("q_cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    left = left.join(rows.withColumnRenamed("cell", "q_cell"), "q_cell")
+    right = pairs.join(layout, "q_cell").select(
+        F.col("q_cell").alias("of"), F.pmod(F.xxhash64("p_cell"), "chunks").alias("part"), F.col("p_cell").alias("cell")
     )
-    right = (
-        points.join(layout, "cell")
-        .withColumn("_p", p_chunk)
-        .withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("q_chunks") - 1)))
-        .withColumn("block", block)
-        .drop(*helpers)
-    )
-    empty = _arrow_schema(schema).empty_table()
+    right = right.join(rows, "cell").drop("cell")
+    # both sides stem from one table; renaming keeps their columns apart
+    right = right.select(*[F.col(c).alias(f"p_{c}") for c in right.columns])
 
     def run(q: pa.Table, p: pa.Table) -> pa.Table:
-        q = q.rename_columns([c.removeprefix("q_") for c in q.column_names])
-        return reduce(q, p) if q.num_rows and p.num_rows else empty
+        if not q.num_rows or not p.num_rows:
+            return arrow.empty_table()
+        p = p.rename_columns([c.removeprefix("p_") for c in p.column_names])
+        found = reduce(blocks(q)[0], joined(blocks(p)).by_id())
+        return pa.table({n: pa.array(found[n], arrow.field(n).type) for n in arrow.names})
 
-    # both sides may stem from one table; renaming keeps their columns apart
-    left = left.select(*[F.col(c).alias(f"q_{c}") for c in left.columns])
-    return left.groupBy("q_block").cogroup(right.groupBy("block")).applyInArrow(run, schema)
+    arrow = _arrow_schema(schema)
+    return left.groupBy("q_cell", "chunk").cogroup(right.groupBy("p_of", "p_part")).applyInArrow(run, schema)
 
 
 def _arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(ddl))
-
-
-def by_id(table: pa.Table) -> pa.Table:
-    """Rows in ascending id order, so that row numbers break ties as ids do."""
-    ids = table.column("id").to_numpy()
-    return table.take(pa.array(np.argsort(ids, kind="stable")))
-
-
-def same_id(q_ids: np.ndarray, p_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs that are the same point; ``p_ids`` ascending."""
-    at = np.searchsorted(p_ids, q_ids)
-    at = np.minimum(at, len(p_ids) - 1)
-    hit = p_ids[at] == q_ids
-    return np.flatnonzero(hit), at[hit]
-
-
-def smallest_per_row(
-    rows: np.ndarray, keys: list[np.ndarray], count: int
-) -> np.ndarray:
-    """Positions of the ``count`` smallest entries of each row, by ``keys``."""
-    order = np.lexsort([*reversed(keys), rows])
-    ordered = rows[order]
-    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    lengths = np.diff(np.concatenate([starts, [len(ordered)]]))
-    place = np.arange(len(ordered)) - np.repeat(starts, lengths)
-    return order[place < count]

@@ -2,39 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gripelens.functions.vectors import as_doubles, on_sphere
 from gripelens.operators.cells import (
-    CellIndex,
+    Block,
+    CellTree,
+    blocks,
     build_cells,
-    by_id,
-    matrix,
+    cell_pairs,
     pair_distances,
-    same_id,
+    radius_facts,
     search,
     slack,
+    slices,
     smallest_per_row,
     squared_distances,
-    with_all_cells,
-    with_cells,
 )
 from gripelens.session import materialise, materialise_with
 
 
 def prepared(points: DataFrame, key: str, vector: str, metric: str) -> DataFrame:
-    """(id, vec) with distances that order like ``metric``."""
+    """(id, vec) with distances that order like ``metric``.
+
+    Vectors have one length, the most frequent one.  Rows with a null key, a null vector,
+    another length or a component that is null or not a number are set aside: they have
+    no distances.
+    """
     v = as_doubles(F.col(vector))
+    rows = points.select(F.col(key).alias("id"), v.alias("vec"))
+    whole = F.col("id").isNotNull() & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x))
+    size = rows.filter(whole).agg(F.mode(F.size("vec"), deterministic=True)).first()[0]
+    rows = rows.filter(whole & (F.size("vec") == F.lit(size)))
     if metric == "cosine":
-        v = on_sphere(v)
-    elif metric != "euclidean":
+        return rows.withColumn("vec", on_sphere(F.col("vec")))
+    if metric != "euclidean":
         raise ValueError(f"unknown metric {metric}")
-    return points.select(F.col(key).alias("id"), v.alias("vec"))
+    return rows
 
 
 def distinct_vectors(points: DataFrame) -> DataFrame:
@@ -53,62 +63,83 @@ def members_of(points: DataFrame, distinct: DataFrame) -> DataFrame:
     return keyed.join(reps, ["_h", "vec"]).select("id", "rep")
 
 
-def _nearest(k: int):
-    def reduce(queries: pa.Table, points: pa.Table) -> pa.Table:
-        points = by_id(points)
-        q, p = matrix(queries.column("vec")), matrix(points.column("vec"))
-        rough = squared_distances(q, p)
-        me, it = same_id(queries.column("id").to_numpy(), points.column("id").to_numpy())
-        rough[me, it] = np.inf
-        take = min(k, rough.shape[1])
+def _closest(q: Block, p: Block, k: int, radius: np.ndarray, same: bool) -> tuple[np.ndarray, ...]:
+    """(query, point, distance) of the ``k`` nearest points of each query within its radius.
+
+    Points are in the order of their ids; with ``same`` both blocks are one, and no point
+    is its own neighbour.
+    """
+    found: list[tuple[np.ndarray, ...]] = []
+    rounding = slack(q.vec, p.vec)
+    take = min(k, len(p))
+    for s in slices(len(q), len(p)):
+        rough = squared_distances(q.vec[s], p.vec)
+        if same:
+            rough[np.arange(len(rough)), np.arange(s.start, s.start + len(rough))] = np.inf
         limit = np.partition(rough, take - 1, axis=1)[:, take - 1]
-        near = rough <= (limit + slack(q, p))[:, None]
-        near &= np.isfinite(rough)
-        rows, cols = np.nonzero(near)
-        dist = pair_distances(q, p, rows, cols)
-        keep = smallest_per_row(rows, [dist, cols], k) if len(rows) else rows
-        return pa.table(
-            {
-                "src": queries.column("id").take(pa.array(rows[keep])),
-                "dst": points.column("id").take(pa.array(cols[keep])),
-                "dist": pa.array(dist[keep]),
-            }
-        )
+        limit = np.minimum(limit, np.square(radius[s])) + rounding
+        rows, cols = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
+        rows += s.start
+        away = pair_distances(q.vec, p.vec, rows, cols)
+        keep = smallest_per_row(rows, [away, cols], k) if len(rows) else rows
+        found.append((rows[keep], cols[keep], away[keep]))
+    return tuple(np.concatenate(part) for part in zip(*found))
+
+
+def _nearest(k: int):
+    def reduce(q: Block, p: Block) -> dict[str, np.ndarray]:
+        rows, cols, away = _closest(q, p, k, q.more["radius"], False)
+        return {"src": q.ids[rows], "dst": p.ids[cols], "dist": away}
 
     return reduce
 
 
+def _inside(tree: CellTree, k: int) -> DataFrame:
+    """(cell, radius, src, dst, dist): the neighbours within each leaf cell, as lists.
+
+    ``radius`` has, for each point, a distance within which its k neighbours are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, block in enumerate(blocks(batch)):
+                rows, cols, away = _closest(block, block, k, np.full(len(block), np.inf), True)
+                radius = block.more["bound"].copy()
+                if len(block) > k:
+                    np.minimum.at(radius, rows[k - 1 :: k], away[k - 1 :: k])
+                lists = (radius * (1 + 1e-9), block.ids[rows], block.ids[cols], away)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("cell").slice(i, 1), *[pa.array([x], t) for x, t in zip(lists, types)]],
+                    names=["cell", "radius", "src", "dst", "dist"],
+                )
+
+    ids = tree.packed.schema["ids"].dataType
+    key = to_arrow_type(ids)
+    types = [pa.list_(pa.float64()), key, key, pa.list_(pa.float64())]
+    kind = ids.simpleString()
+    schema = f"cell string, radius array<double>, src {kind}, dst {kind}, dist array<double>"
+    return tree.packed.mapInArrow(run, schema)
+
+
 def _top(candidates: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
     return candidates.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def nearest_in_cells(index: CellIndex, k: int) -> DataFrame:
-    """Exact (src, dst, dist, rank) for the distinct vectors of an index.
+def nearest_in_cells(tree: CellTree, k: int) -> DataFrame:
+    """Exact (src, dst, dist, rank) for the points of a tree built with ``near=k``.
 
-    First each point searches its own cell.  The k-th distance found there is
-    its radius for the other cells.  Few points skip this and visit all cells.
+    Each leaf cell is first searched by itself.  The k-th distance found there, or the
+    one to k pivots if that is less, is a point's radius for the other cells.
     """
-    kind = index.points.schema["id"].dataType.simpleString()
-    schema = f"src {kind}, dst {kind}, dist double"
-    points = index.points.select("id", "vec", "hash", "cell")
-    if index.small:
-        queries, visits = with_all_cells(points, index)
-        return _top(search(queries, index, _nearest(k), schema, visits=visits), k)
-    own = points.withColumn("cells", F.array("cell"))
-    near = search(own, index, _nearest(k), schema, visits=index.size)
-    near = materialise(near, "own_cell")
-    radius = near.groupBy("src").agg(
-        F.when(F.count("*") >= k, F.max("dist")).alias("_found")
-    )
-    queries = (
-        points.join(radius.withColumnRenamed("src", "id"), "id", "left")
-        .withColumn("radius", F.coalesce("_found", F.lit(float("inf"))))
-        .drop("_found")
-    )
-    visiting = with_cells(queries, index, skip_own=True, nearest=k)
-    visiting = materialise(visiting.filter(F.size("cells") > 0), "visits")
-    far = search(visiting.drop("radius"), index, _nearest(k), schema)
+    own = materialise(_inside(tree, k), "inside")
+    near = own.select(F.inline(F.arrays_zip("src", "dst", "dist")))
+    if not tree.split:
+        return _top(near, k)
+    sides = own.select("cell", "radius")
+    pairs = cell_pairs(tree, radius_facts(sides)).filter("q_cell <> p_cell")
+    schema = f"src {tree.kind}, dst {tree.kind}, dist double"
+    far = search(tree, materialise(pairs, "pairs"), _nearest(k), schema, sides)
     return _top(near.union(far), k)
 
 
@@ -133,8 +164,7 @@ def knn_graph(
         kind = distinct.schema["id"].dataType.simpleString()
         schema = f"src {kind}, dst {kind}, rank int, dist double"
         return distinct.sparkSession.createDataFrame([], schema)
-    index = build_cells(distinct.select("id", "vec"), count["folded"])
-    edges = nearest_in_cells(index, k)
+    edges = nearest_in_cells(build_cells(distinct.select("id", "vec"), k), k)
     if count["folded"] < count["total"]:
         edges = _expand(pts, distinct, edges, k)
     if metric == "cosine":
@@ -179,24 +209,24 @@ def mutual_reachability(knn: DataFrame, core: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(DoubleType())
-def _bandwidth(excess: pd.Series) -> pd.Series:
-    """Solve sum(exp(-excess / sigma)) = log2(k) for each row by bisection."""
-    if not len(excess):
-        return pd.Series([], dtype="float64")
-    width = int(excess.map(len).max())
-    table = np.full((len(excess), width), np.inf)
-    for i, row in enumerate(excess):
-        table[i, : len(row)] = row
-    target = np.log2(np.maximum(np.isfinite(table).sum(axis=1), 2))
-    low, high = np.full(len(table), 1e-12), np.full(len(table), 1e12)
-    with np.errstate(over="ignore", under="ignore"):
-        for _ in range(128):
-            middle = np.sqrt(low * high)
-            too_wide = np.exp(-table / middle[:, None]).sum(axis=1) > target
-            high = np.where(too_wide, middle, high)
-            low = np.where(too_wide, low, middle)
-    return pd.Series(np.sqrt(low * high))
+def _bandwidths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add ``sigma``, which solves sum(exp(-excess / sigma)) = log2(k), by bisection."""
+    for batch in batches:
+        lists = batch.column("excess")
+        sizes = np.diff(lists.offsets.to_numpy())
+        table = np.full((len(sizes), max(sizes.max(initial=1), 1)), np.inf)
+        table[np.arange(table.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy()
+        target = np.log2(np.maximum(sizes, 2))
+        low, high = np.full(len(table), 1e-12), np.full(len(table), 1e12)
+        with np.errstate(over="ignore", under="ignore"):
+            for _ in range(128):
+                middle = np.sqrt(low * high)
+                too_wide = np.exp(-table / middle[:, None]).sum(axis=1) > target
+                high = np.where(too_wide, middle, high)
+                low = np.where(too_wide, low, middle)
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(np.sqrt(low * high))], names=[*batch.schema.names, "sigma"]
+        )
 
 
 def fuzzy_graph(knn: DataFrame) -> DataFrame:
@@ -210,10 +240,13 @@ def fuzzy_graph(knn: DataFrame) -> DataFrame:
     )
     rho = F.element_at("_n", 1)["dist"]
     excess = F.transform("_n", lambda n: F.greatest(n["dist"] - rho, F.lit(0.0)))
-    scaled = lists.withColumn("_excess", excess).withColumn("_sigma", _bandwidth("_excess"))
-    directed = scaled.select(
-        "src", F.inline(F.arrays_zip(F.col("_n.dst").alias("dst"), F.col("_excess").alias("e"))), "_sigma"
-    ).select("src", "dst", F.exp(-F.col("e") / F.col("_sigma")).alias("w"))
+    kind = knn.schema["dst"].dataType.simpleString()
+    key = knn.schema["src"].dataType.simpleString()
+    lists = lists.select("src", F.col("_n.dst").alias("dst"), excess.alias("excess"))
+    scaled = lists.mapInArrow(_bandwidths, f"src {key}, dst array<{kind}>, excess array<double>, sigma double")
+    directed = scaled.select("src", F.inline(F.arrays_zip("dst", "excess")), "sigma").select(
+        "src", "dst", F.exp(-F.col("excess") / F.col("sigma")).alias("w")
+    )
     forward = F.col("src") < F.col("dst")
     both = directed.groupBy(
         F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")

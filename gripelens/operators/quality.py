@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gripelens.functions.entities import ENTITY_FIELDS
 from gripelens.operators.cleaning import CRITICAL_COLUMNS
 from gripelens.operators.reports import without_noise
+from gripelens.operators.silhouette import silhouette as silhouette
 from gripelens.schemas import TableRules
-from gripelens.session import materialise
 
 
 def _as_rules(one_row: DataFrame) -> DataFrame:
@@ -129,43 +127,3 @@ def check_constraints(df: DataFrame, rules: TableRules) -> DataFrame:
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias(f"duplicate_{rules.key}")
     )
     return _as_rules(df.agg(*counts)).union(_as_rules(unique))
-
-
-def silhouette(clustered: DataFrame, vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """Mean silhouette (squared Euclidean) of the points that are not noise.
-
-    Null if they are in fewer than two clusters; a point that is its whole cluster
-    counts as 0.  The sum of distances from x to a cluster of n points y is
-    n |x|^2 + sum |y|^2 - 2 x . sum y, so a table of sums per cluster, which stays in
-    Spark, is all that the points are joined to.
-    """
-    v = F.transform(column, lambda x: x.cast("double"))
-    points = materialise(
-        without_noise(clustered)
-        .select("feedback_id", F.col("cluster_id").alias("own"))
-        .join(vectors.select("feedback_id", v.alias("x")), "feedback_id")
-        .select("own", "x", _dot("x", "x").alias("norm"), F.monotonically_increasing_id().alias("row")),
-        "silhouette-points",
-    )
-    sums = materialise(
-        points.groupBy(F.col("own").alias("cluster")).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("norm").alias("norms"),
-            vector_to_array(Summarizer.sum(array_to_vector("x"))).alias("sums"),
-        ),
-        "silhouette-sums",
-    )
-    total = F.greatest(F.col("n") * F.col("norm") + F.col("norms") - 2 * _dot("x", "sums"), F.lit(0.0))
-    same = F.col("own") == F.col("cluster")
-    near = points.crossJoin(sums).groupBy("row").agg(
-        F.max(F.when(same, F.col("n"))).alias("n"),
-        F.max(F.when(same & (F.col("n") > 1), total / (F.col("n") - 1))).alias("a"),
-        F.min(F.when(~same, total / F.col("n"))).alias("b"),
-    )
-    a, b = F.col("a"), F.col("b")
-    score = F.when((F.col("n") == 1) | (a == b), 0.0).when(a < b, 1 - a / b).otherwise(b / a - 1)
-    return near.agg(F.avg(F.when(b.isNotNull(), score)).alias("silhouette"))
-
-
-def _dot(left: str, right: str) -> Column:
-    return F.aggregate(F.zip_with(left, right, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gripelens.functions.vectors import on_sphere
-from gripelens.operators.cells import (
-    build_cells,
-    by_id,
-    matrix,
-    pair_distances,
-    search,
-    slack,
-    squared_distances,
-    with_all_cells,
-    with_cells,
-)
+from gripelens.operators.clumps import SimilarClusters, similar_clusters
 from gripelens.operators.reports import without_noise
-from gripelens.session import materialise, materialise_with
+from gripelens.operators.skew import large_keys, spread_join
+from gripelens.session import materialise, materialise_with, release
 
 MERGE_THRESHOLD = 0.90
 
@@ -47,96 +33,147 @@ def cluster_centroids(
     )
 
 
-def _within(radius: float):
-    def reduce(queries: pa.Table, points: pa.Table) -> pa.Table:
-        points = by_id(points)
-        q, p = matrix(queries.column("vec")), matrix(points.column("vec"))
-        q_ids, p_ids = queries.column("id").to_numpy(), points.column("id").to_numpy()
-        near = squared_distances(q, p) <= radius * radius + slack(q, p) + 1e-9
-        near &= p_ids[None, :] < q_ids[:, None]
-        rows, cols = np.nonzero(near)
-        dist = pair_distances(q, p, rows, cols)
-        return pa.table(
-            {
-                "j": pa.array(q_ids[rows]),
-                "i": pa.array(p_ids[cols]),
-                "similarity": pa.array(1.0 - dist * dist / 2.0),
-            }
+def similar_pairs(centroids: DataFrame, threshold: float = MERGE_THRESHOLD) -> DataFrame:
+    """(i, j, similarity) with i < j and cosine of at least ``threshold``, all of them.
+
+    ``similar_clusters`` has the same without listing the pairs of dense clumps.
+    """
+    return similar_clusters(centroids, threshold).listed()
+
+
+# Merging ----------------------------------------------------------------------
+
+
+def _smallest(rows: DataFrame, key: str) -> DataFrame:
+    """(key, kept, open): the smallest kept and the smallest open id of each."""
+    return rows.groupBy(key).agg(
+        F.min(F.when(F.col("state") == "kept", F.col("id"))).alias("kept"),
+        F.min(F.when(F.col("state") == "open", F.col("id"))).alias("open"),
+    )
+
+
+def _below(similar: SimilarClusters, nodes: DataFrame, large: list) -> DataFrame:
+    """nodes with ``kept``: the smallest kept id similar to each and smaller, ``many``:
+    whether it has several smaller open ones, and ``only``: the open one otherwise."""
+    clumps = _smallest(nodes, "clump")
+    ways = similar.joint.select(F.col("a").alias("clump"), F.col("b").alias("other")).union(
+        similar.joint.select(F.col("b"), F.col("a"))
+    )
+    beside = ways.join(clumps.withColumnRenamed("clump", "other"), "other").groupBy("clump")
+    beside = beside.agg(F.min("kept").alias("kept2"), F.min("open").alias("open2"))
+    around = clumps.withColumnsRenamed({"kept": "kept1", "open": "open1"}).join(beside, "clump", "left")
+    state = nodes.select(F.col("id").alias("i"), "state")
+    single = (
+        similar.pairs.join(state, "i")
+        .groupBy(F.col("j").alias("id"))
+        .agg(
+            F.min(F.when(F.col("state") == "kept", F.col("i"))).alias("kept3"),
+            F.min(F.when(F.col("state") == "open", F.col("i"))).alias("only"),
+            F.count_if(F.col("state") == "open").alias("n"),
         )
+    )
+    rows = spread_join(nodes, around, "clump", large).join(single, "id", "left")
 
-    return reduce
+    def smaller(c: str) -> Column:
+        return F.when(F.col(c) < F.col("id"), F.col(c))
 
+    crowd = F.coalesce(F.least("open1", "open2") < F.col("id"), F.lit(False))
+    return rows.select(
+        "id", "clump", "state",
+        F.least(smaller("kept1"), smaller("kept2"), "kept3").alias("kept"),
+        (crowd | (F.coalesce("n", F.lit(0)) > 1)).alias("many"),
+        "only",
+    )
 
-def similar_pairs(centroids: DataFrame, threshold: float = MERGE_THRESHOLD) -> DataFrame:
-    """(i, j, similarity) with i < j and cosine of at least ``threshold``.
 
-    A range search around each centroid; pairs below the threshold never leave
-    a task, and cells out of reach are not visited.
-    """
-    kind = centroids.schema["cluster_id"].dataType.simpleString()
-    radius = math.sqrt(max(2.0 - 2.0 * threshold, 0.0))
-    points = centroids.select(F.col("cluster_id").alias("id"), on_sphere(F.col("centroid")).alias("vec"))
-    points, facts = materialise_with(points, "centroids", n=F.count("*"))
-    schema = f"j {kind}, i {kind}, similarity double"
-    if not facts["n"]:
-        return points.sparkSession.createDataFrame([], schema).select("i", "j", "similarity")
-    index = build_cells(points, facts["n"])
-    queries = index.points.select("id", "vec", "hash", "cell", F.lit(radius + 1e-9).alias("radius"))
-    if index.small:
-        visiting, visits = with_all_cells(queries.drop("radius"), index)
-    else:
-        visiting, visits = materialise(with_cells(queries, index), "visits").drop("radius"), None
-    found = search(visiting, index, _within(radius), schema, visits=visits)
-    return found.filter(F.col("similarity") >= threshold - 1e-12).select("i", "j", "similarity")
-
-
-def merge_map(pairs: DataFrame) -> DataFrame:
-    """(old_id, new_id) from similar pairs (i, j), i < j.
-
-    A cluster maps to the smallest similar cluster that is itself unmapped, so
-    merging is not transitive.  Each round maps the clusters next to a smaller
-    kept one, and keeps those whose smaller neighbours are all mapped.
+def _along_chains(nodes: DataFrame, waiting: DataFrame) -> DataFrame:
+    """States of the nodes that wait for one other each: (id, state).
+
+    Such a node is kept if the other is not.  Pointers are followed two at a time, each
+    with the number of steps it stands for, so that rounds grow with the logarithm of
+    the longest chain.
     """
-    edges = materialise(pairs.select("i", "j"), "pairs")
-    nodes = edges.select(F.explode(F.array("i", "j")).alias("id")).distinct()
-    nodes = materialise(nodes.withColumn("state", F.lit("open")), "nodes")
-    while not nodes.filter("state = 'open'").isEmpty():
-        below = (
-            edges.join(nodes.select(F.col("id").alias("i"), "state"), "i")
-            .groupBy(F.col("j").alias("id"))
-            .agg(
-                F.bool_or(F.col("state") == "kept").alias("near_kept"),
-                F.bool_or(F.col("state") == "open").alias("near_open"),
-            )
+    to = materialise(waiting.select("id", F.col("only").alias("to"), F.lit(True).alias("turned")), "chains")
+    while True:
+        ahead = to.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("turned").alias("again"))
+        step = to.join(ahead, "to", "left").select(
+            "id",
+            F.coalesce("next", "to").alias("to"),
+            F.when(F.col("next").isNull(), F.col("turned")).otherwise(F.col("turned") != F.col("again")).alias("turned"),
+            F.col("next").isNotNull().alias("moved"),
         )
-        decided = (
+        step, seen = materialise_with(step, "chains", moved=F.count_if("moved"))
+        release(to)
+        to = step.drop("moved")
+        if not seen["moved"]:
+            break
+    ends = nodes.filter("state <> 'open'").select(F.col("id").alias("to"), (F.col("state") == "kept").alias("end"))
+    kept = F.col("end") != F.col("turned")
+    return to.join(ends, "to").select("id", F.when(kept, "kept").otherwise("mapped").alias("state"))
+
+
+def merge_map(similar: SimilarClusters | DataFrame) -> DataFrame:
+    """(old_id, new_id) from similar clusters, or a table of similar pairs (i, j), i < j.
+
+    A cluster maps to the smallest similar cluster that is itself unmapped, so merging
+    is not transitive.  Each round keeps those without a smaller open or kept one, maps
+    those next to a smaller kept one, and settles chains of clusters that wait for one
+    other each as a whole.
+    """
+    if isinstance(similar, DataFrame):
+        pairs = materialise(similar.select("i", "j"), "pairs")
+        ids = pairs.select(F.explode(F.array("i", "j")).alias("id")).distinct()
+        none = pairs.select(F.col("i").alias("a"), F.col("j").alias("b")).limit(0)
+        similar = SimilarClusters(ids.select("id", F.col("id").alias("clump")), none, pairs, ids)
+    nodes, seen = materialise_with(
+        similar.members.withColumn("state", F.lit("open")), "nodes", n=F.count("*")
+    )
+    sizes = nodes.groupBy("clump").agg(F.count("*").alias("n"))
+    large = large_keys(sizes, "clump", seen["n"])
+    left = seen["n"]
+    while left:
+        below = _below(similar, nodes, large)
+        free = F.col("only").isNull() & ~F.col("many")
+        state = (
             F.when(F.col("state") != "open", F.col("state"))
-            .when(F.col("near_kept"), "mapped")
-            .when(F.col("near_open"), "open")
-            .otherwise("kept")
+            .when(F.col("kept").isNotNull(), "mapped")
+            .when(free, "kept")
+            .otherwise("open")
         )
-        nodes = materialise(
-            nodes.join(below, "id", "left").select("id", decided.alias("state")), "nodes"
+        decided, seen = materialise_with(
+            below.withColumn("state", state).select("id", "clump", "state", "many", "only"),
+            "decided",
+            waiting=F.count_if((F.col("state") == "open") & ~F.col("many")),
+            left=F.count_if(F.col("state") == "open"),
         )
-    kept = nodes.filter("state = 'kept'").select(F.col("id").alias("i"))
-    mapped = nodes.filter("state = 'mapped'").select(F.col("id").alias("j"))
-    return (
-        edges.join(kept, "i", "left_semi")
-        .join(mapped, "j", "left_semi")
-        .groupBy("j")
-        .agg(F.min("i").alias("new_id"))
-        .select(F.col("j").alias("old_id"), "new_id")
-    )
+        last = nodes
+        if seen["waiting"]:
+            settled = _along_chains(decided, decided.filter("state = 'open' AND NOT many"))
+            now = settled.withColumnRenamed("state", "now")
+            nodes, seen = materialise_with(
+                decided.join(now, "id", "left").select("id", "clump", F.coalesce("now", "state").alias("state")),
+                "nodes",
+                left=F.count_if(F.col("state") == "open"),
+            )
+            release(decided)
+        else:
+            nodes = decided.select("id", "clump", "state")
+        release(last)
+        left = seen["left"]
+    found = _below(similar, nodes, large).filter("state = 'mapped'")
+    return found.select(F.col("id").alias("old_id"), F.col("kept").alias("new_id"))
 
 
 def apply_merges(clustered: DataFrame, merges: DataFrame) -> DataFrame:
-    """Replace merged cluster ids, keep the others."""
-    columns = clustered.columns
-    return (
-        clustered.join(merges, clustered["cluster_id"] == merges["old_id"], "left")
-        .withColumn("cluster_id", F.coalesce("new_id", "cluster_id"))
-        .select(*columns)
-    )
+    """Replace merged cluster ids, keep the others.
+
+    Noise and other large clusters are not shuffled by their id.
+    """
+    sizes = clustered.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    facts = sizes.agg(F.sum("n").alias("total")).first()
+    named = merges.select(F.col("old_id").cast(clustered.schema["cluster_id"].dataType).alias("cluster_id"), "new_id")
+    joined = spread_join(clustered, named, "cluster_id", large_keys(sizes, "cluster_id", facts["total"] or 0))
+    return joined.withColumn("cluster_id", F.coalesce("new_id", "cluster_id")).select(*clustered.columns)
 
 
 def refine_clusters(
@@ -147,7 +184,7 @@ def refine_clusters(
 ) -> DataFrame:
     """Merge clusters with similar centroids."""
     centroids = cluster_centroids(clustered, vectors, vector)
-    return apply_merges(clustered, merge_map(similar_pairs(centroids, threshold)))
+    return apply_merges(clustered, merge_map(similar_clusters(centroids, threshold)))
 
 
 def refinement_counts(before: DataFrame, after: DataFrame) -> DataFrame:

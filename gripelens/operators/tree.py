@@ -11,19 +11,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StructType
 
+from gripelens.operators import skew
 from gripelens.operators.cells import (
-    CellIndex,
+    Block,
+    CellTree,
     build_cells,
-    by_id,
+    cell_pairs,
     matrix,
     pair_distances,
     search,
     slack,
-    sliced,
+    slices,
     smallest_per_row,
     squared_distances,
-    with_all_cells,
-    with_cells,
 )
 from gripelens.operators.neighbours import (
     distinct_vectors,
@@ -32,12 +32,15 @@ from gripelens.operators.neighbours import (
     prepared,
 )
 from gripelens.operators.ranking import with_row_index
-from gripelens.session import materialise, materialise_with
+from gripelens.operators.skew import large_keys, spread_join
+from gripelens.session import materialise, materialise_with, release
 
 MIN_SAMPLES = 10
 # A round searches the cells only when the neighbour lists settle fewer than
 # this share of the components.
 SEARCH_BELOW = 0.25
+# So many pointers are followed in one task.
+FEW = 1 << 13
 
 
 @dataclass
@@ -46,11 +49,11 @@ class Reachability:
 
     ``vertices``: (id, rep, copies, core, reach), where every point that is not
     in the vertex's neighbour list is at least ``reach`` away.
-    ``edges``: (lo, hi, dist) from the neighbour lists.
+    ``edges``: (lo, hi, dist) from the neighbour lists and within the cell tree.
     ``members``: (point, rep).
     """
 
-    index: CellIndex
+    index: CellTree
     vertices: DataFrame
     edges: DataFrame
     members: DataFrame
@@ -78,8 +81,8 @@ def reachability(
     if folded < total:
         members = members_of(pts, distinct.select(F.col("rep").alias("id"), "vec"))
         members = materialise(members.withColumnRenamed("id", "point"), "members")
-    index = build_cells(distinct.select("id", "vec"), folded)
     k = 2 * min_samples
+    index = build_cells(distinct.select("id", "vec"), k)
     knn = materialise(nearest_in_cells(index, k), "neighbours")
 
     wanted = min(min_samples, total - 1)
@@ -106,20 +109,59 @@ def reachability(
         .alias("core"),
         F.coalesce("_reach", F.lit(float("inf"))).alias("reach"),
     )
-    edges = knn.groupBy(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")).agg(
-        F.min("dist").alias("dist")
-    )
+    edges = knn.select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"), "dist")
+    if index.split:
+        edges = edges.union(tree_edges(index))
+    edges = edges.groupBy("lo", "hi").agg(F.min("dist").alias("dist"))
     return Reachability(index, materialise(vertices, "vertices"), edges, members)
 
 
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs among the pivots of each family, at most ``FAN`` and the one above."""
+    for batch in batches:
+        lists = batch.column("pivots")
+        ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        ids, vec = lists.flatten().flatten()
+        ids, vec = ids.to_numpy(), matrix(vec)
+        found = [np.triu_indices(b - a, 1) for a, b in zip(ends[:-1], ends[1:])]
+        i = np.concatenate([x + a for (x, _), a in zip(found, ends)] or [np.zeros(0, int)])
+        j = np.concatenate([x + a for (_, x), a in zip(found, ends)] or [np.zeros(0, int)])
+        away = pair_distances(vec, vec, i, j)
+        low, high = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        keep = low < high
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(low[keep]), pa.array(high[keep]), pa.array(away[keep])], names=["lo", "hi", "dist"]
+        )
+
+
+def tree_edges(index: CellTree) -> DataFrame:
+    """(lo, hi, dist): each point to the pivot of its cell, and pivots of one family.
+
+    A family is the children of a cell and its own pivot.  These edges connect all
+    points, so every component knows an edge that leaves it, and thereby a radius.
+    """
+    cells = index.cells
+    inner = index.packed.select("cell", F.inline(F.arrays_zip(F.col("ids").alias("id"), "away")))
+    inner = inner.join(cells.select("cell", "pivot_id"), "cell").filter("id <> pivot_id")
+    inner = inner.select(F.least("id", "pivot_id").alias("lo"), F.greatest("id", "pivot_id").alias("hi"), "away")
+    pivot = F.struct("pivot_id", "pivot")
+    kids = cells.select(F.col("parent").alias("family"), pivot.alias("p"))
+    heads = cells.join(cells.select(F.col("parent").alias("cell")).distinct(), "cell", "left_semi")
+    families = kids.union(heads.select("cell", pivot)).groupBy("family").agg(F.collect_list("p").alias("pivots"))
+    return inner.union(families.select("pivots").mapInArrow(_around, "lo long, hi long, dist double"))
+
+
 # Contraction --------------------------------------------------------------
 
 
-def contract(hooks: DataFrame) -> DataFrame:
+def contract(hooks: DataFrame, count: int | None = None) -> DataFrame:
     """(id, root) for hooks (id, parent) without cycles longer than two.
 
-    Two nodes that point at each other are rooted at the smaller.
+    Two nodes that point at each other are rooted at the smaller.  Up to ``FEW`` hooks,
+    if so many are known to be there, are followed in one task.
     """
+    if count is not None and count <= FEW:
+        return materialise(hooks.repartition(1).mapInArrow(_rooted, "id long, root long"), "roots")
     back = hooks.select(F.col("id").alias("parent"), F.col("parent").alias("_back"))
     is_root = (F.col("_back") == F.col("id")) & (F.col("id") < F.col("parent"))
     inner = hooks.select("id").alias("h")
@@ -130,6 +172,19 @@ def contract(hooks: DataFrame) -> DataFrame:
     return resolve(pointers.union(tops.select("id", F.col("id").alias("root"))))
 
 
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = pa.Table.from_batches(list(batches), pa.schema([("id", pa.int64()), ("parent", pa.int64())]))
+    hook, parent = (table.column(c).to_numpy() for c in ("id", "parent"))
+    ids, spot = np.unique(np.concatenate([hook, parent]), return_inverse=True)
+    to = np.arange(len(ids))
+    to[spot[: len(hook)]] = spot[len(hook) :]
+    own = np.arange(len(ids))
+    to = np.where((to[to] == own) & (own < to), own, to)
+    while (to != to[to]).any():
+        to = to[to]
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[to])], names=["id", "root"])
+
+
 def resolve(pointers: DataFrame) -> DataFrame:
     """Follow (id, root) pointers to their ends, which point at themselves.
 
@@ -149,100 +204,70 @@ def resolve(pointers: DataFrame) -> DataFrame:
             return pointers
 
 
-def relabel(df: DataFrame, column: str, roots: DataFrame) -> DataFrame:
-    """Replace component ids in ``column`` by their root; others stay."""
-    names = df.columns
+def relabel(df: DataFrame, column: str, roots: DataFrame, large: list[int] | None = None) -> DataFrame:
+    """Replace component ids in ``column`` by their root; others stay.
+
+    Rows of the ``large`` components are joined to the few roots of these alone, which go
+    to all tasks; the rest has no key that many rows share.
+    """
     named = roots.select(F.col("id").alias(column), F.col("root").alias("_root"))
-    return df.join(named, column, "left").withColumn(column, F.coalesce("_root", column)).select(*names)
+    return spread_join(df, named, column, large or []).withColumn(column, F.coalesce("_root", column)).select(*df.columns)
 
 
 # Search for edges that no neighbour list holds -----------------------------
 
 
-def _nearest_foreign(queries: pa.Table, points: pa.Table) -> pa.Table:
-    """Per query the cheapest edge to a point of another component in the block."""
-    points = by_id(points)
-    q, p = matrix(queries.column("vec")), matrix(points.column("vec"))
-    q_core, p_core = queries.column("core").to_numpy(), points.column("core").to_numpy()
-    q_ids, p_ids = queries.column("id").to_numpy(), points.column("id").to_numpy()
-    q_comp, p_comp = queries.column("component").to_numpy(), points.column("component").to_numpy()
-    rough = np.sqrt(squared_distances(q, p))
-    rough = np.maximum(np.maximum(q_core[:, None], p_core[None, :]), rough)
-    rough[q_comp[:, None] == p_comp[None, :]] = np.inf
-    limit = rough.min(axis=1)
-    near = rough <= (limit + np.sqrt(slack(q, p)))[:, None]
-    near &= np.isfinite(rough)
-    rows, cols = np.nonzero(near)
-    dist = pair_distances(q, p, rows, cols)
-    weight = np.maximum(np.maximum(q_core[rows], p_core[cols]), dist)
-    lo, hi = np.minimum(q_ids[rows], p_ids[cols]), np.maximum(q_ids[rows], p_ids[cols])
-    best = smallest_per_row(rows, [weight, dist, lo, hi], 1) if len(rows) else rows
+def _nearest_foreign(q: Block, p: Block) -> dict[str, np.ndarray]:
+    """Per component that asks, the cheapest edge to a point of another one in the block."""
+    q = q.take(np.flatnonzero(q.more["radius"] >= 0))
+    found: list[tuple[np.ndarray, ...]] = []
+    core, other = q.more["core"], p.more["core"]
+    mine, theirs = q.more["component"], p.more["component"]
+    rounding = np.sqrt(slack(q.vec, p.vec))
+    for s in slices(len(q), len(p)):
+        rough = np.sqrt(squared_distances(q.vec[s], p.vec))
+        rough = np.maximum(np.maximum(core[s, None], other[None, :]), rough)
+        rough[mine[s, None] == theirs[None, :]] = np.inf
+        limit = np.minimum(rough.min(axis=1), q.more["radius"][s]) + rounding
+        rows, cols = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
+        found.append((rows + s.start, cols))
+    rows, cols = (np.concatenate(part) for part in zip(*found)) if found else (np.zeros(0, int),) * 2
+    dist = pair_distances(q.vec, p.vec, rows, cols)
+    weight = np.maximum(np.maximum(core[rows], other[cols]), dist)
+    lo, hi = np.minimum(q.ids[rows], p.ids[cols]), np.maximum(q.ids[rows], p.ids[cols])
+    best = smallest_per_row(mine[rows], [weight, dist, lo, hi], 1) if len(rows) else rows
     rows, cols = rows[best], cols[best]
-    return pa.table(
-        {
-            "component": pa.array(q_comp[rows]),
-            "weight": pa.array(weight[best]),
-            "dist": pa.array(dist[best]),
-            "lo": pa.array(lo[best]),
-            "hi": pa.array(hi[best]),
-            "other": pa.array(p_comp[cols]),
-        }
-    )
-
-
-def _pivot_bound(points: DataFrame, pivots: list, centres: np.ndarray) -> DataFrame:
-    """Per component an upper bound of its cheapest edge, by edges to pivots."""
-    core = np.array([r["core"] for r in pivots])
-    component = np.array([r["component"] for r in pivots])
-    shared = points.sparkSession.sparkContext.broadcast((centres, core, component))
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, core, component = shared.value
-        for batch in sliced(batches):
-            v, mine = matrix(batch.column("vec")), batch.column("component").to_numpy()
-            cost = np.sqrt(squared_distances(v, centres)) + np.sqrt(slack(v, centres))
-            cost = np.maximum(np.maximum(cost, core[None, :]), batch.column("core").to_numpy()[:, None])
-            cost[mine[:, None] == component[None, :]] = np.inf
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(mine), pa.array(cost.min(axis=1))], names=["component", "bound"]
-            )
+    return {
+        "component": mine[rows], "weight": weight[best], "dist": dist[best],
+        "lo": lo[best], "hi": hi[best], "other": theirs[cols],
+    }
 
-    schema = "component long, bound double"
-    bounds = points.select("vec", "core", "component").mapInArrow(bound, schema)
-    return bounds.groupBy("component").agg(F.min("bound").alias("bound"))
 
-
-def _searched(graph: Reachability, placed: DataFrame, open_components: DataFrame) -> DataFrame:
+def _searched(
+    graph: Reachability, labels: DataFrame, open_components: DataFrame, large: list[int]
+) -> DataFrame:
     """Cheapest outgoing edge of each open component among all points.
 
-    ``placed``: the indexed points with component, core and reach.
-    ``open_components``: (component, weight of the best listed edge or null).
+    ``labels``: (id, cell, core, reach, component); ``open_components``: (component,
+    weight of the best listed edge or null).  Vectors stay where they are but for those
+    of leaf cells that meet another one; cells within one component never do.
     """
-    index = graph.index
-    points = placed.select("id", "vec", "hash", "cell", "component", "core")
-    schema = "component long, weight double, dist double, lo long, hi long, other long"
-    asking = placed.join(open_components, "component")
-    asking = asking.withColumn("radius", F.coalesce("weight", F.lit(float("inf"))))
+    asked = open_components.select("component", F.coalesce("weight", F.lit(float("inf"))).alias("radius"))
+    asking = spread_join(labels, asked, "component", large)
     useful = (F.col("reach") <= F.col("radius")) & (F.col("core") <= F.col("radius"))
-    if index.small:
-        queries, visits = with_all_cells(asking.filter(useful).select(points.columns), index)
-        return search(queries, index, _nearest_foreign, schema, points, visits)
-    single = np.full(len(index.size), -1, dtype=np.int64)
-    span = placed.groupBy("cell").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-    for row in span.collect():
-        if row["a"] == row["b"]:
-            single[row["cell"]] = row["a"]
-    pivots = placed.filter("is_pivot").orderBy("hash", "id").select("core", "component").collect()
-    bounds = _pivot_bound(asking, pivots, index.pivots)
-    queries = (
-        asking.join(bounds, "component")
-        .withColumn("radius", F.least("radius", "bound"))
-        .filter(useful)
-        .select(*points.columns, "radius")
+    radius = F.when(F.coalesce(useful, F.lit(False)), F.col("radius"))
+    point = F.struct("id", "component", "core", F.coalesce(radius, F.lit(-1.0)).alias("radius"))
+    sides = asking.groupBy("cell").agg(
+        F.max(radius).alias("need"),
+        F.min("component").alias("low_mark"),
+        F.max("component").alias("high_mark"),
+        F.sort_array(F.collect_list(point)).alias("_p"),
     )
-    visiting = with_cells(queries, index, settled=single).filter(F.size("cells") > 0)
-    visiting = materialise(visiting, "visits").drop("radius")
-    return search(visiting, index, _nearest_foreign, schema, points)
+    lists = [F.col(f"_p.{c}").alias(c) for c in ("component", "core", "radius")]
+    sides = materialise(sides.select("cell", "need", "low_mark", "high_mark", *lists), "sides")
+    pairs = materialise(cell_pairs(graph.index, sides.select("cell", "need", "low_mark", "high_mark")), "pairs")
+    schema = "component long, weight double, dist double, lo long, hi long, other long"
+    return search(graph.index, pairs, _nearest_foreign, schema, sides.select("cell", "component", "core", "radius"))
 
 
 # Borůvka rounds -------------------------------------------------------------
@@ -264,7 +289,9 @@ def spanning_edges(graph: Reachability) -> DataFrame:
     """
     spark = graph.vertices.sparkSession
     core = graph.vertices.select("id", "core")
-    labels = graph.vertices.select("id", "core", "reach", F.col("id").alias("component"))
+    places = graph.index.packed.select("cell", F.explode("ids").alias("id"))
+    labels = graph.vertices.join(places, "id").select("id", "cell", "core", "reach", F.col("id").alias("component"))
+    labels = materialise(labels, "labels")
     known = labels.select("component", "reach", F.lit(1).cast("long").alias("size"))
     edges = (
         graph.edges.join(core.select(F.col("id").alias("lo"), F.col("core").alias("_a")), "lo")
@@ -277,7 +304,7 @@ def spanning_edges(graph: Reachability) -> DataFrame:
         )
     )
     edges = materialise(edges, "edges")
-    tree = None
+    tree, pending = None, []
     while True:
         sides = edges.select(
             "weight", "dist", "lo", "hi",
@@ -296,34 +323,42 @@ def spanning_edges(graph: Reachability) -> DataFrame:
             n=F.count("*"),
             final=F.count_if("final"),
             largest=F.max_by("component", F.struct("size", "component")),
+            total=F.sum("size"),
+            most=F.max("size"),
         )
         if facts["n"] <= 1:
             break
+        large = large_keys(state, "component", facts["total"], "size") if facts["most"] > skew.LARGE else []
         picks = state.filter("final").select("component", "e.*")
         if facts["final"] < SEARCH_BELOW * facts["n"]:
             undecided = state.filter(
                 ~F.col("final") & (F.col("component") != facts["largest"])
             )
-            placed = materialise(graph.index.points.join(labels, "id"), "placed")
-            labels = placed.select(*labels.columns)
-            found = _searched(
-                graph, placed, undecided.select("component", F.col("e.weight").alias("weight"))
-            )
+            open_ = undecided.select("component", F.col("e.weight").alias("weight"))
+            last = labels
+            for roots in pending:
+                labels = relabel(labels, "component", roots, large)
+            labels, pending = materialise(labels, "labels"), []
+            release(last)
+            found = _searched(graph, labels, open_, large)
             listed = undecided.filter(F.col("e").isNotNull()).select("component", "e.*")
             found = _cheapest(found.union(listed.select(*found.columns)))
             picks = picks.union(found.select("component", "e.*"))
             picks = materialise(picks, "picks")
         chosen = picks.select("lo", "hi", "weight").distinct()
         tree = chosen if tree is None else tree.union(chosen)
-        roots = contract(picks.select(F.col("component").alias("id"), F.col("other").alias("parent")))
-        labels = relabel(labels, "component", roots)
+        hooks = picks.select(F.col("component").alias("id"), F.col("other").alias("parent"))
+        roots = contract(hooks, facts["n"])
+        pending.append(roots)  # the points learn of it when they are asked
         known = (
             relabel(state.select("component", "reach", "size"), "component", roots)
             .groupBy("component")
             .agg(F.min("reach").alias("reach"), F.sum("size").alias("size"))
         )
-        edges = relabel(relabel(edges, "c_lo", roots), "c_hi", roots)
+        last = edges
+        edges = relabel(relabel(edges, "c_lo", roots, large), "c_hi", roots, large)
         edges = materialise(edges.filter(F.col("c_lo") != F.col("c_hi")), "edges")
+        release(last)
     if tree is None:
         return spark.createDataFrame([], StructType.fromDDL("lo long, hi long, weight double"))
     return tree

@@ -653,19 +653,20 @@ def centroids(spark, sf):
     )
 
 
-def _pairs(spark, sf) -> DataFrame:
+def _centroids(spark, sf) -> DataFrame:
     cl = views.clustered(spark, sf)
-    return refine.similar_pairs(refine.cluster_centroids(cl, cl, "embedding"), MERGE_THRESHOLD)
+    return refine.cluster_centroids(cl, cl, "embedding")
 
 
 @query
 def centroid_pairs(spark, sf):
-    return _pairs(spark, sf).withColumn("similarity", F.round("similarity", 6))
+    found = refine.similar_pairs(_centroids(spark, sf), MERGE_THRESHOLD)
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
 @query
 def merge_map(spark, sf):
-    return refine.merge_map(_pairs(spark, sf))
+    return refine.merge_map(refine.similar_clusters(_centroids(spark, sf), MERGE_THRESHOLD))
 
 
 @query

@@ -65,7 +65,9 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    done = spark.read.schema(df.schema).parquet(path)
+    done._scratch = path
+    return done
 
 
 def materialise_with(df: DataFrame, name: str, **facts: Column) -> tuple[DataFrame, dict]:
@@ -75,6 +77,30 @@ def materialise_with(df: DataFrame, name: str, **facts: Column) -> tuple[DataFra
     return done, seen.get
 
 
+def release(*frames: DataFrame | None) -> None:
+    """Delete the files of materialised frames that no later job reads.
+
+    Frames that were not materialised, and those released before, are left alone.
+    Whoever made a table in the scratch folder owns it; results that are handed out are
+    the caller's.
+    """
+    for frame in frames:
+        path = vars(frame).pop("_scratch", None) if frame is not None else None
+        if path:
+            spark = frame.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def free_finished_shuffles(spark: SparkSession) -> None:
+    """Delete shuffle files when the query that wrote them has ended.
+
+    For jobs that write each intermediate table once and read it from there, so that no
+    finished query's shuffle is needed again.
+    """
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` exists on whichever Hadoop file system it names."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gripelens.operators import cells, density, embedding, neighbours, quality, refine, tree
+from gripelens.operators import cells, density, embedding, neighbours, refine, silhouette, skew, spectral, tree
 
 
 def frame(spark, x, name="embedding"):
@@ -39,8 +39,9 @@ def test_knn_with_copies(spark, metric):
 
 
 def test_knn_prunes_and_stays_exact(spark, monkeypatch):
-    monkeypatch.setattr(cells, "VISIT_ALL", 0)
-    monkeypatch.setattr(cells, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(cells, "CELL_ROWS", 16)
+    monkeypatch.setattr(cells, "PARTNERS", 3)
+    monkeypatch.setattr(cells, "PART_ROWS", 50)
     x = blobs(2)
     got, order = check_knn(spark, x, 7, "euclidean")
     assert (got["dst"].to_numpy().reshape(len(x), -1) == order).all()
@@ -60,20 +61,66 @@ def test_knn_zero_vectors_and_few_points(spark):
     assert near[0, 3] == 0 and near[0, 1] == pytest.approx(1) and near[1, 2] == pytest.approx(1)
 
 
-def test_range_search_visits_enough(spark):
+def small_cells(monkeypatch, rows=16, fan=4):
+    monkeypatch.setattr(cells, "CELL_ROWS", rows)
+    monkeypatch.setattr(cells, "FAN", fan)
+    monkeypatch.setattr(cells, "PART_ROWS", 50)
+
+
+def tree_of(spark, x, near=0):
+    points = frame(spark, x).select(F.col("feedback_id").alias("id"), F.col("embedding").alias("vec"))
+    return cells.build_cells(points, near)
+
+
+def test_cells_stay_small_and_know_their_points(spark, monkeypatch):
+    small_cells(monkeypatch)
     x = blobs(3, copies=False)
-    index = cells.build_cells(frame(spark, x).select(F.col("feedback_id").alias("id"), F.col("embedding").alias("vec")))
-    queries = index.points.select("id", "vec", "hash", "cell", F.lit(3.0).alias("radius"))
-    visited = cells.with_cells(queries, index)
-    home = {r["id"]: r["cell"] for r in index.points.select("id", "cell").collect()}
+    tree = tree_of(spark, x, 3)
+    packed = tree.packed.collect()
+    assert sorted(i for r in packed for i in r["ids"]) == list(range(len(x)))
+    assert max(len(r["ids"]) for r in packed) <= 16
+    facts = {r["cell"]: r for r in tree.cells.collect()}
+    d = np.sort(bf.distances(x), axis=1)
+    for r in packed:
+        assert r["ids"] == sorted(r["ids"])
+        assert (np.array(r["vecs"]).reshape(len(r["ids"]), -1) == x[r["ids"]]).all()
+        assert all(b >= d[i, 3] - 1e-9 for i, b in zip(r["ids"], r["bound"]))
+        cell = r["cell"]
+        while cell != cells.ROOT:
+            f = facts[cell]
+            away = np.linalg.norm(x[r["ids"]] - np.array(f["pivot"]), axis=1)
+            assert (away >= f["low"] - 1e-9).all() and (away <= f["high"] + 1e-9).all()
+            cell = f["parent"]
+    assert max(f.count(".") for f in facts) > 1
+
+
+def test_range_search_visits_enough(spark, monkeypatch):
+    small_cells(monkeypatch)
+    x = blobs(3, copies=False)
+    tree = tree_of(spark, x)
+    home = {i: r["cell"] for r in tree.packed.collect() for i in r["ids"]}
+    pairs = {tuple(r) for r in cells.cell_pairs(tree, cells.constant_facts(tree, 3.0)).collect()}
     d = bf.distances(x)
-    seen = total = 0
-    for r in visited.collect():
-        near = {home[j] for j in np.flatnonzero(d[r["id"]] <= 3.0)}
-        assert near <= set(r["cells"])
-        seen += len(r["cells"])
-        total += len(index.used)
-    assert seen < 0.7 * total
+    assert {(home[i], home[j]) for i, j in zip(*np.nonzero(d <= 3.0))} <= pairs
+    assert len(pairs) < 0.6 * len(set(home.values())) ** 2
+
+
+def test_cells_of_one_mark_never_meet(spark, monkeypatch):
+    small_cells(monkeypatch)
+    tree = tree_of(spark, blobs(3, copies=False))
+    leaf = tree.packed.select("cell", F.lit(1e9).alias("need"), F.pmod(F.hash("cell"), F.lit(3)).cast("long").alias("m"))
+    facts = leaf.select("cell", "need", F.col("m").alias("low_mark"), F.col("m").alias("high_mark"))
+    marks = {r["cell"]: r["m"] for r in leaf.collect()}
+    got = {tuple(r) for r in cells.cell_pairs(tree, facts).collect()}
+    assert got == {(a, b) for a in marks for b in marks if marks[a] != marks[b]}
+
+
+def test_odd_vectors_are_set_aside(spark):
+    rows = [(0, [0.0, 1.0]), (1, [1.0, 1.0]), (2, None), (3, [1.0]), (4, [1.0, None]), (None, [2.0, 2.0]),
+            (5, [float("nan"), 1.0]), (6, [0.0, 3.0])]
+    df = spark.createDataFrame(rows, "feedback_id long, embedding array<double>")
+    got = neighbours.knn_graph(df, 1, "euclidean").collect()
+    assert {(r["src"], r["dst"]) for r in got} == {(0, 1), (1, 0), (6, 0)}
 
 
 def test_fuzzy_weights(spark):
@@ -94,10 +141,10 @@ def test_fuzzy_weights(spark):
     assert all(v == pytest.approx(w[p], abs=1e-6) for p, v in got.items())
 
 
-@pytest.mark.parametrize("seed, block, all_cells", [(5, 2048, 8192), (6, 16, 0)])
-def test_spanning_tree(spark, monkeypatch, seed, block, all_cells):
-    monkeypatch.setattr(cells, "BLOCK_ROWS", block)
-    monkeypatch.setattr(cells, "VISIT_ALL", all_cells)
+@pytest.mark.parametrize("seed, rows, large", [(5, 2048, 1 << 16), (6, 16, 20)])
+def test_spanning_tree(spark, monkeypatch, seed, rows, large):
+    small_cells(monkeypatch, rows, 8)
+    monkeypatch.setattr(skew, "LARGE", large)
     x = blobs(seed)
     got = tree.minimum_spanning_tree(frame(spark, x), 6).toPandas()
     expected = bf.spanning_tree(bf.reach_matrix(x, 6), bf.distances(x))
@@ -223,7 +270,88 @@ def test_merge_map(spark):
 def test_silhouette_of_one_cluster(spark):
     x = np.array([[1.0, 0], [1, 0.1], [0, 1]])
     cl = spark.createDataFrame([(0, 0), (1, 0), (2, -1)], "feedback_id long, cluster_id int")
-    assert quality.silhouette(cl, frame(spark, x, "embedding")).first()["silhouette"] is None
+    assert silhouette.silhouette(cl, frame(spark, x, "embedding")).first()["silhouette"] is None
+
+
+def plain_silhouette(x, labels):
+    d = bf.distances(x) ** 2
+    scores = []
+    for i, c in enumerate(labels):
+        if c == -1:
+            continue
+        mates = [j for j in np.flatnonzero(labels == c) if j != i]
+        b = min(d[i, labels == o].mean() for o in set(labels) - {c, -1})
+        a = d[i, mates].mean() if mates else b
+        scores.append(0.0 if not mates or a == b else (b - a) / max(a, b))
+    return np.mean(scores)
+
+
+@pytest.mark.parametrize("rows, large", [(2048, 1 << 16), (4, 12)])
+def test_silhouette(spark, monkeypatch, rows, large):
+    small_cells(monkeypatch, rows, 3)
+    monkeypatch.setattr(skew, "LARGE", large)
+    monkeypatch.setattr(cells, "PARTNERS", 2)
+    rng = np.random.default_rng(15)
+    centres = rng.normal(size=(14, 3)) * 8
+    x = np.vstack([c + rng.normal(size=(5 + 2 * i, 3)) * rng.uniform(0.1, 4) for i, c in enumerate(centres)])
+    labels = np.repeat(np.arange(14), [5 + 2 * i for i in range(14)])
+    # clusters with one centre, of one point, of equal points, and noise
+    x = np.vstack([x, x[:5], [[99.0, 0, 0]], np.ones((4, 3)), rng.normal(size=(6, 3))])
+    labels = np.concatenate([labels, [20] * 5, [21], [22] * 4, [-1] * 6])
+    cl = spark.createDataFrame([(i, int(c)) for i, c in enumerate(labels)], "feedback_id long, cluster_id int")
+    got = silhouette.silhouette(cl, frame(spark, x, "embedding")).first()["silhouette"]
+    assert got == pytest.approx(plain_silhouette(x, labels), abs=1e-9)
+
+
+def test_merge_map_of_a_chain(spark, monkeypatch):
+    """A long chain of similar clusters settles in rounds that grow with its logarithm."""
+    n, rounds = 3000, []
+    keep = refine.materialise_with
+    monkeypatch.setattr(refine, "materialise_with", lambda *a, **k: rounds.append(a[1]) or keep(*a, **k))
+    chain = spark.range(n - 1).selectExpr("CAST(id AS INT) AS i", "CAST(id + 1 AS INT) AS j")
+    got = {r["old_id"]: r["new_id"] for r in refine.merge_map(chain).collect()}
+    assert got == {i: i - 1 for i in range(1, n, 2)}
+    assert len(rounds) <= 20
+
+
+def greedy_merges(sim, t):
+    """Clusters in id order: each maps to the smallest kept one that it is similar to."""
+    kept, out = [], {}
+    for j in range(len(sim)):
+        near = [i for i in kept if sim[i, j] >= t]
+        if near:
+            out[j] = near[0]
+        else:
+            kept.append(j)
+    return out
+
+
+@pytest.mark.parametrize("seed, rows", [(16, 2048), (17, 8), (18, 8)])
+def test_clumps_and_pairs_by_brute_force(spark, monkeypatch, seed, rows):
+    small_cells(monkeypatch, rows, 3)
+    rng = np.random.default_rng(seed)
+    x = np.vstack([rng.normal(size=(40, 3)), np.ones((30, 3)) + rng.normal(size=(30, 3)) * 0.05])
+    x = np.vstack([x, x[:4], x[40:43] * 2, np.zeros((2, 3))])[rng.permutation(79)]
+    sim = 1 - bf.distances(x, "cosine")
+    df = frame(spark, x, "centroid").withColumnRenamed("feedback_id", "cluster_id")
+    for t in (0.8, 0.995):
+        found = refine.similar_clusters(df, t)
+        got = [(r["i"], r["j"], r["similarity"]) for r in found.listed().collect()]
+        expected = {(i, j): sim[i, j] for i in range(79) for j in range(i + 1, 79) if sim[i, j] >= t}
+        assert len(got) == len(expected)
+        assert {(i, j): s for i, j, s in got} == pytest.approx(expected)
+        merges = {r["old_id"]: r["new_id"] for r in refine.merge_map(found).collect()}
+        assert merges == greedy_merges(sim, t)
+
+
+def test_near_equal_centroids_give_few_rows(spark):
+    rng = np.random.default_rng(19)
+    x = np.ones((500, 4)) + rng.normal(size=(500, 4)) * 0.01
+    df = frame(spark, x, "centroid").withColumnRenamed("feedback_id", "cluster_id")
+    found = refine.similar_clusters(df, 0.9)
+    assert found.members.count() == 500
+    assert found.pairs.count() + found.joint.count() < 500
+    assert refine.merge_map(found).filter("new_id = 0").count() == 499
 
 
 def test_refine_merges_parallel_centroids(spark):
@@ -272,3 +400,33 @@ def test_pca_matches_svd(spark):
     _, _, v = np.linalg.svd(centred, full_matrices=False)
     assert np.allclose(np.abs(got), np.abs(centred @ v[:3].T), atol=1e-8)
     assert np.allclose(got.mean(0), 0, atol=1e-8)
+
+
+def test_spectral_axes(spark, monkeypatch):
+    x = blobs(20, size=20, groups=3, scattered=12, copies=False)
+    graph = neighbours.fuzzy_graph(neighbours.knn_graph(frame(spark, x), 8, "euclidean"))
+    w = np.zeros((len(x), len(x)))
+    for r in graph.collect():
+        w[r["src"], r["dst"]] = w[r["dst"], r["src"]] = r["weight"]
+    scale = 1 / np.sqrt(w.sum(0))
+    s = w * scale[:, None] * scale[None, :]
+    expected = np.linalg.eigvalsh(s)[::-1]
+    monkeypatch.setattr(skew, "LARGE", 12)
+    rows, axes = spectral.spectral_axes(graph, 4, 1e-5)
+    found = axes.orderBy("axis").collect()
+    assert np.allclose([r["eigenvalue"] for r in found], expected[:5], atol=1e-6)
+    v = np.array([r[1:] for r in rows.orderBy("id").collect()])
+    assert np.allclose(v.T @ v, np.eye(5), atol=1e-9)
+    assert np.linalg.norm(s @ v - v * expected[:5], axis=0).max() < 1e-4
+    assert (v[np.abs(v).round(9).argmax(0), np.arange(5)] > 0).all()
+    for r in spectral.axis_checks(graph, rows, axes).collect():
+        assert r["residual"] < 1e-4 and r["overlap"] < 1e-9
+    reduced = spectral.reduce_graph(graph, 2).collect()
+    assert len(reduced) == len(x) and all(len(r["reduced"]) == 2 for r in reduced)
+
+
+def test_spectral_axes_of_few_nodes(spark):
+    pair = spark.createDataFrame([(1, 2, 0.5)], "src long, dst long, weight double")
+    rows, axes = spectral.spectral_axes(pair)
+    assert sorted(round(r["eigenvalue"], 9) for r in axes.collect()) == [-1, 1]
+    assert spectral.spectral_axes(pair.limit(0))[0].count() == 0
