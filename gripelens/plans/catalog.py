@@ -21,6 +21,7 @@ from gripelens.operators import (
     quality,
     refine,
     reports,
+    spectral,
     tree,
 )
 from gripelens.plans import run, views
@@ -614,7 +615,7 @@ def orphan_keys(spark, sf):
 @query
 def silhouette(spark, sf):
     cl = views.clustered(spark, sf)
-    return quality.silhouette(cl, cl)
+    return _rounded(quality.silhouette(cl, cl), "silhouette")
 
 
 # Vectors ----------------------------------------------------------------
@@ -721,6 +722,20 @@ def fuzzy_graph(spark, sf):
     return _rounded(neighbours.fuzzy_graph(knn), "weight")
 
 
+@query
+def spectral_axes(spark, sf):
+    """What holds for each axis of the fuzzy graph, recomputed from all rows."""
+    knn = neighbours.knn_graph(_vectors(spark, sf), 15, "cosine")
+    graph = tables.stage(spark, scratch_path(spark, "graph"), lambda: neighbours.fuzzy_graph(knn))
+    rows, axes = spectral.spectral_axes(graph)
+    return spectral.axis_checks(graph, rows, axes).select(
+        "axis",
+        F.col("eigenvalue").between(-1.000001, 1.000001).alias("in_range"),
+        (F.col("residual") < 2 * spectral.TOLERANCE).alias("settled"),
+        (F.col("overlap") < 1e-8).alias("orthonormal"),
+    )
+
+
 @query
 def mst_total_weight(spark, sf):
     found = tree.minimum_spanning_tree(_vectors(spark, sf))

