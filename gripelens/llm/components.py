@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gripelens.session import materialise_with
+from gripelens.session import materialise_with, release
 
 
 def _star(links: DataFrame, all_neighbours: bool) -> DataFrame:
@@ -46,7 +46,9 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b") ->
     digest = {"n": F.count(F.lit(1)), "h": F.bit_xor(F.xxhash64("node", "label"))}
     star, last = materialise_with(star, "links", **digest)
     while last["n"]:
+        before = star
         star, seen = materialise_with(_star(_star(star, True), False), "star", **digest)
+        release(before)
         if seen == last:
             break
         last = seen

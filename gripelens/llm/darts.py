@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from gripelens.llm.components import connected_components
 from gripelens.llm.scratch import free_finished_shuffles
 from gripelens.llm.words import hashes, mix, plain_words, sliced, text_array
-from gripelens.session import materialise, materialise_with
+from gripelens.session import materialise, materialise_with, release
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -53,16 +53,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, shingle hash, count), sorted by both, and a 128-bit hash of all words of each text."""
+    """(text, shingle hash, count), sorted by both, and a 128-bit hash of all words of each
+    text: two sums over its words, each of another hash of the word and its place."""
     words = plain_words(texts)
     codes, distinct = words.coded()
-    h = hashes(distinct)[codes] if codes.size else np.zeros(0, np.uint64)
+    h, other = (hashes(distinct, seed)[codes] if codes.size else np.zeros(0, np.uint64) for seed in (0, 1))
     n, starts = words.per_text, words.offsets[:-1]
     whole = np.zeros((len(n), 2), np.uint64)
     if h.size:
         place = (np.arange(h.size) - np.repeat(starts, n)).astype(np.uint64)
-        for half in range(2):
-            spread = mix((h ^ np.uint64(half)) + (place + np.uint64(half)) * _GOLD)
+        for half, own in enumerate((h, other)):
+            spread = mix(own + (place + np.uint64(half)) * _GOLD)
             ends = np.concatenate([np.zeros(1, np.uint64), np.cumsum(spread, dtype=np.uint64)])
             whole[:, half] = ends[words.offsets[1:]] - ends[words.offsets[:-1]] + n.astype(np.uint64)
     gram = np.zeros(h.size, np.uint64)
@@ -266,13 +267,15 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
     return buckets.join(shared.filter("n > 1").drop("n"), "band")
 
 
-def links(buckets: DataFrame, units: DataFrame, threshold: float, pivots: int = 4) -> DataFrame:
+def links(buckets: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
     """(node, label) of all nodes that are linked to another one.
 
-    ``buckets`` are the ``shared_buckets``, ``units`` the sets of their nodes.  After
-    the first comparisons, rounds give each node outside a main group further pivots of
-    the main groups it meets; from then on pivots are taken outside, more each round,
-    and meet their whole bucket, until nothing is left to compare.
+    ``buckets`` are the ``shared_buckets``, ``units`` the sets of their nodes.  First each
+    node meets one other.  Then rounds follow: each node outside a main group tries the
+    cleanest members of the main groups it meets, those with the fewest units that no
+    other group has.  From the third round on the cleanest nodes outside meet all their
+    buckets, more of them each round, until nothing is left to compare.  The tables of a
+    round are deleted once the next one's are written.
     """
     first = (
         buckets.filter(F.col("node") != F.col("pivot.node"))
@@ -282,38 +285,38 @@ def links(buckets: DataFrame, units: DataFrame, threshold: float, pivots: int =
     )
     compared = materialise(first, "pairs")
     found = materialise(_similar(compared, units, threshold), "links")
+    start = buckets
     buckets = buckets.drop("pivot")
     turn = 0
     while True:
-        label = connected_components(found)
-        member, seen = materialise_with(
-            _open_buckets(buckets, label), "open", n=F.count(F.lit(1))
-        )
+        label = materialise(connected_components(found), "label")
+        release(found)
+        open_, seen = materialise_with(_open_buckets(buckets, label), "open", n=F.count(F.lit(1)))
+        release(start)
         if not seen["n"]:
+            release(open_, compared)
             return label
-        member = materialise(_able(member, units, threshold), "able")
-        known = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        member = materialise(_able(open_, units, threshold), "able")
+        release(open_)
+        pivot = None
         if turn < MAIN_TURNS:
-            pairs, done = _main_tries(member, threshold, turn), None
+            pairs = _main_tries(member, threshold, turn)
         else:
-            width = pivots << (2 * (turn - MAIN_TURNS))
-            pivot = materialise(_outside_pivots(member, width, turn), "pivots")
-            pairs = (
-                member.join(pivot, "band")
-                .filter(F.col("label") != F.col("b_label"))
-                .filter(_reachable(F.struct("weight", "shared"), F.col("b_size"), threshold))
-                .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-                .distinct()
-            )
-            done = pivot.select("band", F.col("b").alias("node"))
+            pivot = materialise(_outside_pivots(member, turn - MAIN_TURNS), "pivots")
+            pairs = _met(member, pivot, threshold)
+        known = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = materialise(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
-        new = materialise(_similar(pairs, units, threshold), "links")
-        compared = known.union(pairs)
-        found = label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(new)
-        buckets = member.select("node", "weight", "band")
-        if done is not None:  # these have met all members of their bucket
-            buckets = buckets.join(done, ["band", "node"], "left_anti")
-        buckets, turn = materialise(buckets, "buckets"), turn + 1
+        new = _similar(pairs, units, threshold)
+        found = materialise(
+            label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(new), "links"
+        )
+        met = materialise(known.union(pairs), "compared")
+        release(compared, pairs, label)
+        compared = met
+        rest = member if pivot is None else member.join(pivot.select("node"), "node", "left_anti")
+        start = buckets = materialise(rest.select("node", "weight", "band"), "buckets")
+        release(member, pivot)
+        turn += 1
 
 
 def _able(member: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
@@ -338,17 +341,24 @@ def _reachable(a: Column, b: Column, threshold: float) -> Column:
     return both >= threshold * (a["weight"] + b["weight"] - both) - 1e-9
 
 
+def _order(seed: int) -> Column:
+    """Cleaner nodes first, those with fewer units of their own; ties by hash."""
+    own = F.col("weight") - F.col("shared")
+    return F.struct(own.alias("own"), F.xxhash64("node", F.lit(seed)).alias("draw"), "node", "weight", "shared")
+
+
 def _main_tries(member: DataFrame, threshold: float, turn: int) -> DataFrame:
     """For each node outside a main group a few members of the main groups it meets.
 
-    They are the smallest under ``TRIES`` hashes: a fixed number of pairs per node.
+    One is the cleanest, the others are drawn: a fixed number of pairs per node.
     """
     names = [f"p{i}" for i in range(TRIES)]
+    draws = [
+        F.struct(F.xxhash64("node", F.lit(turn * TRIES + i)).alias("draw"), "node", "weight", "shared")
+        for i in range(1, TRIES)
+    ]
     mains = member.filter("label = main").groupBy("band").agg(
-        *[
-            F.min(F.struct(F.xxhash64("node", F.lit(turn * TRIES + i)).alias("draw"), "node", "weight", "shared")).alias(p)
-            for i, p in enumerate(names)
-        ]
+        *[F.min(c).alias(p) for p, c in zip(names, [_order(turn), *draws])]
     )
     size = F.struct("weight", "shared")
     near = [F.when(_reachable(size, F.col(p), threshold), F.col(p)) for p in names]
@@ -363,23 +373,37 @@ def _main_tries(member: DataFrame, threshold: float, turn: int) -> DataFrame:
     return tries.select(F.least("own", "b").alias("a"), F.greatest("own", "b").alias("b")).distinct()
 
 
-def _outside_pivots(member: DataFrame, width: int, turn: int) -> DataFrame:
-    """In each bucket about ``width`` members outside its main group, one at least."""
-    draw = F.xxhash64("node", F.lit(-turn)).bitwiseAND(F.lit((1 << 30) - 1))
-    able = member.filter("label <> main").withColumn("draw", draw)
-    facts = able.groupBy("band").agg(
-        F.min(F.struct("draw", "node")).alias("at_least"), F.count(F.lit(1)).alias("able")
+def _outside_pivots(member: DataFrame, turn: int) -> DataFrame:
+    """(node) of the nodes outside a main group that meet all their buckets next.
+
+    They are the cleanest of each bucket, and from the second time on a growing share of
+    all others, by hash.
+    """
+    outside = member.filter("label <> main")
+    best = outside.groupBy("band").agg(F.min(_order(turn)).alias("best")).select("best.node")
+    share = min(4.0**turn / 256, 1.0)
+    drawn = outside.filter(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 20)) < share * (1 << 20)) if turn else outside.limit(0)
+    return best.union(drawn.select("node")).distinct()
+
+
+def _met(member: DataFrame, pivot: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: pivots and the members of other groups in their buckets.
+
+    A pair that meets in several buckets is listed in the first of them only.
+    """
+    own = member.join(pivot, "node").select(
+        "band", F.col("node").alias("b"), F.col("label").alias("b_label"), F.struct("weight", "shared").alias("b_size")
     )
-    chance = F.lit(float(width << 30)) / F.col("able")
+    bands = member.groupBy("node").agg(F.collect_list("band").alias("bands"))  # at most all bands of a text
+    rows = member.join(bands, "node").select("band", "node", "label", F.struct("weight", "shared").alias("size"), "bands")
+    own = own.join(bands.withColumnsRenamed({"node": "b", "bands": "b_bands"}), "b")
     return (
-        able.join(facts, "band")
-        .filter((F.col("draw") < chance) | (F.col("node") == F.col("at_least.node")))
-        .select(
-            "band",
-            F.col("node").alias("b"),
-            F.col("label").alias("b_label"),
-            F.struct("weight", "shared").alias("b_size"),
-        )
+        rows.join(own, "band")
+        .filter(F.col("label") != F.col("b_label"))
+        .filter(_reachable(F.col("size"), F.col("b_size"), threshold))
+        .filter(F.col("band") == F.array_min(F.array_intersect("bands", "b_bands")))
+        .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+        .distinct()
     )
 
 
@@ -417,12 +441,15 @@ def classes(
         .select("node", "words_key", F.col("first.text_key").alias("text_key")),
         "wanted",
     )
+    # rows of one text come in any number: one of them, folded on the map side, is enough
+    source = _keyed(docs, text).groupBy("text_key").agg(F.first("_text").alias("_text"))
     # merge joins at every size: texts and sets are moved once each, whatever the input
-    source = _keyed(docs, text).join(wanted.select("text_key").hint("merge"), "text_key", "left_semi")
-    # rows of one text come in any number: one of them is enough
-    units = shingled(source.select("text_key", "_text").groupBy("text_key").agg(F.first("_text").alias("_text")))
+    source = source.join(wanted.select("text_key").hint("merge"), "text_key", "left_semi")
+    units = shingled(source)
     units = materialise(units.join(wanted.select("words_key", "node"), "words_key").select("node", "units"), "units")
+    release(wanted)
     label = links(buckets, units, threshold)
+    release(units)
     labelled = nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     best = labelled.groupBy("label").agg(F.min("first").alias("kept"))
     of_words = labelled.join(best, "label").select("words_key", "kept")
@@ -440,10 +467,14 @@ def one_per_class(docs: DataFrame, **options) -> DataFrame:
     found = classes(docs, **options)
     kept = (
         found.filter(F.col("class_id").eqNullSafe(F.col("doc_id")) & (F.col("kept_key") == F.col("text_key")))
-        .select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_text"))
+        .select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
         .distinct()
     )
-    marked = docs.withColumn("_text_key", F.sha2(F.coalesce(docs[text], F.lit("")), 256))
-    same = marked["doc_id"].eqNullSafe(kept["_kept_id"]) & (marked["_text_key"] == kept["_kept_text"])
-    stay = marked.join(kept, same, "left_semi")
-    return stay.dropDuplicates(["doc_id", "_text_key"]).select(*[stay[c] for c in docs.columns])
+    # rows as one column, so that no column of theirs can clash with the helpers
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        docs["doc_id"].alias("id"),
+        F.sha2(F.coalesce(docs[text], F.lit("")), 256).alias("key"),
+    )
+    same = rows["id"].eqNullSafe(kept["id"]) & (rows["key"] == kept["key"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["id", "key"]).select("row.*")
