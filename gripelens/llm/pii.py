@@ -13,7 +13,8 @@ are shifted modulo their own ranges.  Both are permutations by construction.
 
 A card keeps its first digit and gets a new check digit; an IBAN keeps its country
 and gets new check digits; a phone number keeps its country code; an e-mail address
-keeps its domain; a date stays a date between 1800 and 2199.  Numbers that fail their
+keeps its domain; a token keeps the prefix that names its kind; a date stays a date
+between 1800 and 2199.  Numbers that fail their
 check are ordinary numbers and stay.
 """
 
@@ -30,7 +31,7 @@ ROUNDS = 8
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: What may be a value; the kinds are told apart by the same parts.
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+EMAIL = r"[\p{L}0-9][\p{L}0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 #: A name, perhaps in quotes, a sign with blanks around it, and the quote that opens the
 #: value, if any.  After a colon and a blank a bare value needs a digit, else it is prose.
 SECRET_NAME = (
@@ -43,15 +44,30 @@ SECRET = rf"{SECRET_NAME}(?:(?=\S)(?:" + "|".join(
     rf"(?<={q})(?:[^{q}\\\r\n]|\\.)++(?={q})" for q in ('"', "'")
 ) + r")|[^\s\"',;]+)"
 CLOUD_KEY = r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
+#: Tokens with a prefix that names their kind, which stays.
+TOKEN_PREFIX = r"sk-|gh[pousr]_|eyJ"
+TOKEN = (
+    r"sk-[A-Za-z0-9_-]{16,}+|gh[pousr]_[A-Za-z0-9]{20,}+"
+    r"|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+(?:\.[A-Za-z0-9_-]++)?"
+)
 HEX_KEY = r"[0-9A-Fa-f]{32,}(?![0-9A-Za-z])"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
 ADDRESS = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])"
+_GROUP = r"[0-9A-Fa-f]{1,4}"
+#: Eight groups, or fewer with one gap; with a digit, so that names of code stay.
+LONG_ADDRESS = (
+    rf"(?=[A-Fa-f:]*[0-9])(?:(?:{_GROUP}:){{7}}{_GROUP}"
+    rf"|(?=[0-9A-Fa-f]{{3,4}}:|{_GROUP}:{_GROUP}:)(?:{_GROUP}:){{1,6}}(?::{_GROUP}){{1,6}})(?![0-9A-Za-z:])"
+)
 ISO_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-SU-Ya-su-z-]|[Tt](?![0-9])|Z[0-9A-Za-z])"
 DATE = r"[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![0-9A-Za-z])"
+YEAR_FIRST = r"[0-9]{4}/[0-9]{2}/[0-9]{2}(?![0-9A-Za-z/])"
+SHORT_DATE = r"[1-3]?[0-9]\.1?[0-9]\.[0-9]{4}(?![0-9A-Za-z])"
 SOCIAL = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 PHONE = (
     r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])"
     r"|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9A-Za-z])"
+    r"|00[1-9][0-9]{0,2}[ .-][0-9]{1,5}(?:[ .-][0-9]{2,10}){1,3}(?![0-9A-Za-z])"
     r"|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z])"
 )
 CARD = (
@@ -59,8 +75,8 @@ CARD = (
 )
 #: ``DATE`` comes first: its separator is group 1.  IBANs go between the two parts: a
 #: text's own ones, since only their check tells where they end.
-BEFORE_IBAN = "(?<![A-Za-z0-9])(?:" + "|".join((DATE, EMAIL, SECRET, CLOUD_KEY, HEX_KEY))
-AFTER_IBAN = "|" + "|".join((ADDRESS, ISO_DATE, SOCIAL, PHONE, CARD)) + ")"
+BEFORE_IBAN = r"(?<![\p{L}0-9])(?:" + "|".join((DATE, EMAIL, SECRET, CLOUD_KEY, TOKEN, LONG_ADDRESS, HEX_KEY))
+AFTER_IBAN = "|" + "|".join((ADDRESS, ISO_DATE, YEAR_FIRST, SHORT_DATE, SOCIAL, PHONE, CARD)) + ")"
 
 #: Lengths of the countries' IBANs.
 IBAN_LENGTHS = {
@@ -280,23 +296,67 @@ def _social(value: Column, key: str) -> Column:
     return let(F.split(value, "-"), replaced)
 
 
-def _dated(value: Column, forms: tuple[str, ...], key: str) -> Column:
-    """Days of the 400 years from 1800 on are 189 x 773 pairs."""
-    out = value
-    for form in reversed(forms):
-        day = F.to_date(F.try_to_timestamp(value, F.lit(form)))
-        number = F.date_diff(day, F.lit("1800-01-01").cast("date"))
+#: Days of the 400 years from 1800 on, and those of them behind the 12th of a month.
+_DAYS = 146097
+_LATE_DAYS = _DAYS - 400 * 12 * 12
+_FIRST = "1800-01-01"
+
+
+def _number(value: Column, form: str) -> Column:
+    """The day that a string of this form names, from 0; null if it names none."""
+    day = F.to_date(F.try_to_timestamp(value, F.lit(form)))
+    number = F.date_diff(day, F.lit(_FIRST).cast("date"))
+    return F.when(day.isNotNull() & (number >= 0) & (number < _DAYS), number)
+
+
+def _printed(number: Column, form: str) -> Column:
+    return F.date_format(F.date_add(F.lit(_FIRST).cast("date"), number.cast("int")), form)
+
+
+def _dated(value: Column, form: str, key: str) -> Column:
+    """A day becomes another one, the same in all forms; days are 189 x 773 pairs."""
+
+    def replaced(number: Column) -> Column:
         pair = permuted_pair(F.floor(number / 773), number % 773, (189, 773), key, "date")
-        made = _day(pair, form)
-        out = F.when(day.isNotNull() & (number >= 0) & (number < 146097), made).otherwise(out)
-    return out
+        return let(pair, lambda p: F.coalesce(_printed(p["a"] * 773 + p["b"], form), value))
 
+    return let(_number(value, form), replaced)
 
-def _day(pair: Column, form: str) -> Column:
-    first = F.lit("1800-01-01").cast("date")
-    return let(
-        pair, lambda p: F.date_format(F.date_add(first, (p["a"] * 773 + p["b"]).cast("int")), form)
-    )
+
+def _slashed(value: Column, key: str) -> Column:
+    """Strings with slashes are one set, whichever of day and month comes first.
+
+    It has a string for each day with the month first, and another one for each day behind
+    the 12th with the day first; up to the 12th these are the same strings.  They are
+    numbered in this order, 18 x 13033 in all, and permuted as such.
+    """
+
+    def before(month: Column) -> Column:
+        """Late days in front of a month, counted from the first one."""
+        first = F.add_months(F.lit(_FIRST).cast("date"), month.cast("int"))
+        return F.date_diff(first, F.lit(_FIRST).cast("date")) - 12 * month
+
+    def month_of(number: Column) -> Column:
+        day = F.date_add(F.lit(_FIRST).cast("date"), number.cast("int"))
+        return (F.year(day) - 1800) * 12 + F.month(day) - 1
+
+    def late(rank: Column) -> Column:
+        """The day of the late day of this rank: months have about 18.4 of them."""
+        near = F.floor(rank * 4800 / _LATE_DAYS)
+        month = near - 1 + sum((before(near + i) <= rank).cast("long") for i in (0, 1))
+        return rank + 12 * month + 12
+
+    def replaced(n: Column) -> Column:
+        late_rank = n["d"] - 12 * (month_of(n["d"]) + 1)
+        at = F.coalesce(n["m"], late_rank + _DAYS)
+        pair = permuted_pair(F.floor(at / 13033), at % 13033, (18, 13033), key, "slashed")
+
+        def made(to: Column) -> Column:
+            return F.when(to < _DAYS, _printed(to, "MM/dd/yyyy")).otherwise(_printed(late(to - _DAYS), "dd/MM/yyyy"))
+
+        return let(pair, lambda p: let(p["a"] * 13033 + p["b"], lambda to: F.coalesce(made(to), value)))
+
+    return let(F.struct(_number(value, "MM/dd/yyyy").alias("m"), _number(value, "dd/MM/yyyy").alias("d")), replaced)
 
 
 def _phone(value: Column, key: str) -> Column:
@@ -333,6 +393,7 @@ def _of_kind(value: Column, key: str) -> Column:
     """The pseudonym of a value that is no secret by its name; others stay."""
     whole = lambda pattern: value.rlike(f"^(?:{pattern})$")
     local = F.substring_index(value, "@", 1)
+    prefix = F.regexp_extract(value, f"^(?:{TOKEN_PREFIX})", 0)
     hexed = permuted(F.when(value == F.upper(value), F.lower(value)).otherwise(value), key, "hex", 6)
     return (
         F.when(whole(EMAIL), F.concat(permuted(local, key, "mail"), F.lit("@"), F.substring_index(value, "@", -1)))
@@ -340,9 +401,13 @@ def _of_kind(value: Column, key: str) -> Column:
         .when(whole(HEX_KEY), F.when(value == F.upper(value), F.upper(hexed)).otherwise(hexed))
         .when(whole(IBAN), _iban(value, key))
         .when(whole(ADDRESS), _address(value, key))
-        .when(whole(ISO_DATE), _dated(value, ("yyyy-MM-dd",), key))
-        .when(value.rlike(r"^[0-9]{2}\.[0-9]{2}\.[0-9]{4}$"), _dated(value, ("dd.MM.yyyy",), key))
-        .when(value.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}$"), _dated(value, ("MM/dd/yyyy", "dd/MM/yyyy"), key))
+        .when(whole(TOKEN), F.concat(prefix, permuted(F.substr(value, F.length(prefix) + 1), key, "token")))
+        .when(whole(LONG_ADDRESS), permuted(F.lower(value), key, "long address", 6))
+        .when(whole(ISO_DATE), _dated(value, "yyyy-MM-dd", key))
+        .when(whole(YEAR_FIRST), _dated(value, "yyyy/MM/dd", key))
+        .when(value.rlike(r"^[0-9]{2}\.[0-9]{2}\.[0-9]{4}$"), _dated(value, "dd.MM.yyyy", key))
+        .when(whole(SHORT_DATE), _dated(value, "d.M.yyyy", key))
+        .when(value.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}$"), _slashed(value, key))
         .when(whole(SOCIAL), _social(value, key))
         .when(whole(PHONE), _phone(value, key))
         .when(whole(CARD), _card(value, key))
@@ -383,7 +448,7 @@ def pseudonymised(text: Column, key: str) -> Column:
         return let(F.split(text, pattern, -1), with_rest)
 
     plain = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
-    may = text.rlike("[0-9@=:]|AKIA")
+    may = text.rlike("[0-9@=:]|AKIA|sk-|gh[pousr]_|eyJ")
     return F.when(may, let(_pattern(text), with_pattern)).otherwise(plain)
 
 
