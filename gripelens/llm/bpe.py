@@ -367,12 +367,15 @@ def encode_digests(docs: DataFrame, path: str, text: str = "text", keys=("doc_id
     def run(batches):
         encoder = Encoder(Vocabulary(shared.value))
         gc.disable()  # the cache holds no cycles, but following it costs a fifth of the time
-        for batch in sliced(batches, "_text"):
-            rows = _digests(encoder, [t or "" for t in batch.column("_text").to_pylist()])
-            made = [pa.array([r[i] for r in rows], kind) for i, (_, _, kind) in enumerate(_ADDED)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(k) for k in keys] + made, names=keys + [n for n, _, _ in _ADDED]
-            )
+        try:
+            for batch in sliced(batches, "_text"):
+                rows = _digests(encoder, [t or "" for t in batch.column("_text").to_pylist()])
+                made = [pa.array([r[i] for r in rows], kind) for i, (_, _, kind) in enumerate(_ADDED)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(k) for k in keys] + made, names=keys + [n for n, _, _ in _ADDED]
+                )
+        finally:  # other queries run in the same process
+            gc.enable()
 
     schema = T.StructType(
         [source.schema[k] for k in keys] + [T.StructField(n, t) for n, t, _ in _ADDED]

@@ -105,7 +105,16 @@ def _split(rows: DataFrame, depth: int, limit: int) -> tuple[DataFrame, DataFram
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, text: str = "text") -> None:
-    """Write ``docs`` with one folder for each shard.  Ids must not repeat."""
-    shards = assign_shards(docs, limit, text).select(F.col("doc_id").alias("_id"), "shard")
-    joined = docs.join(shards, docs["doc_id"].eqNullSafe(shards["_id"])).drop("_id")
-    joined.repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write ``docs`` with one folder for each shard, all columns unchanged.
+
+    The folders are named by a column that ``docs`` lacks: ``shard``, else ``shard_1`` and
+    so on.  Rows of one id are in one shard, the first that any of them is assigned to.
+    """
+    name, n = "shard", 0
+    while name in docs.columns:
+        n += 1
+        name = f"shard_{n}"
+    shards = assign_shards(docs, limit, text).groupBy(F.col("doc_id").alias("id")).agg(F.min("shard").alias("to"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("own"))
+    joined = rows.join(shards, F.col("own").eqNullSafe(F.col("id"))).select("row.*", F.col("to").alias(name))
+    joined.repartition(name).write.partitionBy(name).parquet(path)

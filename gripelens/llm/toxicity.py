@@ -77,5 +77,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, least: float = LEAST, text: str
 def accepted(docs: DataFrame, labels: DataFrame, least: float = LEAST, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not rejected, all columns unchanged."""
     model = train(docs, labels, text=text)
-    marked = ordinal.graded(docs, model, word_features, least, text)
-    return marked.filter(~F.col("_graded.reached")).drop("_graded")
+    # rows as one column, so that no column of theirs can clash with the verdict
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text].alias("_text"))
+    marked = ordinal.graded(rows, model, word_features, least, "_text")
+    return marked.filter(~F.col("_graded.reached")).select("row.*")

@@ -265,6 +265,9 @@ def contaminated(
 def clean_rows(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns unchanged."""
     text = options.get("text", "text")
-    bad = contaminated(docs, items, **options).filter("contaminated").select(F.col("text_key").alias("_bad_key"))
-    key = F.sha2(F.coalesce(docs[text], F.lit("")), 256)
-    return docs.join(bad.distinct(), key == F.col("_bad_key"), "left_anti")
+    bad = contaminated(docs, items, **options).filter("contaminated").select(F.col("text_key").alias("key")).distinct()
+    # rows as one column, so that no column of theirs can clash with the key
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.sha2(F.coalesce(docs[text], F.lit("")), 256).alias("key")
+    )
+    return rows.join(bad, "key", "left_anti").select("row.*")

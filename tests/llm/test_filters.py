@@ -378,3 +378,55 @@ def test_pipeline(spark, sf, texts):
             assert any(r.text != seen[d] for d, r in rows.items())
         docs = spark.createDataFrame(out.collect(), out.schema)
     assert sorted(map(tuple, docs.collect())) == sorted(map(tuple, corpus_pipeline.run(spark, sf).collect()))
+
+
+def test_slash_dates_are_one_set(spark):
+    """All strings of 400 years, month first or day first: distinct in, distinct out."""
+    day = F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int"))
+    days = spark.range(146097)
+    dates = days.select(F.date_format(day, "MM/dd/yyyy").alias("v")).union(days.select(F.date_format(day, "dd/MM/yyyy")))
+    dates = dates.distinct().repartition(8)
+    made = dates.select(pii._slashed(F.col("v"), "k").alias("v")).distinct()
+    assert dates.count() == made.count() == 18 * 13033
+    assert made.join(dates, "v", "left_anti").count() == 0
+
+
+def test_more_formats(spark):
+    kept = {
+        "call 0049 30 12345678 now": r"call \d{4} \d\d \d{8} now",
+        "on 3.2.2024 or 2024/01/05": r"on \d\d?\.\d\d?\.\d{4} or \d{4}/\d\d/\d\d",
+        "host 2001:db8::1 up": r"host \d{4}:[a-f][a-f]\d::\d up",
+        "k sk-abcdEFGH1234abcdEFGH": r"k sk-[a-z]{4}[A-Z]{4}\d{4}[a-z]{4}[A-Z]{4}",
+        "ghp_abcdefghijklmnopqrst": r"ghp_[a-z]{20}",
+        "Bearer eyJhbGciOi1I.eyJzd.abc": r"Bearer eyJ[a-zA-Z]+\d[A-Z]\.[a-zA-Z]+\.[a-z]{3}",
+        "mail ümlaut@x.org": r"mail ü[a-z]{5}@x\.org",
+    }
+    plain = ["std::vector a::b 12:30:45", "version 1.2.3 and 10.11", "see 00 12 or sk-short"]
+    rows = list(enumerate([*kept, *plain]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.pseudonym_counts(docs, "k").collect()}
+    for i, (text, form) in enumerate(kept.items()):
+        assert out[i].text != text and re.fullmatch(form, out[i].text), out[i].text
+    for i, text in enumerate(plain, len(kept)):
+        assert out[i].text == text and out[i].n_values == 0
+
+
+def test_kept_rows_have_their_own_columns(spark, tmp_path):
+    """Helpers of the stages never touch columns of the user."""
+    names = ["_text_key", "_bad_key", "_graded", "key", "row", "id", "shard", "_text", "own", "to"]
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * 9) for i in (1, 2, 2)], "doc_id long, text string")
+    docs = docs.withColumns({n: F.lit(n) for n in names})
+    items = spark.createDataFrame([(1, "nothing of this")], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for kept, n in (
+        (darts.one_per_class(docs), 2),
+        (winnowing.clean_rows(docs, items), 3),
+        (toxicity.accepted(docs, labels), 3),
+    ):
+        rows = kept.collect()
+        assert kept.columns == docs.columns and len(rows) == n
+        assert all(r[name] == name for r in rows for name in names)
+    sharding.write_shards(docs, f"{tmp_path}/s")
+    back = spark.read.parquet(f"{tmp_path}/s")
+    assert back.count() == 3 and set(back.columns) == {*docs.columns, "shard_1"}
+    assert back.filter("shard <> 'shard'").count() == 0
