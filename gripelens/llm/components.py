@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gripelens.session import materialise_with, release
+from gripelens.session import materialise, materialise_with, release
 
 
 def _star(links: DataFrame, all_neighbours: bool) -> DataFrame:
@@ -31,18 +31,34 @@ def _star(links: DataFrame, all_neighbours: bool) -> DataFrame:
     return ends.filter("node <> least").select("node", F.col("least").alias("label")).distinct()
 
 
+def _ends(links: DataFrame, left: str, right: str) -> DataFrame:
+    """(node, label) with node > label of each link, once."""
+    ends = links.select(F.col(left).alias("a"), F.col(right).alias("b"))
+    return (
+        ends.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+        .select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("label"))
+        .distinct()
+    )
+
+
+def shortened(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
+    """(node, label): links with the same components after one round, without a check.
+
+    A node is connected to each of its labels; it may still have several.
+    """
+    first = materialise(_ends(links, left, right), "links")
+    star = materialise(_star(_star(first, True), False), "star")
+    release(first)
+    return star
+
+
 def connected_components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, label): label is the smallest node of the component.
 
     ``links`` has two columns of one orderable type.  Self links and repeated links
     change nothing; rows with a null are not links; no links give no rows.
     """
-    ends = links.select(F.col(left).alias("a"), F.col(right).alias("b"))
-    star = (
-        ends.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-        .select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("label"))
-        .distinct()
-    )
+    star = _ends(links, left, right)
     digest = {"n": F.count(F.lit(1)), "h": F.bit_xor(F.xxhash64("node", "label"))}
     star, last = materialise_with(star, "links", **digest)
     while last["n"]:
@@ -53,4 +69,6 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b") ->
             break
         last = seen
     roots = star.select("label").distinct()
-    return star.union(roots.select("label", F.col("label").alias("label2")).toDF("node", "label"))
+    found = star.union(roots.select("label", F.col("label").alias("label2")).toDF("node", "label"))
+    found._scratch = vars(star).get("_scratch")  # whoever releases the result frees its table
+    return found

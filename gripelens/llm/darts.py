@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gripelens.llm.components import connected_components
+from gripelens.llm.components import connected_components, shortened
 from gripelens.llm.scratch import free_finished_shuffles
 from gripelens.llm.words import hashes, mix, plain_words, sliced, text_array
 from gripelens.session import materialise, materialise_with, release
@@ -43,6 +43,9 @@ BANDS = 25
 ROWS = 5
 MAIN_TURNS = 2
 TRIES = 4
+# Nodes that are left all meet their buckets at once if a bucket row meets so many of
+# them on average; it decides how many rounds there are, not the result.
+MET = 256
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -274,7 +277,7 @@ def links(buckets: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
     node meets one other.  Then rounds follow: each node outside a main group tries the
     cleanest members of the main groups it meets, those with the fewest units that no
     other group has.  From the third round on the cleanest nodes outside meet all their
-    buckets, more of them each round, until nothing is left to compare.  The tables of a
+    buckets, then the others, until nothing is left to compare.  The tables of a
     round are deleted once the next one's are written.
     """
     first = (
@@ -283,19 +286,16 @@ def links(buckets: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
         .groupBy(F.col("node").alias("a"))
         .agg(F.min("pivot.node").alias("b"))
     )
-    compared = materialise(first, "pairs")
-    found = materialise(_similar(compared, units, threshold), "links")
-    start = buckets
-    buckets = buckets.drop("pivot")
-    turn = 0
+    compared = [materialise(first, "pairs")]
+    found = shortened(_similar(compared[0], units, threshold))
+    last, buckets, turn = buckets, buckets.drop("pivot"), 0
     while True:
-        label = materialise(connected_components(found), "label")
-        release(found)
+        label = found.groupBy("node").agg(F.min("label").alias("label"))
         open_, seen = materialise_with(_open_buckets(buckets, label), "open", n=F.count(F.lit(1)))
-        release(start)
+        release(last)
         if not seen["n"]:
-            release(open_, compared)
-            return label
+            release(open_, *compared)
+            return connected_components(found, "node", "label")
         member = materialise(_able(open_, units, threshold), "able")
         release(open_)
         pivot = None
@@ -304,18 +304,16 @@ def links(buckets: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
         else:
             pivot = materialise(_outside_pivots(member, turn - MAIN_TURNS), "pivots")
             pairs = _met(member, pivot, threshold)
-        known = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = materialise(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
-        new = _similar(pairs, units, threshold)
-        found = materialise(
-            label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(new), "links"
-        )
-        met = materialise(known.union(pairs), "compared")
-        release(compared, pairs, label)
-        compared = met
+        for known in compared:
+            known = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        compared.append(pairs)
+        old = found.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        before, found = found, shortened(old.union(_similar(pairs, units, threshold)))
+        release(before)
         rest = member if pivot is None else member.join(pivot.select("node"), "node", "left_anti")
-        start = buckets = materialise(rest.select("node", "weight", "band"), "buckets")
-        release(member, pivot)
+        last, buckets = member, rest.select("node", "weight", "band")
         turn += 1
 
 
@@ -376,13 +374,20 @@ def _main_tries(member: DataFrame, threshold: float, turn: int) -> DataFrame:
 def _outside_pivots(member: DataFrame, turn: int) -> DataFrame:
     """(node) of the nodes outside a main group that meet all their buckets next.
 
-    They are the cleanest of each bucket, and from the second time on a growing share of
-    all others, by hash.
+    The first time they are the cleanest of each bucket.  Then they are all that are left,
+    if these meet few members each on average, else the cleanest and a growing share of
+    the others, by hash.
     """
     outside = member.filter("label <> main")
     best = outside.groupBy("band").agg(F.min(_order(turn)).alias("best")).select("best.node")
+    if not turn:
+        return best.distinct()
+    sizes = member.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") != F.col("main")).alias("o"))
+    seen = sizes.agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("o")).alias("met")).first()
+    if seen["met"] is None or seen["met"] <= MET * seen["rows"]:
+        return outside.select("node").distinct()
     share = min(4.0**turn / 256, 1.0)
-    drawn = outside.filter(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 20)) < share * (1 << 20)) if turn else outside.limit(0)
+    drawn = outside.filter(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 20)) < share * (1 << 20))
     return best.union(drawn.select("node")).distinct()
 
 
@@ -443,8 +448,9 @@ def classes(
     )
     # rows of one text come in any number: one of them, folded on the map side, is enough
     source = _keyed(docs, text).groupBy("text_key").agg(F.first("_text").alias("_text"))
-    # merge joins at every size: texts and sets are moved once each, whatever the input
-    source = source.join(wanted.select("text_key").hint("merge"), "text_key", "left_semi")
+    # merge joins at every size: texts and sets are moved once each, whatever the input;
+    # keys do not repeat, so an inner join keeps rows as they are, and folding stays first
+    source = source.join(wanted.select("text_key").hint("merge"), "text_key")
     units = shingled(source)
     units = materialise(units.join(wanted.select("words_key", "node"), "words_key").select("node", "units"), "units")
     release(wanted)
