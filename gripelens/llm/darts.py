@@ -304,10 +304,11 @@ def links(buckets: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
         else:
             pivot = materialise(_outside_pivots(member, turn - MAIN_TURNS), "pivots")
             pairs = _met(member, pivot, threshold)
-        for known in compared:
-            known = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
+        known = compared[0]
+        for more in compared[1:]:
+            known = known.union(more)
+        known = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = materialise(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
         compared.append(pairs)
         old = found.select(F.col("node").alias("a"), F.col("label").alias("b"))
         before, found = found, shortened(old.union(_similar(pairs, units, threshold)))
