@@ -10,7 +10,7 @@ that equal strings always meet:
    each window that a string of ``length`` bytes spans.  Equal strings have an anchor
    at the same place, so an anchor whose gram occurs once is in no repeated string.
 3. The surroundings of every repeated anchor (as far as a string over it can reach)
-   are grouped by their bytes.  Equal surroundings are repeated as a whole, so only
+   are grouped by a 128-bit hash of their bytes, beside the gram's.  Equal surroundings are repeated as a whole, so only
    their first occurrence, the representative, is looked at further.
 4. Representatives whose gram, lengthened to one side by half of the rest of a string,
    occurs again are dealt out by their anchor's gram.  A shard takes a bounded
@@ -21,6 +21,7 @@ that equal strings always meet:
    and the smallest place of each digest is joined to the others.  This alone decides
    the matches of such a gram, within its shards too; there is no binary search.
 
+Tables of a step are deleted once the next ones are written.
 Results come back as spans per document; the text is joined to them once more to be
 cut.  A document id must name one text: repeated rows of the same id and text count
 as one document, and rows of the same id with other texts are put in the order of
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from gripelens.llm.scratch import free_finished_shuffles
 from gripelens.llm.words import mix, raw_bytes, sliced, text_array
 from gripelens.operators.ranking import with_row_index
-from gripelens.session import materialise
+from gripelens.session import materialise, release
 
 LENGTH = 100
 GRAM = 24
@@ -70,7 +71,7 @@ def suffix_array(raw: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndar
     beyond.  Larsson-Sadakane: sort by eight bytes, then double the sorted length by
     sorting the members of each group of equals by the rank of what follows; groups
     of one are finished and never touched again.  A rank is the place of the group's
-    first member in the order.
+    first member in the order; members of a group are in the order of their positions.
     """
     n = raw.size
     key = _words8(raw)
@@ -91,18 +92,24 @@ def suffix_array(raw: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndar
     new[1:] = sorted_key[1:] != sorted_key[:-1]
     place = np.arange(n)
     keep = regroup(place, order, new)
-    place, h = place[keep], 8
+    place, h, bits = place[keep], 8, n.bit_length()
     while h < depth and place.size:
         members = order[place]
-        follows = np.full(members.size, -1, np.int64)
+        follows = np.zeros(members.size, np.int64)
         inside = left[members] > h
-        follows[inside] = rank[members[inside] + h]
-        own = rank[members]
-        again = np.lexsort((follows, own))
-        members, own, follows = members[again], own[again], follows[again]
-        order[place] = members
+        follows[inside] = rank[members[inside] + h] + 1
+        own = np.cumsum(np.diff(rank[members], prepend=-1) != 0)
         new = np.ones(members.size, bool)
-        new[1:] = (own[1:] != own[:-1]) | (follows[1:] != follows[:-1])
+        if int(own[-1]).bit_length() + 2 * bits < 64:  # all three fit into one number
+            packed = np.sort((((own << bits) | follows) << bits) | members)
+            members = packed & ((1 << bits) - 1)
+            packed >>= bits
+            new[1:] = packed[1:] != packed[:-1]
+        else:
+            again = np.lexsort((members, follows, own))
+            members, own, follows = members[again], own[again], follows[again]
+            new[1:] = (own[1:] != own[:-1]) | (follows[1:] != follows[:-1])
+        order[place] = members
         keep = regroup(place, members, new)
         place, h = place[keep], 2 * h
     return order, rank
@@ -184,39 +191,36 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, gram: int, window: int) -> tup
 # Tasks --------------------------------------------------------------------
 
 
-def _context(at: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int, gram: int):
-    """Where strings of ``length`` bytes over the gram can lie in the text."""
-    return np.maximum(begin, at - (length - gram)), np.minimum(end, at + length)
+def _find_anchors(length: int, gram: int):
+    """One row for each anchor, with a 128-bit hash of its surroundings.
 
+    Strings of ``length`` bytes over the gram lie from ``back`` bytes before it to
+    ``ahead`` bytes after its start.
+    """
 
-def _find_anchors(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, limit=2 << 20):
+        for batch in sliced(batches, limit=1 << 19):
             raw, offsets = raw_bytes(text_array(batch.column("text")))
             number = batch.column("number").to_numpy()
             h, chosen = anchors(raw, offsets, gram, length - gram + 1)
             text = np.searchsorted(offsets, chosen, "right") - 1
-            low, high = _context(chosen, offsets[text], offsets[text + 1], length, gram)
-            weights = mix(np.arange(1, length * 2, dtype=np.uint64) * _GOLD) | np.uint64(1)
-            digest = np.zeros(chosen.size, np.uint64)
-            for part in range(0, chosen.size, 1 << 14):  # 2 length bytes of work per anchor
-                own = slice(part, part + (1 << 14))
-                at = np.arange(2 * length - gram)
-                place = low[own, None] + at
-                inside = place < high[own, None]
-                value = raw[np.where(inside, place, 0)].astype(np.uint64) + np.uint64(1)
-                digest[own] = mix((np.where(inside, value, 0) * weights[at]).sum(1, dtype=np.uint64))
-            digest = mix(digest + (chosen - low).astype(np.uint64) * _GOLD)
+            back = np.minimum(chosen - offsets[text], length - gram)
+            ahead = np.minimum(offsets[text + 1] - chosen, length)
+            whole, digest = raw.tobytes(), xxhash.xxh3_128_digest
+            places = zip((chosen - back).tolist(), (chosen + ahead).tolist(), back.tolist())
+            found = b"".join([digest(whole[low:high], seed) for low, high, seed in places])
+            halves = np.frombuffer(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(h[chosen].view(np.int64)),
-                    pa.array(digest.view(np.int64)),
+                    pa.array(np.ascontiguousarray(halves[:, 0])),
+                    pa.array(np.ascontiguousarray(halves[:, 1])),
                     pa.array(number[text]),
                     pa.array((chosen - offsets[text]).astype(np.int32)),
-                    pa.array((low - offsets[text]).astype(np.int32)),
-                    pa.array((high - offsets[text]).astype(np.int32)),
+                    pa.array(back.astype(np.int32)),
+                    pa.array(ahead.astype(np.int32)),
                 ],
-                names=["gram", "digest", "number", "at", "low", "high"],
+                names=["gram", "digest", "digest2", "number", "at", "back", "ahead"],
             )
 
     return run
@@ -231,22 +235,27 @@ def _cut_contexts(length: int, gram: int):
     half = (length - gram + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-        names = ["gram", "number", "low", "bytes", "before", "after"]
         for batch in sliced(batches):
-            out = []
-            columns = (batch.column(c).to_pylist() for c in ("text", "number", "wanted"))
-            for text, number, places in zip(*columns):
-                raw = text.encode()
-                for p in places:
-                    low, at, high = p["low"], p["at"], p["high"]
-                    left = raw[at - half : at + gram] if at - half >= low else b""
-                    right = raw[at : at + gram + half] if at + gram + half <= high else b""
-                    sides = (_signed(left), _signed(right))
-                    out.append((p["gram"], number, low, raw[low:high], *sides))
-            columns = list(zip(*out)) if out else [()] * 6
+            raw, offsets = raw_bytes(text_array(batch.column("text")))
+            whole, wanted = raw.tobytes(), batch.column("wanted")
+            text = np.repeat(np.arange(batch.num_rows), wanted.value_lengths().to_numpy())
+            fields = wanted.flatten()
+            at, back, ahead = (pc.struct_field(fields, c).to_numpy() for c in ("at", "back", "ahead"))
+            place = offsets[text] + at
+            rows = list(zip(place.tolist(), back.tolist(), ahead.tolist()))
+            before = [_signed(whole[p - half : p + gram] if b >= half else b"") for p, b, _ in rows]
+            after = [_signed(whole[p : p + gram + half] if a >= gram + half else b"") for p, _, a in rows]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=names
+                [
+                    pc.struct_field(fields, "gram"),
+                    pa.array(batch.column("number").to_numpy()[text]),
+                    pa.array(at),
+                    pa.array(at - back),
+                    pa.array([whole[p - b : p + a] for p, b, a in rows], pa.binary()),
+                    pa.array(before, pa.int64()),
+                    pa.array(after, pa.int64()),
+                ],
+                names=["gram", "number", "at", "low", "bytes", "before", "after"],
             )
 
     return run
@@ -279,7 +288,7 @@ def _spans_batch(number, low, high) -> pa.RecordBatch:
 def _search_shards(length: int, shard_bytes: int):
     """Spans of strings that start earlier in their shard.
 
-    A partition is sorted by shard key; whole keys are gathered up to
+    A partition is sorted by shard key; whole keys are gathered up to half of
     ``shard_bytes`` and searched together.
     """
 
@@ -310,7 +319,7 @@ def _search_shards(length: int, shard_bytes: int):
             total, at = np.cumsum(sizes), 0
             for stop in [*ends.tolist(), batch.num_rows]:
                 key = (gram[at], salt[at]) if at < batch.num_rows else None
-                if held and key != last and size >= shard_bytes:
+                if held and key != last and 2 * size >= shard_bytes:
                     yield search(held)
                     held, size = [], 0
                 if stop > at:
@@ -376,31 +385,32 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(unique: DataFrame, length: int, gram: int, shard_bytes: int) -> DataFrame:
-    """(number, low, high): bytes of strings that start earlier; spans may overlap.
+    """(number, spans): (low, high) of bytes in strings that start earlier; they may overlap.
 
     ``unique`` has (number, text) with distinct texts; numbers give the order.
     """
-    found = unique.select("number", "text").mapInArrow(
-        _find_anchors(length, gram),
-        "gram long, digest long, number long, at int, low int, high int",
-    )
+    kind = "gram long, digest long, digest2 long, number long, at int, back int, ahead int"
+    found = unique.select("number", "text").mapInArrow(_find_anchors(length, gram), kind)
     found = materialise(found, "anchors")
     often = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
-    found = materialise(found.join(often, "gram"), "repeated-anchors")
-    firsts = found.groupBy("gram", "digest").agg(
-        F.min(F.struct("number", "low", "at", "high")).alias("first"), F.count(F.lit(1)).alias("n")
+    repeated = materialise(found.join(often, "gram"), "repeated-anchors")
+    release(found)
+    same = ["gram", "digest", "digest2"]
+    firsts = repeated.groupBy(*same).agg(
+        F.min(F.struct("number", "at", "back", "ahead")).alias("first"), F.count(F.lit(1)).alias("n")
     )
     firsts = materialise(firsts, "surroundings")
-    again = firsts.filter("n > 1").select("gram", "digest", "first")
     whole = (
-        found.join(again, ["gram", "digest"])
-        .filter((F.col("number") != F.col("first.number")) | (F.col("low") != F.col("first.low")))
-        .filter(F.col("high") - F.col("low") >= length)
-        .select("number", "low", "high")
+        repeated.join(firsts.filter("n > 1").select(*same, "first"), same)
+        .filter((F.col("number") != F.col("first.number")) | (F.col("at") != F.col("first.at")))
+        .filter(F.col("back") + F.col("ahead") >= length)
+        .select("number", (F.col("at") - F.col("back")).alias("low"), (F.col("at") + F.col("ahead")).alias("high"))
     )
+    whole = materialise(whole, "whole")
+    release(repeated)
     # representatives that share their gram, and half a string with it, with another one
     grams = firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
-    place = F.struct("gram", *[F.col(f"first.{c}").alias(c) for c in ("low", "at", "high")])
+    place = F.struct("gram", *[F.col(f"first.{c}").alias(c) for c in ("at", "back", "ahead")])
     places = (
         firsts.join(grams, "gram")
         .select(F.col("first.number").alias("number"), place.alias("place"))
@@ -408,28 +418,30 @@ def repeated_spans(unique: DataFrame, length: int, gram: int, shard_bytes: int)
         .agg(F.collect_list("place").alias("wanted"))
     )
     contexts = unique.join(places, "number").select("number", "text", "wanted")
-    kind = "gram long, number long, low int, bytes binary, before long, after long"
+    kind = "gram long, number long, at int, low int, bytes binary, before long, after long"
     contexts = materialise(contexts.mapInArrow(_cut_contexts(length, gram), kind), "contexts")
+    release(firsts)
     size = F.octet_length("bytes").cast("long").alias("size")
     parts = []
     for side in ("before", "after"):
-        own = contexts.select("gram", "number", "low", size, side).filter(F.col(side).isNotNull())
+        own = contexts.select("gram", "number", "at", size, side).filter(F.col(side).isNotNull())
         more = own.groupBy("gram", side).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        parts.append(own.join(more, ["gram", side]).select("gram", "number", "low", "size"))
+        parts.append(own.join(more, ["gram", side]).select("gram", "number", "at", "size"))
     wanted = materialise(parts[0].union(parts[1]).distinct(), "wanted")
     load = wanted.groupBy("gram").agg(F.sum("size").alias("load"))
     load = load.select("gram", F.ceil(F.col("load") / shard_bytes).cast("int").alias("salts"))
     salted = wanted.join(load, "gram").select(
-        "gram", "number", "low", F.pmod(F.xxhash64("number", "low"), "salts").cast("int").alias("salt"), "salts"
+        "gram", "number", "at", F.pmod(F.xxhash64("number", "at"), "salts").cast("int").alias("salt"), "salts"
     )
-    contexts = materialise(
-        contexts.drop("before", "after").join(salted, ["gram", "number", "low"]), "shared-contexts"
+    shared = materialise(
+        contexts.drop("before", "after").join(salted, ["gram", "number", "at"]), "shared-contexts"
     )
+    release(contexts, wanted)
     columns = ["gram", "salt", "number", "low", "bytes"]
-    shards = contexts.select(columns).repartition("gram", "salt").sortWithinPartitions("gram", "salt")
+    shards = shared.select(columns).repartition("gram", "salt").sortWithinPartitions("gram", "salt")
     inside = shards.mapInArrow(_search_shards(length, shard_bytes), "number long, low int, high int")
     # grams in several shards: their strings are looked up across the shards
-    strings = contexts.filter("salts > 1").select(columns).mapInArrow(
+    strings = shared.filter("salts > 1").select(columns).mapInArrow(
         _list_strings(length), "digest binary, number long, start int"
     )
     strings = materialise(strings.distinct(), "strings")
@@ -441,7 +453,10 @@ def repeated_spans(unique: DataFrame, length: int, gram: int, shard_bytes: int)
         .filter(F.struct("number", "start") > F.col("first"))
         .select("number", F.col("start").alias("low"), (F.col("start") + length).alias("high"))
     )
-    return whole.union(inside).union(across)
+    spans = whole.union(inside).union(across).groupBy("number")
+    spans = materialise(spans.agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans")
+    release(whole, shared, strings)
+    return spans
 
 
 def remove_repeats(
@@ -479,10 +494,9 @@ def remove_repeats(
         long_texts.groupBy("text_key").agg(F.first("text").alias("text")).join(numbers, "text_key"),
         "unique",
     )
+    release(numbers)
     spans = repeated_spans(unique, length, gram, shard_bytes)
-    per_text = spans.groupBy("number").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    per_text = materialise(per_text, "spans")
-    cut = unique.join(per_text, "number").select("text_key", "text", "spans").mapInArrow(
+    cut = unique.join(spans, "number").select("text_key", "text", "spans").mapInArrow(
         _cut_texts, "text_key string, n_removed long, n_spans long, kept binary"
     )
     of_first = (
