@@ -116,18 +116,20 @@ def suffix_array(raw: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndar
 
 
 def common_prefixes(
-    raw: np.ndarray, left: np.ndarray, starts: np.ndarray, order: np.ndarray, most: int
+    raw: np.ndarray, left: np.ndarray, starts: np.ndarray, order: np.ndarray, most: int, least: int = 1
 ) -> np.ndarray:
     """Common prefix of each suffix with the one before it in the order, up to ``most``.
 
     Kasai: the prefix of the next suffix of a text is at most one shorter, so it is
-    extended from there.  All texts (from ``starts``) are walked at the same time.
+    extended from there.  All texts (from ``starts``) are walked at the same time, each
+    as long as ``least`` bytes are left; the suffixes after that keep a zero.
     """
     n = raw.size
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     out = np.zeros(n, np.int64)
-    at, h = starts.copy(), np.zeros(starts.size, np.int64)
+    at = starts[left[starts] >= least]
+    h = np.zeros(at.size, np.int64)
     while at.size:
         other = before[at]
         most_here = np.where(other >= 0, np.minimum(np.minimum(left[at], left[other]), most), 0)
@@ -139,7 +141,7 @@ def common_prefixes(
             h[going] += 1
             going = going[h[going] < most_here[going]]
         out[at] = h
-        more = left[at] > 1
+        more = left[at] > least
         at, h = at[more] + 1, h[more]
     return out
 
@@ -151,7 +153,7 @@ def equal_strings(
     if not raw.size:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order, _ = suffix_array(raw, left, int(left.max()))
-    same = common_prefixes(raw, left, starts, order, length)[order] >= length
+    same = common_prefixes(raw, left, starts, order, length, length)[order] >= length
     member = same.copy()
     member[:-1] |= same[1:]
     group = np.cumsum(~same)
