@@ -15,7 +15,7 @@ edge over its whole length: with absolute discount d, N tokens and V distinct wo
 and the probability of a text is the product over its words and its end.
 
 Word counts, piece counts and scores are Spark tables.  The driver holds the pieces
-(one vocabulary) and the ``frequent`` most frequent words, a fixed number; all other
+(one vocabulary) and the most frequent words, ``frequent`` at most; all other
 words meet their counts in a join.
 """
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -299,6 +300,24 @@ class _Scores:
         return float(np.log10(self.ends / self.tokens if self.tokens else 0.5))
 
 
+def _frequent_words(words: DataFrame, limit: int) -> pd.DataFrame:
+    """(word, known) of the most frequent words, ``limit`` at most.
+
+    A histogram of the counts, eight steps a doubling, gives the least count that at most
+    ``limit`` words reach, so that tasks send no other words to the driver.
+    """
+    step = F.floor(F.log2("n") * 8).alias("step")
+    histogram = words.groupBy(step).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least"))
+    least, taken = None, 0
+    for row in sorted(histogram.collect(), key=lambda r: -r["step"]):
+        taken += row["words"]
+        if taken > limit:
+            break
+        least = row["least"]
+    reached = F.lit(False) if least is None else F.col("n") >= least
+    return words.filter(reached).select("word", "known").toPandas()
+
+
 def score_texts(
     docs: DataFrame,
     path: str,
@@ -330,7 +349,7 @@ def score_texts(
     tokens, distinct = facts["known"] + ends, facts["distinct"] + (ends > 0)
     log_p = fit_pieces(seen, pieces, start_probabilities(scores), rounds)
     model = _Scores(pieces, log_p, tokens, distinct, ends, discount)
-    top = words.orderBy(F.desc("n"), "word").limit(frequent).toPandas()
+    top = _frequent_words(words, frequent)
     names, known = top["word"].tolist(), top["known"].to_numpy(np.int64)
     top_scores = np.stack([known > 0, model.base(known), model.model(names, known)], 1)
     shared = spark.sparkContext.broadcast(
