@@ -9,16 +9,25 @@ from pyspark.sql import functions as F
 
 
 def latest_file(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
-    """The newest file that matches a glob, or no row: (path, modified, length).
+    """The newest entry that matches a glob, or no row: (path, modified, length).
 
-    Object stores keep no creation time, so the modification time decides; equal
-    times are settled by the greater path.  File contents are not read.
+    An entry is a file, or a folder of part files as Spark writes them, which is dated by
+    its newest file and as long as all together.  Object stores keep no creation time, so
+    the modification time decides; equal times are settled by the greater path.  File
+    contents are not read.
     """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(directory)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
+    entry = F.split_part(F.substring("path", len(root) + 2, 1 << 30), F.lit("/"), F.lit(1))
+    matching = entry.rlike(rf"(?s)\A(?:{hadoop.GlobPattern.compile(pattern).toString()})\z")
     files = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
+        .option("recursiveFileLookup", "true")
         .load(directory)
-        .select("path", F.col("modificationTime").alias("modified"), "length")
+        .filter(matching)
+        .groupBy(F.concat(F.lit(f"{root}/"), entry).alias("path"))
+        .agg(F.max("modificationTime").alias("modified"), F.sum("length").alias("length"))
     )
     return files.orderBy(F.desc("modified"), F.desc("path")).limit(1)
 

@@ -92,6 +92,21 @@ def test_latest_file(spark, tmp_path):
     assert tables.load_latest(spark, str(tmp_path), str(tmp_path / "raw"), "*.none") is None
 
 
+def test_latest_file_takes_a_folder_of_part_files(spark, tmp_path):
+    folder = tmp_path / "a b" / "a b"  # the name of the folder twice in its path
+    spark.range(40).repartition(4).write.parquet(str(folder / "documents.parquet"))
+    spark.range(3).coalesce(1).write.parquet(str(folder / "documents_old.parquet"))
+    spark.range(5).coalesce(1).write.parquet(str(folder / "labels.parquet"))
+    for path in (folder / "documents_old.parquet").iterdir():
+        os.utime(path, (100, 100))
+    path = files.latest_path(spark, str(folder), "documents*.parquet")
+    assert path.endswith("/a b/a b/documents.parquet")
+    assert spark.read.parquet(path).count() == 40
+    assert files.latest_path(spark, str(folder), "part-*") is None
+    parts = [p.stat().st_size for p in (folder / "documents.parquet").glob("part-*")]
+    assert files.latest_file(spark, str(folder), "{documents,x}.p?rquet").first()["length"] == sum(parts)
+
+
 def test_upload_fills_missing_mileage(spark, tmp_path):
     path = tmp_path / "up.csv"
     head = ",".join(n for n in NAMES if n != "mileage")
