@@ -12,11 +12,16 @@ their children, level by level.  The triangle inequality gives the least distanc
 points of two cells can have; pairs beyond the needed radius are dropped, as are pairs
 of cells whose points all carry the same mark.  Only the packed rows of the leaf pairs
 that are left are joined and compared.  Few points are one leaf, the root itself.
+
+For that, neighbouring leaf cells are groups, and a task compares one group with another:
+a cell is sent once to each group that needs it and not to each cell.  The number of groups
+is fixed until a group would not fit a task, so what is sent grows with the points.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -25,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gripelens.operators.ranking import with_row_index
 from gripelens.session import materialise, materialise_with
 
 FAN = 64
@@ -35,6 +41,9 @@ CELL_BYTES = 2 << 20
 PART_ROWS = 8192
 # Leaf cells that meet a cell in one task.
 PARTNERS = 16
+# Groups of leaf cells, and bytes of vectors in a group; beyond these there are more groups.
+GROUPS = 8
+GROUP_BYTES = 64 << 20
 # Distances that are held at once.
 SLICE = 1 << 20
 PAIR_SLICE = 1 << 17
@@ -109,10 +118,12 @@ class CellTree:
     cell, ``bound`` one within which it has ``near`` others (infinite if unknown).
     ``cells``: (cell, parent, n, low, high, pivot_id, pivot) of all cells but the root;
     all points of a cell are between ``low`` and ``high`` from its pivot.
+    ``groups``: (cell, group) of the leaf cells; cells of a group are close in the tree.
     """
 
     packed: DataFrame
     cells: DataFrame
+    groups: DataFrame
     kind: str
     split: bool
 
@@ -162,17 +173,24 @@ def build_cells(points: DataFrame, near: int = 0) -> CellTree:
     every = leaves[0]
     for leaf in leaves[1:]:
         every = every.unionByName(leaf)
-    packed = materialise(
+    packed, seen = materialise_with(
         every.groupBy("cell").applyInArrow(
             _pack, f"cell string, ids array<{kind}>, vecs array<double>, away array<double>, bound array<double>"
         ),
         "packed",
+        n=F.count("*"),
     )
+    groups = packed.select("cell", F.lit(0).cast("long").alias("group"))
+    if levels:
+        held = max(GROUP_BYTES // (8 * rows * max(facts["dim"], 1)), 1)
+        held = min(-(-seen["n"] // GROUPS), held)
+        places = with_row_index(packed.select("cell"), ["cell"], "place")
+        groups = materialise(places.select("cell", F.floor(F.col("place") / held).alias("group")), "groups")
     cells = spark.createDataFrame([], _CELL.format(kind=kind))
     for level in levels:
         cells = cells.unionByName(level.select(cells.columns))
     cells = materialise(cells, "cells") if levels else cells
-    return CellTree(packed, cells, kind, bool(levels))
+    return CellTree(packed, cells, groups, kind, bool(levels))
 
 
 def _drawn(points: DataFrame, sizes: DataFrame, rows: int, turn: int) -> DataFrame:
@@ -404,6 +422,18 @@ def joined(parts: list[Block]) -> Block:
     )
 
 
+def dealt(tree: CellTree, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((q_cell, q_group, p_group), (of, part, cell, askers)): which cells a task compares.
+
+    Each cell is in a side at most once for each group it meets; ``askers`` are the cells of
+    the group ``of`` that ask the cell.
+    """
+    q_group, p_group = (tree.groups.toDF(f"{x}_cell", f"{x}_group") for x in "qp")
+    met = pairs.join(q_group, "q_cell").join(p_group, "p_cell")
+    right = met.groupBy(F.col("q_group").alias("of"), F.col("p_group").alias("part"), F.col("p_cell").alias("cell"))
+    return met.select("q_cell", "q_group", "p_group").distinct(), right.agg(F.collect_list("q_cell").alias("askers"))
+
+
 def search(
     tree: CellTree,
     pairs: DataFrame,
@@ -413,20 +443,15 @@ def search(
 ) -> DataFrame:
     """Run ``reduce(queries, points)`` for each q_cell against its p_cells, points by id.
 
-    ``sides``: (cell, lists with a value for each point of the cell).  The partners of a
-    cell are dealt to tasks by about ``PARTNERS``, so that a cell close to all others is
-    more tasks and not a longer one.
+    ``sides``: (cell, lists with a value for each point of the cell).  A task has the cells
+    of one group that ask and those of another that are asked, so a cell's partners come in
+    at most one part for each group.
     """
     rows = tree.packed.drop("away", "bound")
     if sides is not None:
         rows = rows.join(sides, "cell")
-    chunks = F.ceil(F.col("n") / PARTNERS)
-    layout = pairs.groupBy("q_cell").agg(F.count("*").alias("n")).select("q_cell", chunks.alias("chunks"))
-    left = layout.select("q_cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    left, right = dealt(tree, pairs)
     left = left.join(rows.withColumnRenamed("cell", "q_cell"), "q_cell")
-    right = pairs.join(layout, "q_cell").select(
-        F.col("q_cell").alias("of"), F.pmod(F.xxhash64("p_cell"), "chunks").alias("part"), F.col("p_cell").alias("cell")
-    )
     right = right.join(rows, "cell").drop("cell")
     # both sides stem from one table; renaming keeps their columns apart
     right = right.select(*[F.col(c).alias(f"p_{c}") for c in right.columns])
@@ -435,11 +460,21 @@ def search(
         if not q.num_rows or not p.num_rows:
             return arrow.empty_table()
         p = p.rename_columns([c.removeprefix("p_") for c in p.column_names])
-        found = reduce(blocks(q)[0], joined(blocks(p)).by_id())
-        return pa.table({n: pa.array(found[n], arrow.field(n).type) for n in arrow.names})
+        partners = defaultdict(list)
+        for at, askers in enumerate(p.column("askers").to_pylist()):
+            for cell in askers:
+                partners[cell].append(at)
+        asked, last, points, out = blocks(p.drop(["askers"])), None, None, []
+        for cell, block in zip(q.column("q_cell").to_pylist(), blocks(q)):
+            if partners[cell] != last:
+                last = partners[cell]
+                points = joined([asked[at] for at in last]).by_id()
+            found = reduce(block, points)
+            out.append(pa.table({n: pa.array(found[n], arrow.field(n).type) for n in arrow.names}))
+        return pa.concat_tables(out)
 
     arrow = _arrow_schema(schema)
-    return left.groupBy("q_cell", "chunk").cogroup(right.groupBy("p_of", "p_part")).applyInArrow(run, schema)
+    return left.groupBy("q_group", "p_group").cogroup(right.groupBy("p_of", "p_part")).applyInArrow(run, schema)
 
 
 def _arrow_schema(ddl: str) -> pa.Schema:

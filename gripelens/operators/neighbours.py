@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from gripelens.functions.vectors import as_doubles, on_sphere
 from gripelens.operators.cells import (
+    CELL_ROWS,
     Block,
     CellTree,
     blocks,
@@ -63,32 +64,70 @@ def members_of(points: DataFrame, distinct: DataFrame) -> DataFrame:
     return keyed.join(reps, ["_h", "vec"]).select("id", "rep")
 
 
-def _closest(q: Block, p: Block, k: int, radius: np.ndarray, same: bool) -> tuple[np.ndarray, ...]:
-    """(query, point, distance) of the ``k`` nearest points of each query within its radius.
+def _closest(block: Block, k: int) -> tuple[np.ndarray, ...]:
+    """(row, other row, distance) of the ``k`` nearest others of each point of a block.
 
-    Points are in the order of their ids; with ``same`` both blocks are one, and no point
-    is its own neighbour.
+    Points are in the order of their ids.
     """
     found: list[tuple[np.ndarray, ...]] = []
-    rounding = slack(q.vec, p.vec)
-    take = min(k, len(p))
-    for s in slices(len(q), len(p)):
-        rough = squared_distances(q.vec[s], p.vec)
-        if same:
-            rough[np.arange(len(rough)), np.arange(s.start, s.start + len(rough))] = np.inf
-        limit = np.partition(rough, take - 1, axis=1)[:, take - 1]
-        limit = np.minimum(limit, np.square(radius[s])) + rounding
+    vec = block.vec
+    rounding = slack(vec, vec)
+    take = min(k, len(block))
+    for s in slices(len(block), len(block)):
+        rough = squared_distances(vec[s], vec)
+        rough[np.arange(len(rough)), np.arange(s.start, s.start + len(rough))] = np.inf
+        limit = np.partition(rough, take - 1, axis=1)[:, take - 1] + rounding
         rows, cols = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
         rows += s.start
-        away = pair_distances(q.vec, p.vec, rows, cols)
+        away = pair_distances(vec, vec, rows, cols)
         keep = smallest_per_row(rows, [away, cols], k) if len(rows) else rows
         found.append((rows[keep], cols[keep], away[keep]))
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
+def _candidates(rough: np.ndarray, limit: np.ndarray, k: int, rounding: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where squared distances are within the limit of their row; if these are many, those
+    that may be among the ``k`` least."""
+    near = rough <= limit[:, None]
+    if rough.shape[1] > k and np.count_nonzero(near) > 4 * k * len(rough):
+        least = np.partition(rough, k - 1, axis=1)[:, k - 1] + rounding
+        near = rough <= np.minimum(limit, least)[:, None]
+    rows, cols = np.nonzero(near)
+    whole = np.isfinite(rough[rows, cols])
+    return rows[whole], cols[whole]
+
+
+def _closest_others(q: Block, p: Block, k: int) -> tuple[np.ndarray, ...]:
+    """(query, point, distance) of the ``k`` nearest points of each query within its radius.
+
+    Points are in the order of their ids.  They are met piece by piece, and what was found
+    narrows the radius for the next piece.
+    """
+    rounding = slack(q.vec, p.vec)
+    limit = np.square(q.more["radius"]) + rounding
+    rows, cols, away = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    for at in range(0, len(p), CELL_ROWS):
+        piece = p.vec[at : at + CELL_ROWS]
+        parts = []
+        for s in slices(len(q), len(piece)):
+            i, j = _candidates(squared_distances(q.vec[s], piece), limit[s], k, rounding)
+            parts.append((i + s.start, j + at))
+        i, j = (np.concatenate(part) for part in zip(*parts))
+        if not len(i):
+            continue
+        away = np.concatenate([away, pair_distances(q.vec, p.vec, i, j)])
+        rows, cols = np.concatenate([rows, i]), np.concatenate([cols, j])
+        keep = smallest_per_row(rows, [away, cols], k)
+        rows, cols, away = rows[keep], cols[keep], away[keep]
+        count = np.bincount(rows, minlength=len(q))
+        full = np.flatnonzero(count == k)
+        limit[full] = np.minimum(limit[full], np.square(away[np.cumsum(count)[full] - 1]) + rounding)
+    return rows, cols, away
+
+
 def _nearest(k: int):
     def reduce(q: Block, p: Block) -> dict[str, np.ndarray]:
-        rows, cols, away = _closest(q, p, k, q.more["radius"], False)
+        rows, cols, away = _closest_others(q, p, k)
         return {"src": q.ids[rows], "dst": p.ids[cols], "dist": away}
 
     return reduce
@@ -103,7 +142,7 @@ def _inside(tree: CellTree, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, block in enumerate(blocks(batch)):
-                rows, cols, away = _closest(block, block, k, np.full(len(block), np.inf), True)
+                rows, cols, away = _closest(block, k)
                 radius = block.more["bound"].copy()
                 if len(block) > k:
                     np.minimum.at(radius, rows[k - 1 :: k], away[k - 1 :: k])

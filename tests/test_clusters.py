@@ -47,6 +47,23 @@ def test_knn_prunes_and_stays_exact(spark, monkeypatch):
     assert (got["dst"].to_numpy().reshape(len(x), -1) == order).all()
 
 
+def test_cells_are_sent_once_for_each_group(spark, monkeypatch):
+    small_cells(monkeypatch)
+    monkeypatch.setattr(cells, "GROUPS", 2)
+    x = np.random.default_rng(4).normal(size=(400, 40))  # every cell meets every other
+    tree = tree_of(spark, x, 5)
+    n = tree.packed.count()
+    pairs = cells.cell_pairs(tree, cells.constant_facts(tree, 1e6))
+    left, right = cells.dealt(tree, pairs)
+    assert pairs.count() == n * n and n > 20
+    assert left.count() == 2 * n and right.count() == 2 * n
+    assert sum(len(r["askers"]) for r in right.collect()) == n * n
+    monkeypatch.setattr(cells, "GROUP_BYTES", 3 * 16 * 40 * 8)  # three cells in a group
+    groups = tree_of(spark, x, 5).groups.groupBy("group").count().collect()
+    assert max(r["count"] for r in groups) == 3
+    check_knn(spark, x, 6, "euclidean")
+
+
 def test_knn_ties_by_id(spark):
     x = np.array([[0.0, 0], [0, 1], [1, 0], [1, 1]])
     got = neighbours.knn_graph(frame(spark, x), 2, "euclidean").orderBy("src", "rank").collect()
