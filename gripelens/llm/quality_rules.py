@@ -3,13 +3,13 @@
 Statistics of a text (lengths, symbols, repeated lines and words, shares of character
 classes) are points; a tree splits points at random features and values until they
 are alone.  Unusual texts are alone after few splits, so a short mean path over all
-trees marks an anomaly.  The forest is grown from a sample of labelled rows, mostly
-good ones, so that junk of any kind is rare in it; the threshold on the anomaly score
-is calibrated on the labelled sample: it rejects as much junk as possible while at
-most ``max_loss`` of the good rows go.
+trees marks an anomaly.  As the method has it, each tree is grown from a small draw of its own;
+it is drawn from all labelled rows, mostly good ones, so that junk of any kind is rare in
+it.  The threshold on the anomaly score is calibrated on all labelled rows: it rejects as
+much junk as possible while at most ``max_loss`` of the good rows go.
 
-The sample's size is a bound (``sample``): the driver holds that many rows of a dozen
-numbers.  All texts are measured and judged.
+The driver holds the trees and one candidate for the threshold, not the rows.  All texts
+are measured and judged.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gripelens.llm.words import raw_bytes, sliced, space_words, sums, text_array
+from gripelens.session import materialise, materialise_with, release
 
-SAMPLE = 8192
 TREES = 128
 TREE_ROWS = 256
 JUNK_SHARE = 0.06
@@ -146,38 +146,86 @@ class Forest:
         return 2.0 ** (-total / len(self.feature) / self.norm)
 
 
-def grow(good: np.ndarray, junk: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 7) -> Forest:
-    """A forest over random subsamples with a small share of junk.
+def drawn(n_good: int, n_junk: int, rows: int = TREE_ROWS) -> tuple[int, int]:
+    """How many good and junk rows a tree has."""
+    junk = min(n_junk, int(rows * JUNK_SHARE))
+    return min(n_good, rows - junk), junk
+
+
+def _depth(rows: int) -> int:
+    return int(np.ceil(np.log2(max(rows, 2))))
+
 
-    A node is 2i + 1 or 2i + 2 under node i; nodes as deep as log2(rows) are leaves.
+def grown(points: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, split, path) of the nodes of one tree over its rows.
+
+    A node is 2i + 1 or 2i + 2 under node i; nodes of ``depth`` are leaves.
     """
     rng = np.random.default_rng(seed)
-    n_junk = min(len(junk), int(rows * JUNK_SHARE))
-    n_good = min(len(good), rows - n_junk)
-    depth = int(np.ceil(np.log2(max(n_good + n_junk, 2))))
-    shape = (trees, 2 ** (depth + 1) - 1)
-    feature, split, path = np.full(shape, -1), np.zeros(shape), np.zeros(shape)
-    for t in range(trees):
-        parts = [rng.choice(p, k, replace=False) for p, k in ((good, n_good), (junk, n_junk)) if k]
-        own = np.concatenate(parts)
-        open_ = [(0, 0, own)]
-        while open_:
-            node, level, points = open_.pop()
-            spread = np.flatnonzero(points.max(0) > points.min(0)) if len(points) > 1 else []
-            if level == depth or len(spread) == 0:
-                path[t, node] = level + _mean_path(len(points))
-                continue
-            f = int(rng.choice(spread))
-            low, high = points[:, f].min(), points[:, f].max()
-            value = low + (high - low) * (1 - rng.random())  # above the lowest point
-            feature[t, node], split[t, node] = f, value
-            right = points[:, f] >= value
-            open_ += [(2 * node + 1, level + 1, points[~right]), (2 * node + 2, level + 1, points[right])]
-    return Forest(feature, split, path, depth, max(_mean_path(n_good + n_junk), 1e-9))
+    nodes = 2 ** (depth + 1) - 1
+    feature, split, path = np.full(nodes, -1), np.zeros(nodes), np.zeros(nodes)
+    open_ = [(0, 0, points)]
+    while open_:
+        node, level, own = open_.pop()
+        spread = np.flatnonzero(own.max(0) > own.min(0)) if len(own) > 1 else []
+        if level == depth or len(spread) == 0:
+            path[node] = level + _mean_path(len(own))
+            continue
+        f = int(rng.choice(spread))
+        low, high = own[:, f].min(), own[:, f].max()
+        value = low + (high - low) * (1 - rng.random())  # above the lowest point
+        feature[node], split[node] = f, value
+        right = own[:, f] >= value
+        open_ += [(2 * node + 1, level + 1, own[~right]), (2 * node + 2, level + 1, own[right])]
+    return feature, split, path
+
+
+def grow(good: np.ndarray, junk: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 7) -> Forest:
+    """A forest over random draws from points at hand."""
+    rng = np.random.default_rng(seed)
+    sizes = drawn(len(good), len(junk), rows)
+    depth = _depth(sum(sizes))
+    own = [[rng.choice(p, k, replace=False) for p, k in zip((good, junk), sizes) if k] for _ in range(trees)]
+    made = [grown(np.concatenate(parts), depth, seed + t) for t, parts in enumerate(own)]
+    return Forest(*(np.array(x) for x in zip(*made)), depth, max(_mean_path(sum(sizes)), 1e-9))
+
+
+def forest_of(labelled: DataFrame, n_good: int, n_junk: int, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 7) -> Forest:
+    """A forest over draws from all of ``labelled`` (doc_id, good, point).
+
+    A tree has the rows of each kind whose hash with its number is lowest.  A limit on the
+    hash leaves about four times as many as are wanted, so that no tree ranks all rows.
+    """
+    good, junk = drawn(n_good, n_junk, rows)
+    depth = _depth(good + junk)
+    schema = "tree int, feature array<int>, split array<double>, path array<double>"
+
+    def limit(wanted: int, n: int) -> float:
+        return (4 * wanted + 64) / max(n, 1)
+
+    def one(own: pa.Table) -> pa.Table:
+        number = own.column("tree")[0].as_py()
+        own = own.sort_by([("unit", "ascending"), ("doc_id", "ascending")])
+        points = np.array(own.column("point").to_pylist(), np.float64)
+        made = grown(points, depth, seed + number)
+        kinds = (pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64()))
+        columns = [pa.array([x.tolist()], kind) for x, kind in zip(made, kinds)]
+        return pa.table([pa.array([number], pa.int32()), *columns], names=["tree", "feature", "split", "path"])
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
+    unit = F.shiftrightunsigned(F.xxhash64("doc_id", "tree", F.lit(seed)), 11).cast("double") * 2.0**-53
+    most = F.when(F.col("good"), F.lit(limit(good, n_good))).otherwise(F.lit(limit(junk, n_junk)))
+    near = labelled.withColumn("tree", every).withColumn("unit", unit).filter(F.col("unit") < most)
+    place = F.row_number().over(Window.partitionBy("tree", "good").orderBy("unit", "doc_id"))
+    own = near.withColumn("at", place).filter(F.col("at") <= F.when(F.col("good"), good).otherwise(junk))
+    made = own.select("tree", "doc_id", "unit", "point").groupBy("tree").applyInArrow(one, schema)
+    found = made.orderBy("tree").toPandas()
+    shape = [np.array(found[c].tolist()) for c in ("feature", "split", "path")]
+    return Forest(*shape, depth, max(_mean_path(good + junk), 1e-9))
 
 
 def threshold(good: np.ndarray, junk: np.ndarray, max_loss: float = MAX_LOSS) -> float:
-    """The score above which rows go: most junk for at most ``max_loss`` of the good."""
+    """The cut of ``cut_of`` for scores at hand."""
     if not len(junk):
         return float("inf")
     cuts = np.unique(np.concatenate([good, junk]))
@@ -188,6 +236,33 @@ def threshold(good: np.ndarray, junk: np.ndarray, max_loss: float = MAX_LOSS) ->
     return float(cuts[best]) if gain[best] > 0 else float("inf")
 
 
+def cut_of(scored: DataFrame, n_good: int, n_junk: int, max_loss: float = MAX_LOSS) -> float:
+    """The score above which rows go: most junk for at most ``max_loss`` of the good.
+
+    ``scored``: (score, good) of all labelled rows.  Scores are dealt to ranges; a range
+    adds up its own and what the ranges before it hold, and names its best cut.
+    """
+    if not n_junk:
+        return float("inf")
+    cuts = scored.groupBy("score").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("j"))
+    cuts = materialise(cuts.repartitionByRange("score").withColumn("range", F.spark_partition_id()), "cuts")
+    totals = cuts.groupBy("range").agg(F.sum("g").alias("_g"), F.sum("j").alias("_j"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    totals = totals.select("range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_g", "_j")])
+    within = Window.partitionBy("range").orderBy("score")
+
+    def above(own: str, earlier: str, n: int) -> Column:
+        return F.lit(1.0) - (F.sum(own).over(within) + F.col(earlier)) / F.lit(float(max(n, 1)))
+
+    rates = cuts.join(F.broadcast(totals), "range").select(
+        "score", above("g", "_g", n_good).alias("loss"), above("j", "_j", n_junk).alias("won")
+    )
+    gain = F.when(F.col("loss") <= max_loss, F.col("won") - F.col("loss"))
+    best = rates.agg(F.max(F.struct(gain.alias("gain"), (-F.col("score")).alias("score"))).alias("b")).first()["b"]
+    release(cuts)
+    return -best["score"] if best and (best["gain"] or 0.0) > 0 else float("inf")
+
+
 def labelled_sample(labels: DataFrame, columns: list[str], size: int) -> DataFrame:
     """At most ``size`` labelled ids, drawn by the hash of the id.
 
@@ -199,8 +274,8 @@ def labelled_sample(labels: DataFrame, columns: list[str], size: int) -> DataFra
     return own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
 
 
-def _points(docs: DataFrame, labels: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and quality labels of the sample; its size bounds the broadcast."""
+def _labelled_points(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, good, point): the features of all labelled rows; a repeated id counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "_text"):
@@ -208,23 +283,34 @@ def _points(docs: DataFrame, labels: DataFrame, size: int) -> tuple[np.ndarray,
             flat = pa.array(found.reshape(-1))
             points = pa.FixedSizeListArray.from_arrays(flat, len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("quality"), points], names=["doc_id", "quality", "point"]
+                [batch.column("doc_id"), batch.column("good"), points], names=["doc_id", "good", "point"]
             )
 
-    sample = F.broadcast(labelled_sample(labels, ["quality"], size))
-    source = docs.select("doc_id", "_text").join(sample, "doc_id")
+    own = labels.dropna(subset=["doc_id", "quality"]).groupBy("doc_id")
+    own = own.agg((F.min("quality").cast("int") > 0).alias("good"))
+    source = docs.select("doc_id", "_text").join(own, "doc_id").select("doc_id", "_text", "good")
     kind = source.schema["doc_id"].dataType.simpleString()
-    source = source.select("doc_id", "_text", F.col("quality").cast("int").alias("quality"))
-    rows = source.mapInArrow(run, f"doc_id {kind}, quality int, point array<double>")
-    rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("point").alias("point")).toPandas()
-    points = np.array(rows["point"].tolist(), np.float64).reshape(-1, len(FEATURES))
-    return points, rows["quality"].to_numpy(np.int64)
+    rows = source.mapInArrow(run, f"doc_id {kind}, good boolean, point array<double>")
+    return rows.groupBy("doc_id").agg(F.min("good").alias("good"), F.min("point").alias("point"))
+
+
+def _scored(labelled: DataFrame, forest: Forest) -> DataFrame:
+    """(score, good) of all labelled rows."""
+    made = (forest.feature, forest.split, forest.path, forest.depth, forest.norm)
+    shared = labelled.sparkSession.sparkContext.broadcast(made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = Forest(*shared.value)
+        for batch in batches:
+            points = batch.column("point").flatten().to_numpy().reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(trees.score(points)), batch.column("good")], names=["score", "good"])
+
+    return labelled.select("point", "good").mapInArrow(run, "score double, good boolean")
 
 
 def judge(
     docs: DataFrame,
     labels: DataFrame,
-    sample: int = SAMPLE,
     max_loss: float = MAX_LOSS,
     text: str = "text",
 ) -> DataFrame:
@@ -236,11 +322,13 @@ def judge(
     decides.  A null text has no words.  Other columns are not read.
     """
     source = docs.select(docs["doc_id"], F.coalesce(docs[text], F.lit("")).alias("_text"))
-    points, quality = _points(source, labels, sample)
-    good, junk = points[quality > 0], points[quality <= 0]
-    known = len(good) > 1 and len(junk) > 0
-    forest = grow(good, junk) if known else None
-    limit = threshold(forest.score(good), forest.score(junk), max_loss) if known else float("inf")
+    labelled, seen = materialise_with(
+        _labelled_points(source, labels), "labelled", good=F.count_if("good"), junk=F.count_if(~F.col("good"))
+    )
+    n_good, n_junk = seen["good"] or 0, seen["junk"] or 0
+    forest = forest_of(labelled, n_good, n_junk) if n_good > 1 and n_junk else None
+    limit = cut_of(_scored(labelled, forest), n_good, n_junk, max_loss) if forest else float("inf")
+    release(labelled)
     trees = (forest.feature, forest.split, forest.path, forest.depth, forest.norm) if forest else None
     shared = docs.sparkSession.sparkContext.broadcast((trees, limit))
 

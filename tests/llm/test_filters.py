@@ -177,6 +177,22 @@ def test_forest_finds_outliers():
     assert (forest.score(good) > limit).mean() <= 0.01 and (forest.score(junk) > limit).mean() > 0.8
 
 
+def test_forest_and_cut_use_all_labelled_rows(spark):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(9600):
+        junk = i % 8 == 0
+        words = ["%x" % rnd.getrandbits(16 + 4 * (junk and i % 16 == 0)) for _ in range(60)]
+        rows.append((i, " ".join(w + "!" * (junk and rnd.random() < 0.1) for w in words), int(not junk)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(6)
+    found = quality_rules.judge(docs.drop("quality"), docs.select("doc_id", "quality")).join(docs, "doc_id").collect()
+    good, junk = (np.array([r.anomaly for r in found if r.quality == q]) for q in (1, 0))
+    cut = quality_rules.threshold(good, junk)  # of more rows than the 8192 of the former sample
+    assert len(good) + len(junk) == 9600 and np.isfinite(cut)
+    assert all(r.kept == (not r.base_failed and r.anomaly <= cut) for r in found)
+    assert (good > cut).mean() <= 0.01 and (junk > cut).mean() > 0.3
+
+
 def test_ordinal_gradient_and_order():
     rnd = np.random.default_rng(2)
     x = rnd.normal(0, 1, (1500, 3))
