@@ -92,7 +92,7 @@ def _candidates(rough: np.ndarray, limit: np.ndarray, k: int, rounding: float) -
     if rough.shape[1] > k and np.count_nonzero(near) > 4 * k * len(rough):
         least = np.partition(rough, k - 1, axis=1)[:, k - 1] + rounding
         near = rough <= np.minimum(limit, least)[:, None]
-    rows, cols = np.nonzero(near)
+    rows, cols = np.divmod(np.flatnonzero(near), rough.shape[1])
     whole = np.isfinite(rough[rows, cols])
     return rows[whole], cols[whole]
 
@@ -105,12 +105,15 @@ def _closest_others(q: Block, p: Block, k: int) -> tuple[np.ndarray, ...]:
     """
     rounding = slack(q.vec, p.vec)
     limit = np.square(q.more["radius"]) + rounding
+    # squared distances as one product: -2 x y + |x|^2 * 1 + 1 * |y|^2
+    left = np.column_stack([-2.0 * q.vec, np.einsum("ij,ij->i", q.vec, q.vec), np.ones(len(q))])
+    right = np.column_stack([p.vec, np.ones(len(p)), np.einsum("ij,ij->i", p.vec, p.vec)])
     rows, cols, away = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     for at in range(0, len(p), CELL_ROWS):
-        piece = p.vec[at : at + CELL_ROWS]
+        piece = right[at : at + CELL_ROWS].T
         parts = []
-        for s in slices(len(q), len(piece)):
-            i, j = _candidates(squared_distances(q.vec[s], piece), limit[s], k, rounding)
+        for s in slices(len(q), 16 * piece.shape[1]):  # few enough to stay in a core's cache
+            i, j = _candidates(left[s] @ piece, limit[s], k, rounding)
             parts.append((i + s.start, j + at))
         i, j = (np.concatenate(part) for part in zip(*parts))
         if not len(i):

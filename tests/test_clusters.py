@@ -64,6 +64,20 @@ def test_cells_are_sent_once_for_each_group(spark, monkeypatch):
     check_knn(spark, x, 6, "euclidean")
 
 
+def test_pieces_narrow_the_radius_and_lose_nothing(monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 7)
+    rnd = np.random.default_rng(6)
+    p = rnd.integers(0, 3, (60, 3)).astype(float)  # many ties, and points on queries
+    q = rnd.integers(0, 3, (20, 3)).astype(float)
+    away = np.sqrt(((q[:, None] - p[None]) ** 2).sum(2))
+    for radius in (np.inf, 1.5, 0.0):
+        block = cells.Block(np.arange(20), q, {"radius": np.full(20, radius)})
+        rows, cols, dist = neighbours._closest_others(block, cells.Block(np.arange(60), p, {}), 5)
+        want = [(i, j) for i in range(20) for j in np.lexsort([np.arange(60), away[i]])[:5] if away[i, j] <= radius]
+        assert sorted(zip(rows.tolist(), cols.tolist())) == sorted((i, int(j)) for i, j in want)
+        assert np.allclose(dist, away[rows, cols])
+
+
 def test_knn_ties_by_id(spark):
     x = np.array([[0.0, 0], [0, 1], [1, 0], [1, 1]])
     got = neighbours.knn_graph(frame(spark, x), 2, "euclidean").orderBy("src", "rank").collect()
