@@ -274,24 +274,28 @@ def labelled_sample(labels: DataFrame, columns: list[str], size: int) -> DataFra
     return own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
 
 
-def _labelled_points(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, good, point): the features of all labelled rows; a repeated id counts once."""
+def _measured_rows(source: DataFrame) -> DataFrame:
+    """(doc_id, the RULES, point): statistics and features of each row of (doc_id, _text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "_text"):
-            found = features(measured(text_array(batch.column("_text"))))
-            flat = pa.array(found.reshape(-1))
+            m = measured(text_array(batch.column("_text")))
+            flat = pa.array(features(m).reshape(-1))
             points = pa.FixedSizeListArray.from_arrays(flat, len(FEATURES)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("good"), points], names=["doc_id", "good", "point"]
-            )
+            columns = [batch.column("doc_id"), *[pa.array(m[c].astype(np.int64)) for c in RULES], points]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *RULES, "point"])
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    longs = ", ".join(f"{c} long" for c in RULES)
+    return source.mapInArrow(run, f"doc_id {kind}, {longs}, point array<double>")
 
+
+def _labelled_points(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, good, point): the features of all labelled rows; a repeated id counts once."""
     own = labels.dropna(subset=["doc_id", "quality"]).groupBy("doc_id")
     own = own.agg((F.min("quality").cast("int") > 0).alias("good"))
-    source = docs.select("doc_id", "_text").join(own, "doc_id").select("doc_id", "_text", "good")
-    kind = source.schema["doc_id"].dataType.simpleString()
-    rows = source.mapInArrow(run, f"doc_id {kind}, good boolean, point array<double>")
-    return rows.groupBy("doc_id").agg(F.min("good").alias("good"), F.min("point").alias("point"))
+    points = rows.groupBy("doc_id").agg(F.min("point").alias("point"))
+    return points.join(own, "doc_id").select("doc_id", "good", "point")
 
 
 def _scored(labelled: DataFrame, forest: Forest) -> DataFrame:
@@ -322,8 +326,9 @@ def judge(
     decides.  A null text has no words.  Other columns are not read.
     """
     source = docs.select(docs["doc_id"], F.coalesce(docs[text], F.lit("")).alias("_text"))
+    rows = materialise(_measured_rows(source), "measured")  # texts are read once and never moved
     labelled, seen = materialise_with(
-        _labelled_points(source, labels), "labelled", good=F.count_if("good"), junk=F.count_if(~F.col("good"))
+        _labelled_points(rows, labels), "labelled", good=F.count_if("good"), junk=F.count_if(~F.col("good"))
     )
     n_good, n_junk = seen["good"] or 0, seen["junk"] or 0
     forest = forest_of(labelled, n_good, n_junk) if n_good > 1 and n_junk else None
@@ -335,11 +340,12 @@ def judge(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, cut = shared.value
         trees = Forest(*made) if made else None
-        for batch in sliced(batches, "_text"):
-            m = measured(text_array(batch.column("_text")))
-            score = trees.score(features(m)) if trees else np.zeros(batch.num_rows)
-            failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-            columns = [batch.column("doc_id"), *[pa.array(m[c].astype(np.int64)) for c in RULES]]
+        for batch in batches:
+            points = batch.column("point").flatten().to_numpy().reshape(-1, len(FEATURES))
+            n_words, repeated = (batch.column(c).to_numpy() for c in ("n_words", "n_repeat_words"))
+            score = trees.score(points) if trees else np.zeros(batch.num_rows)
+            failed = (n_words < MIN_WORDS) | (100 * repeated > 50 * n_words)
+            columns = [batch.column(c) for c in ("doc_id", *RULES)]
             columns += [pa.array(failed), pa.array(~failed & (score <= cut)), pa.array(score)]
             yield pa.RecordBatch.from_arrays(
                 columns, names=["doc_id", *RULES, "base_failed", "kept", "anomaly"]
@@ -347,6 +353,6 @@ def judge(
 
     kind = source.schema["doc_id"].dataType.simpleString()
     longs = ", ".join(f"{c} long" for c in RULES)
-    return source.mapInArrow(
+    return rows.mapInArrow(
         run, f"doc_id {kind}, {longs}, base_failed boolean, kept boolean, anomaly double"
     )

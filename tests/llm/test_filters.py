@@ -193,6 +193,26 @@ def test_forest_and_cut_use_all_labelled_rows(spark):
     assert (good > cut).mean() <= 0.01 and (junk > cut).mean() > 0.3
 
 
+def test_rules_do_not_shuffle_texts(spark, sf, monkeypatch):
+    plans = []
+    for name in ("materialise", "materialise_with"):
+        def seen(df, *args, own=getattr(quality_rules, name), **more):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return own(df, *args, **more)
+
+        monkeypatch.setattr(quality_rules, name, seen)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for many labels
+    try:
+        found = queries.op1_quality_rules(spark, sf)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert any("_text" in plan for plan in plans)
+    assert not [plan for plan in plans if "Exchange" in plan and "_text" in plan]
+
+
+
 def test_ordinal_gradient_and_order():
     rnd = np.random.default_rng(2)
     x = rnd.normal(0, 1, (1500, 3))
