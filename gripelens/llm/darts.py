@@ -46,6 +46,10 @@ TRIES = 4
 # Nodes that are left all meet their buckets at once if a bucket row meets so many of
 # them on average; it decides how many rounds there are, not the result.
 MET = 256
+# Members of a bucket that meet a reference; it decides what is compared, not the result.
+CROWD = 16
+# What tells whether a member can have a link.
+SIZE = ("weight", "shared", "room", "reach")
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -277,8 +281,9 @@ def links(buckets: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
     node meets one other.  Then rounds follow: each node outside a main group tries the
     cleanest members of the main groups it meets, those with the fewest units that no
     other group has.  From the third round on the cleanest nodes outside meet all their
-    buckets, then the others, until nothing is left to compare.  The tables of a
-    round are deleted once the next one's are written.
+    buckets, then the others, until nothing is left to compare.  In each round a crowded
+    bucket first meets a reference, which tells most members without a link.  The tables
+    of a round are deleted once the next one's are written.
     """
     first = (
         buckets.filter(F.col("node") != F.col("pivot.node"))
@@ -296,8 +301,11 @@ def links(buckets: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
         if not seen["n"]:
             release(open_, *compared)
             return connected_components(found, "node", "label")
-        member = materialise(_able(open_, units, threshold), "able")
+        able = materialise(_able(open_, units, threshold), "able")
         release(open_)
+        member, sure, marked = _referred(able, units, threshold, turn)
+        member = materialise(member, "member")
+        release(able)
         pivot = None
         if turn < MAIN_TURNS:
             pairs = _main_tries(member, threshold, turn)
@@ -311,8 +319,9 @@ def links(buckets: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
         pairs = materialise(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
         compared.append(pairs)
         old = found.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        before, found = found, shortened(old.union(_similar(pairs, units, threshold)))
-        release(before)
+        new = _similar(pairs, units, threshold)
+        before, found = found, shortened(old.union(new if sure is None else new.union(sure)))
+        release(before, *marked)
         rest = member if pivot is None else member.join(pivot.select("node"), "node", "left_anti")
         last, buckets = member, rest.select("node", "weight", "band")
         turn += 1
@@ -334,16 +343,89 @@ def _able(member: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
     return found.filter(F.col("shared") >= threshold * F.col("weight") - 1e-9)
 
 
+def _linked(both: Column, a: Column, b: Column, threshold: float) -> Column:
+    """Whether sets of these sizes with ``both`` units in common are a link."""
+    return both >= threshold * (a + b - both) - 1e-9
+
+
+def _referred(
+    member: DataFrame, units: DataFrame, threshold: float, turn: int
+) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+    """(member with ``room`` and ``reach``, links (a, b), tables to release).
+
+    All of a bucket of more than ``CROWD`` members meet one of them, its reference: the
+    cleanest of the main group, in later rounds the cleanest outside.  Links to it are
+    exact, and the groups it links are one from then on.  What sets a node off from its
+    reference, units that only one of them has, decides about all other pairs: with x' and
+    y' these units of x and y, x and y differ in |x'| + |y'| - 2 |x' and y'| units, and a
+    link allows c (|x| + |y|), c = (1 - threshold) / (1 + threshold).  x' and y' have at most
+    those units in common that occur in x' and in y' of different groups.  So with
+    ``room`` = c |x| - |x'| and ``reach`` = room + 2 (units of x' that another group of the
+    same reference has), a link needs room(x) + reach(y) >= 0 and the reverse.  Members of
+    a crowded bucket that no other group can meet so are dropped, and the reference, too.
+    """
+    unbound = [F.col("weight").cast("double").alias(c) for c in ("room", "reach")]
+    late = F.col("label") != F.col("main") if turn == 0 else F.col("label") == F.col("main")
+    first = F.min(F.struct(late.alias("late"), _order(0).alias("of"))).alias("first")
+    refs = member.groupBy("band").agg(F.count(F.lit(1)).alias("n"), first).filter(F.col("n") > CROWD)
+    refs, seen = materialise_with(refs.select("band", F.col("first.of.node").alias("ref")), "refs", n=F.count(F.lit(1)))
+    if not seen["n"]:
+        return member.select("*", *unbound), None, [refs]
+    crowd = member.join(refs, "band")
+    # small next to the sets: written first, so that few of them do not make all sets move
+    near = materialise(crowd.select("ref", "node", "label", "weight").distinct(), "near")
+    # a reference's set is copied, so that its nodes are dealt to tasks; CROWD copies are
+    # fewer than its nodes
+    base = (
+        near.filter("node = ref").select("ref", F.col("label").alias("to"))
+        .join(units.withColumnsRenamed({"node": "ref", "units": "base"}), "ref")
+        .withColumn("spot", F.explode(F.sequence(F.lit(0), F.lit(CROWD - 1))))
+    )
+    apart = F.concat(F.array_except("units", "base"), F.array_except("base", "units"))
+    marked = near.join(units, "node").withColumn("spot", F.pmod(F.xxhash64("node"), F.lit(CROWD)).cast("int"))
+    marked = marked.join(base, ["ref", "spot"]).withColumn("apart", apart)
+    both = (F.col("weight") + F.size("base") - F.size("apart")) / 2
+    marked = materialise(
+        marked.withColumn("link", _linked(both, F.col("weight"), F.size("base"), threshold))
+        .select("ref", "node", "label", "to", "weight", "apart", "link"),
+        "marked",
+    )
+    sure = marked.filter("link AND node <> ref").select(F.col("node").alias("a"), F.col("ref").alias("b"))
+    joined = marked.filter("link").select("ref", F.col("label").alias("old"), F.col("to").alias("new")).distinct()
+
+    def grouped(rows: DataFrame, label: str) -> DataFrame:
+        own = joined.withColumnRenamed("old", label)
+        return rows.join(own, ["ref", label], "left").withColumn(label, F.coalesce("new", label)).drop("new")
+
+    each = grouped(marked.select("ref", "node", "label", F.explode("apart").alias("unit")), "label")
+    across = each.groupBy("ref", "unit").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    across = across.filter("low <> high").select("ref", "unit")
+    common = each.join(across, ["ref", "unit"], "left_semi").groupBy("ref", "node").agg(F.count(F.lit(1)).alias("common"))
+    room = (1 - threshold) / (1 + threshold) * F.col("weight") - F.size("apart")
+    bounds = marked.filter("node <> ref").select("ref", "node", room.alias("room")).join(common, ["ref", "node"], "left")
+    bounds = bounds.withColumn("reach", F.col("room") + 2 * F.coalesce("common", F.lit(0))).drop("common")
+    rows = materialise(grouped(grouped(crowd, "label"), "main").join(bounds, ["ref", "node"]), "crowd")
+    most = [F.max("room").alias("_room"), F.max("reach").alias("_reach")]
+    can = (F.col("room") + F.col("_reach") >= -1e-9) & (F.col("reach") + F.col("_room") >= -1e-9)
+    outside = rows.filter("label <> main").join(rows.groupBy("band").agg(*most), "band").filter(can)
+    mains = rows.filter("label = main").join(outside.groupBy("band").agg(*most), "band").filter(can)
+    rest = member.join(refs, "band", "left_anti").select("*", *unbound)
+    for part in (outside, mains):
+        rest = rest.union(part.select(rest.columns))
+    return rest, sure, [refs, near, marked, rows]
+
+
 def _reachable(a: Column, b: Column, threshold: float) -> Column:
-    """Whether nodes of these (weight, shared) can reach the threshold at all."""
+    """Whether nodes of these sizes can reach the threshold at all."""
     both = F.least(a["shared"], b["shared"])
-    return both >= threshold * (a["weight"] + b["weight"] - both) - 1e-9
+    near = (a["room"] + b["reach"] >= -1e-9) & (a["reach"] + b["room"] >= -1e-9)
+    return near & _linked(both, a["weight"], b["weight"], threshold)
 
 
-def _order(seed: int) -> Column:
+def _order(seed: int, *more: str) -> Column:
     """Cleaner nodes first, those with fewer units of their own; ties by hash."""
     own = F.col("weight") - F.col("shared")
-    return F.struct(own.alias("own"), F.xxhash64("node", F.lit(seed)).alias("draw"), "node", "weight", "shared")
+    return F.struct(own.alias("own"), F.xxhash64("node", F.lit(seed)).alias("draw"), "node", *more)
 
 
 def _main_tries(member: DataFrame, threshold: float, turn: int) -> DataFrame:
@@ -353,13 +435,13 @@ def _main_tries(member: DataFrame, threshold: float, turn: int) -> DataFrame:
     """
     names = [f"p{i}" for i in range(TRIES)]
     draws = [
-        F.struct(F.xxhash64("node", F.lit(turn * TRIES + i)).alias("draw"), "node", "weight", "shared")
+        F.struct(F.xxhash64("node", F.lit(turn * TRIES + i)).alias("draw"), "node", *SIZE)
         for i in range(1, TRIES)
     ]
     mains = member.filter("label = main").groupBy("band").agg(
-        *[F.min(c).alias(p) for p, c in zip(names, [_order(turn), *draws])]
+        *[F.min(c).alias(p) for p, c in zip(names, [_order(turn, *SIZE), *draws])]
     )
-    size = F.struct("weight", "shared")
+    size = F.struct(*SIZE)
     near = [F.when(_reachable(size, F.col(p), threshold), F.col(p)) for p in names]
     tries = (
         member.filter("label <> main")
@@ -398,10 +480,10 @@ def _met(member: DataFrame, pivot: DataFrame, threshold: float) -> DataFrame:
     A pair that meets in several buckets is listed in the first of them only.
     """
     own = member.join(pivot, "node").select(
-        "band", F.col("node").alias("b"), F.col("label").alias("b_label"), F.struct("weight", "shared").alias("b_size")
+        "band", F.col("node").alias("b"), F.col("label").alias("b_label"), F.struct(*SIZE).alias("b_size")
     )
     bands = member.groupBy("node").agg(F.collect_list("band").alias("bands"))  # at most all bands of a text
-    rows = member.join(bands, "node").select("band", "node", "label", F.struct("weight", "shared").alias("size"), "bands")
+    rows = member.join(bands, "node").select("band", "node", "label", F.struct(*SIZE).alias("size"), "bands")
     own = own.join(bands.withColumnsRenamed({"node": "b", "bands": "b_bands"}), "b")
     return (
         rows.join(own, "band")

@@ -70,6 +70,28 @@ def test_large_group_of_near_copies(spark):
     assert {r.doc_id: r.class_id for r in darts.classes(docs).collect()} == near_classes(rows)
 
 
+def test_pairs_of_a_crowded_bucket(spark, monkeypatch):
+    rnd = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        own = list(base)
+        for j in rnd.sample(range(150), rnd.randint(0, 2) if i % 2 else rnd.randint(4, 6)):
+            own[j] = f"own{rnd.randrange(9)}x{j}"
+        rows.append((i, " ".join(own)))
+    listed = []
+
+    def counted(df, name="step", own=darts.materialise):
+        done = own(df, name)
+        listed.append(done.count() if name == "pairs" else 0)
+        return done
+
+    monkeypatch.setattr(darts, "materialise", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.class_id for r in darts.classes(docs).collect()} == near_classes(rows)
+    assert sum(listed) <= 40 * len(rows)  # 24834 pairs without a reference
+
+
 def test_near_copies_of_odd_rows(odd):
     got = [(r.doc_id, r.class_id) for r in darts.classes(odd).collect()]
     assert sorted(x for x in got if x[0] in (6, 7)) == [(6, 6), (6, 6), (7, 6)]
