@@ -43,6 +43,8 @@ BANDS = 25
 ROWS = 5
 MAIN_TURNS = 2
 TRIES = 4
+# Darts that are thrown at once; texts of any length have about as many.
+DARTS = 1 << 20
 # Nodes that are left all meet their buckets at once if a bucket row meets so many of
 # them on average; it decides how many rounds there are, not the result.
 MET = 256
@@ -181,11 +183,14 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, text: str = "t
     ``words_key`` is null and ``bands`` is empty for a text without words.
     """
 
+    k = bands * rows
+    most = max(int(DARTS / (k * (math.log(k) + 2))), 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "_text"):
+        for batch in sliced(batches, "_text", rows=most):
             of, gram, counts, whole = shingle_sets(text_array(batch.column("_text")))
             n = batch.num_rows
-            found = signatures(of, gram, counts.astype(np.float64), n, bands * rows)
+            found = signatures(of, gram, counts.astype(np.float64), n, k)
             keys = band_keys(found, bands, rows)
             weight = np.bincount(of, counts, n).astype(np.int64)
             empty = weight == 0
@@ -353,21 +358,26 @@ def _referred(
 ) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
     """(member with ``room`` and ``reach``, links (a, b), tables to release).
 
-    All of a bucket of more than ``CROWD`` members meet one of them, its reference: the
-    cleanest of the main group, in later rounds the cleanest outside.  Links to it are
-    exact, and the groups it links are one from then on.  What sets a node off from its
+    All of a bucket of more than ``CROWD`` members meet one of them, its reference: one of
+    the main group, in later rounds one outside, that is in most such buckets, the cleanest
+    of equal ones.  Links to it are exact, and the groups it links are one from then on.  What sets a node off from its
     reference, units that only one of them has, decides about all other pairs: with x' and
     y' these units of x and y, x and y differ in |x'| + |y'| - 2 |x' and y'| units, and a
     link allows c (|x| + |y|), c = (1 - threshold) / (1 + threshold).  x' and y' have at most
-    those units in common that occur in x' and in y' of different groups.  So with
-    ``room`` = c |x| - |x'| and ``reach`` = room + 2 (units of x' that another group of the
-    same reference has), a link needs room(x) + reach(y) >= 0 and the reverse.  Members of
-    a crowded bucket that no other group can meet so are dropped, and the reference, too.
+    those units in common that x lacks, and those it adds that another group adds as well:
+    only the latter are listed and counted.  So with ``room`` = c |x| - |x'| and ``reach`` =
+    room + 2 (lacking units + added ones that another group of the same reference adds), a
+    link needs room(x) + reach(y) >= 0 and the reverse.  Members of a crowded bucket that no
+    other group can meet so are dropped, and the reference, too.
     """
     unbound = [F.col("weight").cast("double").alias(c) for c in ("room", "reach")]
     late = F.col("label") != F.col("main") if turn == 0 else F.col("label") == F.col("main")
-    first = F.min(F.struct(late.alias("late"), _order(0).alias("of"))).alias("first")
-    refs = member.groupBy("band").agg(F.count(F.lit(1)).alias("n"), first).filter(F.col("n") > CROWD)
+    crowded = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD)
+    crowded = member.join(crowded.select("band"), "band")
+    # the members of most crowded buckets first: few references serve them all
+    wide = crowded.groupBy("node").agg((-F.count(F.lit(1))).alias("wide"))
+    first = F.min(F.struct(late.alias("late"), "wide", _order(0).alias("of"))).alias("first")
+    refs = crowded.join(wide, "node").groupBy("band").agg(first)
     refs, seen = materialise_with(refs.select("band", F.col("first.of.node").alias("ref")), "refs", n=F.count(F.lit(1)))
     if not seen["n"]:
         return member.select("*", *unbound), None, [refs]
@@ -381,13 +391,12 @@ def _referred(
         .join(units.withColumnsRenamed({"node": "ref", "units": "base"}), "ref")
         .withColumn("spot", F.explode(F.sequence(F.lit(0), F.lit(CROWD - 1))))
     )
-    apart = F.concat(F.array_except("units", "base"), F.array_except("base", "units"))
     marked = near.join(units, "node").withColumn("spot", F.pmod(F.xxhash64("node"), F.lit(CROWD)).cast("int"))
-    marked = marked.join(base, ["ref", "spot"]).withColumn("apart", apart)
-    both = (F.col("weight") + F.size("base") - F.size("apart")) / 2
+    marked = marked.join(base, ["ref", "spot"]).withColumn("added", F.array_except("units", "base"))
+    both = F.col("weight") - F.size("added")
     marked = materialise(
         marked.withColumn("link", _linked(both, F.col("weight"), F.size("base"), threshold))
-        .select("ref", "node", "label", "to", "weight", "apart", "link"),
+        .select("ref", "node", "label", "to", "weight", "added", (F.size("base") - both).alias("lacking"), "link"),
         "marked",
     )
     sure = marked.filter("link AND node <> ref").select(F.col("node").alias("a"), F.col("ref").alias("b"))
@@ -397,13 +406,16 @@ def _referred(
         own = joined.withColumnRenamed("old", label)
         return rows.join(own, ["ref", label], "left").withColumn(label, F.coalesce("new", label)).drop("new")
 
-    each = grouped(marked.select("ref", "node", "label", F.explode("apart").alias("unit")), "label")
+    each = grouped(marked.select("ref", "node", "label", "added"), "label")
+    each = each.select("ref", "node", "label", F.explode("added").alias("unit"))
     across = each.groupBy("ref", "unit").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     across = across.filter("low <> high").select("ref", "unit")
     common = each.join(across, ["ref", "unit"], "left_semi").groupBy("ref", "node").agg(F.count(F.lit(1)).alias("common"))
-    room = (1 - threshold) / (1 + threshold) * F.col("weight") - F.size("apart")
-    bounds = marked.filter("node <> ref").select("ref", "node", room.alias("room")).join(common, ["ref", "node"], "left")
-    bounds = bounds.withColumn("reach", F.col("room") + 2 * F.coalesce("common", F.lit(0))).drop("common")
+    room = (1 - threshold) / (1 + threshold) * F.col("weight") - F.size("added") - F.col("lacking")
+    bounds = marked.filter("node <> ref").select("ref", "node", "lacking", room.alias("room"))
+    bounds = bounds.join(common, ["ref", "node"], "left")
+    bounds = bounds.withColumn("reach", F.col("room") + 2 * (F.col("lacking") + F.coalesce("common", F.lit(0))))
+    bounds = bounds.drop("common", "lacking")
     rows = materialise(grouped(grouped(crowd, "label"), "main").join(bounds, ["ref", "node"]), "crowd")
     most = [F.max("room").alias("_room"), F.max("reach").alias("_reach")]
     can = (F.col("room") + F.col("_reach") >= -1e-9) & (F.col("reach") + F.col("_room") >= -1e-9)

@@ -118,9 +118,9 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def sliced(
-    batches: Iterable[pa.RecordBatch], name: str = "text", limit: int = SLICE_BYTES
+    batches: Iterable[pa.RecordBatch], name: str = "text", limit: int = SLICE_BYTES, rows: int | None = None
 ) -> Iterator[pa.RecordBatch]:
-    """Record batches of at most ``limit`` text bytes, or of one row."""
+    """Record batches of at most ``limit`` text bytes and ``rows`` rows, or of one row."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0)
         ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
@@ -128,6 +128,7 @@ def sliced(
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+            stop = min(stop, start + (rows or stop))
             yield batch.slice(start, stop - start)
             start = stop
 

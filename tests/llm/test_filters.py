@@ -8,6 +8,7 @@ import re
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import PLAIN, SPACE, ascii_lower
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from gripelens.llm import (
     sharding,
     toxicity,
     winnowing,
+    words,
 )
 
 
@@ -92,6 +94,30 @@ def test_pairs_of_a_crowded_bucket(spark, monkeypatch):
     assert sum(listed) <= 40 * len(rows)  # 24834 pairs without a reference
 
 
+def test_units_listed_for_a_crowd(spark):
+    """One reference serves both buckets; only units that are added to it are listed."""
+    sets = {i: list(range(100 - 15 * (0 < i < 20))) + [1000 * i + j for j in range(15 * (0 < i < 20))] for i in range(21)}
+    rows = [(band, i) for band in (1, 2) for i in range(20)] + [(2, 20)]
+    rows = [(band, i, 0 if i == 20 else i, 0, 100, 100 if i == 20 else 95) for band, i in rows]
+    member = spark.createDataFrame(rows, "band long, node long, label long, main long, weight int, shared long")
+    units = spark.createDataFrame(list(sets.items()), "node long, units array<long>")
+    rest, sure, (refs, _, marked, _) = darts._referred(member, units, 0.8, 0)
+    assert {r.ref for r in refs.collect()} == {0}
+    lists = [f.name for f in marked.schema if f.dataType.typeName() == "array"]
+    assert marked.selectExpr(*[f"sum(size({c}))" for c in lists]).first()[0] == 19 * 15
+    assert [tuple(r) for r in sure.collect()] == [(20, 0)] and rest.count() == 0
+
+
+def test_darts_thrown_at_once(spark):
+    """Short texts are dealt to pieces as well: each has as many darts as a long one."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["some words"] * 5000)], names=["_text"])
+    k = darts.BANDS * darts.ROWS
+    with_rows = list(words.sliced([batch], "_text", rows=darts.DARTS // (7 * k)))
+    assert max(b.num_rows for b in with_rows) == darts.DARTS // (7 * k) and sum(b.num_rows for b in with_rows) == 5000
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(3000)], "doc_id long, text string").coalesce(1)
+    assert darts.signed(docs).filter("size(bands) = 25").count() == 3000
+
+
 def test_near_copies_of_odd_rows(odd):
     got = [(r.doc_id, r.class_id) for r in darts.classes(odd).collect()]
     assert sorted(x for x in got if x[0] in (6, 7)) == [(6, 6), (6, 6), (7, 6)]
