@@ -15,8 +15,8 @@ that equal strings always meet:
 4. Representatives whose gram, lengthened to one side by half of the rest of a string,
    occurs again are dealt out by their anchor's gram.  A shard takes a bounded
    number of bytes; a gram with more is cut into several shards.  Each shard sorts
-   its suffixes by Larsson-Sadakane refinement, takes common prefixes by Kasai's rule
-   and learns which of its strings start earlier in it.
+   its suffixes by Larsson-Sadakane refinement up to the length of a string, so that
+   suffixes of equal rank begin with equal strings, and learns which start earlier in it.
 5. For grams with several shards, the MD5 digest and place of every string are listed
    and the smallest place of each digest is joined to the others.  This alone decides
    the matches of such a gram, within its shards too; there is no binary search.
@@ -64,7 +64,9 @@ def _words8(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(raw: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(
+    raw: np.ndarray, left: np.ndarray, depth: int, least: int = 1
+) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes sorted by their first ``depth`` bytes, and each suffix's group rank.
 
     ``left[i]`` bytes remain from i to the end of its text; nothing is compared
@@ -72,9 +74,14 @@ def suffix_array(raw: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndar
     sorting the members of each group of equals by the rank of what follows; groups
     of one are finished and never touched again.  A rank is the place of the group's
     first member in the order; members of a group are in the order of their positions.
+    Two suffixes with ``depth`` bytes have one rank if and only if these are equal.  The
+    last step may leave out suffixes with fewer than ``least`` bytes: they keep the rank
+    they had, somewhere in their group.
     """
     n = raw.size
     key = _words8(raw)
+    if depth < 8:
+        key &= ~np.uint64(0) << np.uint64(8 * (8 - depth))
     short = np.flatnonzero(left < 8)
     key[short] &= ~np.uint64(0) << (np.uint64(8) * (8 - left[short]).astype(np.uint64))
     order = np.argsort(key, kind="stable")
@@ -94,10 +101,15 @@ def suffix_array(raw: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndar
     keep = regroup(place, order, new)
     place, h, bits = place[keep], 8, n.bit_length()
     while h < depth and place.size:
+        step = min(h, depth - h)
+        if h + step >= depth and least > 1:
+            place = place[left[order[place]] >= least]
+            if not place.size:
+                break
         members = order[place]
         follows = np.zeros(members.size, np.int64)
         inside = left[members] > h
-        follows[inside] = rank[members[inside] + h] + 1
+        follows[inside] = rank[members[inside] + step] + 1
         own = np.cumsum(np.diff(rank[members], prepend=-1) != 0)
         new = np.ones(members.size, bool)
         if int(own[-1]).bit_length() + 2 * bits < 64:  # all three fit into one number
@@ -111,7 +123,7 @@ def suffix_array(raw: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndar
             new[1:] = (own[1:] != own[:-1]) | (follows[1:] != follows[:-1])
         order[place] = members
         keep = regroup(place, members, new)
-        place, h = place[keep], 2 * h
+        place, h = place[keep], h + step
     return order, rank
 
 
@@ -146,14 +158,14 @@ def common_prefixes(
     return out
 
 
-def equal_strings(
-    raw: np.ndarray, left: np.ndarray, starts: np.ndarray, length: int
-) -> tuple[np.ndarray, np.ndarray]:
+def equal_strings(raw: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(position, group) of all strings of ``length`` bytes that occur more than once."""
     if not raw.size:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order, _ = suffix_array(raw, left, int(left.max()))
-    same = common_prefixes(raw, left, starts, order, length, length)[order] >= length
+    order, rank = suffix_array(raw, left, length, length)
+    order = order[left[order] >= length]
+    same = np.zeros(order.size, bool)
+    same[1:] = rank[order[1:]] == rank[order[:-1]]
     member = same.copy()
     member[:-1] |= same[1:]
     group = np.cumsum(~same)
@@ -299,7 +311,7 @@ def _search_shards(length: int, shard_bytes: int):
         raw, offsets = raw_bytes(text_array_of_bytes(table["bytes"]))
         sizes = np.diff(offsets)
         left = np.repeat(offsets[1:], sizes) - np.arange(raw.size)
-        position, group = equal_strings(raw, left, offsets[:-1][sizes > 0], length)
+        position, group = equal_strings(raw, left, length)
         context = np.searchsorted(offsets, position, "right") - 1
         number = table["number"].to_numpy()[context]
         start = table["low"].to_numpy()[context] + (position - offsets[context])

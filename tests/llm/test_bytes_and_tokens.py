@@ -146,6 +146,27 @@ def test_suffix_order():
         assert data[a : a + n] == data[b : b + n] and data[a + n : a + n + 1] != data[b + n : b + n + 1]
 
 
+@pytest.mark.parametrize("length", [1, 7, 8, 12, 33, 100])
+def test_equal_strings_equal_brute_force(length):
+    """Zero bytes at the end of a text are bytes, not its end."""
+    rnd = random.Random(length)
+    for alphabet in (b"a", b"ab", b"a\0", b"abc\0"):
+        base = bytes(rnd.choice(alphabet) for _ in range(300))
+        parts = [base[j : j + rnd.randint(0, 200)] for j in (rnd.randint(0, 290) for _ in range(12))]
+        places, at = collections.defaultdict(list), 0
+        for part in parts:
+            for i in range(len(part) - length + 1):
+                places[part[i : i + length]].append(at + i)
+            at += len(part)
+        ends = np.cumsum([len(p) for p in parts])
+        raw = np.frombuffer(b"".join(parts), np.uint8)
+        left = np.repeat(ends, [len(p) for p in parts]) - np.arange(raw.size)
+        found = collections.defaultdict(list)
+        for place, group in zip(*suffixes.equal_strings(raw, left, length)):
+            found[group].append(int(place))
+        assert sorted(sorted(f) for f in found.values()) == sorted(p for p in places.values() if len(p) > 1)
+
+
 TOY = ["▁", "a", "b", "ab", "▁a", "▁ab", "<0x61>", "<0xC3>", "<0xA9>", "c"]
 TOY_P = np.log(np.array([0.1, 0.2, 0.1, 0.05, 0.2, 0.05, 0.1, 0.05, 0.05, 0.1]))
 
