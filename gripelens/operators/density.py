@@ -6,8 +6,10 @@ tree of mutual reachability, root never selected), not an approximation.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from gripelens.operators.ranking import with_row_index
 from gripelens.operators.reports import NOISE
 from gripelens.operators.tree import (
+    FEW,
     contract,
     reachability,
     relabel,
@@ -24,8 +27,9 @@ from gripelens.operators.tree import (
 from gripelens.session import materialise, materialise_with
 
 MIN_CLUSTER_SIZE = 10
-# Merges are replayed in groups of 2 ** GROUP_BITS consecutive tree edges.
-GROUP_BITS = 13
+# Merges are replayed in groups of 2 ** GROUP_BITS consecutive tree edges; a task holds about
+# a kilobyte for each.
+GROUP_BITS = 17
 
 
 @dataclass
@@ -207,7 +211,7 @@ def condense(history: DataFrame, vertices: DataFrame, min_cluster_size: int) ->
     )
     total = F.col("size") + F.col("sibling")
     children, top = materialise_with(
-        children, "children", id=F.max("parent"), size=F.max_by(total, F.col("parent"))
+        children, "children", id=F.max("parent"), size=F.max_by(total, F.col("parent")), n=F.count("*")
     )
     root = history.sparkSession.createDataFrame([(top["id"], top["size"])], "id long, size long")
 
@@ -220,7 +224,7 @@ def condense(history: DataFrame, vertices: DataFrame, min_cluster_size: int) ->
     falling = F.when(total >= m, F.col("child")).otherwise(F.col("parent"))
     pointers = pointers.union(small.select(F.col("child").alias("id"), falling.alias("root")))
     # large nodes end at the head of their cluster, small ones at the part that falls out
-    ends = resolve(pointers)
+    ends = resolve(pointers, top["n"] + 1)
     belongs = ends.withColumnRenamed("root", "cluster")
     of_parent = belongs.withColumnRenamed("id", "parent")
 
@@ -326,15 +330,37 @@ def _climb(climb: DataFrame) -> DataFrame:
     )
 
 
-def select_clusters(stability: DataFrame) -> DataFrame:
+def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cluster, selected) of all clusters, parents having larger ids than their children."""
+    schema = pa.schema([("cluster", pa.int64()), ("parent", pa.int64()), ("stability", pa.float64())])
+    table = pa.Table.from_batches(list(batches), schema).sort_by("cluster")
+    cluster, stability = (table.column(c).to_numpy() for c in ("cluster", "stability"))
+    root = table.column("parent").is_null().to_numpy()
+    above = np.searchsorted(cluster, table.column("parent").fill_null(-1).to_numpy())
+    below, selected = np.zeros(len(cluster)), np.full(len(cluster), -1)
+    for i in np.flatnonzero(~root):
+        below[above[i]] += np.maximum(stability[i], below[i])
+    for i in range(len(cluster) - 1, -1, -1):
+        if not root[i]:
+            own = i if stability[i] >= below[i] or np.isnan(stability[i]) else -1
+            selected[i] = selected[above[i]] if selected[above[i]] >= 0 else own
+    found = pa.array(cluster[selected], mask=selected < 0)
+    yield pa.RecordBatch.from_arrays([pa.array(cluster), found], names=["cluster", "selected"])
+
+
+def select_clusters(stability: DataFrame, count: int | None = None) -> DataFrame:
     """(cluster, selected): the chosen cluster each one belongs to, or null.
 
     Bottom up, a cluster is worth the larger of its own stability and the worth
     of its children.  Leaves are settled first; a chain of clusters with one
     unsettled child each is a chain of functions max(p, x + q), which are joined
     pairwise, so deep trees take few rounds.  Top down, the highest cluster that
-    is worth its own stability wins.
+    is worth its own stability wins.  Up to ``FEW`` clusters, if so many are known to
+    be there, are chosen among in one task.
     """
+    if count is not None and count <= FEW:
+        rows = stability.select("cluster", "parent", "stability").repartition(1)
+        return materialise(rows.mapInArrow(_chosen, "cluster long, selected long"), "selected")
     state = stability.select(
         "cluster",
         "parent",
@@ -409,10 +435,10 @@ def density_clusters(
         return _all_noise(points, key)
     history = merge_history(tree, graph.vertices, group_bits)
     condensed = condense(history, graph.vertices, min_cluster_size)
-    stability = materialise(cluster_stability(condensed), "stability")
-    if stability.isEmpty():
+    stability, seen = materialise_with(cluster_stability(condensed), "stability", n=F.count("*"))
+    if not seen["n"]:
         return _all_noise(points, key)
-    selected = select_clusters(stability)
+    selected = select_clusters(stability, seen["n"])
 
     density, peak = F.col("density"), F.col("peak")
     endless = density == float("inf")

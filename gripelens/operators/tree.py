@@ -23,7 +23,6 @@ from gripelens.operators.cells import (
     slack,
     slices,
     smallest_per_row,
-    squared_distances,
 )
 from gripelens.operators.neighbours import (
     distinct_vectors,
@@ -39,8 +38,9 @@ MIN_SAMPLES = 10
 # A round searches the cells only when the neighbour lists settle fewer than
 # this share of the components.
 SEARCH_BELOW = 0.25
-# So many pointers are followed in one task.
-FEW = 1 << 13
+# So many pointers are followed in one task, which then holds 16 bytes for each and a few
+# copies.
+FEW = 1 << 19
 
 
 @dataclass
@@ -172,6 +172,19 @@ def contract(hooks: DataFrame, count: int | None = None) -> DataFrame:
     return resolve(pointers.union(tops.select("id", F.col("id").alias("root"))))
 
 
+def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = pa.Table.from_batches(list(batches), pa.schema([("id", pa.int64()), ("root", pa.int64())]))
+    table = table.sort_by("id")
+    ids, root = (table.column(c).to_numpy() for c in ("id", "root"))
+    to = np.append(np.searchsorted(ids, root), len(ids))
+    to[:-1][~np.isin(root, ids)] = len(ids)  # those that end nowhere are left out
+    while (to != to[to]).any():
+        to = to[to]
+    ends = to[:-1]
+    found = ends < len(ids)
+    yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(ids[ends[found]])], names=["id", "root"])
+
+
 def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(list(batches), pa.schema([("id", pa.int64()), ("parent", pa.int64())]))
     hook, parent = (table.column(c).to_numpy() for c in ("id", "parent"))
@@ -185,13 +198,16 @@ def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[to])], names=["id", "root"])
 
 
-def resolve(pointers: DataFrame) -> DataFrame:
+def resolve(pointers: DataFrame, count: int | None = None) -> DataFrame:
     """Follow (id, root) pointers to their ends, which point at themselves.
 
     Each round follows four pointers at once, so the rounds grow with the
-    logarithm of the longest chain.
+    logarithm of the longest chain.  Up to ``FEW`` pointers, if so many are known to be
+    there, are followed in one task.
     """
     pointers = pointers.select("id", "root")
+    if count is not None and count <= FEW:
+        return materialise(pointers.repartition(1).mapInArrow(_followed, "id long, root long"), "pointers")
     while True:
         step = pointers.select(F.col("id").alias("root"), F.col("root").alias("_next"))
         doubled = pointers.join(step, "root").select("id", F.col("_next").alias("root"))
@@ -223,14 +239,21 @@ def _nearest_foreign(q: Block, p: Block) -> dict[str, np.ndarray]:
     found: list[tuple[np.ndarray, ...]] = []
     core, other = q.more["core"], p.more["core"]
     mine, theirs = q.more["component"], p.more["component"]
-    rounding = np.sqrt(slack(q.vec, p.vec))
-    for s in slices(len(q), len(p)):
-        rough = np.sqrt(squared_distances(q.vec[s], p.vec))
-        rough = np.maximum(np.maximum(core[s, None], other[None, :]), rough)
-        rough[mine[s, None] == theirs[None, :]] = np.inf
-        limit = np.minimum(rough.min(axis=1), q.more["radius"][s]) + rounding
-        rows, cols = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
-        found.append((rows + s.start, cols))
+    rounding = 4 * slack(q.vec, p.vec)
+    most = np.square(q.more["radius"])
+    # squared distances as one product: -2 x y + |x|^2 * 1 + 1 * |y|^2
+    left = np.column_stack([-2.0 * q.vec, np.einsum("ij,ij->i", q.vec, q.vec), np.ones(len(q))])
+    right = np.vstack([p.vec.T, np.ones(len(p)), np.einsum("ij,ij->i", p.vec, p.vec)])
+    near, far = np.square(core), np.square(other)[None, :]
+    for s in slices(len(q), 16 * len(p)):  # few enough to stay in a core's cache
+        rough = left[s] @ right
+        np.maximum(rough, near[s, None], out=rough)
+        np.maximum(rough, far, out=rough)
+        np.copyto(rough, np.inf, where=mine[s, None] == theirs[None, :])
+        limit = np.minimum(rough.min(axis=1), most[s]) + rounding
+        rows, cols = np.divmod(np.flatnonzero(rough <= limit[:, None]), len(p))
+        whole = np.isfinite(rough[rows, cols])
+        found.append((rows[whole] + s.start, cols[whole]))
     rows, cols = (np.concatenate(part) for part in zip(*found)) if found else (np.zeros(0, int),) * 2
     dist = pair_distances(q.vec, p.vec, rows, cols)
     weight = np.maximum(np.maximum(core[rows], other[cols]), dist)

@@ -16,7 +16,7 @@ from gripelens.operators.extraction import extract_entities, format_entities
 from gripelens.operators.labeling import label_clusters
 from gripelens.operators.refine import refine_clusters
 from gripelens.operators.reports import assignment, cluster_info, summary_table
-from gripelens.session import scratch_path
+from gripelens.session import materialise, release, scratch_path
 from gripelens.sources.csv import read_csv
 from gripelens.sources.files import latest_drop
 from gripelens.sources.tables import (
@@ -83,6 +83,7 @@ def analyse(
     """
     spark = raw.sparkSession
     root = root or scratch_path(spark, "run")
+    raw = materialise(raw, "raw")  # read three times below
 
     names = [getattr(h, "__qualname__", str(h)) for h in (hooks.entity, hooks.encoder)]
     words = fingerprint(lexicon)
@@ -96,6 +97,7 @@ def analyse(
     insert_or_ignore(raw, raw_path)
     stored = spark.read.parquet(raw_path)
     cleaned = keep("cleaned_feedback", lambda: clean_feedback(raw, order=F.struct(number, "feedback_id")))
+    release(raw)
     entities = keep(
         "structured_entities",
         lambda: extract_entities(cleaned, lexicon, call=hooks.entity, every_row=True),
